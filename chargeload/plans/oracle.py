@@ -36,7 +36,8 @@ raw AS (
            AS energy_delivered_kwh,
          CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN {dbl(6.6)} WHEN 2 THEN {dbl(11.0)}
            ELSE {dbl(50.0)} END AS max_charge_rate_kw,
-         event_id, user_id
+         event_id, user_id, CAST(ts AS TIMESTAMP) AS t,
+         CASE WHEN event_id % 50 = 0 THEN 0 ELSE 20 + event_id % 220 END AS minutes
   FROM events),
 dur AS (
   SELECT *, CAST(CASE WHEN arrival_ts IS NULL OR departure_ts IS NULL THEN 0
@@ -140,3 +141,114 @@ def with_sessions(body: str) -> str:
 def r2(x: str, digits: int) -> str:
     """Exact half-up rounding on the decimal value (mirrors functions.round_half_up)."""
     return f"CAST(round(CAST({x} AS DECIMAL(28,9)), {digits}) AS DOUBLE)"
+
+
+# --- raw-file sources ------------------------------------------------------------------
+
+ISO_RE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?$"
+OFFSET_RE = r"(Z|[+-]\d{2}:?\d{2})$"
+UNKNOWN_ZONE = "Nowhere/Atlantis"
+
+
+def parse_multi(text: str) -> str:
+    """ISO (offset → UTC, naive as UTC), else the four layouts in order — DuckDB's own parsers."""
+    return (f"CASE WHEN regexp_full_match(trim({text}), '{ISO_RE}') THEN "
+            f"(CASE WHEN regexp_matches(trim({text}), '{OFFSET_RE}') "
+            f"THEN timezone('UTC', CAST(trim({text}) AS TIMESTAMPTZ)) ELSE CAST(trim({text}) AS TIMESTAMP) END) "
+            f"ELSE coalesce(try_strptime({text}, '%m/%d/%Y %H:%M'), try_strptime({text}, '%m/%d/%Y %I:%M:%S %p'), "
+            f"try_strptime({text}, '%Y-%m-%d %H:%M:%S'), try_strptime({text}, '%d/%m/%Y %H:%M')) END")
+
+
+def layout_text(c: str) -> str:
+    """The same five layouts (and junk) the CSV fixture writes, formatted by DuckDB."""
+    return (f"CASE WHEN event_id % 23 = 0 THEN 'not a date' "
+            f"WHEN event_id % 5 = 0 THEN strftime({c}, '%Y-%m-%d %H:%M:%S') "
+            f"WHEN event_id % 5 = 1 THEN strftime({c}, '%m/%d/%Y %H:%M') "
+            f"WHEN event_id % 5 = 2 THEN strftime({c}, '%-m/%-d/%Y %-I:%M:%S %p') "
+            f"WHEN event_id % 5 = 3 THEN strftime({c}, '%d/%m/%Y %H:%M') "
+            f"ELSE strftime({c} + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S') || '+05:30' END")
+
+
+def charging_text() -> str:
+    m = "((minutes * 3) // 4)"
+    hh = f"CAST({m} // 60 AS VARCHAR)"
+    mm = f"lpad(CAST({m} % 60 AS VARCHAR), 2, '0')"
+    ss = "lpad(CAST(event_id % 60 AS VARCHAR), 2, '0')"
+    return (f"CASE WHEN event_id % 17 = 0 THEN 'invalid' WHEN event_id % 7 = 3 THEN {hh} || ':' || {mm} "
+            f"ELSE {hh} || ':' || {mm} || ':' || {ss} END")
+
+
+def hms_parts(text: str) -> str:
+    """Columns n, ph, pm, ps: the split of an h:mm[:ss] text (for parse_hms)."""
+    p = f"string_split(trim({text}), ':')"
+    return (f"len({p}) AS n, TRY_CAST(trim({p}[1]) AS INTEGER) AS ph, TRY_CAST(trim({p}[2]) AS INTEGER) AS pm, "
+            f"TRY_CAST(trim({p}[3]) AS INTEGER) AS ps")
+
+
+HMS_MINUTES = ("CAST(CASE WHEN n = 3 AND ph IS NOT NULL AND pm IS NOT NULL AND ps IS NOT NULL "
+               "THEN ph * 60 + pm + CASE WHEN ps > 0 THEN 1 ELSE 0 END "
+               "WHEN n = 2 AND ph IS NOT NULL AND pm IS NOT NULL THEN ph * 60 + pm END AS INTEGER)")
+
+
+def valid_expr(extra: str = "") -> str:
+    return ("(arrival_ts IS NOT NULL AND departure_ts IS NOT NULL AND departure_ts > arrival_ts "
+            "AND session_duration_minutes > 0 AND coalesce(energy_requested_kwh, 0) >= 0 "
+            "AND coalesce(energy_delivered_kwh, 0) >= 0 AND coalesce(max_charge_rate_kw, 0) >= 0 "
+            "AND coalesce(charging_duration_minutes, 0) >= 0" + extra + ")")
+
+
+# Expected canonical rows of the JSON session fixture (chargeload.plans.fixtures.json_lines).
+JSON_CTE = f"""
+jx AS (
+  SELECT r.*, (event_id % 10 = 7 OR event_id % 6 <> 5) AS zone_ok, (minutes * 3) // 4 AS ch_min FROM raw r),
+jn AS (
+  SELECT CASE WHEN event_id % 401 = 0 THEN 'acn-' ELSE concat('acn-', CAST(event_id AS VARCHAR)) END
+           AS session_id,
+         CASE WHEN event_id % 401 = 0 THEN '' ELSE CAST(event_id AS VARCHAR) END AS source_record_id,
+         station_id,
+         CASE WHEN event_id % 5 <> 0 THEN concat('P', CAST(event_id % 4 AS VARCHAR)) END AS port_id,
+         CAST(user_id AS VARCHAR) AS vehicle_id,
+         CASE WHEN zone_ok THEN arrival_ts END AS arrival_ts,
+         CASE WHEN zone_ok THEN departure_ts END AS departure_ts,
+         energy_requested_kwh,
+         CASE WHEN event_id % 13 = 0 THEN NULL ELSE energy_delivered_kwh END AS energy_delivered_kwh,
+         max_charge_rate_kw,
+         CAST(CASE WHEN zone_ok AND arrival_ts IS NOT NULL THEN minutes ELSE 0 END AS INTEGER)
+           AS session_duration_minutes,
+         CAST(CASE WHEN zone_ok AND arrival_ts IS NOT NULL THEN ch_min END AS INTEGER) AS charging_duration_minutes,
+         event_id
+  FROM jx),
+jv AS (SELECT *, {valid_expr()} AS is_valid FROM jn)
+"""
+
+# Expected canonical rows of the CSV session fixture (chargeload.plans.fixtures.csv_frame).
+CSV_CTE = f"""
+ct AS (
+  SELECT r.*, CAST(event_id % 8 AS INTEGER) AS bucket,
+         {layout_text('arrival_ts')} AS start_text, {layout_text('departure_ts')} AS end_text,
+         {charging_text()} AS ch_text,
+         CASE WHEN event_id % 13 = 0 THEN NULL ELSE energy_delivered_kwh END AS kwh,
+         CASE WHEN event_id % 11 <> 0 THEN CAST(event_id % 3 + 1 AS VARCHAR) END AS port,
+         concat('EVSE-', CAST(event_id % 50 AS VARCHAR)) AS evse,
+         row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) - 1 AS row_ord
+  FROM raw r),
+cp AS (
+  SELECT *, {parse_multi('start_text')} AS p_arr, {parse_multi('end_text')} AS p_dep, {hms_parts('ch_text')}
+  FROM ct),
+cn AS (
+  SELECT bucket, CAST(row_ord AS VARCHAR) AS source_record_id, row_ord, station_id, port AS port_id, evse,
+         p_arr AS arrival_ts, p_dep AS departure_ts, kwh AS energy_delivered_kwh,
+         CAST(NULL AS DOUBLE) AS energy_requested_kwh, CAST(NULL AS DOUBLE) AS max_charge_rate_kw,
+         {HMS_MINUTES} AS charging_duration_minutes,
+         CAST(CASE WHEN p_arr IS NULL OR p_dep IS NULL THEN 0
+              ELSE greatest(0, (epoch_us(p_dep) - epoch_us(p_arr)) // 60000000) END AS INTEGER)
+           AS session_duration_minutes,
+         start_text, ch_text, event_id
+  FROM cp),
+cv AS (SELECT *, {valid_expr()} AS is_valid FROM cn)
+"""
+
+
+def with_files(body: str, *ctes: str) -> str:
+    extra = ", ".join(c.strip() for c in ctes)
+    return f"WITH {SESSIONS_CTE}, {extra} {body}"

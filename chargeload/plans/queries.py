@@ -281,3 +281,7 @@ def q_baseline_metrics(spark, sf_dir):
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+# Source, store, job and stream queries register themselves on import.
+from chargeload.plans import queries_io  # noqa: E402,F401
