@@ -13,7 +13,9 @@ step length h (hours):
                      immediate_charge. u ∈ [0,1) is a per-session hash of (seed, id), so
                      it is order-free and stable under task retries.
 
-No state, no loop, no Python per row: every step row is computed independently.
+Each policy is stated as its per-session schedule (:class:`Phases`: start offset, step
+energy, optional flat rate), computed once per session. No state, no loop, no Python
+per row: every step row then follows independently.
 """
 
 from __future__ import annotations
@@ -53,14 +55,15 @@ class StepContext:
 
 
 @dataclass(frozen=True)
-class PolicyColumns:
-    """What a policy yields per step row: energy and rate of the step, and the energy
-    already delivered before it (the session state the reference tracks)."""
+class Phases:
+    """A policy's per-session schedule in session-local steps, for change-point curves:
+    nothing before ``offset``; from there steps of ``step_energy`` until the target is
+    reached, the last one partial. The rate of a step is its energy / h, unless
+    ``flat_rate`` is given: then that rate holds on every step while energy remains."""
 
-    energy: Column
-    rate: Column
-    delivered_before: Column
-    session_total: Callable[[Column], Column]   # n_session_steps -> delivered over all steps
+    offset: Column
+    step_energy: Column
+    flat_rate: Column | None = None
 
 
 def _hours(us: Column) -> Column:
@@ -74,35 +77,18 @@ def delay_fraction(session_id: Column, seed: int = DEFAULT_SEED) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _capped_run(step_energy: Column, target: Column, j: Column) -> tuple[Column, Column]:
-    """Energy of step j and energy before it when every step delivers ``step_energy``
-    until the target is reached."""
-    energy = F.greatest(F.lit(0.0), F.least(step_energy, target - j * step_energy))
-    before = F.greatest(F.lit(0.0), F.least(target, j * step_energy))
-    return energy, before
+def _immediate_phases(ctx: StepContext) -> Phases:
+    return Phases(F.lit(0).cast("long"), ctx.max_rate * F.lit(ctx.h))
 
 
-def _immediate(ctx: StepContext) -> PolicyColumns:
-    rh = ctx.max_rate * F.lit(ctx.h)
-    energy, before = _capped_run(rh, ctx.target, ctx.j)
-
-    def total(n: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.least(ctx.target, n * rh))
-
-    return PolicyColumns(energy, energy / F.lit(ctx.h), before, total)
-
-
-def _uniform(ctx: StepContext) -> PolicyColumns:
+def _uniform_rate(ctx: StepContext) -> Column:
     h0 = (ctx.departure_us - ctx.first_step_us) / F.lit(1_000_000.0) / F.lit(60.0) / F.lit(60.0)
-    c = F.when((ctx.target > 0) & (h0 > 0), F.least(ctx.target / h0, ctx.max_rate)).otherwise(F.lit(0.0))
-    ch = c * F.lit(ctx.h)
-    energy, before = _capped_run(ch, ctx.target, ctx.j)
-    rate = F.when(ctx.target - ctx.j * ch > 0, c).otherwise(F.lit(0.0))
+    return F.when((ctx.target > 0) & (h0 > 0), F.least(ctx.target / h0, ctx.max_rate)).otherwise(F.lit(0.0))
 
-    def total(n: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.least(ctx.target, n * ch))
 
-    return PolicyColumns(energy, rate, before, total)
+def _uniform_phases(ctx: StepContext) -> Phases:
+    c = _uniform_rate(ctx)
+    return Phases(F.lit(0).cast("long"), c * F.lit(ctx.h), c)
 
 
 def _delay_start(ctx: StepContext) -> Column:
@@ -116,35 +102,32 @@ def _delay_start(ctx: StepContext) -> Column:
     return F.greatest(F.lit(0).cast("long"), lag.cast("long"))
 
 
-def _randomized_delay(ctx: StepContext) -> PolicyColumns:
-    rh = ctx.max_rate * F.lit(ctx.h)
-    js = _delay_start(ctx)
+def _randomized_delay_phases(ctx: StepContext) -> Phases:
     usable = ctx.max_rate > 0
-    energy, before = _capped_run(rh, ctx.target, ctx.j - js)
-    energy = F.when(usable & (ctx.j >= js), energy).otherwise(F.lit(0.0))
-    before = F.when(usable & (ctx.j > js), before).otherwise(F.lit(0.0))
-
-    def total(n: Column) -> Column:
-        charging_steps = F.greatest(F.lit(0).cast("long"), n - js)
-        return F.when(usable, F.greatest(F.lit(0.0), F.least(ctx.target, charging_steps * rh))).otherwise(F.lit(0.0))
-
-    return PolicyColumns(energy, energy / F.lit(ctx.h), before, total)
+    return Phases(F.when(usable, _delay_start(ctx)).otherwise(F.lit(0).cast("long")),
+                  F.when(usable, ctx.max_rate * F.lit(ctx.h)).otherwise(F.lit(0.0)))
 
 
 @dataclass(frozen=True)
 class Policy:
+    """A policy is its per-session schedule; per-step energy, rate and state follow from
+    it (``LoadProfile.steps``), and so do its change points (``changepoints``)."""
+
     name: str
     description: str
-    build: Callable[[StepContext], PolicyColumns]
+    schedule: Callable[[StepContext], Phases]
+    flat_rate: bool = False     # rate is a per-session constant rather than energy / h
 
-    def columns(self, ctx: StepContext) -> PolicyColumns:
-        return self.build(ctx)
+    def phases(self, ctx: StepContext) -> Phases:
+        return self.schedule(ctx)
 
 
 POLICY_REGISTRY: dict[str, Policy] = {
-    "immediate_charge": Policy("immediate_charge", POLICY_DESCRIPTIONS["immediate_charge"], _immediate),
-    "uniform_spread": Policy("uniform_spread", POLICY_DESCRIPTIONS["uniform_spread"], _uniform),
-    "randomized_delay": Policy("randomized_delay", POLICY_DESCRIPTIONS["randomized_delay"], _randomized_delay),
+    "immediate_charge": Policy("immediate_charge", POLICY_DESCRIPTIONS["immediate_charge"], _immediate_phases),
+    "uniform_spread": Policy("uniform_spread", POLICY_DESCRIPTIONS["uniform_spread"], _uniform_phases,
+                             flat_rate=True),
+    "randomized_delay": Policy("randomized_delay", POLICY_DESCRIPTIONS["randomized_delay"],
+                               _randomized_delay_phases),
 }
 
 

@@ -22,7 +22,7 @@ from chargeload.operators.grid import (
     time_grid,
     with_step_range,
 )
-from chargeload.operators.policies import DEFAULT_SEED, Policy, PolicyColumns, StepContext, get_policy
+from chargeload.operators.policies import DEFAULT_SEED, Policy, StepContext, get_policy
 
 # Fallbacks when a session lacks a max rate or any energy figure.
 DEFAULT_MAX_RATE_KW = 7.2
@@ -105,26 +105,48 @@ class LoadProfile:
     def sessions_count(self) -> DataFrame:
         return self.ranged.agg(F.count(F.lit(1)).alias("sessions_count"))
 
+    def phased(self) -> DataFrame:
+        """``ranged`` plus the policy's per-session schedule (_a offset, _q step energy,
+        _flat flat rate or NULL). Computed once per session, before any expansion, so
+        hashing and divisions are not repeated for every step row."""
+        ph = self.policy.phases(_context(self.seed, self.interval_minutes))
+        flat = ph.flat_rate if ph.flat_rate is not None else F.lit(None).cast("double")
+        return self.ranged.select("*", ph.offset.cast("long").alias("_a"), ph.step_energy.alias("_q"),
+                                  flat.alias("_flat"))
+
     def session_totals(self) -> DataFrame:
         """Per valid session: steps plugged in and energy delivered over them (closed form)."""
-        cols: PolicyColumns = self.policy.columns(_context(self.seed, self.interval_minutes))
-        return self.ranged.select(
+        E, q = F.col("energy_target_kwh"), F.col("_q")
+        charging_steps = F.greatest(F.lit(0).cast("long"), F.col("n_session_steps") - F.col("_a"))
+        total = F.greatest(F.lit(0.0), F.least(E, charging_steps * q))
+        return self.phased().select(
             "session_id", "station_id", "energy_requested_kwh", "energy_target_kwh", "n_session_steps",
-            cols.session_total(F.col("n_session_steps")).alias("delivered_kwh"),
-        )
+            total.alias("delivered_kwh"))
 
     def steps(self) -> DataFrame:
-        """One row per (session, step): station, step, timestamp, rate, energy, state."""
-        expanded = expand_steps(self.ranged, self.interval_minutes, self.chunk_steps, self.spread)
-        cols = self.policy.columns(_context(self.seed, self.interval_minutes, F.col("step_index")))
+        """One row per (session, step): station, step, timestamp, rate, energy, state.
+
+        With j the session-local step, a the start offset and q the step energy:
+        energy = max(0, min(q, E − (j−a)·q)) from j = a on; rate = energy / h, or the flat
+        rate while energy remains; delivered before = min(E, (j−a)·q)."""
+        expanded = expand_steps(self.phased(), self.interval_minutes, self.chunk_steps, self.spread)
+        h = F.lit(interval_hours(self.interval_minutes))
+        E, q, a = F.col("energy_target_kwh"), F.col("_q"), F.col("_a")
+        i = F.col("step_index") - F.col("k0") - a              # steps since charging began
+        left = E - i * q
+        energy = F.when(i >= 0, F.greatest(F.lit(0.0), F.least(q, left))).otherwise(F.lit(0.0))
+        rate = F.when(F.col("_flat").isNotNull(),
+                      F.when((i >= 0) & (left > 0), F.col("_flat")).otherwise(F.lit(0.0))) \
+                .otherwise(energy / h)
+        before = F.when(i > 0, F.greatest(F.lit(0.0), F.least(E, i * q))).otherwise(F.lit(0.0))
         remaining_minutes = F.greatest(
             F.lit(0.0), (F.unix_micros("departure_ts") - F.unix_micros("timestamp")) / F.lit(1_000_000.0) / F.lit(60.0))
         return expanded.select(
             "session_id", "station_id", "step_index", "timestamp",
-            cols.rate.alias("charge_rate_kw"),
-            cols.energy.alias("energy_delivered_kwh"),
-            cols.delivered_before.alias("delivered_so_far_kwh"),
-            F.greatest(F.lit(0.0), F.col("energy_target_kwh") - cols.delivered_before).alias("remaining_energy_kwh"),
+            rate.alias("charge_rate_kw"),
+            energy.alias("energy_delivered_kwh"),
+            before.alias("delivered_so_far_kwh"),
+            F.greatest(F.lit(0.0), E - before).alias("remaining_energy_kwh"),
             remaining_minutes.alias("remaining_minutes"),
         )
 

@@ -24,34 +24,49 @@ def _err(field: str, message: str) -> Column:
     return F.struct(F.lit(field).alias("field"), F.lit(message).alias("error"))
 
 
-def error_list(columns: list[str] | None = None) -> Column:
-    """The ordered error list of one row: arrival, departure, order, duration, then the
-    non-negative fields. Fields absent from ``columns`` are treated as NULL (no error)."""
+def _rules(columns: list[str] | None) -> list[tuple[Column, str, str]]:
+    """(condition, field, message) in the order errors are listed. A rule fires when its
+    condition is TRUE (NULL does not fire). Absent optional fields never fire."""
     present = set(columns) if columns is not None else None
 
     def has(c: str) -> bool:
         return present is None or c in present
 
     arr, dep = F.col("arrival_ts"), F.col("departure_ts")
-    checks = [
-        F.when(arr.isNull(), _err("arrival_ts", MISSING_TIMESTAMP)),
-        F.when(dep.isNull(), _err("departure_ts", MISSING_TIMESTAMP)),
-        F.when(dep <= arr, _err("departure_ts", ORDER)),
+    dur = F.col("session_duration_minutes") if has("session_duration_minutes") else F.lit(None).cast("int")
+    rules = [
+        (arr.isNull(), "arrival_ts", MISSING_TIMESTAMP),
+        (dep.isNull(), "departure_ts", MISSING_TIMESTAMP),
+        (dep <= arr, "departure_ts", ORDER),
+        (dur.isNull() | (dur <= 0), "session_duration_minutes", POSITIVE),
     ]
-    dur = F.col("session_duration_minutes") if has("session_duration_minutes") else F.lit(None)
-    checks.append(F.when(dur.isNull() | (dur <= 0), _err("session_duration_minutes", POSITIVE)))
-    for name in NON_NEGATIVE_FIELDS:
-        if has(name):
-            checks.append(F.when(F.col(name) < 0, _err(name, NOT_NEGATIVE)))
-    return F.array_compact(F.array(*checks))
+    rules += [(F.col(n) < 0, n, NOT_NEGATIVE) for n in NON_NEGATIVE_FIELDS if has(n)]
+    return rules
+
+
+def error_list(columns: list[str] | None = None) -> Column:
+    """The ordered error list of one row: arrival, departure, order, duration, then the
+    non-negative fields. Fields absent from ``columns`` are treated as NULL (no error)."""
+    return F.array_compact(F.array(*[F.when(c, _err(f, m)) for c, f, m in _rules(columns)]))
+
+
+def is_valid_expr(columns: list[str] | None = None) -> Column:
+    """The verdict as a plain predicate (no error array is built to filter on it)."""
+    ok = F.lit(True)
+    for cond, _f, _m in _rules(columns):
+        ok = ok & ~F.coalesce(cond, F.lit(False))
+    return ok
 
 
 def validate(sessions: DataFrame) -> DataFrame:
-    """Set ``is_valid`` and ``validation_errors`` on every row; other columns untouched."""
-    errors = error_list(sessions.columns)
+    """Set ``is_valid`` and ``validation_errors`` on every row; other columns untouched.
+
+    Both are independent projections: a consumer filtering on ``is_valid`` evaluates a
+    boolean predicate only, and the error list is pruned away unless it is read."""
+    cols = sessions.columns
     return (sessions
-            .withColumn("validation_errors", errors)
-            .withColumn("is_valid", F.size("validation_errors") == 0))
+            .withColumn("validation_errors", error_list(cols))
+            .withColumn("is_valid", is_valid_expr(cols)))
 
 
 def errors_text(errors: Column | str = "validation_errors") -> Column:

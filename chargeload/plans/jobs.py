@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
-from chargeload.operators.curves import load_timeseries
+from chargeload.operators.changepoints import profile_load_timeseries
 from chargeload.operators.metrics import baseline_metrics
 from chargeload.operators.policies import DEFAULT_SEED, get_policy
 from chargeload.operators.profile import load_profile
@@ -56,7 +56,8 @@ def ingest(spark: SparkSession, dataset: str, path: str, root: str) -> dict:
 
 
 def analyze(spark: SparkSession, root: str, dataset: str, policy: str = "immediate_charge",
-            interval_minutes: int = 5, scenario_name: str = "default", seed: int = DEFAULT_SEED) -> str:
+            interval_minutes: int = 5, scenario_name: str = "default", seed: int = DEFAULT_SEED,
+            strategy: str = "auto") -> str:
     """Load analysis of one stored dataset; persists LOAD rows and the RUN row.
 
     The expansion runs once: load rows are written first, and the KPIs then read the
@@ -67,7 +68,8 @@ def analyze(spark: SparkSession, root: str, dataset: str, policy: str = "immedia
         raise LookupError(f"No sessions found for dataset '{dataset}'")
     profile = load_profile(sessions, policy, interval_minutes, seed)
     run_id = uuid.uuid4().hex
-    store.write_load(load_timeseries(profile.steps()).withColumn("run_id", F.lit(run_id)), root)
+    load = profile_load_timeseries(profile, strategy)
+    store.write_load(load.withColumn("run_id", F.lit(run_id)), root)
     fleet = (store.get_load(spark, root, run_id).where(F.col("level") == "fleet")
              .select("timestamp", F.col("load_kw").alias("total_load_kw"),
                      F.col("energy_kwh").alias("total_energy_kwh"), "active_sessions"))

@@ -190,6 +190,19 @@ def q_load_timeseries(spark, sf_dir):
                     round6("energy_kwh").alias("energy_kwh"), "active_sessions")
 
 
+@query("load_curve_changepoints", O.with_loop("uniform_spread", 15,
+    f"SELECT CASE WHEN grouping(station_id) = 1 THEN 'fleet' ELSE 'station' END AS level, ts AS timestamp, "
+    f"station_id, {O.r2('sum(rate)', 6)} AS load_kw, {O.r2('sum(energy)', 6)} AS energy_kwh, "
+    "count(*) AS active_sessions FROM loop GROUP BY GROUPING SETS ((ts), (ts, station_id))"))
+def q_load_curve_changepoints(spark, sf_dir):
+    """E3 by the change-point strategy (no per-step expansion of sessions)."""
+    from chargeload.operators.changepoints import profile_load_timeseries
+
+    t = profile_load_timeseries(_profile(spark, sf_dir, "uniform_spread", 15), "changepoints")
+    return t.select("level", "timestamp", "station_id", round6("load_kw").alias("load_kw"),
+                    round6("energy_kwh").alias("energy_kwh"), "active_sessions")
+
+
 @query("energy_per_session", O.with_loop("immediate_charge", STEP_MINUTES,
     "SELECT session_id, CAST(round(CAST(sum(energy) AS DECIMAL(28,9)), 6) AS DOUBLE) AS energy_kwh FROM loop GROUP BY session_id"))
 def q_energy_per_session(spark, sf_dir):
