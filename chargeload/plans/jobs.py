@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import Observation, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from chargeload.operators.changepoints import profile_load_timeseries
@@ -36,14 +36,12 @@ def ingest(spark: SparkSession, dataset: str, path: str, root: str) -> dict:
     row = {"run_id": uuid.uuid4().hex, "source_dataset": dataset, "source_path": path, "started_at": _now(),
            "completed_at": None, "status": "running", "records_seen": 0, "records_inserted": 0,
            "records_invalid": 0, "notes": None}
-    counters = Observation("ingest_counters")
+    stats: dict = {}
     try:
         sessions = source.load(spark, path)
-        row["records_inserted"] = store.insert_new_sessions(spark, sessions, root, datasets=[dataset],
-                                                            counters=counters)
-        m = counters.get
-        row["records_seen"] = int(m.get("records_seen", 0))
-        row["records_invalid"] = int(m.get("records_invalid", 0))
+        row["records_inserted"] = store.insert_new_sessions(spark, sessions, root, datasets=[dataset], stats=stats)
+        row["records_seen"] = stats.get("records_seen", 0)
+        row["records_invalid"] = stats.get("records_invalid", 0)
         row["status"] = "completed"
     except Exception as exc:
         row["status"] = "failed"

@@ -46,20 +46,28 @@ def read_sessions(spark: SparkSession, root: str, dataset: str | None = None,
     return df.select(*(columns or SESSION_COLUMNS))
 
 
+def _first_per_session(incoming: DataFrame, order_cols: list[str]) -> DataFrame:
+    cols = [c for c in SESSION_COLUMNS if c != "session_id"]
+    order = F.struct(*[F.col(c) for c in order_cols]) if order_cols else F.lit(0)
+    return incoming.groupBy("session_id").agg(
+        F.min_by(F.struct(*cols), order).alias("_r"),
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(~F.col("is_valid")).alias("_bad"),
+    )
+
+
 def first_per_session(incoming: DataFrame, order_cols: list[str]) -> DataFrame:
     """One row per session_id: the first in ``order_cols`` order (first writer wins).
 
-    A hash aggregation with partial aggregation, so a session_id repeated millions of
-    times is collapsed map-side instead of landing whole in one task."""
-    cols = [c for c in SESSION_COLUMNS if c != "session_id"]
-    order = F.struct(*[F.col(c) for c in order_cols]) if order_cols else F.lit(0)
-    picked = incoming.groupBy("session_id").agg(F.min_by(F.struct(*cols), order).alias("_r"))
-    return picked.select("session_id", "_r.*").select(*SESSION_COLUMNS)
+    An aggregation with partial (map-side) aggregation, so a session_id repeated
+    millions of times is collapsed before the shuffle instead of landing whole in one
+    task."""
+    return _first_per_session(incoming, order_cols).select("session_id", "_r.*").select(*SESSION_COLUMNS)
 
 
 def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
                         order_cols: list[str] | None = None, datasets: list[str] | None = None,
-                        counters: Observation | None = None) -> int:
+                        stats: dict | None = None) -> int:
     """Insert sessions whose id is not stored yet; return how many were inserted.
 
     ``incoming`` holds SESSION columns (+ the ``order_cols`` deciding the first of
@@ -67,15 +75,22 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
     lineage cut that survives executor loss), then anti-joined against stored ids and
     appended in one write job. ``datasets`` restricts the id check to those store
     partitions (valid when ids carry their dataset prefix, as every built-in source's do).
-    ``counters`` (if given) is attached to the raw batch and filled by the staging job.
+
+    ``stats`` (if given) receives ``records_seen`` / ``records_invalid`` of the raw batch.
+    They are summed from per-id counts kept in the staged table, so a stage re-run after
+    an executor loss cannot count a row twice.
     """
     if order_cols is None:
         order_cols = [c for c in ("_file", "_row") if c in incoming.columns]
-    batch = incoming.observe(counters, F.count(F.lit(1)).alias("records_seen"),
-                             F.count_if(~F.col("is_valid")).alias("records_invalid")) if counters else incoming
     stage = scratch_path(spark, "stage-sessions")
-    first_per_session(batch, order_cols).write.parquet(stage)
-    staged = spark.read.parquet(stage)
+    (_first_per_session(incoming, order_cols)
+     .select("session_id", "_r.*", "_n", "_bad").write.parquet(stage))
+    staged_all = spark.read.parquet(stage)
+    if stats is not None:
+        c = staged_all.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("seen"),
+                           F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")).first()
+        stats["records_seen"], stats["records_invalid"] = int(c["seen"]), int(c["bad"])
+    staged = staged_all.select(*SESSION_COLUMNS)
 
     target = _sessions_dir(root)
     if path_exists(spark, target):
@@ -89,6 +104,7 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
         new = staged.join(existing, "session_id", "left_anti")
     else:
         new = staged
+    # Observed in the final (result) stage of the write: applied once per task.
     inserted = Observation("inserted")
     (new.observe(inserted, F.count(F.lit(1)).alias("n"))
         .write.mode("append").partitionBy("source_dataset").parquet(target))

@@ -35,9 +35,11 @@ def read_json_records(spark: SparkSession, path: str, layout: str = "auto") -> D
     if layout == "auto":
         layout = sniff_json_layout(spark, path)
     if layout == "lines":
-        raw = spark.read.option("singleVariantColumn", "record").json(path)
-        raw = raw.where(F.col("record").isNotNull())
-        return with_row_ordinal(raw).select("record", "_file", "_row")
+        # Lines are read as text (splittable, no JSON work for the ordinal's count pass)
+        # and each non-blank line is parsed once into a VARIANT.
+        lines = with_row_ordinal(spark.read.text(path))
+        recs = lines.where(F.trim("value") != "").select(F.try_parse_json("value").alias("record"), "_file", "_row")
+        return recs.where(F.col("record").isNotNull())
     # An array file is one value; it is read by one task per file (the format cannot be
     # split). posexplode gives each element its position in the file.
     raw = spark.read.option("multiLine", True).option("singleVariantColumn", "doc").json(path)

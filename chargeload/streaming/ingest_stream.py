@@ -15,7 +15,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chargeload.config import scratch_path
@@ -55,15 +55,14 @@ def ingest_stream(spark: SparkSession, dataset: str, source_dir: str, root: str,
                "source_path": f"{source_dir}#batch-{epoch_id}", "started_at": dt.datetime.now(dt.timezone.utc),
                "completed_at": None, "status": "running", "records_seen": 0, "records_inserted": 0,
                "records_invalid": 0, "notes": None}
-        counters = Observation(f"stream_counters_{epoch_id}_{uuid.uuid4().hex[:6]}")
+        stats: dict = {}
         try:
             records = with_row_ordinal(batch)
             sessions = source.from_records(records)
             row["records_inserted"] = store.insert_new_sessions(batch.sparkSession, sessions, root,
-                                                                datasets=[dataset], counters=counters)
-            m = counters.get
-            row["records_seen"] = int(m.get("records_seen", 0))
-            row["records_invalid"] = int(m.get("records_invalid", 0))
+                                                                datasets=[dataset], stats=stats)
+            row["records_seen"] = stats.get("records_seen", 0)
+            row["records_invalid"] = stats.get("records_invalid", 0)
             row["status"] = "completed"
         except Exception as exc:
             row["status"] = "failed"
