@@ -15,7 +15,14 @@ from chargeload.functions.timestamps import duration_minutes
 from chargeload.operators.quality import validate
 
 
+def ensure_utc(spark: SparkSession) -> None:
+    """The library's timestamp semantics (and result rendering) assume a UTC session."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_utc(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -76,13 +76,14 @@ def q_parse_multi_format_datetime(spark, sf_dir):
 @query("parse_hms_minutes", O.with_sessions(f"""
 , tx AS (SELECT event_id, {O.charging_text()} AS text FROM raw),
 sp AS (SELECT event_id, text, {O.hms_parts('text')} FROM tx)
-SELECT event_id, text, {O.HMS_MINUTES} AS minutes FROM sp"""))
+SELECT event_id, text, CAST({O.HMS_MINUTES} AS DOUBLE) AS minutes FROM sp"""))
 def q_parse_hms_minutes(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     eid = F.col("event_id")
     minutes = F.when(eid % 50 == 0, F.lit(0)).otherwise(20 + eid % 220)
     df = ev.select("event_id", fixtures.charging_time_text(minutes, eid).alias("text"))
-    return df.withColumn("minutes", hms_minutes("text"))
+    # nullable integers are reported as doubles so both engines hand over the same type
+    return df.withColumn("minutes", hms_minutes("text").cast("double"))
 
 
 def _number_text_sql() -> str:
@@ -130,13 +131,25 @@ def q_read_json_sessions(spark, sf_dir):
 
 JSON_COLS = ("session_id, source_record_id, station_id, port_id, vehicle_id, arrival_ts, departure_ts, "
              "energy_requested_kwh, energy_delivered_kwh, max_charge_rate_kw, session_duration_minutes, "
-             "charging_duration_minutes, is_valid")
+             "charging_minutes, is_valid")
+# charging_duration_minutes is a nullable integer: reported as a double on both sides so
+# both engines hand over the same type.
+CHARGING_SQL = "CAST(charging_duration_minutes AS DOUBLE) AS charging_minutes"
 
 
-@query("normalize_json_sessions", O.with_files(f"SELECT {JSON_COLS} FROM jv", O.JSON_CTE))
+def _charging(df):
+    return df.withColumn("charging_minutes", F.col("charging_duration_minutes").cast("double"))
+
+
+def _cols(names: str) -> list[str]:
+    return [c.strip() for c in names.split(",")]
+
+
+@query("normalize_json_sessions", O.with_files(
+    f"SELECT {JSON_COLS.replace('charging_minutes', CHARGING_SQL)} FROM jv", O.JSON_CTE))
 def q_normalize_json_sessions(spark, sf_dir):
-    df = get_loader("acn").load(spark, fixtures.write_json_sessions(spark, sf_dir))
-    return df.select(*[c.strip() for c in JSON_COLS.split(",")])
+    df = _charging(get_loader("acn").load(spark, fixtures.write_json_sessions(spark, sf_dir)))
+    return df.select(*_cols(JSON_COLS))
 
 
 # --- A2 / B2 / B3 / C9: CSV session files ---------------------------------------------------
@@ -156,25 +169,25 @@ def q_row_ordinal(spark, sf_dir):
 
 
 CSV_COLS = ("bucket, source_record_id, station_id, port_id, arrival_ts, departure_ts, energy_delivered_kwh, "
-            "charging_duration_minutes, session_duration_minutes, is_valid")
+            "charging_minutes, session_duration_minutes, is_valid")
 
 
-@query("normalize_csv_sessions", O.with_files(f"SELECT {CSV_COLS} FROM cv", O.CSV_CTE))
+@query("normalize_csv_sessions", O.with_files(
+    f"SELECT {CSV_COLS.replace('charging_minutes', CHARGING_SQL)} FROM cv", O.CSV_CTE))
 def q_normalize_csv_sessions(spark, sf_dir):
-    df = get_loader("urbanev").load(spark, fixtures.write_csv_sessions(spark, sf_dir))
+    df = _charging(get_loader("urbanev").load(spark, fixtures.write_csv_sessions(spark, sf_dir)))
     df = df.withColumn("bucket", F.regexp_extract("_file", r"bucket=(\d+)", 1).cast("int"))
-    return df.select(*[c.strip() for c in CSV_COLS.split(",")])
+    return df.select(*_cols(CSV_COLS))
 
 
 @query("resolve_aliases", O.with_files(
-    "SELECT bucket, evse AS station_id, port_id, arrival_ts, energy_delivered_kwh, charging_duration_minutes "
+    f"SELECT bucket, evse AS station_id, port_id, arrival_ts, energy_delivered_kwh, {CHARGING_SQL} "
     "FROM cv", O.CSV_CTE))
 def q_resolve_aliases(spark, sf_dir):
     recs = read_csv_records(spark, fixtures.write_csv_sessions(spark, sf_dir, alias_headers=True))
-    df = normalize_csv_sessions(recs, "urbanev")
+    df = _charging(normalize_csv_sessions(recs, "urbanev"))
     df = df.withColumn("bucket", F.regexp_extract("_file", r"bucket=(\d+)", 1).cast("int"))
-    return df.select("bucket", "station_id", "port_id", "arrival_ts", "energy_delivered_kwh",
-                     "charging_duration_minutes")
+    return df.select("bucket", "station_id", "port_id", "arrival_ts", "energy_delivered_kwh", "charging_minutes")
 
 
 # --- A7 / A8 / B9 / E11 / H2: session store ----------------------------------------------
