@@ -28,21 +28,29 @@ def sniff_json_layout(spark: SparkSession, path: str) -> str:
     return "lines"
 
 
-def read_json_records(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
-    """One row per JSON record: ``record`` (VARIANT), ``_file``, ``_row``."""
+def read_json_records(spark: SparkSession, path: str, layout: str = "auto", on_malformed: str = "fail") -> DataFrame:
+    """One row per JSON record: ``record`` (VARIANT), ``_file``, ``_row``.
+
+    ``on_malformed='fail'`` makes the job fail on text that is not JSON (the whole
+    ingest is then recorded as failed); ``'skip'`` drops such records."""
     if layout not in JSON_LAYOUTS:
         raise ValueError(f"layout must be one of {JSON_LAYOUTS}")
+    if on_malformed not in ("fail", "skip"):
+        raise ValueError("on_malformed must be 'fail' or 'skip'")
     if layout == "auto":
         layout = sniff_json_layout(spark, path)
     if layout == "lines":
         # Lines are read as text (splittable, no JSON work for the ordinal's count pass)
         # and each non-blank line is parsed once into a VARIANT.
         lines = with_row_ordinal(spark.read.text(path))
-        recs = lines.where(F.trim("value") != "").select(F.try_parse_json("value").alias("record"), "_file", "_row")
+        parse = F.parse_json if on_malformed == "fail" else F.try_parse_json
+        recs = lines.where(F.trim("value") != "").select(parse("value").alias("record"), "_file", "_row")
         return recs.where(F.col("record").isNotNull())
     # An array file is one value; it is read by one task per file (the format cannot be
     # split). posexplode gives each element its position in the file.
-    raw = spark.read.option("multiLine", True).option("singleVariantColumn", "doc").json(path)
+    mode = "FAILFAST" if on_malformed == "fail" else "PERMISSIVE"
+    raw = (spark.read.option("multiLine", True).option("mode", mode)
+           .option("singleVariantColumn", "doc").json(path))
     raw = raw.select(F.col("_metadata.file_path").alias("_file"),
                      F.posexplode(F.expr("try_cast(doc AS ARRAY<VARIANT>)")).alias("_row", "record"))
     return raw.select("record", "_file", F.col("_row").cast("long").alias("_row"))

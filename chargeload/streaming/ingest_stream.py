@@ -30,7 +30,7 @@ def _stream_records(spark: SparkSession, kind: str, source_dir: str, max_files:
         reader = reader.option("maxFilesPerTrigger", int(max_files))
     if kind == "json":
         raw = reader.format("text").load(source_dir)
-        raw = raw.where(F.trim("value") != "").select(F.try_parse_json("value").alias("record"), "_metadata")
+        raw = raw.where(F.trim("value") != "").select(F.parse_json("value").alias("record"), "_metadata")
     elif kind == "csv":
         header = spark.read.option("header", True).csv(source_dir).schema  # header only, all strings
         raw = reader.format("csv").option("header", True).schema(header).load(source_dir)

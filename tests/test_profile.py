@@ -172,3 +172,31 @@ def test_policy_registry(spark):
                                          "uniform_spread"):
         get_policy("x")
     assert policies_frame(spark).count() == 3
+
+
+def test_analyze_job_and_run_lookup(spark, tmp_path):
+    from chargeload.plans.jobs import analyze
+    from chargeload.sinks import store
+
+    root = str(tmp_path)
+    s = three_sessions(spark).withColumn("source_dataset", F.lit("t"))
+    from chargeload.operators.quality import validate
+    full = validate(s.withColumn("source_record_id", F.col("session_id")).withColumn("port_id", F.lit(None).cast("string"))
+                    .withColumn("vehicle_id", F.lit(None).cast("string"))
+                    .withColumn("average_charge_rate_kw", F.lit(None).cast("double"))
+                    .withColumn("charging_duration_minutes", F.lit(None).cast("int"))
+                    .withColumn("raw_payload", F.lit("{}")))
+    store.insert_new_sessions(spark, full, root, order_cols=["session_id"])
+    with pytest.raises(ValueError, match="Unknown policy"):
+        analyze(spark, root, "t", policy="nope")
+    with pytest.raises(LookupError, match="No sessions found"):
+        analyze(spark, root, "other")
+    for strategy in ("explode", "changepoints"):
+        run_id = analyze(spark, root, "t", "immediate_charge", 15, strategy=strategy)
+        kpi, fleet, stations = store.run_results(spark, root, run_id)
+        k = kpi.first()
+        assert (k["sessions_count"], k["interval_minutes"], k["policy_name"]) == (3, 15, "immediate_charge")
+        assert fleet.count() == 36 and k["peak_load_kw"] == pytest.approx(20.4)
+        assert {r["station_id"] for r in stations.collect()} == {"st1", "st2"}
+    with pytest.raises(LookupError, match="not found"):
+        store.run_results(spark, root, "missing")

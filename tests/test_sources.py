@@ -188,3 +188,36 @@ def test_stream_ingest_picks_up_only_new_files(spark, folder):
     runs = ingest_stream(spark, "acn", src, root, checkpoint=ckpt)
     assert sum(r["records_seen"] for r in runs) == 4 and sum(r["records_inserted"] for r in runs) == 2
     assert store.count_by_source(spark, root).first()["sessions"] == 4
+
+
+def test_malformed_json_fails_the_run_and_is_recorded(spark, folder):
+    root = os.path.join(folder, "store")
+    path = write(folder, "bad.json", json.dumps(JSON_RECORDS[0]) + "\n{not json\n")
+    with pytest.raises(Exception):
+        ingest(spark, "acn", path, root)
+    runs = store.read_ingest_runs(spark, root).collect()
+    assert len(runs) == 1 and runs[0]["status"] == "failed" and runs[0]["notes"]
+    assert store.count_by_source(spark, root).count() == 0          # nothing half-written
+    skipped = read_json_records(spark, path, on_malformed="skip").count()
+    assert skipped == 1
+
+
+def test_loader_contract_is_checked(spark, folder):
+    from chargeload.sources.registry import SessionSource, register_loader
+
+    register_loader(SessionSource("broken", lambda s, p: s.read.text(p), lambda df: df.select("value")))
+    path = write(folder, "x.txt", "hello\n")
+    with pytest.raises(ValueError, match="lack required columns"):
+        get_loader("broken").load(spark, path)
+
+
+def test_csv_stream_ingest(spark, folder):
+    from chargeload.streaming.ingest_stream import ingest_stream
+
+    src = os.path.join(folder, "csv_in")
+    os.makedirs(src)
+    write(src, "a.csv", CSV_TEXT)
+    runs = ingest_stream(spark, "urbanev", src, os.path.join(folder, "store"),
+                         checkpoint=os.path.join(folder, "ck"))
+    assert sum(r["records_seen"] for r in runs) == 5
+    assert sum(r["records_inserted"] for r in runs) == 5 and sum(r["records_invalid"] for r in runs) == 2
