@@ -123,13 +123,20 @@ def station_load_curves(profile: LoadProfile) -> DataFrame:
 # below it, the decimal bookkeeping and the extra window stage cost more than the
 # rows the expansion would add.
 CHANGEPOINT_MIN_STEPS = 32
+# One session longer than this would be a straggler of the explode path (it is expanded
+# by the task that reads it); under change points it costs 8 events like any other.
+CHANGEPOINT_MAX_SESSION_STEPS = 50_000
 
 
 def choose_strategy(profile: LoadProfile) -> str:
-    """'changepoints' when sessions are long in steps (one cheap aggregate decides)."""
-    r = profile.ranged.agg(F.avg("n_session_steps").alias("a")).first()
+    """'changepoints' when sessions are long in steps on average, or any one session is
+    extremely long; else 'explode'. One cheap aggregate over the sessions decides."""
+    r = profile.ranged.agg(F.avg("n_session_steps").alias("a"), F.max("n_session_steps").alias("m")).first()
     avg = r["a"] if r is not None and r["a"] is not None else 0.0
-    return "changepoints" if avg > CHANGEPOINT_MIN_STEPS else "explode"
+    longest = r["m"] if r is not None and r["m"] is not None else 0
+    if avg > CHANGEPOINT_MIN_STEPS or longest > CHANGEPOINT_MAX_SESSION_STEPS:
+        return "changepoints"
+    return "explode"
 
 
 def profile_load_timeseries(profile: LoadProfile, strategy: str = "auto") -> DataFrame:

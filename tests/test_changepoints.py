@@ -37,3 +37,7 @@ def test_strategy_choice(spark):
     assert changepoints.choose_strategy(p) == "changepoints"
     with pytest.raises(ValueError):
         changepoints.profile_load_timeseries(p, "nope")
+    # one session of ~10 years at 5-minute steps: a straggler for the explode path
+    rows = short + [("long", "st9", dt.datetime(2020, 1, 1), dt.datetime(2030, 1, 1), 50.0, None, 7.2, 0, True)]
+    p = load_profile(spark.createDataFrame(rows, SCHEMA), "immediate_charge", 5)
+    assert changepoints.choose_strategy(p) == "changepoints"

@@ -6,7 +6,8 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 ANALYSIS = ["validate_sessions", "session_steps", "policy_immediate", "policy_uniform", "policy_randomized_delay",
-            "fleet_load_curve", "station_load_curves", "load_timeseries", "baseline_metrics", "zero_filled_load",
+            "fleet_load_curve", "station_load_curves", "load_timeseries", "load_curve_changepoints",
+            "baseline_metrics", "zero_filled_load",
             "parse_local_timestamp", "parse_multi_format_datetime", "parse_hms_minutes", "safe_double"]
 
 
