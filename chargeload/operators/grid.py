@@ -9,8 +9,9 @@ integer range computed arithmetically:
 That replaces the reference's per-step rescan of all sessions (a theta join) with a
 generator. The range is exploded in two levels — chunks of ``chunk_steps`` first, then
 steps inside a chunk — so no row ever builds an array longer than
-``max(chunk_steps, steps/chunk_steps)`` and a very long session is spread over many
-tasks instead of being expanded by one.
+``max(chunk_steps, steps/chunk_steps)``. With ``spread`` the chunk rows are
+hash-distributed before the inner explode, so a long session is expanded by many tasks
+(the change-point strategy avoids expanding sessions at all).
 """
 
 from __future__ import annotations
@@ -74,8 +75,10 @@ def time_grid(bounds: DataFrame, interval_minutes: int = DEFAULT_INTERVAL_MINUTE
               chunk_steps: int = DEFAULT_CHUNK_STEPS, spread: int | None = None) -> DataFrame:
     """GRID rows (timestamp, step_index, interval_hours) from a one-row bounds frame.
 
-    Start and end are inclusive: start, start+Δ, … ≤ end."""
+    Start and end are inclusive: start, start+Δ, … ≤ end. The chunk rows are always
+    spread over the cluster, so a long grid is not generated by one task."""
     d = interval_micros(interval_minutes)
+    spread = spread or bounds.sparkSession.sparkContext.defaultParallelism
     b = bounds.where(F.col("n_steps").isNotNull()).select("start_us", "n_steps")
     g = _chunked_range(F.lit(0).cast("long"), F.col("n_steps") - 1, chunk_steps, "step_index", spread, b,
                        ["start_us"])

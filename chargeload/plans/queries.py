@@ -13,7 +13,6 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chargeload.functions.numbers import round6, round_half_up
 from chargeload.operators import curves, metrics
@@ -28,7 +27,6 @@ ORACLES: dict[str, str] = {}
 
 STEP_MINUTES = 5
 ACTIVE_AT = "2024-01-15 12:00:00"
-LOOKUP_ID = "events-1234"
 
 
 def query(name: str, sql: str | None = None):

@@ -17,7 +17,7 @@ from chargeload.plans import fixtures
 from chargeload.plans import oracle as O
 from chargeload.plans.adapters import events_sessions, read_table
 from chargeload.plans.jobs import analyze, ingest
-from chargeload.plans.queries import ORACLES, QUERIES, query  # noqa: F401
+from chargeload.plans.queries import query
 from chargeload.sinks import store
 from chargeload.sources.csv_sessions import normalize_csv_sessions
 from chargeload.sources.readers import read_csv_records, read_json_records
@@ -27,6 +27,7 @@ from chargeload.streaming.ingest_stream import ingest_stream
 LOCAL_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 ZONES = ("America/Los_Angeles", "America/New_York", "Asia/Kolkata", "Europe/Berlin", "UTC", O.UNKNOWN_ZONE)
 SPLIT_AT = "2024-01-16 00:00:00"
+LOOKUP_ID = "events-1234"
 
 
 # --- C: scalar parsers over texts derived from events ----------------------------------
@@ -228,10 +229,10 @@ def q_sessions_by_dataset(spark, sf_dir):
 
 
 @query("session_lookup", O.with_sessions(
-    "SELECT session_id, station_id, arrival_ts, departure_ts, is_valid FROM checked WHERE session_id = 'events-1234'"))
+    f"SELECT session_id, station_id, arrival_ts, departure_ts, is_valid FROM checked WHERE session_id = '{LOOKUP_ID}'"))
 def q_session_lookup(spark, sf_dir):
     root = _events_store(spark, sf_dir)
-    return store.session_lookup(spark, root, "events-1234").select(
+    return store.session_lookup(spark, root, LOOKUP_ID).select(
         "session_id", "station_id", "arrival_ts", "departure_ts", "is_valid")
 
 

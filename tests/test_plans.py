@@ -46,8 +46,6 @@ def test_store_scan_prunes_partitions_and_columns(spark, tmp_path):
 
 
 def test_expansion_is_partially_aggregated_before_shuffle(spark):
-    from pyspark.sql import functions as F  # noqa: F401
-
     text = plan(E.queries()["fleet_load_curve"](spark, SF))
     # a partial aggregation sits below the first exchange of the grouping keys
     assert "partial_sum" in text or "HashAggregate(keys=[timestamp" in text
