@@ -72,9 +72,10 @@ def _context(policy_seed: int, interval_minutes: int, step_index=None) -> StepCo
 
 
 def _auto_spread(df: DataFrame) -> int | None:
-    """Partitions to spread step chunks over, or None when the input is already wide."""
+    """Partitions to spread step chunks over (2 per core), or None when the input is
+    already wide."""
     sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism
+    want = 2 * sc.defaultParallelism
     try:
         have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - e.g. Spark Connect: just spread

@@ -8,8 +8,13 @@ position of a row in its file is
 
 The first term comes from a small per-block count table (one row per block, prefix-
 summed per file); the second from ``monotonically_increasing_id`` which is consecutive
-inside a partition, minus the block's smallest id. The data itself is never shuffled:
-only the block table is, and it is joined back by (file, block).
+inside a partition, minus the block's smallest id.
+
+The block table has one row per input split (≈ one per 128 MB of input). It is written
+once to the shared folder (a lineage cut), counted, and broadcast back when the count
+proves it small, so the data itself is never shuffled. Only past
+``MAX_BROADCAST_BLOCKS`` splits (tens of TB in one read) does it fall back to a
+shuffle join.
 """
 
 from __future__ import annotations
@@ -17,6 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chargeload.config import scratch_path
+
+MAX_BROADCAST_BLOCKS = 500_000
+
 
 def with_row_ordinal(df: DataFrame, name: str = "_row", file_col: str = "_file") -> DataFrame:
     """Add ``file_col`` (source file path) and ``name`` (0-based row position in it).
@@ -35,6 +44,12 @@ def with_row_ordinal(df: DataFrame, name: str = "_row", file_col: str = "_file")
     before = Window.partitionBy(file_col).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(file_col, "_block", "_first",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    spark = df.sparkSession
+    path = scratch_path(spark, "row-blocks")
+    blocks.write.parquet(path)
+    blocks = spark.read.parquet(path)
+    if blocks.count() <= MAX_BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
     return (tagged.join(blocks, [file_col, "_block"])
             .withColumn(name, F.col("_offset") + F.col("_mono") - F.col("_first"))
             .drop("_block", "_mono", "_first", "_offset"))

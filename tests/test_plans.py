@@ -55,3 +55,13 @@ def test_bounds_side_is_one_broadcast_row(spark):
     text = plan(E.queries()["session_steps"](spark, SF))
     assert "BroadcastNestedLoopJoin" in text or "BroadcastExchange" in text
     assert "SortMergeJoin" not in text
+
+
+def test_row_ordinal_never_shuffles_the_data(spark, tmp_path):
+    from chargeload.sources.readers import read_csv_records
+
+    path = tmp_path / "x.csv"
+    path.write_text("a,b\n" + "\n".join(f"{i},{i * 2}" for i in range(500)) + "\n")
+    text = plan(read_csv_records(spark, str(path)))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert "Exchange hashpartitioning" not in text
