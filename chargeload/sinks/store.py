@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from chargeload.config import scratch_path
 from chargeload.schemas import ANALYSIS_COLUMNS, INGEST_RUN, LOAD, RUN, SESSION_COLUMNS
 
+# Batches with at most this many distinct ids have their id column broadcast in the
+# stored-id check (≈ 40 bytes per id in the broadcast).
+MAX_BROADCAST_IDS = 2_000_000
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True when ``path`` exists on its file system (local, HDFS, object store)."""
@@ -86,21 +90,24 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
     (_first_per_session(incoming, order_cols)
      .select("session_id", "_r.*", "_n", "_bad").write.parquet(stage))
     staged_all = spark.read.parquet(stage)
+    c = staged_all.agg(F.count(F.lit(1)).alias("ids"), F.coalesce(F.sum("_n"), F.lit(0)).alias("seen"),
+                       F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")).first()
     if stats is not None:
-        c = staged_all.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("seen"),
-                           F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")).first()
         stats["records_seen"], stats["records_invalid"] = int(c["seen"]), int(c["bad"])
     staged = staged_all.select(*SESSION_COLUMNS)
+    batch_ids = staged.select("session_id")
+    if int(c["ids"]) <= MAX_BROADCAST_IDS:      # size proven by the count of the staged table
+        batch_ids = F.broadcast(batch_ids)
 
     target = _sessions_dir(root)
     if path_exists(spark, target):
         stored = spark.read.parquet(target)
         if datasets:
             stored = stored.where(F.col("source_dataset").isin(list(datasets)))
-        # Semi-join first: the stored id column is streamed against the (usually small)
-        # batch ids — AQE broadcasts those when small — and only the few matches meet
-        # the batch again in the anti join. The store is never shuffled for a small batch.
-        existing = stored.select("session_id").join(staged.select("session_id"), "session_id", "left_semi")
+        # Semi-join first: the stored id column is streamed against the batch ids
+        # (broadcast when the batch is small), and only the few matches meet the batch
+        # again in the anti join. The store is never shuffled for such a batch.
+        existing = stored.select("session_id").join(batch_ids, "session_id", "left_semi")
         new = staged.join(existing, "session_id", "left_anti")
     else:
         new = staged

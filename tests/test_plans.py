@@ -65,3 +65,29 @@ def test_row_ordinal_never_shuffles_the_data(spark, tmp_path):
     text = plan(read_csv_records(spark, str(path)))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
     assert "Exchange hashpartitioning" not in text
+
+
+def test_insert_streams_the_store_against_broadcast_batch_ids(spark, tmp_path):
+    from chargeload.plans.adapters import events_sessions
+    from chargeload.sinks import store
+
+    root = str(tmp_path)
+    s = events_sessions(spark, SF)
+    store.insert_new_sessions(spark, s, root, order_cols=["source_record_id"])
+    captured = []
+    orig = store.insert_new_sessions
+
+    import pyspark.sql.readwriter as rw
+    real_parquet = rw.DataFrameWriter.parquet
+
+    def spy(self, path, *a, **k):
+        if path.endswith("/sessions"):
+            captured.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return real_parquet(self, path, *a, **k)
+
+    rw.DataFrameWriter.parquet = spy
+    try:
+        assert orig(spark, s, root, order_cols=["source_record_id"]) == 0
+    finally:
+        rw.DataFrameWriter.parquet = real_parquet
+    assert captured and "BroadcastHashJoin" in captured[0] and "LeftSemi" in captured[0]
