@@ -40,14 +40,12 @@ POLICY_DESCRIPTIONS = {
 
 @dataclass(frozen=True)
 class StepContext:
-    """Column handles a policy may use. All are per (session, step) row."""
+    """Per-session column handles a policy's schedule may use."""
 
     target: Column          # E, kWh
     max_rate: Column        # r, kW
     h: float                # step length in hours
-    j: Column               # session-local step ordinal
-    first_step_us: Column   # t_{k0} in epoch micros
-    step_us: Column         # t_k in epoch micros
+    first_step_us: Column   # t_{k0} (first grid step the session is plugged in at), epoch micros
     arrival_us: Column
     departure_us: Column
     session_id: Column

@@ -55,17 +55,11 @@ def active_sessions_at(frame: DataFrame, ts) -> DataFrame:
     return frame.where((F.col("arrival_ts") <= t) & (F.col("departure_ts") > t))
 
 
-def _context(policy_seed: int, interval_minutes: int, step_index=None) -> StepContext:
+def _context(policy_seed: int, interval_minutes: int) -> StepContext:
     d = interval_micros(interval_minutes)
-    first = F.col("start_us") + F.col("k0") * F.lit(d)
-    if step_index is None:
-        j, step_us = F.lit(0).cast("long"), first
-    else:
-        j = step_index - F.col("k0")
-        step_us = F.col("start_us") + step_index * F.lit(d)
     return StepContext(
         target=F.col("energy_target_kwh"), max_rate=F.col("max_rate_kw"), h=interval_hours(interval_minutes),
-        j=j, first_step_us=first, step_us=step_us,
+        first_step_us=F.col("start_us") + F.col("k0") * F.lit(d),
         arrival_us=F.unix_micros("arrival_ts"), departure_us=F.unix_micros("departure_ts"),
         session_id=F.col("session_id"), seed=policy_seed,
     )
