@@ -3,9 +3,8 @@
 Expanding every session to one row per plugged-in step costs Σ(session length / Δ)
 rows. But under every policy a session's rate and energy per step are piecewise
 constant with at most three levels (nothing yet → full steps → one partial step →
-nothing), so a session is fully described by at most 8 delta events:
-
-    +1 / −1 plugged-in count at k0 / k1+1, and ±rate, ±energy where a level starts/ends
+nothing), so a session is fully described by the changes of its (rate, energy, count)
+level at no more than 6 steps (see :func:`change_events`).
 
 Per (station, step) the deltas are summed (hash aggregation with map-side combine, in
 exact decimal arithmetic so +x and −x cancel exactly), a running sum per station turns
@@ -29,44 +28,58 @@ from chargeload.operators.profile import LoadProfile
 DEC = "decimal(38,18)"
 
 
-def _event(k: Column, rate: Column, energy: Column, count: int, when: Column) -> Column:
-    return F.when(when, F.struct(k.cast("long").alias("k"), rate.cast(DEC).alias("dr"),
-                                 energy.cast(DEC).alias("de"), F.lit(count).alias("dc")))
-
-
-def _segment(lo: Column, hi: Column, end: Column, rate: Column, energy: Column) -> list[Column]:
-    """+level at max(lo) and −level at min(hi, end) when the clipped span is not empty."""
-    hi_c = F.least(hi, end)
-    live = (lo < hi_c) & ((rate != 0) | (energy != 0))
-    return [_event(lo, rate, energy, 0, live), _event(hi_c, -rate, -energy, 0, live)]
-
-
 def change_events(profile: LoadProfile) -> DataFrame:
-    """(station_id, k, dr, de, dc): delta events of every valid session with ≥ 1 step."""
-    h = F.lit(interval_hours(profile.interval_minutes))
+    """(station_id, k, dr, de, dc): per session, the change of its (rate, energy, count)
+    level at each step where that level can change.
+
+    A session's level function L(k) is known in closed form (plugged in on [k0, k1];
+    from step a = k0 + offset: ``full`` steps of energy q, then one step of the remainder,
+    then nothing; the rate is energy / h, or the flat rate on the first ``span`` steps).
+    It can only change at k0, a, a+full, a+full+1, a+span and k1+1, so each session
+    emits L(p) − L(p−1) at those (distinct, clipped) positions — at most 6 rows, zero
+    changes dropped. Differences are taken in exact decimals, so they telescope to 0."""
+    h = interval_hours(profile.interval_minutes)
     k0, k1 = F.col("k0"), F.col("k1")
-    end = k1 + 1
     n = k1 - k0 + 1
     E, q = F.col("energy_target_kwh"), F.col("_q")
     charging = (E > 0) & (q > 0)
     x = F.when(charging, E / q).otherwise(F.lit(0.0))
-    full = F.least(F.floor(x).cast("double"), n.cast("double")).cast("long")      # full steps
-    rem = F.when(charging, E - full.cast("double") * q).otherwise(F.lit(0.0))      # partial step
-    rem = F.when(rem > 0, rem).otherwise(F.lit(0.0))
-    a = k0 + F.col("_a")
-    zero = F.lit(0.0)
-    events = [_event(k0, zero, zero, 1, F.lit(True)), _event(end, zero, zero, -1, F.lit(True))]
-    if not profile.policy.flat_rate:
-        events += _segment(a, a + full, end, q / h, q)
-        events += _segment(a + full, a + full + 1, end, rem / h, rem)
-    else:
-        span = F.least(F.ceil(x).cast("double"), n.cast("double")).cast("long")
-        events += _segment(a, a + span, end, F.col("_flat"), zero)
-        events += _segment(a, a + full, end, zero, q)
-        events += _segment(a + full, a + full + 1, end, zero, rem)
+    full = F.least(F.floor(x).cast("double"), n.cast("double")).cast("long")         # full steps
+    rem = F.when(charging, E - full.cast("double") * q).otherwise(F.lit(0.0))         # last, partial
+    span = F.least(F.ceil(x).cast("double"), n.cast("double")).cast("long")          # flat-rate steps
+    flat = profile.policy.flat_rate
+
     live = profile.phased().where(F.col("k1") >= F.col("k0"))
-    return (live.select("station_id", F.explode(F.array_compact(F.array(*events))).alias("e"))
-            .select("station_id", "e.k", "e.dr", "e.de", "e.dc"))
+    if profile.spread:          # narrow input: spread sessions over the cores first
+        live = live.repartition(profile.spread, "session_id")
+    s = live.select("station_id", "k0", "k1", (F.col("k0") + F.col("_a")).alias("a"), full.alias("full"),
+                    F.when(rem > 0, rem).otherwise(F.lit(0.0)).alias("rem"), q.alias("q"),
+                    span.alias("span"), F.col("_flat").alias("flat"))
+
+    def level(k: Column) -> tuple[Column, Column, Column]:
+        inside = (k >= F.col("k0")) & (k <= F.col("k1"))
+        i = k - F.col("a")
+        energy = (F.when(inside & (i >= 0) & (i < F.col("full")), F.col("q"))
+                  .when(inside & (i == F.col("full")), F.col("rem")).otherwise(F.lit(0.0)))
+        if flat:
+            rate = F.when(inside & (i >= 0) & (i < F.col("span")), F.col("flat")).otherwise(F.lit(0.0))
+        else:
+            rate = energy / F.lit(h)
+        return F.when(inside, 1).otherwise(0), rate.cast(DEC), energy.cast(DEC)
+
+    def delta(p: Column) -> Column:
+        c1, r1, e1 = level(p)
+        c0, r0, e0 = level(p - 1)
+        return F.struct(p.alias("k"), (r1 - r0).alias("dr"), (e1 - e0).alias("de"), (c1 - c0).alias("dc"))
+
+    end = F.col("k1") + 1
+    a_ = F.col("a")
+    raw = [F.col("k0"), a_, a_ + F.col("full"), a_ + F.col("full") + 1, end]
+    if flat:
+        raw.append(a_ + F.col("span"))
+    positions = F.array_distinct(F.array(*[F.least(F.greatest(p, F.col("k0")), end) for p in raw]))
+    ev = s.select("station_id", F.explode(F.transform(positions, delta)).alias("e")).select("station_id", "e.*")
+    return ev.where((F.col("dc") != 0) | (F.col("dr") != 0) | (F.col("de") != 0))
 
 
 def station_levels(profile: LoadProfile) -> DataFrame:

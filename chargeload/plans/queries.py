@@ -188,15 +188,16 @@ def q_load_timeseries(spark, sf_dir):
                     round6("energy_kwh").alias("energy_kwh"), "active_sessions")
 
 
-@query("load_curve_changepoints", O.with_loop("uniform_spread", 15,
+@query("load_curve_changepoints", O.with_loop("uniform_spread", 1,
     f"SELECT CASE WHEN grouping(station_id) = 1 THEN 'fleet' ELSE 'station' END AS level, ts AS timestamp, "
     f"station_id, {O.r2('sum(rate)', 6)} AS load_kw, {O.r2('sum(energy)', 6)} AS energy_kwh, "
     "count(*) AS active_sessions FROM loop GROUP BY GROUPING SETS ((ts), (ts, station_id))"))
 def q_load_curve_changepoints(spark, sf_dir):
-    """E3 by the change-point strategy (no per-step expansion of sessions)."""
+    """E3 by the change-point strategy (no per-step expansion of sessions), on a 1-minute
+    grid where sessions span ~125 steps: the case the strategy is for."""
     from chargeload.operators.changepoints import profile_load_timeseries
 
-    t = profile_load_timeseries(_profile(spark, sf_dir, "uniform_spread", 15), "changepoints")
+    t = profile_load_timeseries(_profile(spark, sf_dir, "uniform_spread", 1), "changepoints")
     return t.select("level", "timestamp", "station_id", round6("load_kw").alias("load_kw"),
                     round6("energy_kwh").alias("energy_kwh"), "active_sessions")
 
