@@ -137,7 +137,7 @@ def station_load_curves(profile: LoadProfile) -> DataFrame:
 # rows the expansion would add.
 CHANGEPOINT_MIN_STEPS = 32
 # One session longer than this would be a straggler of the explode path (it is expanded
-# by the task that reads it); under change points it costs 8 events like any other.
+# by the task that reads it); under change points it costs at most 6 events like any other.
 CHANGEPOINT_MAX_SESSION_STEPS = 50_000
 
 
