@@ -46,9 +46,11 @@ def completion_rate(targets: DataFrame, delivered: DataFrame, threshold: float =
 
 
 def targets_of(sessions: DataFrame) -> DataFrame:
-    """Completion targets: requested energy > 0, from every given session (valid or not)."""
-    return sessions.where(F.col("energy_requested_kwh") > 0).select(
-        "session_id", F.col("energy_requested_kwh").alias("target_kwh"))
+    """Completion targets: requested energy > 0, from every given session (valid or not),
+    one per session id (a partial aggregation, so a repeated id collapses map-side)."""
+    return (sessions.where(F.col("energy_requested_kwh") > 0)
+            .select("session_id", F.col("energy_requested_kwh").alias("target_kwh"))
+            .dropDuplicates(["session_id"]))
 
 
 def load_kpis(fleet: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -83,11 +85,20 @@ def session_kpis(profile: LoadProfile, threshold: float = COMPLETION_THRESHOLD)
 
 
 def baseline_metrics(profile: LoadProfile, fleet: DataFrame | None = None,
-                     threshold: float = COMPLETION_THRESHOLD) -> DataFrame:
+                     threshold: float = COMPLETION_THRESHOLD, strategy: str = "explode") -> DataFrame:
     """The KPI row. Rounded like the reported figures: loads and energy to 2 decimals,
-    completion and load factor to 4. A run without any decision reports zeros."""
+    completion and load factor to 4. A run without any decision reports zeros.
+
+    ``fleet`` (timestamp, total_load_kw, …) may be given, e.g. read back from the load
+    store; otherwise it is computed by ``strategy`` ('explode', 'changepoints', 'auto')."""
     if fleet is None:
-        fleet = fleet_load_curve(profile.steps(), sort=False)
+        if strategy == "explode":
+            fleet = fleet_load_curve(profile.steps(), sort=False)
+        else:
+            from chargeload.operators.changepoints import profile_load_timeseries
+
+            t = profile_load_timeseries(profile, strategy).where(F.col("level") == "fleet")
+            fleet = t.select("timestamp", F.col("load_kw").alias("total_load_kw"), "active_sessions")
     lk = load_kpis(fleet, profile.bounds).drop("decisions")
     sk = session_kpis(profile, threshold)
     k = sk.crossJoin(lk)

@@ -200,3 +200,15 @@ def test_analyze_job_and_run_lookup(spark, tmp_path):
         assert {r["station_id"] for r in stations.collect()} == {"st1", "st2"}
     with pytest.raises(LookupError, match="not found"):
         store.run_results(spark, root, "missing")
+
+
+@pytest.mark.parametrize("strategy", ["explode", "changepoints"])
+def test_kpis_by_either_strategy(spark, strategy):
+    p = load_profile(two_sessions(spark), "uniform_spread", 15)
+    k = metrics.baseline_metrics(p, strategy=strategy).first()
+    assert (k["peak_load_kw"], k["average_load_kw"], k["load_factor"]) == (8.75, 6.67, 0.7619)
+
+
+def test_policy_descriptions(spark):
+    rows = {r["name"]: r["description"] for r in policies_frame(spark).collect()}
+    assert rows["uniform_spread"] == "Spread energy evenly across the charging window."

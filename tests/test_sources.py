@@ -221,3 +221,17 @@ def test_csv_stream_ingest(spark, folder):
                          checkpoint=os.path.join(folder, "ck"))
     assert sum(r["records_seen"] for r in runs) == 5
     assert sum(r["records_inserted"] for r in runs) == 5 and sum(r["records_invalid"] for r in runs) == 2
+
+
+def test_store_reads(spark, folder):
+    root = os.path.join(folder, "store")
+    ingest(spark, "acn", write(folder, "s.json", json.dumps(JSON_RECORDS)), root)
+    assert store.read_sessions(spark, root, "acn", ["session_id"]).columns == ["session_id"]
+    assert store.read_sessions(spark, root, "nope").count() == 0
+    page = [r["session_id"] for r in store.page_by_source(spark, root, "acn", limit=2, offset=1).collect()]
+    assert page == ["acn-r2", "acn-r3"]          # arrival order, NULL arrival (r4) last
+    assert store.sessions_by_dataset(spark, root, "acn").columns[-1] == "is_valid"
+    assert store.session_lookup(spark, root, "acn-r9").count() == 0
+    empty_root = os.path.join(folder, "empty")
+    assert store.read_sessions(spark, empty_root).count() == 0
+    assert store.read_ingest_runs(spark, empty_root).count() == 0
