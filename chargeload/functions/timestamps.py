@@ -38,9 +38,7 @@ def _col(c: Column | str) -> Column:
 
 @lru_cache(maxsize=1)
 def _jvm_zone_ids() -> tuple[str, ...]:
-    spark = SparkSession.getActiveSession()
-    if spark is None:  # pragma: no cover - only without a session
-        raise RuntimeError("an active SparkSession is needed to list zone ids")
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     ids = spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds()  # noqa: SLF001
     return tuple(sorted(str(z) for z in ids))
 

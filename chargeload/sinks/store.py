@@ -14,6 +14,8 @@ Single-writer: two concurrent ingests into one store may both insert the same ne
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,7 +114,7 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
     else:
         new = staged
     # Observed in the final (result) stage of the write: applied once per task.
-    inserted = Observation("inserted")
+    inserted = Observation(f"inserted-{uuid.uuid4().hex[:12]}")
     (new.observe(inserted, F.count(F.lit(1)).alias("n"))
         .write.mode("append").partitionBy("source_dataset").parquet(target))
     return int(inserted.get.get("n", 0))
