@@ -235,3 +235,21 @@ def test_store_reads(spark, folder):
     empty_root = os.path.join(folder, "empty")
     assert store.read_sessions(spark, empty_root).count() == 0
     assert store.read_ingest_runs(spark, empty_root).count() == 0
+
+
+def test_command_line(spark, folder, capsys):
+    from chargeload.__main__ import main
+
+    root = os.path.join(folder, "store")
+    path = write(folder, "s.json", json.dumps(JSON_RECORDS))
+    assert main(["policies"]) == 0
+    assert "uniform_spread" in capsys.readouterr().out
+    main(["ingest", "--dataset", "acn", "--path", path, "--root", root])
+    assert json.loads(capsys.readouterr().out)["records_inserted"] == 4
+    main(["run", "--dataset", "acn", "--policy", "immediate_charge", "--interval", "15", "--root", root])
+    run = json.loads(capsys.readouterr().out)
+    assert run["sessions_count"] == 2 and run["policy_name"] == "immediate_charge"
+    out = os.path.join(folder, "out")
+    main(["results", "--run-id", run["run_id"], "--root", root, "--out", out])
+    assert json.loads(capsys.readouterr().out)["run_id"] == run["run_id"]
+    assert spark.read.option("header", True).csv(f"{out}/fleet_load_curve").count() > 0
