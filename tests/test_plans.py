@@ -91,3 +91,13 @@ def test_insert_streams_the_store_against_broadcast_batch_ids(spark, tmp_path):
     finally:
         rw.DataFrameWriter.parquet = real_parquet
     assert captured and "BroadcastHashJoin" in captured[0] and "LeftSemi" in captured[0]
+
+
+def test_lookup_filter_is_pushed_to_the_scan(spark, tmp_path):
+    from chargeload.plans.adapters import events_sessions
+    from chargeload.sinks import store
+
+    root = str(tmp_path)
+    store.insert_new_sessions(spark, events_sessions(spark, SF), root, order_cols=["source_record_id"])
+    text = plan(store.session_lookup(spark, root, "events-12"))
+    assert "PushedFilters: [IsNotNull(session_id), EqualTo(session_id,events-12)]" in text
