@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from chargeload.operators.grid import _chunked_range, interval_hours, interval_micros
 from chargeload.operators.profile import LoadProfile
+from chargeload.operators.rows import attach_row
 
 DEC = "decimal(38,18)"
 
@@ -102,7 +103,7 @@ def load_timeseries(profile: LoadProfile) -> DataFrame:
     """LOAD rows (level, timestamp, station_id, load_kw, energy_kwh, active_sessions);
     same content as ``curves.load_timeseries(profile.steps())``."""
     d = interval_micros(profile.interval_minutes)
-    start = F.broadcast(profile.bounds.select("start_us"))
+    start = profile.bounds.select("start_us")
     st = station_levels(profile)
     fleet = st.groupBy("step_index").agg(F.sum("load").alias("load"), F.sum("energy").alias("energy"),
                                          F.sum("active").alias("active"))
@@ -114,8 +115,8 @@ def load_timeseries(profile: LoadProfile) -> DataFrame:
         F.col("energy").cast("double").alias("energy_kwh"),
         F.col("active").cast("long").alias("active_sessions"),
     ]
-    s_rows = st.crossJoin(start).select(*cols("station", F.col("station_id")))
-    f_rows = fleet.crossJoin(start).select(*cols("fleet", F.lit(None).cast("string")))
+    s_rows = attach_row(st, start).select(*cols("station", F.col("station_id")))
+    f_rows = attach_row(fleet, start).select(*cols("fleet", F.lit(None).cast("string")))
     return s_rows.unionByName(f_rows)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chargeload.functions.timestamps import MICROS_PER_MINUTE
+from chargeload.operators.rows import attach_row
 
 DEFAULT_INTERVAL_MINUTES = 5
 DEFAULT_CHUNK_STEPS = 512
@@ -117,12 +118,11 @@ def with_step_range(prepared: DataFrame, bounds: DataFrame,
                     interval_minutes: int = DEFAULT_INTERVAL_MINUTES) -> DataFrame:
     """Add start_us, k0 (first step), k1 (last step) and n_session_steps to each session.
 
-    ``bounds`` is the one-row frame of :func:`time_bounds`; it is broadcast (its size is
-    one row by construction). Sessions lying between two grid points get k1 < k0 and
-    ``n_session_steps`` = 0; they keep their row."""
+    ``bounds`` is the one-row frame of :func:`time_bounds`; its start is attached as a
+    scalar subquery (computed once, no join). Sessions lying between two grid points get
+    k1 < k0 and ``n_session_steps`` = 0; they keep their row."""
     d = interval_micros(interval_minutes)
-    b = F.broadcast(bounds.select("start_us"))
-    s = prepared.crossJoin(b)
+    s = attach_row(prepared, bounds.select("start_us"))
     k0 = ceil_div(F.unix_micros("arrival_ts") - F.col("start_us"), d)
     k1 = ceil_div(F.unix_micros("departure_ts") - F.col("start_us"), d) - 1
     return (s.withColumn("k0", k0).withColumn("k1", k1)

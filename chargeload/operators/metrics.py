@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from chargeload.functions.numbers import round_half_up
 from chargeload.operators.curves import fleet_load_curve
 from chargeload.operators.profile import LoadProfile
+from chargeload.operators.rows import attach_row
 
 # Fixed value: share of the requested energy at which a session counts as completed.
 COMPLETION_THRESHOLD = 0.95
@@ -60,8 +61,7 @@ def load_kpis(fleet: DataFrame, bounds: DataFrame) -> DataFrame:
         F.coalesce(F.sum("total_load_kw"), F.lit(0.0)).alias("_sum_load"),
         F.coalesce(F.sum("active_sessions"), F.lit(0)).cast("long").alias("decisions"),
     )
-    b = bounds.select(F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
-    k = agg.crossJoin(b)
+    k = attach_row(agg, bounds.select(F.coalesce("n_steps", F.lit(0)).alias("n_steps")))
     avg = F.coalesce(F.try_divide(F.col("_sum_load"), F.col("n_steps").cast("double")), F.lit(0.0))
     k = k.withColumn("average_load_kw", avg)
     factor = F.when(F.col("peak_load_kw") > 0, F.col("average_load_kw") / F.col("peak_load_kw")).otherwise(0.0)
@@ -81,7 +81,7 @@ def session_kpis(profile: LoadProfile, threshold: float = COMPLETION_THRESHOLD)
         F.coalesce(F.sum("n_session_steps"), F.lit(0)).cast("long").alias("decisions"),
     )
     targets = profile.sessions.agg(F.count_if(F.col("energy_requested_kwh") > 0).alias("targets_total"))
-    return valid.crossJoin(targets)
+    return attach_row(valid, targets)
 
 
 def baseline_metrics(profile: LoadProfile, fleet: DataFrame | None = None,
@@ -101,7 +101,7 @@ def baseline_metrics(profile: LoadProfile, fleet: DataFrame | None = None,
             fleet = t.select("timestamp", F.col("load_kw").alias("total_load_kw"), "active_sessions")
     lk = load_kpis(fleet, profile.bounds).drop("decisions")
     sk = session_kpis(profile, threshold)
-    k = sk.crossJoin(lk)
+    k = attach_row(sk, lk)
     any_decision = F.col("decisions") > 0
 
     def zero_if_idle(c: Column, digits: int) -> Column:
