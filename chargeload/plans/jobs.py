@@ -27,12 +27,12 @@ def _now() -> dt.datetime:
 def ingest(spark: SparkSession, dataset: str, path: str, root: str) -> dict:
     """Load → normalise → validate → insert new sessions → ledger row.
 
-    Unknown dataset and missing path fail before a ledger row exists. Any later error
-    records a 'failed' row with the error text and is re-raised. The insert is one
+    A missing path, then an unknown dataset, fail before a ledger row exists. Any later
+    error records a 'failed' row with the error text and is re-raised. The insert is one
     write job, so a failed run leaves no partial batch behind."""
-    source = get_loader(dataset)
     if not store.path_exists(spark, path):
         raise FileNotFoundError(f"Source path not found: {path}")
+    source = get_loader(dataset)
     row = {"run_id": uuid.uuid4().hex, "source_dataset": dataset, "source_path": path, "started_at": _now(),
            "completed_at": None, "status": "running", "records_seen": 0, "records_inserted": 0,
            "records_invalid": 0, "notes": None}

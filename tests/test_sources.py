@@ -149,18 +149,21 @@ def test_ingest_counters_and_idempotence(spark, folder):
     assert (r2["records_seen"], r2["records_inserted"]) == (4, 0)
     r3 = ingest(spark, "urbanev", cpath, root)
     assert (r3["records_seen"], r3["records_inserted"], r3["records_invalid"]) == (5, 5, 2)
+    assert ingest(spark, "urbanev", cpath, root)["records_inserted"] == 0
     counts = {r["source_dataset"]: r["sessions"] for r in store.count_by_source(spark, root).collect()}
     assert counts == {"acn": 4, "urbanev": 5}
     ledger = store.read_ingest_runs(spark, root).orderBy("started_at").collect()
-    assert [r["records_inserted"] for r in ledger] == [4, 0, 5]
+    assert [r["records_inserted"] for r in ledger] == [4, 0, 5, 0]
 
 
 def test_ingest_errors(spark, folder):
     root = os.path.join(folder, "store")
     with pytest.raises(ValueError, match="Unknown dataset"):
         ingest(spark, "nope", folder, root)
-    with pytest.raises(FileNotFoundError):
+    with pytest.raises(FileNotFoundError, match="not found"):
         ingest(spark, "acn", os.path.join(folder, "missing.json"), root)
+    with pytest.raises(FileNotFoundError):          # the path is checked first
+        ingest(spark, "nope", os.path.join(folder, "missing.json"), root)
     assert store.read_ingest_runs(spark, root).count() == 0
 
 
