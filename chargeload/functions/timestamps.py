@@ -49,10 +49,11 @@ def known_zone(tz: Column | str) -> Column:
     return F.when(tz.isin(list(_jvm_zone_ids())), tz)
 
 
-def iso_timestamp(text: Column | str, naive_zone: Column | str | None = None) -> Column:
+def iso_timestamp(text: Column | str, naive_zone: Column | str | None = None, checked: bool = False) -> Column:
     """Parse ISO text. Offset present → converted to UTC; naive → read in ``naive_zone``
     (a column holding a zone id; NULL zone → NULL result) or as UTC when not given.
-    Non-ISO text, unknown zones and impossible dates give NULL."""
+    Non-ISO text, unknown zones and impossible dates give NULL. ``checked=True`` says
+    ``naive_zone`` already went through :func:`known_zone`."""
     t = F.trim(_col(text))
     iso = t.rlike(_ISO_TEXT)
     as_ts = t.try_cast("timestamp")
@@ -60,7 +61,7 @@ def iso_timestamp(text: Column | str, naive_zone: Column | str | None = None) ->
     if naive_zone is None:
         naive = as_ts
     else:
-        zone = known_zone(naive_zone)
+        zone = _col(naive_zone) if checked else known_zone(naive_zone)
         naive = F.when(zone.isNotNull(), F.to_utc_timestamp(as_ts, zone))
     return F.when(iso, F.when(has_offset, as_ts).otherwise(naive))
 

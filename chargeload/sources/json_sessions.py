@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chargeload.functions.numbers import safe_double
-from chargeload.functions.timestamps import duration_minutes, iso_timestamp, record_zone
+from chargeload.functions.timestamps import duration_minutes, iso_timestamp, known_zone, record_zone
 
 DATASET = "acn"
 
@@ -53,11 +53,14 @@ def record_id_text(record: Column) -> Column:
 def normalize_json_sessions(records: DataFrame, dataset: str = DATASET) -> DataFrame:
     """Canonical session columns (before validation) from ``read_json_records`` output."""
     r = F.col("record")
-    zone_raw = vraw(r, KEY_ZONE)
-    zone = record_zone(zone_raw.isNotNull(), vtext(r, KEY_ZONE))
-    arrival = iso_timestamp(vtext(r, KEY_ARRIVAL), zone)
-    departure = iso_timestamp(vtext(r, KEY_DEPARTURE), zone)
-    done = iso_timestamp(vtext(r, KEY_DONE), zone)
+    # The record's zone, checked once against the known zone ids, then shared by the
+    # three timestamps (keeps the plan small: the id list appears once).
+    zone = record_zone(vraw(r, KEY_ZONE).isNotNull(), vtext(r, KEY_ZONE))
+    records = records.withColumn("_zone", known_zone(zone))
+    zone_ok = F.col("_zone")
+    arrival = iso_timestamp(vtext(r, KEY_ARRIVAL), zone_ok, checked=True)
+    departure = iso_timestamp(vtext(r, KEY_DEPARTURE), zone_ok, checked=True)
+    done = iso_timestamp(vtext(r, KEY_DONE), zone_ok, checked=True)
     rid = record_id_text(r)
     out = records.select(
         F.concat(F.lit(f"{dataset}-"), rid).alias("session_id"),
