@@ -26,12 +26,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def events_raw_sessions(events: DataFrame) -> DataFrame:
-    """Session-shaped rows from events (before duration and validation)."""
+def events_raw_sessions(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Session-shaped rows from events (before duration and validation); ``keep`` passes
+    event columns through unchanged."""
     eid = F.col("event_id")
     ts = F.col("ts").cast("timestamp")
     minutes = F.when(eid % 50 == 0, F.lit(0)).otherwise(20 + eid % 220)
     return events.select(
+        *keep,
         F.concat(F.lit("events-"), eid.cast("string")).alias("session_id"),
         F.lit("events").alias("source_dataset"),
         eid.cast("string").alias("source_record_id"),

@@ -21,12 +21,8 @@ UNKNOWN_ZONE = "Nowhere/Atlantis"
 
 
 def _events_with_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
-    s = events_raw_sessions(ev)
-    return ev.select("event_id", "ts", "user_id").join(
-        s.select(F.col("source_record_id").cast("long").alias("event_id"), "station_id", "arrival_ts",
-                 "departure_ts", "energy_requested_kwh", "energy_delivered_kwh", "max_charge_rate_kw"),
-        "event_id")
+    """Event columns next to the session columns derived from the same row (one scan)."""
+    return events_raw_sessions(read_table(spark, sf_dir, "events"), keep=("event_id", "ts", "user_id"))
 
 
 def _local_text(ts: Column, zone: Column, pattern: str = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") -> Column:
