@@ -25,11 +25,11 @@ FALLBACK_DATETIME_PATTERNS = (
     "d/M/yyyy H:m",        # %d/%m/%Y %H:%M
 )
 
-# ISO-8601 text as accepted for session timestamps: a date, optionally a time with
-# optional fraction, optionally a UTC offset. Anything else parses to NULL.
-_ISO_TEXT = (r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?"
-             r"(Z|[+-]\d{2}:?\d{2})?$")
-_HAS_OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
+# ISO-8601 text as accepted for session timestamps: a date, optionally a time (hours,
+# minutes, seconds, fraction; each part optional from the right) and then optionally a
+# UTC offset (Z, ±HH, ±HHMM, ±HH:MM). Anything else parses to NULL.
+_ISO_TEXT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
+_HAS_OFFSET = r"[T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)$"
 
 
 def _col(c: Column | str) -> Column:

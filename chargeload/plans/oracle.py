@@ -145,8 +145,8 @@ def r2(x: str, digits: int) -> str:
 
 # --- raw-file sources ------------------------------------------------------------------
 
-ISO_RE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?$"
-OFFSET_RE = r"(Z|[+-]\d{2}:?\d{2})$"
+ISO_RE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
+OFFSET_RE = r"[T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)$"
 UNKNOWN_ZONE = "Nowhere/Atlantis"
 
 
