@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chargeload.config import scratch_path
-from chargeload.schemas import ANALYSIS_COLUMNS, INGEST_RUN, LOAD, RUN, SESSION_COLUMNS
+from chargeload.schemas import ANALYSIS_COLUMNS, INGEST_RUN, LOAD, RUN, SESSION, SESSION_COLUMNS
 
 # Batches with at most this many distinct ids have their id column broadcast in the
 # stored-id check (≈ 40 bytes per id in the broadcast).
@@ -39,14 +39,18 @@ def _sessions_dir(root: str) -> str:
     return f"{root.rstrip('/')}/sessions"
 
 
+def _read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The session store with its known schema (no inference; an empty store reads fine)."""
+    return spark.read.schema(SESSION).parquet(path)
+
+
 def read_sessions(spark: SparkSession, root: str, dataset: str | None = None,
                   columns: list[str] | None = None) -> DataFrame:
     """Stored sessions; ``dataset`` prunes partitions, ``columns`` prunes the scan."""
     path = _sessions_dir(root)
     if not path_exists(spark, path):
-        from chargeload.schemas import SESSION
         return spark.createDataFrame([], SESSION).select(*(columns or SESSION_COLUMNS))
-    df = spark.read.parquet(path)
+    df = _read_store(spark, path)
     if dataset is not None:
         df = df.where(F.col("source_dataset") == dataset)
     return df.select(*(columns or SESSION_COLUMNS))
@@ -89,21 +93,23 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
     if order_cols is None:
         order_cols = [c for c in ("_file", "_row") if c in incoming.columns]
     stage = scratch_path(spark, "stage-sessions")
-    (_first_per_session(incoming, order_cols)
-     .select("session_id", "_r.*", "_n", "_bad").write.parquet(stage))
-    staged_all = spark.read.parquet(stage)
+    staged_df = _first_per_session(incoming, order_cols).select("session_id", "_r.*", "_n", "_bad")
+    staged_df.write.parquet(stage)
+    staged_all = spark.read.schema(staged_df.schema).parquet(stage)     # schema given: empty batch is fine
     c = staged_all.agg(F.count(F.lit(1)).alias("ids"), F.coalesce(F.sum("_n"), F.lit(0)).alias("seen"),
                        F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")).first()
     if stats is not None:
         stats["records_seen"], stats["records_invalid"] = int(c["seen"]), int(c["bad"])
     staged = staged_all.select(*SESSION_COLUMNS)
+    if int(c["ids"]) == 0:
+        return 0
     batch_ids = staged.select("session_id")
     if int(c["ids"]) <= MAX_BROADCAST_IDS:      # size proven by the count of the staged table
         batch_ids = F.broadcast(batch_ids)
 
     target = _sessions_dir(root)
     if path_exists(spark, target):
-        stored = spark.read.parquet(target)
+        stored = _read_store(spark, target)
         if datasets:
             stored = stored.where(F.col("source_dataset").isin(list(datasets)))
         # Semi-join first: the stored id column is streamed against the batch ids
@@ -172,7 +178,7 @@ def get_run(spark: SparkSession, root: str, run_id: str) -> DataFrame:
 
 
 def get_load(spark: SparkSession, root: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/loads").where(F.col("run_id") == run_id)
+    return spark.read.schema(LOAD).parquet(f"{root.rstrip('/')}/loads").where(F.col("run_id") == run_id)
 
 
 def get_fleet_load(spark: SparkSession, root: str, run_id: str) -> DataFrame:

@@ -47,7 +47,7 @@ def with_row_ordinal(df: DataFrame, name: str = "_row", file_col: str = "_file")
     spark = df.sparkSession
     path = scratch_path(spark, "row-blocks")
     blocks.write.parquet(path)
-    blocks = spark.read.parquet(path)
+    blocks = spark.read.schema(blocks.schema).parquet(path)      # schema given: empty input is fine
     if blocks.count() <= MAX_BROADCAST_BLOCKS:
         blocks = F.broadcast(blocks)
     return (tagged.join(blocks, [file_col, "_block"])

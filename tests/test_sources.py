@@ -256,3 +256,15 @@ def test_command_line(spark, folder, capsys):
     main(["results", "--run-id", run["run_id"], "--root", root, "--out", out])
     assert json.loads(capsys.readouterr().out)["run_id"] == run["run_id"]
     assert spark.read.option("header", True).csv(f"{out}/fleet_load_curve").count() > 0
+
+
+def test_empty_inputs_ingest_nothing(spark, folder):
+    root = os.path.join(folder, "store")
+    r = ingest(spark, "acn", write(folder, "empty.json", ""), root)
+    assert (r["records_seen"], r["records_inserted"], r["status"]) == (0, 0, "completed")
+    r = ingest(spark, "acn", write(folder, "blank.json", "\n\n  \n"), root)
+    assert (r["records_seen"], r["records_inserted"]) == (0, 0)
+    r = ingest(spark, "acn", write(folder, "arr.json", "[]"), root)
+    assert (r["records_seen"], r["records_inserted"]) == (0, 0)
+    r = ingest(spark, "urbanev", write(folder, "h.csv", CSV_TEXT.splitlines()[0] + "\n"), root)
+    assert (r["records_seen"], r["records_inserted"]) == (0, 0)
