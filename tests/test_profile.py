@@ -212,3 +212,24 @@ def test_kpis_by_either_strategy(spark, strategy):
 def test_policy_descriptions(spark):
     rows = {r["name"]: r["description"] for r in policies_frame(spark).collect()}
     assert rows["uniform_spread"] == "Spread energy evenly across the charging window."
+
+
+def test_analyze_with_only_invalid_sessions_stores_zeros(spark, tmp_path):
+    from chargeload.operators.quality import validate
+    from chargeload.plans.jobs import analyze
+    from chargeload.sinks import store
+
+    rows = [("x", "st", D(2020, 8, 1, 9), D(2020, 8, 1, 8), 10.0, None, 7.2, 0, True)]
+    s = spark.createDataFrame(rows, SCHEMA).withColumn("source_dataset", F.lit("t"))
+    full = validate(s.withColumn("source_record_id", F.col("session_id")).withColumn("port_id", F.lit(None).cast("string"))
+                    .withColumn("vehicle_id", F.lit(None).cast("string"))
+                    .withColumn("average_charge_rate_kw", F.lit(None).cast("double"))
+                    .withColumn("charging_duration_minutes", F.lit(None).cast("int"))
+                    .withColumn("raw_payload", F.lit("{}")))
+    root = str(tmp_path)
+    store.insert_new_sessions(spark, full, root, order_cols=["session_id"])
+    run_id = analyze(spark, root, "t", "uniform_spread", 5)
+    k, fleet, stations = store.run_results(spark, root, run_id)
+    r = k.first()
+    assert (r["sessions_count"], r["peak_load_kw"], r["completion_rate"], r["targets_total"]) == (0, 0.0, 0.0, 1)
+    assert fleet.count() == 0 and stations.count() == 0

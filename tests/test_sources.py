@@ -268,3 +268,11 @@ def test_empty_inputs_ingest_nothing(spark, folder):
     assert (r["records_seen"], r["records_inserted"]) == (0, 0)
     r = ingest(spark, "urbanev", write(folder, "h.csv", CSV_TEXT.splitlines()[0] + "\n"), root)
     assert (r["records_seen"], r["records_inserted"]) == (0, 0)
+
+
+def test_csv_with_byte_order_mark(spark, folder):
+    path = os.path.join(folder, "bom.csv")
+    with open(path, "w", encoding="utf-8-sig") as f:
+        f.write(CSV_TEXT)
+    rows = get_loader("urbanev").load(spark, path).orderBy("_row").collect()
+    assert rows[0]["station_id"] == "A" and len(rows) == 5
