@@ -21,7 +21,7 @@ JSON_LAYOUTS = ("auto", "lines", "array")
 
 def sniff_json_layout(spark: SparkSession, path: str) -> str:
     """'array' when the first non-blank character of the input is '[', else 'lines'."""
-    first = (spark.read.text(path).select(F.ltrim("value").alias("v"))
+    first = (spark.read.text(path).select(F.ltrim(F.regexp_replace("value", "^\ufeff", "")).alias("v"))
              .where(F.col("v") != "").limit(1).collect())
     if first and first[0]["v"].startswith("["):
         return "array"
@@ -43,6 +43,7 @@ def read_json_records(spark: SparkSession, path: str, layout: str = "auto", on_m
         # Lines are read as text (splittable, no JSON work for the ordinal's count pass)
         # and each non-blank line is parsed once into a VARIANT.
         lines = with_row_ordinal(spark.read.text(path))
+        lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))   # byte-order mark
         parse = F.parse_json if on_malformed == "fail" else F.try_parse_json
         recs = lines.where(F.trim("value") != "").select(parse("value").alias("record"), "_file", "_row")
         return recs.where(F.col("record").isNotNull())

@@ -276,3 +276,11 @@ def test_csv_with_byte_order_mark(spark, folder):
         f.write(CSV_TEXT)
     rows = get_loader("urbanev").load(spark, path).orderBy("_row").collect()
     assert rows[0]["station_id"] == "A" and len(rows) == 5
+
+
+def test_ndjson_with_byte_order_mark(spark, folder):
+    path = os.path.join(folder, "bom.json")
+    with open(path, "w", encoding="utf-8-sig") as f:
+        f.write("\n".join(json.dumps(r) for r in JSON_RECORDS))
+    assert sniff_json_layout(spark, path) == "lines"
+    assert get_loader("acn").load(spark, path).count() == 4
