@@ -61,9 +61,12 @@ def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV, all columns as text, plus ``_file`` and ``_row``."""
     raw = (spark.read.option("header", True).option("inferSchema", False)
            .option("mode", "PERMISSIVE").csv(path))
-    # A UTF-8 byte-order mark stays glued to the first header name; drop it so the
-    # header aliases still match.
-    bom = [c for c in raw.columns if c.startswith("\ufeff")]
-    for c in bom:
-        raw = raw.withColumnRenamed(c, c.lstrip("\ufeff"))
-    return with_row_ordinal(raw)
+    return with_row_ordinal(strip_bom_columns(raw))
+
+
+def strip_bom_columns(df: DataFrame) -> DataFrame:
+    """A UTF-8 byte-order mark stays glued to the first CSV header name; drop it so the
+    header aliases still match."""
+    for c in [c for c in df.columns if c.startswith("\ufeff")]:
+        df = df.withColumnRenamed(c, c.lstrip("\ufeff"))
+    return df

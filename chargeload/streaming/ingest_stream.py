@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from chargeload.config import scratch_path
 from chargeload.sinks import store
 from chargeload.sources.ordinal import with_row_ordinal
+from chargeload.sources.readers import strip_bom_columns
 from chargeload.sources.registry import get_loader
 
 
@@ -34,7 +35,7 @@ def _stream_records(spark: SparkSession, kind: str, source_dir: str, max_files:
     elif kind == "csv":
         header = spark.read.option("header", True).csv(source_dir).schema  # header only, all strings
         raw = reader.format("csv").option("header", True).schema(header).load(source_dir)
-        raw = raw.select("*", "_metadata")
+        raw = strip_bom_columns(raw.select("*", "_metadata"))
     else:
         raise ValueError(f"unknown source kind '{kind}'")
     return raw.withColumn("_file", F.col("_metadata.file_path")) \
