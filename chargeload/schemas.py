@@ -32,6 +32,12 @@ SESSION = T.StructType([
 
 SESSION_COLUMNS = [f.name for f in SESSION.fields]
 
+# As stored: plus insert time (``updated_at`` equals it — stored rows never change).
+STORED_SESSION = T.StructType(SESSION.fields + [
+    T.StructField("created_at", T.TimestampType(), True),
+    T.StructField("updated_at", T.TimestampType(), True),
+])
+
 # Columns a loader must produce (the extension contract).
 REQUIRED_COLUMNS = ("session_id", "source_dataset", "arrival_ts", "departure_ts",
                     "session_duration_minutes", "raw_payload")

@@ -9,7 +9,8 @@ Layout (all under one root the caller chooses, typically a shared folder):
 * ``loads/``     LOAD rows, partitioned by ``run_id``
 
 Single-writer: two concurrent ingests into one store may both insert the same new id
-(there is no unique index to arbitrate); run ingests for one store one at a time.
+(there is no unique index to arbitrate); run ingests for one store one at a time, or
+read with ``dedupe=True`` (earliest ``created_at`` wins).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chargeload.config import scratch_path
-from chargeload.schemas import ANALYSIS_COLUMNS, INGEST_RUN, LOAD, RUN, SESSION, SESSION_COLUMNS
+from chargeload.schemas import ANALYSIS_COLUMNS, INGEST_RUN, LOAD, RUN, SESSION_COLUMNS, STORED_SESSION
 
 # Batches with at most this many distinct ids have their id column broadcast in the
 # stored-id check (≈ 40 bytes per id in the broadcast).
@@ -41,18 +42,25 @@ def _sessions_dir(root: str) -> str:
 
 def _read_store(spark: SparkSession, path: str) -> DataFrame:
     """The session store with its known schema (no inference; an empty store reads fine)."""
-    return spark.read.schema(SESSION).parquet(path)
+    return spark.read.schema(STORED_SESSION).parquet(path)
 
 
 def read_sessions(spark: SparkSession, root: str, dataset: str | None = None,
-                  columns: list[str] | None = None) -> DataFrame:
-    """Stored sessions; ``dataset`` prunes partitions, ``columns`` prunes the scan."""
+                  columns: list[str] | None = None, dedupe: bool = False) -> DataFrame:
+    """Stored sessions; ``dataset`` prunes partitions, ``columns`` prunes the scan.
+
+    ``dedupe=True`` keeps the earliest stored row per id (``created_at``), for stores
+    that two writers may have appended to at once (a map-side-combined aggregation)."""
     path = _sessions_dir(root)
     if not path_exists(spark, path):
-        return spark.createDataFrame([], SESSION).select(*(columns or SESSION_COLUMNS))
+        return spark.createDataFrame([], STORED_SESSION).select(*(columns or SESSION_COLUMNS))
     df = _read_store(spark, path)
     if dataset is not None:
         df = df.where(F.col("source_dataset") == dataset)
+    if dedupe:
+        rest = [c for c in STORED_SESSION.fieldNames() if c != "session_id"]
+        df = (df.groupBy("session_id").agg(F.min_by(F.struct(*rest), F.col("created_at")).alias("_r"))
+              .select("session_id", "_r.*"))
     return df.select(*(columns or SESSION_COLUMNS))
 
 
@@ -119,6 +127,7 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
         new = staged.join(existing, "session_id", "left_anti")
     else:
         new = staged
+    new = new.withColumn("created_at", F.current_timestamp()).withColumn("updated_at", F.col("created_at"))
     # Observed in the final (result) stage of the write: applied once per task.
     inserted = Observation(f"inserted-{uuid.uuid4().hex[:12]}")
     (new.observe(inserted, F.count(F.lit(1)).alias("n"))

@@ -284,3 +284,22 @@ def test_ndjson_with_byte_order_mark(spark, folder):
         f.write("\n".join(json.dumps(r) for r in JSON_RECORDS))
     assert sniff_json_layout(spark, path) == "lines"
     assert get_loader("acn").load(spark, path).count() == 4
+
+
+def test_created_at_and_dedupe_on_read(spark, folder):
+    from pyspark.sql import functions as F
+
+    root = os.path.join(folder, "store")
+    ingest(spark, "acn", write(folder, "s.json", json.dumps(JSON_RECORDS)), root)
+    rows = store.read_sessions(spark, root, "acn", ["session_id", "created_at", "updated_at"]).collect()
+    assert all(r["created_at"] is not None and r["created_at"] == r["updated_at"] for r in rows)
+    # a second, unguarded writer appends a duplicate id later
+    dup = (store.read_sessions(spark, root, "acn").where("session_id = 'acn-r1'")
+           .withColumn("station_id", F.lit("late"))
+           .withColumn("created_at", F.current_timestamp() + F.expr("INTERVAL 1 HOUR"))
+           .withColumn("updated_at", F.col("created_at")))
+    dup.write.mode("append").partitionBy("source_dataset").parquet(os.path.join(root, "sessions"))
+    assert store.read_sessions(spark, root, "acn").count() == 5
+    kept = store.read_sessions(spark, root, "acn", dedupe=True)
+    assert kept.count() == 4
+    assert kept.where("session_id = 'acn-r1'").first()["station_id"] == "st-a"
