@@ -65,7 +65,7 @@ def literal_loop(rows, policy, minutes, u_of):
 
 
 @pytest.mark.parametrize("policy", ["immediate_charge", "uniform_spread", "randomized_delay"])
-@pytest.mark.parametrize("minutes", [5, 15])
+@pytest.mark.parametrize("minutes", [5, 7, 13, 15, 60])
 def test_closed_form_matches_step_loop(spark, policy, minutes):
     from pyspark.sql import functions as F
 
