@@ -41,3 +41,20 @@ def test_strategy_choice(spark):
     rows = short + [("long", "st9", dt.datetime(2020, 1, 1), dt.datetime(2030, 1, 1), 50.0, None, 7.2, 0, True)]
     p = load_profile(spark.createDataFrame(rows, SCHEMA), "immediate_charge", 5)
     assert changepoints.choose_strategy(p) == "changepoints"
+
+
+def test_hot_station_and_a_ten_year_session(spark):
+    """One station holds a third of the sessions and one session runs for ten years: the
+    strategies still agree, and 'auto' picks change points (no straggler expansion)."""
+    from chargeload.operators import metrics
+
+    rows = random_sessions(300, seed=77)
+    rows = [(sid, "HOT" if i % 3 == 0 else st, *rest) for i, (sid, st, *rest) in enumerate(rows)]
+    rows.append(("decade", "HOT", dt.datetime(2024, 1, 1), dt.datetime(2034, 1, 1), 5000.0, None, 11.0, 0, True))
+    p = load_profile(spark.createDataFrame(rows, SCHEMA), "immediate_charge", 60)
+    assert changepoints.choose_strategy(p) == "changepoints"
+    a = metrics.baseline_metrics(p, strategy="explode").first()
+    b = metrics.baseline_metrics(p, strategy="changepoints").first()
+    assert a == b
+    hot = _norm(changepoints.load_timeseries(p)).where("station_id = 'HOT'")
+    assert hot.count() > 87_000          # the decade session keeps the hot station busy every hour
