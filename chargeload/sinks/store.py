@@ -94,25 +94,29 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
     appended in one write job. ``datasets`` restricts the id check to those store
     partitions (valid when ids carry their dataset prefix, as every built-in source's do).
 
-    ``stats`` (if given) receives ``records_seen`` / ``records_invalid`` of the raw batch.
-    They are summed from per-id counts kept in the staged table, so a stage re-run after
-    an executor loss cannot count a row twice.
+    ``stats`` (if given) receives ``records_seen`` / ``records_invalid`` of the raw batch:
+    per-id counts are carried through the dedupe and summed in the staging write's final
+    stage, so a stage re-run after an executor loss cannot count a row twice.
     """
     if order_cols is None:
         order_cols = [c for c in ("_file", "_row") if c in incoming.columns]
     stage = scratch_path(spark, "stage-sessions")
     staged_df = _first_per_session(incoming, order_cols).select("session_id", "_r.*", "_n", "_bad")
-    staged_df.write.parquet(stage)
+    # Counted while staged: the observation sits in the final (result) stage of the write,
+    # after the dedupe shuffle, so a task or stage re-run cannot count a row twice.
+    counts = Observation(f"staged-{uuid.uuid4().hex[:12]}")
+    (staged_df.observe(counts, F.count(F.lit(1)).alias("ids"), F.coalesce(F.sum("_n"), F.lit(0)).alias("seen"),
+                       F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
+     .write.parquet(stage))
+    c = counts.get
     staged_all = spark.read.schema(staged_df.schema).parquet(stage)     # schema given: empty batch is fine
-    c = staged_all.agg(F.count(F.lit(1)).alias("ids"), F.coalesce(F.sum("_n"), F.lit(0)).alias("seen"),
-                       F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")).first()
     if stats is not None:
-        stats["records_seen"], stats["records_invalid"] = int(c["seen"]), int(c["bad"])
+        stats["records_seen"], stats["records_invalid"] = int(c.get("seen", 0)), int(c.get("bad", 0))
     staged = staged_all.select(*SESSION_COLUMNS)
-    if int(c["ids"]) == 0:
+    if int(c.get("ids", 0)) == 0:
         return 0
     batch_ids = staged.select("session_id")
-    if int(c["ids"]) <= MAX_BROADCAST_IDS:      # size proven by the count of the staged table
+    if int(c["ids"]) <= MAX_BROADCAST_IDS:      # size proven by the count of the staged batch
         batch_ids = F.broadcast(batch_ids)
 
     target = _sessions_dir(root)

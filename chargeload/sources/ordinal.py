@@ -19,7 +19,9 @@ shuffle join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from chargeload.config import scratch_path
@@ -46,9 +48,12 @@ def with_row_ordinal(df: DataFrame, name: str = "_row", file_col: str = "_file")
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     spark = df.sparkSession
     path = scratch_path(spark, "row-blocks")
-    blocks.write.parquet(path)
+    # Counted while written (the observation sits in the write's final stage, so a
+    # task retry cannot count twice): no second job just to size the table.
+    n_blocks = Observation(f"blocks-{uuid.uuid4().hex[:12]}")
+    blocks.observe(n_blocks, F.count(F.lit(1)).alias("n")).write.parquet(path)
     blocks = spark.read.schema(blocks.schema).parquet(path)      # schema given: empty input is fine
-    if blocks.count() <= MAX_BROADCAST_BLOCKS:
+    if int(n_blocks.get.get("n", 0)) <= MAX_BROADCAST_BLOCKS:
         blocks = F.broadcast(blocks)
     return (tagged.join(blocks, [file_col, "_block"])
             .withColumn(name, F.col("_offset") + F.col("_mono") - F.col("_first"))
