@@ -39,9 +39,24 @@ def get_spark(app: str = "chargeload", cpus: int | str = "*", shuffle_partitions
     return spark
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Cores available to the session (falls back to the shuffle partition count where the
+    SparkContext is not reachable, e.g. over Spark Connect)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder from ``spark.checkpoint.dir``; set a local one only if unset."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): the conf must name it
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf_dir:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster") from None
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current

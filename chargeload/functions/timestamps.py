@@ -38,9 +38,16 @@ def _col(c: Column | str) -> Column:
 
 @lru_cache(maxsize=1)
 def _jvm_zone_ids() -> tuple[str, ...]:
-    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-    ids = spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds()  # noqa: SLF001
-    return tuple(sorted(str(z) for z in ids))
+    """Region zone ids the executors' JVM can convert (the Python tz database's list where
+    the JVM is not reachable from here, e.g. over Spark Connect)."""
+    try:
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        ids = spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds()  # noqa: SLF001
+        return tuple(sorted(str(z) for z in ids))
+    except Exception:  # noqa: BLE001
+        import zoneinfo
+
+        return tuple(sorted(zoneinfo.available_timezones()))
 
 
 def known_zone(tz: Column | str) -> Column:

@@ -79,7 +79,9 @@ def time_grid(bounds: DataFrame, interval_minutes: int = DEFAULT_INTERVAL_MINUTE
     Start and end are inclusive: start, start+Δ, … ≤ end. The chunk rows are always
     spread over the cluster, so a long grid is not generated by one task."""
     d = interval_micros(interval_minutes)
-    spread = spread or bounds.sparkSession.sparkContext.defaultParallelism
+    from chargeload.config import parallelism
+
+    spread = spread or parallelism(bounds.sparkSession)
     b = bounds.where(F.col("n_steps").isNotNull()).select("start_us", "n_steps")
     g = _chunked_range(F.lit(0).cast("long"), F.col("n_steps") - 1, chunk_steps, "step_index", spread, b,
                        ["start_us"])

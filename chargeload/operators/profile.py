@@ -68,8 +68,9 @@ def _context(policy_seed: int, interval_minutes: int) -> StepContext:
 def _auto_spread(df: DataFrame) -> int | None:
     """Partitions to spread step chunks over (2 per core), or None when the input is
     already wide."""
-    sc = df.sparkSession.sparkContext
-    want = 2 * sc.defaultParallelism
+    from chargeload.config import parallelism
+
+    want = 2 * parallelism(df.sparkSession)
     try:
         have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - e.g. Spark Connect: just spread

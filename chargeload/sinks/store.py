@@ -30,8 +30,15 @@ MAX_BROADCAST_IDS = 2_000_000
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True when ``path`` exists on its file system (local, HDFS, object store)."""
-    jvm = spark.sparkContext._jvm  # noqa: SLF001
-    conf = spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    try:
+        jvm = spark.sparkContext._jvm  # noqa: SLF001
+        conf = spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    except Exception:  # noqa: BLE001 - no JVM handle (Spark Connect): ask a file listing
+        try:
+            spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+            return True
+        except Exception:  # noqa: BLE001
+            return False
     p = jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(conf).exists(p))
 
