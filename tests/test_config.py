@@ -31,6 +31,6 @@ def test_fallbacks_without_a_spark_context():
     from chargeload.config import parallelism
 
     assert parallelism(_NoContext({"spark.sql.shuffle.partitions": "64"})) == 64
-    assert shared_dir(_NoContext({"spark.checkpoint.dir": "s3://bucket/ckpt"})) == "s3://bucket/ckpt"
+    assert shared_dir(_NoContext({"spark.checkpoint.dir": "hdfs:///shared/ckpt"})) == "hdfs:///shared/ckpt"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(_NoContext({}))
