@@ -1,6 +1,6 @@
 """Scalar column builders (C-family): timestamps, numbers, text, rounding."""
 
-from chargeload.functions.numbers import hms_minutes, round6, round_half_up, safe_double, text_or_null
+from chargeload.functions.numbers import hms_minutes, positive, round6, round_half_up, safe_double, text_or_null
 from chargeload.functions.timestamps import (
     DEFAULT_RECORD_ZONE,
     FALLBACK_DATETIME_PATTERNS,
@@ -15,6 +15,6 @@ from chargeload.functions.timestamps import (
 
 __all__ = [
     "DEFAULT_RECORD_ZONE", "FALLBACK_DATETIME_PATTERNS", "duration_minutes", "from_micros",
-    "hms_minutes", "iso_timestamp", "known_zone", "micros", "multi_format_timestamp",
+    "hms_minutes", "iso_timestamp", "positive", "known_zone", "micros", "multi_format_timestamp",
     "record_zone", "round6", "round_half_up", "safe_double", "text_or_null",
 ]

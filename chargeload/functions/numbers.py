@@ -35,14 +35,22 @@ def hms_minutes(value: Column | str) -> Column:
             .when((n == 2) & h.isNotNull() & m.isNotNull(), h * 60 + m))
 
 
+def positive(value: Column | str) -> Column:
+    """value > 0 as Python compares floats: NaN is not positive (Spark orders NaN above
+    every number, so a bare ``> 0`` would be true for it)."""
+    c = _col(value)
+    return ~F.isnan(c) & (c > 0)
+
+
 def round_half_up(value: Column | str, digits: int) -> Column:
     """Round half away from zero on the decimal value (float noise snapped at 1e-9 first).
 
     Doubles are first taken to 9 decimals so that e.g. 13.124999999999998 (a float sum
     whose exact value is 13.125) rounds as 13.125 would. The result is a double again.
     """
-    dec = _col(value).cast("decimal(28,9)")
-    return F.round(dec, digits).cast("double")
+    c = _col(value)
+    # NaN, ±inf and values beyond the decimal range are passed through unrounded.
+    return F.coalesce(F.round(c.try_cast("decimal(28,9)"), digits).cast("double"), c)
 
 
 def round6(value: Column | str) -> Column:

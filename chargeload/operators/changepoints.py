@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chargeload.functions.numbers import positive
 from chargeload.operators.grid import _chunked_range, interval_hours, interval_micros
 from chargeload.operators.profile import LoadProfile
 from chargeload.operators.rows import attach_row
@@ -43,7 +44,7 @@ def change_events(profile: LoadProfile) -> DataFrame:
     k0, k1 = F.col("k0"), F.col("k1")
     n = k1 - k0 + 1
     E, q = F.col("energy_target_kwh"), F.col("_q")
-    charging = (E > 0) & (q > 0)
+    charging = positive(E) & (q > 0)
     x = F.when(charging, E / q).otherwise(F.lit(0.0))
     full = F.least(F.floor(x).cast("double"), n.cast("double")).cast("long")         # full steps
     rem = F.when(charging, E - full.cast("double") * q).otherwise(F.lit(0.0))         # last, partial

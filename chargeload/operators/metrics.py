@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chargeload.functions.numbers import round_half_up
+from chargeload.functions.numbers import positive, round_half_up
 from chargeload.operators.curves import fleet_load_curve
 from chargeload.operators.profile import LoadProfile
 from chargeload.operators.rows import attach_row
@@ -49,7 +49,7 @@ def completion_rate(targets: DataFrame, delivered: DataFrame, threshold: float =
 def targets_of(sessions: DataFrame) -> DataFrame:
     """Completion targets: requested energy > 0, from every given session (valid or not),
     one per session id (a partial aggregation, so a repeated id collapses map-side)."""
-    return (sessions.where(F.col("energy_requested_kwh") > 0)
+    return (sessions.where(positive("energy_requested_kwh"))
             .select("session_id", F.col("energy_requested_kwh").alias("target_kwh"))
             .dropDuplicates(["session_id"]))
 
@@ -75,12 +75,12 @@ def session_kpis(profile: LoadProfile, threshold: float = COMPLETION_THRESHOLD)
     valid = totals.agg(
         F.count(F.lit(1)).alias("sessions_count"),
         F.coalesce(F.sum("delivered_kwh"), F.lit(0.0)).alias("total_energy_kwh"),
-        F.count_if((F.col("energy_requested_kwh") > 0)
+        F.count_if(positive("energy_requested_kwh")
                    & _completed(F.col("energy_requested_kwh"), F.col("delivered_kwh"), threshold))
         .alias("sessions_completed"),
         F.coalesce(F.sum("n_session_steps"), F.lit(0)).cast("long").alias("decisions"),
     )
-    targets = profile.sessions.agg(F.count_if(F.col("energy_requested_kwh") > 0).alias("targets_total"))
+    targets = profile.sessions.agg(F.count_if(positive("energy_requested_kwh")).alias("targets_total"))
     return attach_row(valid, targets)
 
 

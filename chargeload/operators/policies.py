@@ -26,6 +26,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chargeload.functions.numbers import positive
 from chargeload.functions.timestamps import MICROS_PER_HOUR
 
 DEFAULT_SEED = 42
@@ -81,7 +82,7 @@ def _immediate_phases(ctx: StepContext) -> Phases:
 
 def _uniform_rate(ctx: StepContext) -> Column:
     h0 = (ctx.departure_us - ctx.first_step_us) / F.lit(1_000_000.0) / F.lit(60.0) / F.lit(60.0)
-    return F.when((ctx.target > 0) & (h0 > 0), F.least(ctx.target / h0, ctx.max_rate)).otherwise(F.lit(0.0))
+    return F.when(positive(ctx.target) & (h0 > 0), F.least(ctx.target / h0, ctx.max_rate)).otherwise(F.lit(0.0))
 
 
 def _uniform_phases(ctx: StepContext) -> Phases:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chargeload.functions.numbers import positive
 from chargeload.operators.grid import (
     DEFAULT_CHUNK_STEPS,
     DEFAULT_INTERVAL_MINUTES,
@@ -107,14 +108,15 @@ class LoadProfile:
         hashing and divisions are not repeated for every step row."""
         ph = self.policy.phases(_context(self.seed, self.interval_minutes))
         flat = ph.flat_rate if ph.flat_rate is not None else F.lit(None).cast("double")
-        return self.ranged.select("*", ph.offset.cast("long").alias("_a"), ph.step_energy.alias("_q"),
-                                  flat.alias("_flat"))
+        # Only a positive target charges (a NaN target never does: "remaining" is then 0).
+        q = F.when(positive("energy_target_kwh"), ph.step_energy).otherwise(F.lit(0.0))
+        return self.ranged.select("*", ph.offset.cast("long").alias("_a"), q.alias("_q"), flat.alias("_flat"))
 
     def session_totals(self) -> DataFrame:
         """Per valid session: steps plugged in and energy delivered over them (closed form)."""
         E, q = F.col("energy_target_kwh"), F.col("_q")
         charging_steps = F.greatest(F.lit(0).cast("long"), F.col("n_session_steps") - F.col("_a"))
-        total = F.greatest(F.lit(0.0), F.least(E, charging_steps * q))
+        total = F.when(q > 0, F.greatest(F.lit(0.0), F.least(E, charging_steps * q))).otherwise(F.lit(0.0))
         return self.phased().select(
             "session_id", "station_id", "energy_requested_kwh", "energy_target_kwh", "n_session_steps",
             total.alias("delivered_kwh"))
@@ -142,7 +144,7 @@ class LoadProfile:
             rate.alias("charge_rate_kw"),
             energy.alias("energy_delivered_kwh"),
             before.alias("delivered_so_far_kwh"),
-            F.greatest(F.lit(0.0), E - before).alias("remaining_energy_kwh"),
+            F.when(positive(E - before), E - before).otherwise(F.lit(0.0)).alias("remaining_energy_kwh"),
             remaining_minutes.alias("remaining_minutes"),
         )
 

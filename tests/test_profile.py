@@ -233,3 +233,15 @@ def test_analyze_with_only_invalid_sessions_stores_zeros(spark, tmp_path):
     r = k.first()
     assert (r["sessions_count"], r["peak_load_kw"], r["completion_rate"], r["targets_total"]) == (0, 0.0, 0.0, 1)
     assert fleet.count() == 0 and stations.count() == 0
+
+
+def test_nan_target_never_charges(spark):
+    rows = [("n", "st", D(2020, 8, 1, 8), D(2020, 8, 1, 10), float("nan"), None, 7.2, 120, True),
+            ("ok", "st", D(2020, 8, 1, 8), D(2020, 8, 1, 10), 5.0, None, 7.2, 120, True)]
+    for policy in list_policies():
+        p = load_profile(spark.createDataFrame(rows, SCHEMA), policy, 15)
+        d = p.steps().where("session_id = 'n'").collect()
+        assert len(d) == 8 and all(r["energy_delivered_kwh"] == 0.0 and r["charge_rate_kw"] == 0.0 for r in d)
+        assert all(r["remaining_energy_kwh"] == 0.0 for r in d)
+        k = metrics.baseline_metrics(p).first()
+        assert k["total_energy_kwh"] == 5.0
