@@ -69,19 +69,19 @@ def load_kpis(fleet: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def session_kpis(profile: LoadProfile, threshold: float = COMPLETION_THRESHOLD) -> DataFrame:
-    """One row from sessions only: sessions_count, total_energy_kwh, sessions_completed,
-    targets_total (closed-form delivered energy; no expansion)."""
-    totals = profile.session_totals()
-    valid = totals.agg(
-        F.count(F.lit(1)).alias("sessions_count"),
-        F.coalesce(F.sum("delivered_kwh"), F.lit(0.0)).alias("total_energy_kwh"),
-        F.count_if(positive("energy_requested_kwh")
-                   & _completed(F.col("energy_requested_kwh"), F.col("delivered_kwh"), threshold))
+    """One row from one pass over every given session: sessions_count (valid),
+    total_energy_kwh, sessions_completed, decisions (valid sessions' steps) and
+    targets_total (requested > 0, valid or not). Closed-form delivered energy; no expansion."""
+    t = profile.session_totals(all_rows=True)
+    valid, req = F.col("_valid"), F.col("energy_requested_kwh")
+    return t.agg(
+        F.count_if(valid).alias("sessions_count"),
+        F.coalesce(F.sum(F.when(valid, F.col("delivered_kwh"))), F.lit(0.0)).alias("total_energy_kwh"),
+        F.count_if(valid & positive(req) & _completed(req, F.col("delivered_kwh"), threshold))
         .alias("sessions_completed"),
-        F.coalesce(F.sum("n_session_steps"), F.lit(0)).cast("long").alias("decisions"),
+        F.coalesce(F.sum(F.when(valid, F.col("n_session_steps"))), F.lit(0)).cast("long").alias("decisions"),
+        F.count_if(positive(req)).alias("targets_total"),
     )
-    targets = profile.sessions.agg(F.count_if(positive("energy_requested_kwh")).alias("targets_total"))
-    return attach_row(valid, targets)
 
 
 def baseline_metrics(profile: LoadProfile, fleet: DataFrame | None = None,

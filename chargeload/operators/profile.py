@@ -84,7 +84,7 @@ class LoadProfile:
     """A lazy load analysis of one set of sessions under one policy and step length."""
 
     sessions: DataFrame          # every given session (valid or not)
-    ranged: DataFrame            # valid, prepared sessions + start_us, k0, k1, n_session_steps
+    ranged_all: DataFrame        # every prepared session + _valid flag, start_us, k0, k1, n_session_steps
     bounds: DataFrame            # one row: grid_start, grid_end, start_us, n_steps
     policy: Policy
     interval_minutes: int
@@ -96,30 +96,40 @@ class LoadProfile:
     def policy_name(self) -> str:
         return self.policy.name
 
+    @property
+    def ranged(self) -> DataFrame:
+        """Valid, prepared sessions with their step range (what is expanded)."""
+        return self.ranged_all.where(F.col("_valid")).drop("_valid")
+
     def grid(self) -> DataFrame:
         return time_grid(self.bounds, self.interval_minutes, self.chunk_steps, self.spread)
 
     def sessions_count(self) -> DataFrame:
         return self.ranged.agg(F.count(F.lit(1)).alias("sessions_count"))
 
-    def phased(self) -> DataFrame:
+    def phased(self, all_rows: bool = False) -> DataFrame:
         """``ranged`` plus the policy's per-session schedule (_a offset, _q step energy,
         _flat flat rate or NULL). Computed once per session, before any expansion, so
-        hashing and divisions are not repeated for every step row."""
+        hashing and divisions are not repeated for every step row. ``all_rows`` keeps
+        invalid sessions too (with their ``_valid`` flag)."""
         ph = self.policy.phases(_context(self.seed, self.interval_minutes))
         flat = ph.flat_rate if ph.flat_rate is not None else F.lit(None).cast("double")
         # Only a positive target charges (a NaN target never does: "remaining" is then 0).
         q = F.when(positive("energy_target_kwh"), ph.step_energy).otherwise(F.lit(0.0))
-        return self.ranged.select("*", ph.offset.cast("long").alias("_a"), q.alias("_q"), flat.alias("_flat"))
+        base = self.ranged_all if all_rows else self.ranged
+        return base.select("*", ph.offset.cast("long").alias("_a"), q.alias("_q"), flat.alias("_flat"))
 
-    def session_totals(self) -> DataFrame:
-        """Per valid session: steps plugged in and energy delivered over them (closed form)."""
+    def session_totals(self, all_rows: bool = False) -> DataFrame:
+        """Per valid session (every session with ``all_rows``, flagged ``_valid``): steps
+        plugged in and energy delivered over them (closed form; 0 for invalid ones)."""
         E, q = F.col("energy_target_kwh"), F.col("_q")
         charging_steps = F.greatest(F.lit(0).cast("long"), F.col("n_session_steps") - F.col("_a"))
         total = F.when(q > 0, F.greatest(F.lit(0.0), F.least(E, charging_steps * q))).otherwise(F.lit(0.0))
-        return self.phased().select(
-            "session_id", "station_id", "energy_requested_kwh", "energy_target_kwh", "n_session_steps",
-            total.alias("delivered_kwh"))
+        cols = ["session_id", "station_id", "energy_requested_kwh", "energy_target_kwh", "n_session_steps"]
+        if all_rows:
+            return self.phased(True).select(*cols, "_valid",
+                                            F.when(F.col("_valid"), total).otherwise(F.lit(0.0)).alias("delivered_kwh"))
+        return self.phased().select(*cols, total.alias("delivered_kwh"))
 
     def steps(self) -> DataFrame:
         """One row per (session, step): station, step, timestamp, rate, energy, state.
@@ -160,10 +170,12 @@ def load_profile(sessions: DataFrame, policy: str = "immediate_charge",
     everything touching data stays lazy."""
     pol = get_policy(policy)
     interval_micros(interval_minutes)
-    prepared = session_frame(valid_sessions(sessions), keep=("energy_requested_kwh",))
-    bounds = time_bounds(prepared, interval_minutes)
-    ranged = with_step_range(prepared, bounds, interval_minutes)
+    flag = F.col("is_valid") if "is_valid" in sessions.columns else F.lit(True)
+    prepared_all = session_frame(sessions.withColumn("_valid", F.coalesce(flag, F.lit(False))),
+                                 keep=("energy_requested_kwh", "_valid"))
+    bounds = time_bounds(prepared_all.where(F.col("_valid")), interval_minutes)
+    ranged_all = with_step_range(prepared_all, bounds, interval_minutes)
     if spread == "auto":
         spread = _auto_spread(sessions)
-    return LoadProfile(sessions=sessions, ranged=ranged, bounds=bounds, policy=pol,
+    return LoadProfile(sessions=sessions, ranged_all=ranged_all, bounds=bounds, policy=pol,
                        interval_minutes=interval_minutes, seed=seed, chunk_steps=chunk_steps, spread=spread)
