@@ -170,9 +170,19 @@ def page_by_source(spark: SparkSession, root: str, dataset: str, limit: int = 10
 
 
 # --- ledgers -----------------------------------------------------------------------------
+#
+# Runs, loads and ledger rows are written into their own ``run_id`` partition with
+# dynamic partition overwrite: each job then stages in a private folder
+# (``.spark-staging-<job>``), so concurrent analyses or ingests into one root cannot
+# trip over a shared ``_temporary`` folder, and for a fresh run_id it is an append.
+
+def _write_run_partition(df: DataFrame, path: str) -> None:
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("run_id").parquet(path))
+
 
 def append_ingest_run(spark: SparkSession, root: str, row: dict) -> None:
-    spark.createDataFrame([row], INGEST_RUN).write.mode("append").parquet(f"{root.rstrip('/')}/ingest_runs")
+    _write_run_partition(spark.createDataFrame([row], INGEST_RUN), f"{root.rstrip('/')}/ingest_runs")
 
 
 def read_ingest_runs(spark: SparkSession, root: str) -> DataFrame:
@@ -183,14 +193,14 @@ def read_ingest_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def append_run(spark: SparkSession, root: str, run_row: DataFrame) -> None:
-    run_row.select(*[F.col(f.name).cast(f.dataType) for f in RUN.fields]).write.mode("append").parquet(
-        f"{root.rstrip('/')}/runs")
+    _write_run_partition(run_row.select(*[F.col(f.name).cast(f.dataType) for f in RUN.fields]),
+                         f"{root.rstrip('/')}/runs")
 
 
 def write_load(load: DataFrame, root: str) -> None:
-    """Append LOAD rows (one run) partitioned by run_id."""
-    load.select(*[F.col(f.name).cast(f.dataType) for f in LOAD.fields]).write.mode("append") \
-        .partitionBy("run_id").parquet(f"{root.rstrip('/')}/loads")
+    """Add the LOAD rows of one run (its own run_id partition)."""
+    _write_run_partition(load.select(*[F.col(f.name).cast(f.dataType) for f in LOAD.fields]),
+                         f"{root.rstrip('/')}/loads")
 
 
 def get_run(spark: SparkSession, root: str, run_id: str) -> DataFrame:

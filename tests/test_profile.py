@@ -245,3 +245,27 @@ def test_nan_target_never_charges(spark):
         assert all(r["remaining_energy_kwh"] == 0.0 for r in d)
         k = metrics.baseline_metrics(p).first()
         assert k["total_energy_kwh"] == 5.0
+
+
+def test_concurrent_analyses_into_one_root(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from chargeload.operators.quality import validate
+    from chargeload.plans.jobs import analyze
+    from chargeload.sinks import store
+
+    s = three_sessions(spark).withColumn("source_dataset", F.lit("t"))
+    full = validate(s.withColumn("source_record_id", F.col("session_id")).withColumn("port_id", F.lit(None).cast("string"))
+                    .withColumn("vehicle_id", F.lit(None).cast("string"))
+                    .withColumn("average_charge_rate_kw", F.lit(None).cast("double"))
+                    .withColumn("charging_duration_minutes", F.lit(None).cast("int"))
+                    .withColumn("raw_payload", F.lit("{}")))
+    root = str(tmp_path)
+    store.insert_new_sessions(spark, full, root, order_cols=["session_id"])
+    with ThreadPoolExecutor(2) as pool:
+        ids = list(pool.map(lambda pol: analyze(spark, root, "t", pol, 15),
+                            ["immediate_charge", "uniform_spread"]))
+    assert len(set(ids)) == 2
+    for run_id in ids:
+        k, fleet, _ = store.run_results(spark, root, run_id)
+        assert k.count() == 1 and fleet.count() == 36
