@@ -17,8 +17,8 @@ SCHEMA = ("session_id string, station_id string, arrival_ts timestamp, departure
 
 
 def two_sessions(spark, second_valid=True):
-    rows = [("s1", "st1", D(2020, 8, 1, 8), D(2020, 8, 1, 12), 20.0, 20.0, 6.6, 240, True),
-            ("s2", "st1", D(2020, 8, 1, 9), D(2020, 8, 1, 13), 15.0, 15.0, 6.6, 240, second_valid)]
+    rows = [("s1", "st1", D(2021, 3, 10, 7), D(2021, 3, 10, 11), 20.0, 20.0, 6.6, 240, True),
+            ("s2", "st1", D(2021, 3, 10, 8), D(2021, 3, 10, 12), 15.0, 15.0, 6.6, 240, second_valid)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -36,20 +36,20 @@ def test_time_index(spark):
 
 
 def three_sessions(spark):
-    rows = [("s1", "st1", D(2020, 8, 1, 8), D(2020, 8, 1, 12), 20.0, 20.0, 6.6, 240, True),
-            ("s2", "st1", D(2020, 8, 1, 9), D(2020, 8, 1, 17), 40.0, 40.0, 7.2, 480, True),
-            ("s3", "st2", D(2020, 8, 1, 10), D(2020, 8, 1, 14), 30.0, 30.0, 6.6, 240, True)]
+    rows = [("s1", "st1", D(2021, 3, 10, 7), D(2021, 3, 10, 11), 20.0, 20.0, 6.6, 240, True),
+            ("s2", "st1", D(2021, 3, 10, 8), D(2021, 3, 10, 16), 40.0, 40.0, 7.2, 480, True),
+            ("s3", "st2", D(2021, 3, 10, 9), D(2021, 3, 10, 13), 30.0, 30.0, 6.6, 240, True)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
 def test_bounds_and_active_sessions(spark):
     s = three_sessions(spark)
     b = time_bounds(s).first()
-    assert (b["grid_start"], b["grid_end"]) == (D(2020, 8, 1, 8), D(2020, 8, 1, 17))
+    assert (b["grid_start"], b["grid_end"]) == (D(2021, 3, 10, 7), D(2021, 3, 10, 16))
     frame = session_frame(s)
-    got = {t: sorted(r["session_id"] for r in active_sessions_at(frame, D(2020, 8, 1, *t)).collect())
-           for t in ((8, 30), (10, 30), (14, 30), (18, 0))}
-    assert got == {(8, 30): ["s1"], (10, 30): ["s1", "s2", "s3"], (14, 30): ["s2"], (18, 0): []}
+    got = {t: sorted(r["session_id"] for r in active_sessions_at(frame, D(2021, 3, 10, *t)).collect())
+           for t in ((7, 30), (9, 30), (13, 30), (17, 0))}
+    assert got == {(7, 30): ["s1"], (9, 30): ["s1", "s2", "s3"], (13, 30): ["s2"], (17, 0): []}
 
 
 def test_session_frame_defaults(spark):
@@ -141,13 +141,13 @@ def test_zero_rate_does_not_fail(spark):
 
 
 def test_curves_from_decisions(spark):
-    rows = [("s1", D(2020, 8, 1, 8, 0), 5.0, 0.42), ("s2", D(2020, 8, 1, 8, 0), 3.0, 0.25),
-            ("s1", D(2020, 8, 1, 8, 5), 5.0, 0.42), ("s2", D(2020, 8, 1, 8, 5), 0.0, 0.0)]
+    rows = [("s1", D(2021, 3, 10, 6, 0), 4.0, 0.33), ("s2", D(2021, 3, 10, 6, 0), 2.0, 0.17),
+            ("s1", D(2021, 3, 10, 6, 5), 4.0, 0.33), ("s2", D(2021, 3, 10, 6, 5), 0.0, 0.0)]
     dec = spark.createDataFrame(rows, "session_id string, timestamp timestamp, charge_rate_kw double, "
                                       "energy_delivered_kwh double")
     sessions = spark.createDataFrame([("s1", "st1"), ("s2", "st2")], "session_id string, station_id string")
     fleet = curves.fleet_load_curve(dec).collect()
-    assert [(r["total_load_kw"], r["active_sessions"]) for r in fleet] == [(8.0, 2), (5.0, 2)]
+    assert [(r["total_load_kw"], r["active_sessions"]) for r in fleet] == [(6.0, 2), (4.0, 2)]
     assert curves.station_load_curves(dec, sessions).count() == 4
     ts = curves.load_timeseries(dec, sessions)
     assert ts.where("level = 'fleet'").count() == 2 and ts.where("level = 'station'").count() == 4
