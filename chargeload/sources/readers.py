@@ -57,10 +57,13 @@ def read_json_records(spark: SparkSession, path: str, layout: str = "auto", on_m
     return raw.select("record", "_file", F.col("_row").cast("long").alias("_row"))
 
 
-def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV, all columns as text, plus ``_file`` and ``_row``."""
+def read_csv_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Header CSV, all columns as text, plus ``_file`` and ``_row``.
+
+    ``multi_line=True`` accepts quoted fields that contain line breaks (each file is then
+    read by one task, as such files cannot be split)."""
     raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("mode", "PERMISSIVE").csv(path))
+           .option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
     return with_row_ordinal(strip_bom_columns(raw))
 
 

@@ -303,3 +303,11 @@ def test_created_at_and_dedupe_on_read(spark, folder):
     kept = store.read_sessions(spark, root, "acn", dedupe=True)
     assert kept.count() == 4
     assert kept.where("session_id = 'acn-r1'").first()["station_id"] == "st-a"
+
+
+def test_csv_quoted_line_breaks(spark, folder):
+    text = CSV_TEXT.replace("1 Main St", '"1 Main St\nBack entrance"')
+    path = write(folder, "ml.csv", text)
+    recs = read_csv_records(spark, path, multi_line=True).orderBy("_row").collect()
+    assert [r["_row"] for r in recs] == [0, 1, 2, 3, 4]
+    assert recs[0]["Address"] == "1 Main St\nBack entrance" and recs[4]["Station_Name"] == "E"
