@@ -102,3 +102,13 @@ def test_lookup_filter_is_pushed_to_the_scan(spark, tmp_path):
     store.insert_new_sessions(spark, events_sessions(spark, SF), root, order_cols=["source_record_id"])
     text = plan(store.session_lookup(spark, root, "events-12"))
     assert "PushedFilters: [IsNotNull(session_id), EqualTo(session_id,events-12)]" in text
+
+
+def test_expansion_runs_inside_whole_stage_codegen(spark):
+    import re
+
+    df = E.queries()["load_timeseries"](spark, SF)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\*\(\d+\) Generate explode", text)) >= 2     # both explode levels fused
+    assert re.search(r"\*\(\d+\) HashAggregate\(keys=\[timestamp#\d+, station_id#\d+\], functions=\[partial_sum", text)
