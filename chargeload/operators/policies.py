@@ -130,6 +130,12 @@ POLICY_REGISTRY: dict[str, Policy] = {
 }
 
 
+def register_policy(policy: Policy) -> None:
+    """Add (or replace) a policy. Its ``schedule`` maps a :class:`StepContext` to
+    :class:`Phases`; steps, change points and KPIs then work for it unchanged."""
+    POLICY_REGISTRY[policy.name] = policy
+
+
 def get_policy(name: str) -> Policy:
     """Policy by name; unknown names raise the same message as the reference service."""
     policy = POLICY_REGISTRY.get(name)

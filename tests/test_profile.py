@@ -269,3 +269,23 @@ def test_concurrent_analyses_into_one_root(spark, tmp_path):
     for run_id in ids:
         k, fleet, _ = store.run_results(spark, root, run_id)
         assert k.count() == 1 and fleet.count() == 36
+
+
+def test_custom_policy_through_the_extension_point(spark):
+    from pyspark.sql import functions as F
+
+    from chargeload.operators import changepoints
+    from chargeload.operators.policies import POLICY_REGISTRY, Phases, Policy, register_policy
+
+    half = Policy("half_rate", "Charge at half the max rate from arrival.",
+                  lambda ctx: Phases(F.lit(0).cast("long"), ctx.max_rate * F.lit(ctx.h) / F.lit(2.0)))
+    register_policy(half)
+    try:
+        p = load_profile(two_sessions(spark), "half_rate", 15)
+        loads = [r["load_kw"] for r in curves.zero_filled_load(
+            p.grid(), curves.fleet_load_curve(p.steps(), sort=False)).orderBy("step_index").collect()]
+        assert max(loads) == pytest.approx(6.6) and loads[0] == pytest.approx(3.3)
+        a = changepoints.load_timeseries(p).where("level = 'fleet'").agg(F.sum("energy_kwh")).first()[0]
+        assert a == pytest.approx(26.4)          # 3.3 kW for 4 h each: 13.2 kWh, below both targets
+    finally:
+        POLICY_REGISTRY.pop("half_rate", None)
