@@ -6,7 +6,7 @@ integer range computed arithmetically:
     k0 = ceil((arrival − start) / Δ)          first step with t_k ≥ arrival
     k1 = ceil((departure − start) / Δ) − 1    last step with t_k < departure
 
-That replaces the reference's per-step rescan of all sessions (a theta join) with a
+That replaces the per-step rescan of all sessions (a theta join) of the service we replace with a
 generator. The range is exploded in two levels — chunks of ``chunk_steps`` first, then
 steps inside a chunk — so no row ever builds an array longer than
 ``max(chunk_steps, steps/chunk_steps)``. With ``spread`` the chunk rows are

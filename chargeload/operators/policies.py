@@ -1,6 +1,6 @@
 """Charging policies (G4–G8) as closed-form column expressions.
 
-A session's state in the reference depends only on the session itself (no shared
+A session's state in the service we replace depends only on the session itself (no shared
 station or fleet limit), so each policy's step-by-step recursion has a closed form in
 the session-local step ordinal ``j = step_index − k0``. With target E, max rate r,
 step length h (hours):
@@ -137,7 +137,7 @@ def register_policy(policy: Policy) -> None:
 
 
 def get_policy(name: str) -> Policy:
-    """Policy by name; unknown names raise the same message as the reference service."""
+    """Policy by name; unknown names raise the same message as the service we replace."""
     policy = POLICY_REGISTRY.get(name)
     if policy is None:
         available = ", ".join(sorted(POLICY_REGISTRY))
