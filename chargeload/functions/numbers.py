@@ -42,15 +42,22 @@ def positive(value: Column | str) -> Column:
     return ~F.isnan(c) & (c > 0)
 
 
+def snap_scale(digits: int) -> int:
+    """Decimals kept before rounding to ``digits``: 4 more, at most 9."""
+    return min(9, digits + 4)
+
+
 def round_half_up(value: Column | str, digits: int) -> Column:
-    """Round half away from zero on the decimal value (float noise snapped at 1e-9 first).
+    """Round half away from zero on the decimal value, after snapping float noise.
 
-    Doubles are first taken to 9 decimals so that e.g. 13.124999999999998 (a float sum
-    whose exact value is 13.125) rounds as 13.125 would. The result is a double again.
-    """
+    The value is first taken to ``snap_scale(digits)`` decimals so that e.g.
+    13.124999999999998 (a float sum whose exact value is 13.125) rounds as 13.125
+    would. Large sums carry more float noise, so figures rounded to 2 decimals snap at 6.
+    The result is a double again."""
     c = _col(value)
     # NaN, ±inf and values beyond the decimal range are passed through unrounded.
-    return F.coalesce(F.round(c.try_cast("decimal(28,9)"), digits).cast("double"), c)
+    snapped = c.try_cast(f"decimal(38,{snap_scale(digits)})")
+    return F.coalesce(F.round(snapped, digits).cast("double"), c.cast("double"))
 
 
 def round6(value: Column | str) -> Column:

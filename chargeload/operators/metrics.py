@@ -76,7 +76,9 @@ def session_kpis(profile: LoadProfile, threshold: float = COMPLETION_THRESHOLD)
     valid, req = F.col("_valid"), F.col("energy_requested_kwh")
     return t.agg(
         F.count_if(valid).alias("sessions_count"),
-        F.coalesce(F.sum(F.when(valid, F.col("delivered_kwh"))), F.lit(0.0)).alias("total_energy_kwh"),
+        # exact (decimal) sum: the total does not depend on the summation order
+        F.coalesce(F.sum(F.when(valid, F.col("delivered_kwh")).cast("decimal(38,18)")),
+                   F.lit(0).cast("decimal(38,18)")).alias("total_energy_kwh"),
         F.count_if(valid & positive(req) & _completed(req, F.col("delivered_kwh"), threshold))
         .alias("sessions_completed"),
         F.coalesce(F.sum(F.when(valid, F.col("n_session_steps"))), F.lit(0)).cast("long").alias("decisions"),

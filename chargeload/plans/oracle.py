@@ -140,7 +140,7 @@ def with_sessions(body: str) -> str:
 
 def r2(x: str, digits: int) -> str:
     """Exact half-up rounding on the decimal value (mirrors functions.round_half_up)."""
-    return f"CAST(round(CAST({x} AS DECIMAL(28,9)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST({x} AS DECIMAL(38,{min(9, digits + 4)})), {digits}) AS DOUBLE)"
 
 
 # --- raw-file sources ------------------------------------------------------------------

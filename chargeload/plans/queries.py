@@ -264,7 +264,7 @@ t AS (SELECT session_id, energy_requested_kwh AS target FROM checked WHERE energ
 j AS (SELECT t.target, coalesce(d.energy_kwh, {O.dbl(0)}) AS got FROM t LEFT JOIN delivered d USING (session_id)),
 comp AS (SELECT count(*) FILTER (WHERE target <= 0 OR got / target >= {O.dbl(0.95)}) AS done, count(*) AS total FROM j),
 agg AS (SELECT coalesce(max(load), 0) AS peak, coalesce(sum(load), 0) AS total_load FROM fl),
-en AS (SELECT coalesce(sum(energy), 0) AS energy, count(*) AS n_dec FROM loop),
+en AS (SELECT coalesce(sum(CAST(energy AS DECIMAL(38,18))), 0) AS energy, count(*) AS n_dec FROM loop),
 nb AS (SELECT (epoch_us(t_end) - epoch_us(t_start)) // {O.d_of(STEP_MINUTES)} + 1 AS n_steps FROM b),
 nv AS (SELECT count(*) AS n_valid FROM v)
 SELECT '{policy}' AS policy_name, n_valid AS sessions_total,
