@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -42,7 +43,7 @@ def utf8_blocks(batch: pa.RecordBatch, column: str, block_bytes: int = BLOCK_BYT
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + block_bytes, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + BLOCK_ROWS)
         yield lo, hi, data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
         lo = hi
 
