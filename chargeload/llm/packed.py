@@ -3,7 +3,8 @@
 A map task groups its numbers by bucket (a hash of the key they must meet on) and sends one
 binary row per bucket and flush instead of one row per number. Spark shuffles those rows, a
 bucket to a partition. The number of buckets is ``spark.sql.shuffle.partitions``, so it is
-sized to the input like that of any other shuffle.
+sized to the input like that of any other shuffle. Where a task should hold less than a
+partition at a time, senders use several buckets for each partition.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def split_by_bucket(buckets: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarr
         yield int(b), order[edges[b]: edges[b + 1]]
 
 
-def per_bucket(rows: DataFrame, buckets: int, fn: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def per_bucket(rows: DataFrame, parts: int, fn: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Bring the blobs of each bucket together, in a stable order, and apply `fn` to each bucket."""
     def run(batches):
         found: dict[int, list[bytes]] = {}
@@ -64,4 +65,4 @@ def per_bucket(rows: DataFrame, buckets: int, fn: Callable[[int, list[tuple]], I
         for b in sorted(found):
             yield from fn(b, [unpack(x) for x in sorted(found.pop(b))])
 
-    return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(run, schema)
+    return rows.repartitionById(parts, F.col("bucket") % parts).mapInArrow(run, schema)

@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import staged, without
 from .packed import PACKED, bucket_count, pack, packed_rows, per_bucket, split_by_bucket
 from .textblocks import prefix_sums, span_hash, utf8_blocks, window_hash
 
 WIDTH = 50
 GRAM = 20
 FLUSH = 1_000_000  # anchors or segments that a map task holds before it sends them
+SORT_BYTES = 2 << 20  # bytes of segments sorted at once, unless one anchor has more
 _H48 = np.uint64((1 << 48) - 1)
 _SPANS = "spans array<struct<start: bigint, end: bigint>>"
 
@@ -244,7 +245,7 @@ def _segment_rows(width: int, buckets: int):
         for b, at in split_by_bucket((h % np.uint64(buckets)).astype(np.int64), buckets):
             _, once, which = np.unique(mark[at], return_index=True, return_inverse=True)
             n = length[at][once]
-            yield b, pack(take_spans(text, place[at][once], n), n.astype(np.uint32), which.astype(np.uint32), np.diff(doc[at], prepend=0), key[at], start[at].astype(np.uint32 if start.max() < 1 << 32 else np.int64))
+            yield b, pack(take_spans(text, place[at][once], n), n.astype(np.uint32), h[at][once], which.astype(np.uint32), np.diff(doc[at], prepend=0), key[at], start[at].astype(np.uint32 if start.max() < 1 << 32 else np.int64))
 
     def run(batches):
         def parts():
@@ -260,7 +261,7 @@ def _segment_rows(width: int, buckets: int):
                         continue
                     held.append((h, span_hash(prefix_sums(data), start, start + length) + length.astype(np.uint64), length, ids[lo:hi][row], keys[lo:hi][row], start - offsets[row], take_spans(data, start, length)))
                     n += len(h)
-                    if n >= FLUSH // 4:
+                    if n >= FLUSH // 2:
                         yield from flush(held)
                         held, n = [], 0
             if held:
@@ -270,36 +271,69 @@ def _segment_rows(width: int, buckets: int):
     return run
 
 
+def _window_owners(raw: np.ndarray, length: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
+    """The least id among the segments that hold each window, for all windows of all segments in order."""
+    # one byte between segments; windows never cross it, so its value doesn't matter
+    at = np.cumsum(length + 1) - (length + 1)
+    text = np.zeros(int((length + 1).sum()), np.uint8)
+    text[np.arange(len(raw)) + np.repeat(np.arange(len(length)), length)] = raw
+    windows = length - width + 1
+    of = np.full(len(text), -1, np.int32)
+    starts = np.repeat(at - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+    of[starts] = np.repeat(np.arange(len(length), dtype=np.int32), windows)
+    keys = byte_words(text)
+    order = suffix_order(text, width, keys)
+    order = order[of[order] >= 0]
+    group = np.cumsum(common_prefixes(keys, order, width) < width) - 1
+    owner = np.zeros(len(text), np.int64)
+    owner[order] = np.minimum.reduceat(least[of[order]], np.flatnonzero(np.diff(group, prepend=-1)))[group]
+    return owner[starts]
+
+
 def _owned_spans(width: int):
     def run(_bucket, blobs):
         """Suffix-sort a bucket's segments and give each document the spans that a smaller id owns."""
         length = np.concatenate([b[1].astype(np.int64) for b in blobs])
+        anchor = np.concatenate([b[2] for b in blobs])
         base = np.cumsum([0, *[len(b[1]) for b in blobs]])
-        seg = np.concatenate([b[2].astype(np.int64) + base[i] for i, b in enumerate(blobs)])
-        doc = np.concatenate([np.cumsum(b[3]) for b in blobs])
-        key = np.concatenate([b[4] for b in blobs])
-        start = np.concatenate([b[5].astype(np.int64) for b in blobs])
+        seg = np.concatenate([b[3].astype(np.int64) + base[i] for i, b in enumerate(blobs)])
+        doc = np.concatenate([np.cumsum(b[4]) for b in blobs])
+        key = np.concatenate([b[5] for b in blobs])
+        start = np.concatenate([b[6].astype(np.int64) for b in blobs])
         raw = np.concatenate([b[0] for b in blobs])
-        # one byte between segments; windows never cross it, so its value doesn't matter
-        at = np.cumsum(length + 1) - (length + 1)
-        text = np.zeros(int((length + 1).sum()), np.uint8)
-        text[np.arange(len(raw)) + np.repeat(np.arange(len(length)), length)] = raw
+        # equal segments of several senders become one
+        at = np.cumsum(length) - length
+        mark = span_hash(prefix_sums(raw), at, at + length)
+        order = np.lexsort((mark, anchor))
+        new = np.append(True, (anchor[order[1:]] != anchor[order[:-1]]) | (mark[order[1:]] != mark[order[:-1]]))
+        to = np.empty(len(order), np.int64)
+        to[order] = np.cumsum(new) - 1
+        seg, once = to[seg], order[new]
+        length, anchor, at = length[once], anchor[once], at[once]
+        least = np.full(len(once), np.iinfo(np.int64).max)
+        np.minimum.at(least, seg, doc)
         windows = length - width + 1
-        owner_of = np.full(len(length), np.iinfo(np.int64).max)
-        np.minimum.at(owner_of, seg, doc)
-        of = np.full(len(text), -1, np.int64)
-        of[np.repeat(at - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))] = np.repeat(np.arange(len(length)), windows)
-        keys = byte_words(text)
-        order = suffix_order(text, width, keys)
-        order = order[of[order] >= 0]
-        group = np.cumsum(common_prefixes(keys, order, width) < width) - 1
-        owner = np.full(len(text), np.iinfo(np.int64).max)
-        owner[order] = np.minimum.reduceat(owner_of[of[order]], np.flatnonzero(np.diff(group, prepend=-1)))[group]
+        # an anchor with one segment owns it whole; the windows of the others' segments are told apart by sorting
+        alone = np.append(True, anchor[1:] != anchor[:-1])
+        alone &= np.append(alone[1:], True)
+        owner_at = np.cumsum(windows) - windows
+        owner = np.repeat(least, windows)
+        mixed = np.flatnonzero(~alone)  # in anchor order: parts end where an anchor does
+        share = np.cumsum(length[mixed]) // SORT_BYTES
+        share = share[np.searchsorted(anchor[mixed], anchor[mixed])]
+        for part in np.split(mixed, np.flatnonzero(np.diff(share)) + 1) if len(mixed) else ():
+            owner[np.repeat(owner_at[part] - (np.cumsum(windows[part]) - windows[part]), windows[part]) + np.arange(int(windows[part].sum()))] = _window_owners(take_spans(raw, at[part], length[part]), length[part], least[part], width)
+        # places that a smaller id owns in part
+        low = np.minimum.reduceat(owner, owner_at)
+        open_ = low[seg] < doc
+        seg, doc, key, start = seg[open_], doc[open_], key[open_], start[open_]
+        if not len(seg):
+            return
         # windows of each place of a segment
         count = windows[seg]
         place = np.repeat(np.arange(len(seg)), count)
         step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        gone = owner[at[seg][place] + step] < doc[place]
+        gone = owner[owner_at[seg][place] + step] < doc[place]
         place, step = place[gone], step[gone]
         if not len(place):
             return
@@ -330,66 +364,62 @@ def union_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], reach[np.append(at[1:], len(spans)) - 1]], 1)
 
 
-def _kept_rows(width: int):
+def _kept_rows(width: int, as_text: bool):
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
-            texts, lists, copies = batch.column("text"), batch.column("spans"), batch.column("copy")
+            rest = [n for n in batch.schema.names if n not in ("marks", "k")]
+            texts, marks, keys = batch.column("text"), batch.column("marks"), batch.column("k").to_pylist()
             n_bytes, kept, spans = [], [], []
             for i in range(batch.num_rows):
                 raw = (texts[i].as_py() or "").encode()
-                got = lists[i].as_py()
-                if copies[i].as_py() and len(raw) >= width:
-                    runs = np.array([[0, len(raw)]])
-                elif got:
-                    runs = union_spans(np.frombuffer(b"".join(got), np.int64).reshape(-1, 2))
+                own = [m["spans"] for m in marks[i].as_py() or () if m["k"] == keys[i]]
+                if None in own:  # a whole copy
+                    runs = np.array([[0, len(raw)]] if len(raw) >= width else [], np.int64).reshape(-1, 2)
                 else:
-                    runs = np.zeros((0, 2), np.int64)
+                    runs = union_spans(np.frombuffer(b"".join(own), np.int64).reshape(-1, 2))
                 out, end = [], 0
                 for a, b in runs.tolist():
                     out.append(raw[end:a])
                     end = b
                 out.append(raw[end:])
                 n_bytes.append(len(raw))
-                kept.append(b"".join(out))
+                kept.append("".join(x.decode("utf-8", "ignore") for x in out) if as_text else b"".join(out))
                 spans.append([{"start": a, "end": b} for a, b in runs.tolist()])
-            result = pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["kept", "n_bytes", "spans"])
-            rest = [n for n in names if n not in ("spans", "copy", "k")]
+            result = pa.StructArray.from_arrays([pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["kept", "n_bytes", "spans"])
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in rest], result], names=[*rest, "dedup"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, as_text: bool = False) -> DataFrame:
     """`docs` (doc_id bigint, text string, any others) with a struct `dedup`: kept (binary: the bytes that
-    stay), n_bytes (of the text), spans (the maximal removed byte runs)."""
+    stay; or their whole characters, as a string), n_bytes (of the text), spans (the maximal removed byte runs)."""
     spark, buckets = docs.sparkSession, bucket_count(docs.sparkSession)
     docs = without(docs, "dedup")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("others") if others else F.lit(1).alias("others"))
+    # the column itself where no cast is needed: a renaming would keep the two joins from sharing their exchange
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("bigint").alias("doc_id")
+    rows = docs.select(doc_id, F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("others") if others else F.lit(1).alias("others"))
     named = rows.where(F.col("doc_id").isNotNull())
     # whole copies
-    digests = named.select("doc_id", "k", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    digests = staged(named.select("doc_id", "k", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")), "digests")
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    copies = digests.join(least, "digest").where(F.col("doc_id") > F.col("least")).select("doc_id", "k", F.lit(True).alias("copy")).distinct()
+    copies = digests.join(least, "digest").where(F.col("doc_id") > F.col("least")).select("doc_id", "k").distinct()
     # shared anchors of the first documents with a text
     anchors = named.select("doc_id", "k", "text").mapInArrow(_anchor_rows(width, buckets), PACKED)
     shared = per_bucket(anchors, buckets, _shared_anchors, "doc_id bigint, anchors binary").groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
     by_id = named.repartition(buckets, "doc_id")
     first = shared.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    marked = by_id.select("doc_id", "k", "text").join(first, "doc_id")
-    sent = marked.mapInArrow(_segment_rows(width, buckets), PACKED)
-    spans = per_bucket(sent, buckets, _owned_spans(width), "doc_id bigint, k bigint, spans binary").groupBy("doc_id", "k").agg(F.collect_list("spans").alias("spans"))
-    joined = by_id.join(spans, ["doc_id", "k"], "left").join(copies, ["doc_id", "k"], "left")
-    unnamed = rows.where(F.col("doc_id").isNull()).withColumns({"spans": F.lit(None).cast("array<binary>"), "copy": F.lit(None).cast("boolean")})
-    columns = ["doc_id", "text", "others", "k", "spans", "copy"]
+    # both joins read the same exchange of the texts: all its columns, by doc_id alone
+    sent = by_id.join(first, "doc_id").mapInArrow(_segment_rows(width, buckets), PACKED)
+    spans = per_bucket(sent, buckets, _owned_spans(width), "doc_id bigint, k bigint, spans binary")
+    marks = spans.union(copies.select("doc_id", "k", F.lit(None).cast("binary"))).groupBy("doc_id").agg(F.collect_list(F.struct("k", "spans")).alias("marks"))
+    joined = by_id.join(marks, "doc_id", "left")
+    unnamed = rows.where(F.col("doc_id").isNull()).withColumn("marks", F.lit(None).cast(joined.schema["marks"].dataType))
+    columns = ["doc_id", "text", "others", "k", "marks"]
     joined = joined.select(*columns).unionByName(unnamed.select(*columns))
-    schema = f"doc_id bigint, text string, others {joined.schema['others'].dataType.simpleString()}, dedup struct<kept: binary, n_bytes: bigint, {_SPANS.replace(' array', ': array')}>"
-    out = joined.mapInArrow(_kept_rows(width), schema)
+    schema = f"doc_id bigint, text string, others {joined.schema['others'].dataType.simpleString()}, dedup struct<kept: {'string' if as_text else 'binary'}, n_bytes: bigint, {_SPANS.replace(' array', ': array')}>"
+    out = joined.mapInArrow(_kept_rows(width, as_text), schema)
     by_name = {c: F.col(f"others.`{c}`") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
     return out.select(*[by_name[c].alias(c) for c in docs.columns], "dedup")
 
-
-def trimmed_text(dedup: str = "dedup", text: str = "text") -> str:
-    """SQL for the kept bytes as text; a character that a removed run would cut in two stays whole only if all its bytes stay."""
-    return f"CASE WHEN size({dedup}.spans) = 0 THEN {text} ELSE validate_utf8(decode({dedup}.kept, 'UTF-8')) END"
