@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 MAX_KNOWN = 10_000
 
 # Lines that only name a copyright holder, equivalent spellings, marker words.
-COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(?:copyright|\(c\)|©)[^\n]*$"
+COPYRIGHT_LINE = r"^[ \t*#/;-]*(?:copyright|\(c\)|©)[^\n]*$"
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("copyright holder", "copyright owner"),
              ("merchantibility", "merchantability"), ("favour", "favor"), ("organisation", "organization"), ("whilst", "while"), ("https:", "http:"))
 MARKER = "licen[sc]e|copyright|redistribut|warrant|public domain"
@@ -54,7 +54,7 @@ KNOWN: tuple[tuple[str, str], ...] = (
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    out = F.regexp_replace(F.lower(text), f"(?md){COPYRIGHT_LINE}", "")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))

@@ -16,7 +16,8 @@ probabilities of each sweep are averaged; their logarithm is the token's score.
 Spark's part: tokens meet in buckets by predicted word, where all seatings of that word
 are local. A sweep is one job over the staged counts that returns tables per restaurant
 (65,536 + 256 + 1 sums); a later sweep replays the earlier ones from these totals and its seeds, so
-no seating is stored and a lost executor only repeats its buckets.
+no seating is stored and a lost executor only repeats its buckets. Each bucket sends a document's sums
+once, packed, to the document's bucket; they travel as whole multiples of 2^-30.
 
 Defined cases: null and blank texts are the end token alone; rows of one doc_id are one document; a
 null doc_id is a document of its own, used for training. Without training tokens every token is unknown.
@@ -37,7 +38,7 @@ from .textblocks import ASCII_LOWER, mix, prefix_sums, span_hash, utf8_blocks, w
 SWEEPS, BURN_IN, SEED = 4, 2, 17
 STRENGTH = (0.5, 0.5, 0.5)  # root, endings, contexts
 FLUSH = 1_500_000  # tokens that a map task holds before it sends them
-PARTS = 2  # buckets for each partition
+_UNIT = 2.0**-30
 _END = np.uint64(0x51ED270B0A1F3C29)
 _START_CONTEXT = 0xFFFF
 _NO_ID = -(1 << 63)
@@ -240,10 +241,19 @@ def _gather(state: DataFrame, history: list[dict], base: float, discounts) -> di
     return {"c2": c2, "t2": t2, "c1": t2.reshape(256, 256).sum(1), "t1": t1, "c0": int(t1.sum()), "t0": int(t0[0]), "tokens": int(c2.sum()), "seen": seen.tolist()}
 
 
-def _score_rows(history: list[dict], base: float, discounts, burn_in: int):
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Sums as whole multiples of the unit, by byte: the empty upper bytes of many numbers pack to nothing."""
+    return np.ascontiguousarray(np.rint(x / _UNIT).astype("<i8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view("<i8").ravel() * _UNIT
+
+
+def _score_rows(history: list[dict], base: float, discounts, burn_in: int, parts: int):
     tokens, vocabulary = history[0]["tokens"], history[0]["seen"][0]
 
-    def run(batches):
+    def sums(batches):
         for batch in batches:
             for bucket, blob, used in zip(*(batch.column(c).to_pylist() for c in ("bucket", "model", "places")), strict=True):
                 total, n = 0.0, 0
@@ -251,13 +261,26 @@ def _score_rows(history: list[dict], base: float, discounts, burn_in: int):
                     if k >= burn_in or k == len(history) - 1 and not n:
                         total, n = total + state.probabilities(history[k])[2], n + 1
                 per_kind, doc, ids, held_out = unpack(used)
-                ids = np.cumsum(ids)
                 kind = np.repeat(np.arange(len(per_kind)), per_kind)
                 count = state.word_counts[state.word]
-                sums = [np.bincount(doc, x, minlength=len(ids)) for x in (None, (count > 0)[kind], np.log10((count + 0.5) / (tokens + 0.5 * (vocabulary + 1)))[kind], np.log10(total / n)[kind])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held_out), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                values = (None, (count > 0)[kind], -np.log10((count + 0.5) / (tokens + 0.5 * (vocabulary + 1)))[kind], -np.log10(total / n)[kind])
+                # one sum for each id
+                ids, which = np.unique(np.cumsum(ids), return_inverse=True)
+                out = np.zeros(len(ids), bool)
+                out[which] = held_out
+                n_tokens, n_known, base_score, score = (np.bincount(which[doc], x, minlength=len(ids)) for x in values)
+                for b, at in split_by_bucket((mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts):
+                    yield b, pack(np.diff(ids[at], prepend=0), out[at], n_tokens[at].astype(np.uint32), n_known[at].astype(np.uint32), _planes(base_score[at]), _planes(score[at]))
 
-    return run
+    return lambda batches: packed_rows(sums(batches))
+
+
+def _document_rows(_bucket, blobs):
+    ids, which = np.unique(np.concatenate([np.cumsum(b[0]) for b in blobs]), return_inverse=True)
+    held_out = np.zeros(len(ids), bool)
+    held_out[which] = np.concatenate([b[1] for b in blobs])
+    n_tokens, n_known, base_score, score = (np.bincount(which, np.concatenate([f(b[k]) for b in blobs])) for k, f in ((2, np.asarray), (3, np.asarray), (4, _from_planes), (5, _from_planes)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(held_out), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(-base_score), pa.array(-score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 def discount(once: int, twice: int) -> float:
@@ -269,13 +292,13 @@ def score_texts(docs: DataFrame, held_out: Column, sweeps: int = SWEEPS, burn_in
     """Scores of every text of `docs` (doc_id bigint, text string): the model learns from rows where `held_out` is not true."""
     buckets = bucket_count(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    state = staged(per_bucket(rows.mapInArrow(_token_rows(buckets * PARTS), PACKED), buckets, _count_rows, "bucket int, model binary, places binary"), "counts")
+    state = staged(per_bucket(rows.mapInArrow(_token_rows(buckets), PACKED), buckets, _count_rows, "bucket int, model binary, places binary"), "counts")
     history = [_gather(state, [], 1.0, (0.5, 0.5, 0.5))]
     vocabulary, *seen = history[0]["seen"]
     base = 1.0 / (vocabulary + 1)
     discounts = tuple(discount(seen[2 * k], seen[2 * k + 1]) for k in range(3))
     for _ in range(sweeps):
         history.append(_gather(state, history, base, discounts))
-    sums = state.mapInArrow(_score_rows(history, base, discounts, burn_in), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    out = sums.groupBy("doc_id").agg(F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.lit(history[0]["tokens"]).cast("bigint").alias("train_tokens"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID))).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    sums = state.mapInArrow(_score_rows(history, base, discounts, burn_in, buckets), PACKED)
+    out = per_bucket(sums, buckets, _document_rows, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(history[0]["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

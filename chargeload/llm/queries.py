@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .common import crc32_mod, table
 
 
@@ -85,4 +86,4 @@ QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_pitman_yor, op3_int8_search, op4_html_blocks, op5_suffix_dedup, op6_jaccard_join,
     op7_best_fit, op8_toxicity_grammar, op9_quality_rules, op10_source_mixing,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(sql.ORACLES)

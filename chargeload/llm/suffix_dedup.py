@@ -35,8 +35,9 @@ from .textblocks import prefix_sums, span_hash, utf8_blocks, window_hash
 
 WIDTH = 50
 GRAM = 20
-FLUSH = 1_000_000  # anchors or segments that a map task holds before it sends them
-SORT_BYTES = 2 << 20  # bytes of segments sorted at once, unless one anchor has more
+FLUSH = 1_000_000  # anchors that a map task holds before it sends them; a quarter as many segments
+BLOCK = 1 << 20  # bytes of text scanned at once
+SORT_BYTES = 1 << 20  # bytes of segments sorted at once, unless one anchor has more
 _H48 = np.uint64((1 << 48) - 1)
 _SPANS = "spans array<struct<start: bigint, end: bigint>>"
 
@@ -184,7 +185,7 @@ def _anchor_rows(width: int, buckets: int):
             held, n = [], 0
             for batch in batches:
                 ids, keys = _batch_ids(batch, "doc_id"), _batch_ids(batch, "k")
-                for lo, hi, data, offsets in utf8_blocks(batch, "text"):
+                for lo, hi, data, offsets in utf8_blocks(batch, "text", BLOCK):
                     row, h, _, _ = segments(data, offsets, width)
                     # of equal texts in a block only the one with the least id can be a first occurrence
                     order = np.lexsort((ids[lo:hi], keys[lo:hi]))
@@ -252,7 +253,7 @@ def _segment_rows(width: int, buckets: int):
             held, n = [], 0
             for batch in batches:
                 ids, keys, lists = _batch_ids(batch, "doc_id"), _batch_ids(batch, "k"), batch.column("anchors")
-                for lo, hi, data, offsets in utf8_blocks(batch, "text"):
+                for lo, hi, data, offsets in utf8_blocks(batch, "text", BLOCK):
                     row, h, start, end = segments(data, offsets, width)
                     known = np.frombuffer(b"".join(x for many in lists[lo: hi] for x in many.as_py()), np.uint64)
                     use = np.isin(h, known)
@@ -261,7 +262,7 @@ def _segment_rows(width: int, buckets: int):
                         continue
                     held.append((h, span_hash(prefix_sums(data), start, start + length) + length.astype(np.uint64), length, ids[lo:hi][row], keys[lo:hi][row], start - offsets[row], take_spans(data, start, length)))
                     n += len(h)
-                    if n >= FLUSH // 2:
+                    if n >= FLUSH // 4:
                         yield from flush(held)
                         held, n = [], 0
             if held:
@@ -366,7 +367,7 @@ def union_spans(spans: np.ndarray) -> np.ndarray:
 
 def _kept_rows(width: int, as_text: bool):
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             rest = [n for n in batch.schema.names if n not in ("marks", "k")]
             texts, marks, keys = batch.column("text"), batch.column("marks"), batch.column("k").to_pylist()
             n_bytes, kept, spans = [], [], []

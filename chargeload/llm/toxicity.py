@@ -3,12 +3,12 @@
 Small transducers read the words of a clause as symbols and rewrite them: negation marks insults and
 threats in its scope, reported speech marks those that a verb of saying introduces, target
 marks those that a pronoun aims at someone, and threat turns a verb of harm before a target into a threat.
-They are composed once into a single deterministic machine. What it emits is scored clause by clause: a match's weight is the
-log-odds of its kind among labelled texts, times its stem's share of toxic texts; a text's features are the weight of its
-heaviest clause and the sum over its clauses, and a logistic curve fitted to the labels turns them into a score.
+They are composed once into a single deterministic machine. What it emits is scored clause by clause: a match weighs its
+stem's log-odds among labelled texts, times the weight of its kind (its log-odds, relative to the strongest kind); a text's
+features are the weights of its heaviest clause and of all clauses, and a logistic curve fitted to the labels turns them into a score.
 
-Insult stems are learned too: beginnings of words whose labelled texts are nearly all toxic, each as short
-as that allows, added to a short fixed list. Learning reads at most `train_rows` labelled texts (those with the
+Insult stems are learned too: beginnings of words whose labelled texts are mostly toxic, each as long
+as it keeps these texts, added to a short fixed list. Learning reads at most `train_rows` labelled texts (those with the
 least hashes of their ids) and keeps at most `max_stems` stems; scoring covers every whole text. Tasks find stems by the hashes of
 word beginnings and run the machine on the clauses that hold one.
 
@@ -31,8 +31,9 @@ from .textblocks import prefix_sums, span_hash, utf8_blocks, words
 
 TRAIN_ROWS, MAX_STEMS = 20_000, 4_000
 STEM_LENGTHS = tuple(range(3, 9))
-MIN_TEXTS, MIN_SHARE = 12, 0.97  # labelled texts with a stem, and the share of them that is toxic
+MIN_TEXTS, MIN_SHARE = 12, 0.75  # labelled texts with a stem, and the share of them that is toxic
 THRESHOLD = 0.7
+SEED_WEIGHT = 4.0  # log-odds of a stem that no label speaks of
 
 # Seed stems and the closed word classes of the grammar (English, German, French, Spanish).
 INSULTS = "idiot moron stupid imbecil scum loser pathetic worthless disgusting dumbass trottel arschloch abschaum connard salaud idiota estúpid".split()
@@ -120,7 +121,7 @@ class Lexicon:
     """Stems by the hashes of their bytes; a bitmap over 20 bits of the hash rejects most words."""
 
     def __init__(self, stems: dict[str, float]):
-        self.weight = dict(stems) | {s: 1.0 for s in HARM}
+        self.weight = dict(stems) | {s: SEED_WEIGHT for s in HARM}
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         names: dict[int, list[bytes]] = {}
         for s in self.weight:
@@ -196,7 +197,7 @@ def text_matches(lexicon: Lexicon, machine: Transducer, batch: pa.RecordBatch):
                 found = clause_matches(machine, [s for s, _ in known])
                 if found:
                     # a threat is weighed by itself, an insult by its stem
-                    clauses.append([(kind, known[i][1] or 1.0) for i, kind in found])
+                    clauses.append([(kind, known[i][1] or SEED_WEIGHT) for i, kind in found])
                 done = right + 1
             if clauses:
                 yield lo + r, clauses
@@ -223,8 +224,8 @@ def _match_rows(stems: dict[str, float]):
 
 
 def _feature(clauses: list[list[tuple[str, float]]], weights: dict[str, float]) -> tuple[float, float]:
-    sums = [sum(max(weights[k], 0.0) * w for k, w in c) for c in clauses]
-    return (max(sums), float(np.log1p(sum(sums)))) if sums else (0.0, 0.0)
+    sums = [sum(weights[k] * w for k, w in c) for c in clauses]
+    return (float(np.log1p(max(sums))), float(np.log1p(sum(sums)))) if sums else (0.0, 0.0)
 
 
 def _scored(model):
@@ -248,22 +249,25 @@ class Model:
 
 
 def default_model() -> Model:
-    return Model({s: 1.0 for s in INSULTS}, {"insult": 3.0, "insult at target": 4.0, "negated": 1.0, "reported": 1.0, "threat": 4.0}, (-3.0, 1.0, 0.5))
+    return Model({s: SEED_WEIGHT for s in INSULTS}, {"insult": 0.8, "insult at target": 1.0, "negated": 0.3, "reported": 0.3, "threat": 1.0}, (-3.0, 1.5, 1.5))
 
 
-def learned_stems(texts: DataFrame, max_stems: int = MAX_STEMS) -> dict[str, float]:
-    """Stems of `texts` (doc_id, text, toxic) and the share of toxic texts among those with it; equal texts count once."""
+def learned_stems(texts: DataFrame, prior: float, max_stems: int = MAX_STEMS) -> dict[str, float]:
+    """Stems of `texts` (doc_id, text, toxic) and their log-odds beyond the `prior`; equal texts count once."""
     once = texts.select(F.lower("text").alias("text"), "toxic").dropDuplicates(["text"])
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}'’]{3,}"), F.lit(0)))).alias("word")
     by_word = once.select("toxic", word).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
     stem = F.explode(F.transform(F.array(*[F.lit(n) for n in STEM_LENGTHS]), lambda n: F.substring("word", F.lit(1), n))).alias("stem")
     by_stem = by_word.select(stem, "word", "toxic", "n").distinct().groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     good = by_stem.where((F.length("stem") >= STEM_LENGTHS[0]) & (F.col("toxic") >= MIN_TEXTS) & (F.col("toxic") >= MIN_SHARE * F.col("n")))
-    rows = good.orderBy(F.col("toxic").desc(), "stem").limit(max_stems).collect()
+    rows = {r.stem: r for r in good.orderBy(F.col("toxic").desc(), "stem").limit(max_stems).collect()}
     out: dict[str, float] = {}
-    for r in sorted(rows, key=lambda r: (len(r.stem), r.stem)):
-        if not any(r.stem[:n] in out for n in range(1, len(r.stem))):
-            out[r.stem] = r.toxic / r.n
+    for stem in sorted(rows, key=lambda s: (len(s), s)):
+        if any(stem[:n] in rows for n in range(1, len(stem))):
+            continue
+        while longer := [s for s in rows if len(s) == len(stem) + 1 and s.startswith(stem) and rows[s].toxic >= 0.95 * rows[stem].toxic]:
+            stem = longer[0]
+        out[stem] = float(np.log((rows[stem].toxic + 0.5) / (rows[stem].n - rows[stem].toxic + 0.5)) + prior)
     return out
 
 
@@ -288,12 +292,15 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_
     n_toxic, n_all = texts.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     if not n_toxic or n_toxic == n_all:
         return default_model()
-    stems = {s: 1.0 for s in INSULTS} | learned_stems(texts, max_stems)
+    stems = learned_stems(texts, float(np.log((n_all - n_toxic) / n_toxic)), max_stems)
+    stems |= {s: SEED_WEIGHT for s in INSULTS if not any(s[:n] in stems for n in range(1, len(s) + 1))}
     matched = texts.select("doc_id", "text").mapInArrow(_match_rows(stems), "doc_id bigint, kinds array<double>").join(texts.select("doc_id", "toxic"), "doc_id")
     counts = matched.select("toxic", *[(F.get("kinds", F.lit(k)) > 0).cast("int").alias(f"k{k}") for k in range(len(KINDS))]).groupBy("toxic").agg(*[F.sum(f"k{k}").alias(f"k{k}") for k in range(len(KINDS))]).collect()
     by = {r.toxic: r for r in counts}
     n = {1: n_toxic, 0: n_all - n_toxic}
     weights = {kind: float(np.log(((by[1][f"k{k}"] if 1 in by else 0) + 0.5) / (n[1] + 1)) - np.log(((by[0][f"k{k}"] if 0 in by else 0) + 0.5) / (n[0] + 1))) for k, kind in enumerate(KINDS)}
+    strongest = max(max(weights.values()), 1e-9)
+    weights = {k: max(w, 0.0) / strongest for k, w in weights.items()}
     first = Model(stems, weights, (0.0, 1.0, 0.0))
     scored = texts.select("doc_id", "text", F.lit(False).alias("held_out")).mapInArrow(_features(first), "doc_id bigint, heaviest double, total double").join(texts.select("doc_id", "toxic"), "doc_id")
     rows = scored.select("heaviest", "total", "toxic").orderBy("doc_id").toArrow()  # at most train_rows
