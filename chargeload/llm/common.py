@@ -28,6 +28,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to tasks a thousand rows at a time, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def crc32_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)

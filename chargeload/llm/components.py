@@ -15,7 +15,8 @@ from .common import cut
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node hangs its larger (large star) or its smaller neighbours and itself (small star) on the least of them."""
     both = edges.union(edges.select("v", "u")) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written before the join: Spark can then split the partition of a node with very many neighbours
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     joined = both.join(least, "u")
     hung = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return hung.where("u <> v").distinct()

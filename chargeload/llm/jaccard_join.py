@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 from .components import connected_components
 from .textblocks import mix, prefix_sums, span_hash, utf8_blocks, word_windows, words
 
@@ -262,6 +262,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOL
     """One row per doc_id of `docs` (doc_id bigint, text string): class_id, the least id of the documents that links
     connect it with, and n_links, the number of other documents at the threshold or above."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     use = prefix_length(threshold, trees, depth, recall)
     signed = staged(docs.mapInArrow(_signature_rows(width, trees, depth, use), "doc_id bigint, digest binary, sig binary, keys array<bigint>"), "signatures")

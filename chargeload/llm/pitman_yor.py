@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 from .packed import PACKED, bucket_count, pack, packed_rows, per_bucket, split_by_bucket, unpack
 from .textblocks import ASCII_LOWER, mix, prefix_sums, span_hash, utf8_blocks, words
 
@@ -291,6 +291,7 @@ def discount(once: int, twice: int) -> float:
 def score_texts(docs: DataFrame, held_out: Column, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
     """Scores of every text of `docs` (doc_id bigint, text string): the model learns from rows where `held_out` is not true."""
     buckets = bucket_count(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     state = staged(per_bucket(rows.mapInArrow(_token_rows(buckets), PACKED), buckets, _count_rows, "bucket int, model binary, places binary"), "counts")
     history = [_gather(state, [], 1.0, (0.5, 0.5, 0.5))]

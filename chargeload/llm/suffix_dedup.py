@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, without
+from .common import small_batches, staged, without
 from .packed import PACKED, bucket_count, pack, packed_rows, per_bucket, split_by_bucket
-from .textblocks import prefix_sums, span_hash, utf8_blocks, window_hash
+from .textblocks import mix, prefix_sums, span_hash, utf8_blocks, window_hash
 
 WIDTH = 50
 GRAM = 20
@@ -210,25 +210,40 @@ def _binary(parts: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * size).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(parts).tobytes())])
 
 
-def _shared_anchors(_bucket, blobs):
-    """Anchors found under two ids or more, by document."""
-    h = np.concatenate([(a.astype(np.uint64) << np.uint64(32)) | b for a, b, _ in blobs])
-    doc = np.concatenate([np.cumsum(d) for _, _, d in blobs])
-    order = np.argsort(h, kind="stable")
-    h, doc = h[order], doc[order]
-    first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
-    at = np.flatnonzero(first)
-    shared = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
-    use = shared[np.cumsum(first) - 1]
-    h, doc = h[use], doc[use]
-    if not len(h):
-        return
+def _shared_anchors(buckets: int):
+    """Anchors found under two ids or more, on their way to the documents that have them."""
+    def shared_of(blobs):
+        h = np.concatenate([(a.astype(np.uint64) << np.uint64(32)) | b for a, b, _ in blobs])
+        doc = np.concatenate([np.cumsum(d) for _, _, d in blobs])
+        order = np.argsort(h, kind="stable")
+        h, doc = h[order], doc[order]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        at = np.flatnonzero(first)
+        shared = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+        use = shared[np.cumsum(first) - 1]
+        h, doc = h[use], doc[use]
+        if not len(h):
+            return
+        for b, at in split_by_bucket(_doc_bucket(doc, buckets), buckets):
+            at = at[np.argsort(doc[at], kind="stable")]
+            yield b, pack(np.diff(doc[at], prepend=0), (h[at] >> np.uint64(32)).astype(np.uint16), h[at].astype(np.uint32))
+
+    return lambda bucket, blobs: packed_rows(shared_of(blobs))
+
+
+def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _anchors_by_document(_bucket, blobs):
+    doc = np.concatenate([np.cumsum(b[0]) for b in blobs])
+    h = np.concatenate([(b[1].astype(np.uint64) << np.uint64(32)) | b[2] for b in blobs])
     order = np.argsort(doc, kind="stable")
     h, doc = h[order], doc[order]
     edges = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
-    for lo in range(0, len(edges) - 1, 20_000):
-        e = edges[lo: lo + 20_001]
+    for lo in range(0, len(edges) - 1, 5_000):
+        e = edges[lo: lo + 5_001]
         yield pa.RecordBatch.from_arrays([pa.array(doc[e[:-1]]), _binary(h[e[0]: e[-1]], e - e[0])], names=["doc_id", "anchors"])
 
 
@@ -255,7 +270,7 @@ def _segment_rows(width: int, buckets: int):
                 ids, keys, lists = _batch_ids(batch, "doc_id"), _batch_ids(batch, "k"), batch.column("anchors")
                 for lo, hi, data, offsets in utf8_blocks(batch, "text", BLOCK):
                     row, h, start, end = segments(data, offsets, width)
-                    known = np.frombuffer(b"".join(x for many in lists[lo: hi] for x in many.as_py()), np.uint64)
+                    known = np.frombuffer(b"".join(lists[lo: hi].to_pylist()), np.uint64)
                     use = np.isin(h, known)
                     row, h, start, length = row[use], h[use], start[use], (end - start)[use]
                     if not len(h):
@@ -291,8 +306,8 @@ def _window_owners(raw: np.ndarray, length: np.ndarray, least: np.ndarray, width
     return owner[starts]
 
 
-def _owned_spans(width: int):
-    def run(_bucket, blobs):
+def _owned_spans(width: int, buckets: int):
+    def owned(blobs):
         """Suffix-sort a bucket's segments and give each document the spans that a smaller id owns."""
         length = np.concatenate([b[1].astype(np.int64) for b in blobs])
         anchor = np.concatenate([b[2] for b in blobs])
@@ -343,15 +358,25 @@ def _owned_spans(width: int):
         i = np.flatnonzero(new)
         last = np.append(i[1:], len(place)) - 1
         p = place[i]
-        spans = np.stack([start[p] + step[i], start[p] + step[last] + width], 1)
-        order = np.lexsort((spans[:, 0], key[p], doc[p]))
-        d, k, spans = doc[p][order], key[p][order], spans[order]
-        edges = np.append(np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]))), len(d))
-        for lo in range(0, len(edges) - 1, 20_000):
-            e = edges[lo: lo + 20_001]
-            yield pa.RecordBatch.from_arrays([pa.array(d[e[:-1]]), pa.array(k[e[:-1]]), _binary(spans[e[0]: e[-1]].ravel(), (e - e[0]) * 2)], names=["doc_id", "k", "spans"])
+        begin, size = start[p] + step[i], step[last] - step[i] + width
+        d, k = doc[p], key[p]
+        for b, at in split_by_bucket(_doc_bucket(d, buckets), buckets):
+            yield b, pack(np.diff(d[at], prepend=0), k[at], begin[at], size[at])
 
-    return run
+    return lambda bucket, blobs: packed_rows(owned(blobs))
+
+
+def _spans_by_document(_bucket, blobs):
+    doc = np.concatenate([np.cumsum(b[0]) for b in blobs])
+    key, begin, size = (np.concatenate([b[i] for b in blobs]) for i in (1, 2, 3))
+    order = np.lexsort((begin, key, doc))
+    d, k = doc[order], key[order]
+    spans = np.stack([begin[order], begin[order] + size[order]], 1)
+    edges = np.append(np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]))), len(d))
+    parts = [union_spans(spans[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+    for lo in range(0, len(parts), 5_000):
+        at = edges[:-1][lo: lo + 5_000]
+        yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(k[at]), pa.array([x.astype(np.int64).tobytes() for x in parts[lo: lo + 5_000]], pa.binary())], names=["doc_id", "k", "spans"])
 
 
 def union_spans(spans: np.ndarray) -> np.ndarray:
@@ -396,6 +421,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, as_text: bool = False) -
     """`docs` (doc_id bigint, text string, any others) with a struct `dedup`: kept (binary: the bytes that
     stay; or their whole characters, as a string), n_bytes (of the text), spans (the maximal removed byte runs)."""
     spark, buckets = docs.sparkSession, bucket_count(docs.sparkSession)
+    small_batches(spark)
     docs = without(docs, "dedup")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     # the column itself where no cast is needed: a renaming would keep the two joins from sharing their exchange
@@ -404,16 +430,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, as_text: bool = False) -
     named = rows.where(F.col("doc_id").isNotNull())
     # whole copies
     digests = staged(named.select("doc_id", "k", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")), "digests")
-    least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    # written before the join: Spark can then split the partition of a text with very many copies
+    least = staged(digests.groupBy("digest").agg(F.min("doc_id").alias("least")), "least")
     copies = digests.join(least, "digest").where(F.col("doc_id") > F.col("least")).select("doc_id", "k").distinct()
     # shared anchors of the first documents with a text
     anchors = named.select("doc_id", "k", "text").mapInArrow(_anchor_rows(width, buckets), PACKED)
-    shared = per_bucket(anchors, buckets, _shared_anchors, "doc_id bigint, anchors binary").groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
+    shared = per_bucket(per_bucket(anchors, buckets, _shared_anchors(buckets), PACKED), buckets, _anchors_by_document, "doc_id bigint, anchors binary")
     by_id = named.repartition(buckets, "doc_id")
     first = shared.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
     # both joins read the same exchange of the texts: all its columns, by doc_id alone
     sent = by_id.join(first, "doc_id").mapInArrow(_segment_rows(width, buckets), PACKED)
-    spans = per_bucket(sent, buckets, _owned_spans(width), "doc_id bigint, k bigint, spans binary")
+    spans = per_bucket(per_bucket(sent, buckets, _owned_spans(width, buckets), PACKED), buckets, _spans_by_document, "doc_id bigint, k bigint, spans binary")
     marks = spans.union(copies.select("doc_id", "k", F.lit(None).cast("binary"))).groupBy("doc_id").agg(F.collect_list(F.struct("k", "spans")).alias("marks"))
     joined = by_id.join(marks, "doc_id", "left")
     unnamed = rows.where(F.col("doc_id").isNull()).withColumn("marks", F.lit(None).cast(joined.schema["marks"].dataType))

@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textblocks import prefix_sums, span_hash, utf8_blocks, words
 
 TRAIN_ROWS, MAX_STEMS = 20_000, 4_000
@@ -322,6 +323,7 @@ def _features(model):
 
 def score_texts(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """(doc_id, held_out, score, n_clauses, predicted) of every row of `docs` (doc_id bigint, text string)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out.alias("held_out"))
     out = rows.mapInArrow(_scored(model), "doc_id bigint, held_out boolean, score double, n_clauses bigint")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
