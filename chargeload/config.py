@@ -67,7 +67,9 @@ def shared_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key raises in some versions
             conf_dir = None
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="chargeload-ckpt-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        conf_dir = tempfile.mkdtemp(prefix="chargeload-ckpt-")      # one machine: any folder is shared
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 

@@ -42,21 +42,45 @@ def positive(value: Column | str) -> Column:
     return ~F.isnan(c) & (c > 0)
 
 
-def snap_scale(digits: int) -> int:
-    """Decimals kept before rounding to ``digits``: 4 more, at most 9."""
-    return min(9, digits + 4)
+SNAP_SCALE = 9      # decimals kept before rounding to fewer
+
+# Exact sums: values below EXACT_LIMIT are added as decimals (18 digits after the point, so
+# 10^11 of them cannot overflow), the rest (huge, infinite, NaN) as doubles.
+EXACT = "decimal(37,18)"      # so that the difference of two still has 18 digits
+EXACT_LIMIT = 1e9
+
+
+def is_exact(value: Column | str) -> Column:
+    """Finite and below ``EXACT_LIMIT`` in size: such values are summed as exact decimals."""
+    return F.coalesce(F.abs(_col(value)) < F.lit(EXACT_LIMIT), F.lit(False))
+
+
+def exact_part(value: Column | str) -> Column:
+    """The value as an exact decimal, 0 where it is beyond the range."""
+    c = _col(value)
+    return F.when(is_exact(c), c.try_cast(EXACT)).otherwise(F.lit(0).cast(EXACT))
+
+
+def other_part(value: Column | str) -> Column:
+    """The value where it is beyond the exact range, else 0."""
+    c = _col(value)
+    return F.when(c.isNotNull() & ~is_exact(c), c).otherwise(F.lit(0.0))
+
+
+def exact_sum(value: Column | str) -> Column:
+    """Sum that neither depends on the order of the rows nor fails on huge values."""
+    return F.sum(exact_part(value)).cast("double") + F.sum(other_part(value))
 
 
 def round_half_up(value: Column | str, digits: int) -> Column:
     """Round half away from zero on the decimal value, after snapping float noise.
 
-    The value is first taken to ``snap_scale(digits)`` decimals so that e.g.
-    13.124999999999998 (a float sum whose exact value is 13.125) rounds as 13.125
-    would. Large sums carry more float noise, so figures rounded to 2 decimals snap at 6.
-    The result is a double again."""
+    The value is first taken to ``SNAP_SCALE`` decimals so that e.g.
+    13.124999999999998 (a float quotient whose exact value is 13.125) rounds as 13.125
+    would. The result is a double again."""
     c = _col(value)
     # NaN, ±inf and values beyond the decimal range are passed through unrounded.
-    snapped = c.try_cast(f"decimal(38,{snap_scale(digits)})")
+    snapped = c.try_cast(f"decimal(38,{SNAP_SCALE})")
     return F.coalesce(F.round(snapped, digits).cast("double"), c.cast("double"))
 
 

@@ -7,14 +7,16 @@ nothing), so a session is fully described by the changes of its (rate, energy, c
 level at no more than 6 steps (see :func:`change_events`).
 
 Per (station, step) the deltas are summed (hash aggregation with map-side combine, in
-exact decimal arithmetic so +x and −x cancel exactly), a running sum per station turns
-them into levels, and only the stretches with ≥ 1 plugged-in session are expanded to
-steps. Work is O(sessions + output rows) instead of O(Σ session steps); the per-station
-window holds at most one row per grid step whatever the data volume, so a hot station
-does not concentrate the raw data in one task.
-
-Results equal the explode path (``LoadProfile.steps()`` + ``curves``) up to float
-summation order.
+exact decimal arithmetic so +x and −x cancel exactly). The fleet's deltas are the sums of
+the stations' deltas, as a group of their own, and one running sum per group turns deltas
+into levels. Only the stretches with ≥ 1 plugged-in session are expanded to steps, spread
+over the cluster. Work is O(sessions + output rows) instead of O(Σ session steps); a
+group's window holds at most one row per grid step whatever the data volume, so a hot
+station does not concentrate the raw data in one task.
+
+Sessions whose energies are beyond the exact range (huge, infinite) have no exact deltas;
+they are expanded step by step and added as doubles. Results equal the explode path
+(``LoadProfile.steps()`` + ``curves``) bit for bit within the exact range.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chargeload.functions.numbers import positive
+from chargeload.functions.numbers import exact_part, is_exact, other_part
+from chargeload.config import parallelism
 from chargeload.operators.grid import _chunked_range, interval_hours, interval_micros
 from chargeload.operators.profile import LoadProfile
 from chargeload.operators.rows import attach_row
 
-DEC = "decimal(38,18)"
 
 
 def change_events(profile: LoadProfile) -> DataFrame:
@@ -41,22 +43,14 @@ def change_events(profile: LoadProfile) -> DataFrame:
     emits L(p) − L(p−1) at those (distinct, clipped) positions — at most 6 rows, zero
     changes dropped. Differences are taken in exact decimals, so they telescope to 0."""
     h = interval_hours(profile.interval_minutes)
-    k0, k1 = F.col("k0"), F.col("k1")
-    n = k1 - k0 + 1
-    E, q = F.col("energy_target_kwh"), F.col("_q")
-    charging = positive(E) & (q > 0)
-    x = F.when(charging, E / q).otherwise(F.lit(0.0))
-    full = F.least(F.floor(x).cast("double"), n.cast("double")).cast("long")         # full steps
-    rem = F.when(charging, E - full.cast("double") * q).otherwise(F.lit(0.0))         # last, partial
-    span = F.least(F.ceil(x).cast("double"), n.cast("double")).cast("long")          # flat-rate steps
     flat = profile.policy.flat_rate
 
-    live = profile.phased().where(F.col("k1") >= F.col("k0"))
+    live = profile.phased().where(F.col("k1") >= F.col("k0")).where(in_exact_range())
     if profile.spread:          # narrow input: spread sessions over the cores first
         live = live.repartition(profile.spread, "session_id")
-    s = live.select("station_id", "k0", "k1", (F.col("k0") + F.col("_a")).alias("a"), full.alias("full"),
-                    F.when(rem > 0, rem).otherwise(F.lit(0.0)).alias("rem"), q.alias("q"),
-                    span.alias("span"), F.col("_flat").alias("flat"))
+    s = live.select("station_id", "k0", "k1", (F.col("k0") + F.col("_a")).alias("a"), F.col("_full").alias("full"),
+                    F.col("_rem").alias("rem"), F.col("_q").alias("q"), F.col("_span").alias("span"),
+                    F.col("_flat").alias("flat"))
 
     def level(k: Column) -> tuple[Column, Column, Column]:
         inside = (k >= F.col("k0")) & (k <= F.col("k1"))
@@ -67,7 +61,7 @@ def change_events(profile: LoadProfile) -> DataFrame:
             rate = F.when(inside & (i >= 0) & (i < F.col("span")), F.col("flat")).otherwise(F.lit(0.0))
         else:
             rate = energy / F.lit(h)
-        return F.when(inside, 1).otherwise(0), rate.cast(DEC), energy.cast(DEC)
+        return F.when(inside, 1).otherwise(0), exact_part(rate), exact_part(energy)
 
     def delta(p: Column) -> Column:
         c1, r1, e1 = level(p)
@@ -84,20 +78,45 @@ def change_events(profile: LoadProfile) -> DataFrame:
     return ev.where((F.col("dc") != 0) | (F.col("dr") != 0) | (F.col("de") != 0))
 
 
-def station_levels(profile: LoadProfile) -> DataFrame:
-    """(station_id, step_index, load, energy, active) for every step with ≥ 1 session."""
-    ev = change_events(profile)
-    agg = ev.groupBy("station_id", "k").agg(F.sum("dr").alias("dr"), F.sum("de").alias("de"),
-                                             F.sum("dc").alias("dc"))
-    w = Window.partitionBy("station_id").orderBy("k")
+def in_exact_range() -> Column:
+    """Sessions all of whose step energies and rates are summed exactly (a step's rate is at
+    most 60 times its energy, a NaN target never charges)."""
+    return is_exact(F.col("_q") * F.lit(60.0)) & (F.col("_flat").isNull() | is_exact("_flat"))
+
+
+def levels(profile: LoadProfile) -> DataFrame:
+    """(fleet, station_id, step_index, load, energy, active) of every step with ≥ 1 session:
+    for each station, and with ``fleet`` true for all stations together."""
+    station = change_events(profile).groupBy("station_id", "k").agg(
+        F.sum("dr").alias("dr"), F.sum("de").alias("de"), F.sum("dc").alias("dc"))
+    both = station.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("fleet"))
+    both = both.withColumn("station_id", F.when(~F.col("fleet"), F.col("station_id")))
+    agg = both.groupBy("fleet", "station_id", "k").agg(F.sum("dr").alias("dr"), F.sum("de").alias("de"),
+                                                       F.sum("dc").alias("dc"))
+    w = Window.partitionBy("fleet", "station_id").orderBy("k")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lv = agg.select(
-        "station_id", "k",
+        "fleet", "station_id", "k",
         F.sum("dr").over(run).alias("load"), F.sum("de").over(run).alias("energy"),
         F.sum("dc").over(run).alias("active"), F.lead("k").over(w).alias("k_next"),
     ).where(F.col("active") > 0)
-    steps = _chunked_range(F.col("k"), F.col("k_next") - 1, 4096, "step_index", None, lv, ["station_id"])
-    return steps.select("station_id", "step_index", "load", "energy", "active")
+    # one long stretch (a wrong year, say) is chunked over the cluster like any other
+    steps = _chunked_range(F.col("k"), F.col("k_next") - 1, 4096, "step_index",
+                           profile.spread or parallelism(lv.sparkSession), lv, ["fleet", "station_id"])
+    return steps.select("fleet", "station_id", "step_index", "load", "energy", "active")
+
+
+def inexact_levels(profile: LoadProfile) -> DataFrame:
+    """The columns of :func:`levels` for the sessions outside the exact range, expanded step
+    by step: exact and other parts of their sums."""
+    steps = profile.steps(where=~in_exact_range())
+    steps = steps.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("fleet"))
+    steps = steps.withColumn("station_id", F.when(~F.col("fleet"), F.col("station_id")))
+    return steps.groupBy("fleet", "station_id", "step_index").agg(
+        F.sum(exact_part("charge_rate_kw")).alias("load"), F.sum(exact_part("energy_delivered_kwh")).alias("energy"),
+        F.count(F.lit(1)).alias("active"),
+        F.sum(other_part("charge_rate_kw")).alias("load_other"),
+        F.sum(other_part("energy_delivered_kwh")).alias("energy_other"))
 
 
 def load_timeseries(profile: LoadProfile) -> DataFrame:
@@ -105,20 +124,24 @@ def load_timeseries(profile: LoadProfile) -> DataFrame:
     same content as ``curves.load_timeseries(profile.steps())``."""
     d = interval_micros(profile.interval_minutes)
     start = profile.bounds.select("start_us")
-    st = station_levels(profile)
-    fleet = st.groupBy("step_index").agg(F.sum("load").alias("load"), F.sum("energy").alias("energy"),
-                                         F.sum("active").alias("active"))
-    cols = lambda lvl, station: [
-        F.lit(lvl).alias("level"),
+    rows = levels(profile).select("*", F.lit(0.0).alias("load_other"), F.lit(0.0).alias("energy_other"))
+    if inexact_sessions(profile):
+        rows = rows.unionByName(inexact_levels(profile)).groupBy("fleet", "station_id", "step_index").agg(
+            *[F.sum(c).alias(c) for c in ("load", "energy", "active", "load_other", "energy_other")])
+    rows = attach_row(rows, start)
+    return rows.select(
+        F.when(F.col("fleet"), "fleet").otherwise("station").alias("level"),
         F.timestamp_micros(F.col("start_us") + F.col("step_index") * F.lit(d)).alias("timestamp"),
-        station.alias("station_id"),
-        F.col("load").cast("double").alias("load_kw"),
-        F.col("energy").cast("double").alias("energy_kwh"),
+        "station_id",
+        (F.col("load").cast("double") + F.col("load_other")).alias("load_kw"),
+        (F.col("energy").cast("double") + F.col("energy_other")).alias("energy_kwh"),
         F.col("active").cast("long").alias("active_sessions"),
-    ]
-    s_rows = attach_row(st, start).select(*cols("station", F.col("station_id")))
-    f_rows = attach_row(fleet, start).select(*cols("fleet", F.lit(None).cast("string")))
-    return s_rows.unionByName(f_rows)
+    )
+
+
+def inexact_sessions(profile: LoadProfile) -> bool:
+    """Is there any session outside the exact range? (One narrow scan that stops at the first.)"""
+    return bool(profile.phased().where(~in_exact_range()).limit(1).count())
 
 
 def fleet_load_curve(profile: LoadProfile) -> DataFrame:
@@ -145,7 +168,8 @@ CHANGEPOINT_MAX_SESSION_STEPS = 50_000
 
 def choose_strategy(profile: LoadProfile) -> str:
     """'changepoints' when sessions are long in steps on average, or any one session is
-    extremely long; else 'explode'. One cheap aggregate over the sessions decides."""
+    extremely long; else 'explode'. One cheap aggregate over the sessions decides. A choice
+    of plan only: both give the same figures."""
     r = profile.ranged.agg(F.avg("n_session_steps").alias("a"), F.max("n_session_steps").alias("m")).first()
     avg = r["a"] if r is not None and r["a"] is not None else 0.0
     longest = r["m"] if r is not None and r["m"] is not None else 0

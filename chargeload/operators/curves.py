@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chargeload.functions.numbers import exact_part, exact_sum, other_part
+
 
 def station_map(sessions: DataFrame) -> DataFrame:
     """Distinct (session_id, station_id) pairs."""
@@ -30,8 +32,8 @@ def _with_station(decisions: DataFrame, sessions: DataFrame | None) -> DataFrame
 def fleet_load_curve(decisions: DataFrame, sort: bool = True) -> DataFrame:
     """Per step with ≥ 1 plugged-in session: total load, total energy, active sessions."""
     out = decisions.groupBy("timestamp").agg(
-        F.sum("charge_rate_kw").alias("total_load_kw"),
-        F.sum("energy_delivered_kwh").alias("total_energy_kwh"),
+        exact_sum("charge_rate_kw").alias("total_load_kw"),
+        exact_sum("energy_delivered_kwh").alias("total_energy_kwh"),
         F.count("session_id").alias("active_sessions"),
     )
     return out.orderBy("timestamp") if sort else out
@@ -41,8 +43,8 @@ def station_load_curves(decisions: DataFrame, sessions: DataFrame | None = None,
     """Per (step, station): load and energy. Sessions without a station form the NULL group."""
     d = _with_station(decisions, sessions)
     out = d.groupBy("timestamp", "station_id").agg(
-        F.sum("charge_rate_kw").alias("load_kw"),
-        F.sum("energy_delivered_kwh").alias("energy_kwh"),
+        exact_sum("charge_rate_kw").alias("load_kw"),
+        exact_sum("energy_delivered_kwh").alias("energy_kwh"),
     )
     return out.orderBy(F.col("station_id").asc_nulls_first(), "timestamp") if sort else out
 
@@ -54,17 +56,15 @@ def load_timeseries(decisions: DataFrame, sessions: DataFrame | None = None) ->
     the shuffle), then the fleet rows from those already small station rows. The large
     input is read and shuffled once, unlike GROUPING SETS, which would double it."""
     d = _with_station(decisions, sessions)
-    station = d.groupBy("timestamp", "station_id").agg(
-        F.sum("charge_rate_kw").alias("load_kw"),
-        F.sum("energy_delivered_kwh").alias("energy_kwh"),
-        F.count("session_id").alias("active_sessions"),
-    )
-    fleet = station.groupBy("timestamp").agg(
-        F.sum("load_kw").alias("load_kw"),
-        F.sum("energy_kwh").alias("energy_kwh"),
-        F.sum("active_sessions").alias("active_sessions"),
-    )
-    cols = ["level", "timestamp", "station_id", "load_kw", "energy_kwh", "active_sessions"]
+    parts = [f(c).alias(f"{n}_{p}") for n, c in (("load", "charge_rate_kw"), ("energy", "energy_delivered_kwh"))
+             for p, f in (("exact", lambda c: F.sum(exact_part(c))), ("other", lambda c: F.sum(other_part(c))))]
+    sums = ["load_exact", "load_other", "energy_exact", "energy_other"]
+    station = d.groupBy("timestamp", "station_id").agg(*parts, F.count("session_id").alias("active_sessions"))
+    fleet = station.groupBy("timestamp").agg(*[F.sum(c).alias(c) for c in sums],
+                                             F.sum("active_sessions").alias("active_sessions"))
+    cols = ["level", "timestamp", "station_id",
+            *[(F.col(f"{n}_exact").cast("double") + F.col(f"{n}_other")).alias(f"{n}_kw{'h' if n == 'energy' else ''}")
+              for n in ("load", "energy")], "active_sessions"]
     return (station.withColumn("level", F.lit("station")).select(*cols)
             .unionByName(fleet.withColumn("level", F.lit("fleet"))
                          .withColumn("station_id", F.lit(None).cast("string")).select(*cols)))

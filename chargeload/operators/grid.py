@@ -38,7 +38,7 @@ def interval_hours(interval_minutes: int) -> float:
 
 def floor_div(a: Column, d: int) -> Column:
     """Exact integer floor division by a positive constant (any sign of ``a``)."""
-    return ((a - F.pmod(a, F.lit(d))) / F.lit(d)).cast("long")
+    return F.call_function("div", a - F.pmod(a, F.lit(d)), F.lit(d))
 
 
 def ceil_div(a: Column, d: int) -> Column:

@@ -5,7 +5,9 @@ completion, counts) comes from per-session closed forms over the session table,
 KPI row costs one pass over sessions plus the fleet curve — no join of decisions
 against targets, no per-session grouping of expanded rows.
 
-Precondition (guaranteed by the session store): ``session_id`` is unique.
+Precondition (guaranteed by the session store): ``session_id`` is unique. Repeated ids are
+counted as often as they stand there; read a store that two writers filled at once with
+``dedupe=True``.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chargeload.functions.numbers import positive, round_half_up
+from chargeload.functions.numbers import exact_sum, positive, round_half_up
 from chargeload.operators.curves import fleet_load_curve
 from chargeload.operators.profile import LoadProfile
 from chargeload.operators.rows import attach_row
@@ -48,17 +50,20 @@ def completion_rate(targets: DataFrame, delivered: DataFrame, threshold: float =
 
 def targets_of(sessions: DataFrame) -> DataFrame:
     """Completion targets: requested energy > 0, from every given session (valid or not),
-    one per session id (a partial aggregation, so a repeated id collapses map-side)."""
-    return (sessions.where(positive("energy_requested_kwh"))
-            .select("session_id", F.col("energy_requested_kwh").alias("target_kwh"))
-            .dropDuplicates(["session_id"]))
+    one per session id. A repeated id takes its last row: by the source order (``_file``,
+    ``_row``) where the frame still has it, else by arrival, departure and target (a partial
+    aggregation, so a repeated id collapses map-side)."""
+    order = [c for c in ("_file", "_row") if c in sessions.columns]
+    order = order or [c for c in ("arrival_ts", "departure_ts", "energy_requested_kwh") if c in sessions.columns]
+    return (sessions.where(positive("energy_requested_kwh")).groupBy("session_id")
+            .agg(F.max_by("energy_requested_kwh", F.struct(*order)).alias("target_kwh")))
 
 
 def load_kpis(fleet: DataFrame, bounds: DataFrame) -> DataFrame:
     """peak, average over every grid step (idle steps count as 0), load factor; unrounded."""
     agg = fleet.agg(
         F.coalesce(F.max("total_load_kw"), F.lit(0.0)).alias("peak_load_kw"),
-        F.coalesce(F.sum("total_load_kw"), F.lit(0.0)).alias("_sum_load"),
+        F.coalesce(exact_sum("total_load_kw"), F.lit(0.0)).alias("_sum_load"),
         F.coalesce(F.sum("active_sessions"), F.lit(0)).cast("long").alias("decisions"),
     )
     k = attach_row(agg, bounds.select(F.coalesce("n_steps", F.lit(0)).alias("n_steps")))
@@ -76,9 +81,8 @@ def session_kpis(profile: LoadProfile, threshold: float = COMPLETION_THRESHOLD)
     valid, req = F.col("_valid"), F.col("energy_requested_kwh")
     return t.agg(
         F.count_if(valid).alias("sessions_count"),
-        # exact (decimal) sum: the total does not depend on the summation order
-        F.coalesce(F.sum(F.when(valid, F.col("delivered_kwh")).cast("decimal(38,18)")),
-                   F.lit(0).cast("decimal(38,18)")).alias("total_energy_kwh"),
+        # exact sum: the total does not depend on the summation order
+        F.coalesce(exact_sum(F.when(valid, F.col("delivered_kwh"))), F.lit(0.0)).alias("total_energy_kwh"),
         F.count_if(valid & positive(req) & _completed(req, F.col("delivered_kwh"), threshold))
         .alias("sessions_completed"),
         F.coalesce(F.sum(F.when(valid, F.col("n_session_steps"))), F.lit(0)).cast("long").alias("decisions"),

@@ -102,7 +102,7 @@ def _delay_start(ctx: StepContext) -> Column:
 
 
 def _randomized_delay_phases(ctx: StepContext) -> Phases:
-    usable = ctx.max_rate > 0
+    usable = positive(ctx.max_rate)
     return Phases(F.when(usable, _delay_start(ctx)).otherwise(F.lit(0).cast("long")),
                   F.when(usable, ctx.max_rate * F.lit(ctx.h)).otherwise(F.lit(0.0)))
 

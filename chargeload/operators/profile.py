@@ -66,17 +66,11 @@ def _context(policy_seed: int, interval_minutes: int) -> StepContext:
     )
 
 
-def _auto_spread(df: DataFrame) -> int | None:
-    """Partitions to spread step chunks over (2 per core), or None when the input is
-    already wide."""
+def _auto_spread(df: DataFrame) -> int:
+    """Partitions to spread step chunks over: 2 per core, whatever the input's layout."""
     from chargeload.config import parallelism
 
-    want = 2 * parallelism(df.sparkSession)
-    try:
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect: just spread
-        have = 0
-    return want if have < want else None
+    return 2 * parallelism(df.sparkSession)
 
 
 @dataclass
@@ -108,43 +102,55 @@ class LoadProfile:
         return self.ranged.agg(F.count(F.lit(1)).alias("sessions_count"))
 
     def phased(self, all_rows: bool = False) -> DataFrame:
-        """``ranged`` plus the policy's per-session schedule (_a offset, _q step energy,
-        _flat flat rate or NULL). Computed once per session, before any expansion, so
-        hashing and divisions are not repeated for every step row. ``all_rows`` keeps
+        """``ranged`` plus the policy's per-session schedule: _a offset, _q step energy (at
+        most the target, so an infinite or NaN rate fills it in one step), _full whole
+        steps, _rem the energy of the step after them, _span charging steps, _flat flat
+        rate or NULL. Computed once per session, before any expansion; ``all_rows`` keeps
         invalid sessions too (with their ``_valid`` flag)."""
         ph = self.policy.phases(_context(self.seed, self.interval_minutes))
         flat = ph.flat_rate if ph.flat_rate is not None else F.lit(None).cast("double")
         # Only a positive target charges (a NaN target never does: "remaining" is then 0).
-        q = F.when(positive("energy_target_kwh"), ph.step_energy).otherwise(F.lit(0.0))
+        E = F.col("energy_target_kwh")
+        q = F.when(positive(E), F.least(ph.step_energy, E)).otherwise(F.lit(0.0))
         base = self.ranged_all if all_rows else self.ranged
-        return base.select("*", ph.offset.cast("long").alias("_a"), q.alias("_q"), flat.alias("_flat"))
+        base = base.select("*", ph.offset.cast("long").alias("_a"), q.alias("_q"), flat.alias("_flat"))
+        charging = positive("_q")
+        n = F.col("n_session_steps").cast("double")
+        x = F.when(~charging, F.lit(0.0)).when(F.col("_q") >= E, F.lit(1.0)).otherwise(E / F.col("_q"))
+        base = base.withColumn("_x", F.least(x, n + F.lit(1.0)))        # finite; more steps are never used
+        full = F.floor(F.least(F.col("_x"), n)).cast("long")
+        rem = F.when(charging & (F.col("_q") < E), E - F.floor("_x").cast("double") * F.col("_q")).otherwise(F.lit(0.0))
+        return (base.withColumn("_full", full)
+                .withColumn("_rem", F.when(positive(rem), rem).otherwise(F.lit(0.0)))
+                .withColumn("_span", F.least(F.ceil("_x").cast("double"), n).cast("long")).drop("_x"))
 
     def session_totals(self, all_rows: bool = False) -> DataFrame:
         """Per valid session (every session with ``all_rows``, flagged ``_valid``): steps
         plugged in and energy delivered over them (closed form; 0 for invalid ones)."""
         E, q = F.col("energy_target_kwh"), F.col("_q")
         charging_steps = F.greatest(F.lit(0).cast("long"), F.col("n_session_steps") - F.col("_a"))
-        total = F.when(q > 0, F.greatest(F.lit(0.0), F.least(E, charging_steps * q))).otherwise(F.lit(0.0))
+        total = F.when((q > 0) & (charging_steps > 0), F.least(E, charging_steps * q)).otherwise(F.lit(0.0))
         cols = ["session_id", "station_id", "energy_requested_kwh", "energy_target_kwh", "n_session_steps"]
         if all_rows:
             return self.phased(True).select(*cols, "_valid",
                                             F.when(F.col("_valid"), total).otherwise(F.lit(0.0)).alias("delivered_kwh"))
         return self.phased().select(*cols, total.alias("delivered_kwh"))
 
-    def steps(self) -> DataFrame:
-        """One row per (session, step): station, step, timestamp, rate, energy, state.
+    def steps(self, where=None) -> DataFrame:
+        """(``where``: a condition on :meth:`phased` columns.) One row per (session, step): station, step, timestamp, rate, energy, state.
 
-        With j the session-local step, a the start offset and q the step energy:
-        energy = max(0, min(q, E − (j−a)·q)) from j = a on; rate = energy / h, or the flat
-        rate while energy remains; delivered before = min(E, (j−a)·q)."""
-        expanded = expand_steps(self.phased(), self.interval_minutes, self.chunk_steps, self.spread)
+        With j the session-local step, a the start offset and q the step energy: energy is
+        q on the whole steps from j = a on, then the remainder once; rate = energy / h, or
+        the flat rate while energy remains; delivered before = min(E, (j−a)·q)."""
+        phased = self.phased() if where is None else self.phased().where(where)
+        expanded = expand_steps(phased, self.interval_minutes, self.chunk_steps, self.spread)
         h = F.lit(interval_hours(self.interval_minutes))
         E, q, a = F.col("energy_target_kwh"), F.col("_q"), F.col("_a")
         i = F.col("step_index") - F.col("k0") - a              # steps since charging began
-        left = E - i * q
-        energy = F.when(i >= 0, F.greatest(F.lit(0.0), F.least(q, left))).otherwise(F.lit(0.0))
+        energy = (F.when((i >= 0) & (i < F.col("_full")), q).when(i == F.col("_full"), F.col("_rem"))
+                  .otherwise(F.lit(0.0)))
         rate = F.when(F.col("_flat").isNotNull(),
-                      F.when((i >= 0) & (left > 0), F.col("_flat")).otherwise(F.lit(0.0))) \
+                      F.when((i >= 0) & (i < F.col("_span")), F.col("_flat")).otherwise(F.lit(0.0))) \
                 .otherwise(energy / h)
         before = F.when(i > 0, F.greatest(F.lit(0.0), F.least(E, i * q))).otherwise(F.lit(0.0))
         remaining_minutes = F.greatest(

@@ -36,7 +36,7 @@ def json_zone_case(eid: Column) -> Column:
             .when(k == 3, "").when(k == 4, "null").otherwise(UNKNOWN_ZONE))
 
 
-def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def json_lines(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One JSON text line per event, shaped like a JSON session record."""
     e = _events_with_sessions(spark, sf_dir)
     eid = F.col("event_id")
@@ -70,13 +70,43 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     zone_field = (F.when(case == "absent", F.lit(""))
                   .when(case == "null", F.lit(',"timezone":null'))
                   .otherwise(F.concat(F.lit(',"timezone":"'), case, F.lit('"'))))
-    return e.select(F.concat(F.regexp_replace(base, r"\}$", ""), zone_field, F.lit("}")).alias("value"))
+    return e.select(*keep, F.concat(F.regexp_replace(base, r"\}$", ""), zone_field, F.lit("}")).alias("value"))
+
+
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """The folder that ``write(path)`` filled, written once per session and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        path = scratch_path(spark, name)
+        write(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
 
 
 def write_json_sessions(spark: SparkSession, sf_dir: str) -> str:
-    path = scratch_path(spark, "json-sessions")
-    json_lines(spark, sf_dir).write.text(path)
-    return path
+    return once(spark, sf_dir, "json-sessions", lambda path: json_lines(spark, sf_dir).write.text(path))
+
+
+def write_mixed_json_sessions(spark: SparkSession, sf_dir: str) -> str:
+    """The same records in one folder tree of 16 files: 8 of lines (one folder each), 8 of one array each."""
+    def write(path: str) -> None:
+        e = json_lines(spark, sf_dir, keep=("event_id",))
+        e = e.withColumn("bucket", F.col("event_id") % 16)
+        ends = e.where("bucket >= 8").groupBy("bucket").agg(F.min("event_id").alias("first"))
+        arrays = e.where("bucket >= 8").join(F.broadcast(ends), "bucket")       # at most 8 rows
+        arrays = arrays.select("bucket", F.col("event_id").alias("at"),
+                               F.concat(F.when(F.col("event_id") > F.col("first"), F.lit(",")).otherwise(F.lit("")),
+                                        "value").alias("value"))
+        for at, mark in ((-1, "["), (2**62, "]")):
+            arrays = arrays.unionByName(ends.select("bucket", F.lit(at).cast("bigint").alias("at"), F.lit(mark).alias("value")))
+        lines = e.where("bucket < 8").select("bucket", F.col("event_id").alias("at"), "value")
+        (lines.unionByName(arrays).repartition(16, "bucket").sortWithinPartitions("bucket", "at")
+         .select("bucket", "value").write.partitionBy("bucket").text(path))
+
+    return once(spark, sf_dir, "mixed-json-sessions", write)
 
 
 # --- CSV -------------------------------------------------------------------------------
@@ -136,8 +166,23 @@ def write_csv_sessions(spark: SparkSession, sf_dir: str, alias_headers: bool = F
     """CSV files, one per bucket folder (``bucket=<event_id mod 8>``), rows in event order.
 
     Buckets are hash-balanced by event id, so no file holds a skewed share."""
-    path = scratch_path(spark, "csv-sessions")
-    df = csv_frame(spark, sf_dir, alias_headers)
+    return once(spark, sf_dir, f"csv-sessions-{alias_headers}".lower(),
+                lambda path: _write_csv(csv_frame(spark, sf_dir, alias_headers), path))
+
+
+def _write_csv(df: DataFrame, path: str) -> None:
     (df.repartition(CSV_BUCKETS, "bucket").sortWithinPartitions("bucket", "_order").drop("_order")
-       .write.partitionBy("bucket").option("header", True).csv(path))
-    return path
+       .write.mode("append").partitionBy("bucket").option("header", True).csv(path))
+
+
+def write_mixed_csv_sessions(spark: SparkSession, sf_dir: str) -> str:
+    """The same rows under three headers in one folder: buckets 0-2 as usual, 3-5 with the columns
+    in another order, 6 and 7 with other names (and no station column)."""
+    def write(path: str) -> None:
+        usual = csv_frame(spark, sf_dir)
+        turned = usual.select(*reversed(usual.columns))
+        _write_csv(usual.where("bucket < 3"), path)
+        _write_csv(turned.where("bucket BETWEEN 3 AND 5"), path)
+        _write_csv(csv_frame(spark, sf_dir, alias_headers=True).where("bucket > 5"), path)
+
+    return once(spark, sf_dir, "mixed-csv-sessions", write)

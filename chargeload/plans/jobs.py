@@ -17,7 +17,7 @@ from chargeload.operators.metrics import baseline_metrics
 from chargeload.operators.policies import DEFAULT_SEED, get_policy
 from chargeload.operators.profile import load_profile
 from chargeload.sinks import store
-from chargeload.sources.registry import get_loader
+from chargeload.sources.registry import SessionSource, get_loader
 
 
 def _now() -> dt.datetime:
@@ -36,20 +36,27 @@ def ingest(spark: SparkSession, dataset: str, path: str, root: str) -> dict:
     row = {"run_id": uuid.uuid4().hex, "source_dataset": dataset, "source_path": path, "started_at": _now(),
            "completed_at": None, "status": "running", "records_seen": 0, "records_inserted": 0,
            "records_invalid": 0, "notes": None}
+    return recorded_ingest(spark, source, path, root, row)
+
+
+def recorded_ingest(spark: SparkSession, source: SessionSource, path: str | list[str], root: str, row: dict) -> dict:
+    """Run one ingest and write its ledger row, completed or failed (with the whole error text)."""
     stats: dict = {}
     try:
-        sessions = source.load(spark, path)
-        row["records_inserted"] = store.insert_new_sessions(spark, sessions, root, datasets=[dataset], stats=stats)
-        row["records_seen"] = stats.get("records_seen", 0)
-        row["records_invalid"] = stats.get("records_invalid", 0)
-        row["status"] = "completed"
+        # ids that carry their dataset (checked on load) can only be stored in that dataset
+        datasets = [source.dataset_name] if source.prefixed else None
+        row["records_inserted"] = store.insert_new_sessions(spark, source.load(spark, path), root, datasets=datasets,
+                                                            stats=stats)
     except Exception as exc:
-        row["status"] = "failed"
-        row["notes"] = str(exc)[:4000]
+        row |= {"status": "failed", "notes": str(exc), "completed_at": _now()}
+        try:
+            store.append_ingest_run(spark, root, row)
+        except Exception as ledger:  # noqa: BLE001 - the ingest's own error comes first
+            exc.add_note(f"the ledger row could not be written either: {ledger}")
         raise
-    finally:
-        row["completed_at"] = _now()
-        store.append_ingest_run(spark, root, row)
+    row |= {"records_seen": stats.get("records_seen", 0), "records_invalid": stats.get("records_invalid", 0),
+            "status": "completed", "completed_at": _now()}
+    store.append_ingest_run(spark, root, row)
     return row
 
 

@@ -140,7 +140,7 @@ def with_sessions(body: str) -> str:
 
 def r2(x: str, digits: int) -> str:
     """Exact half-up rounding on the decimal value (mirrors functions.round_half_up)."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38,{min(9, digits + 4)})), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST({x} AS DECIMAL(38,9)), {digits}) AS DOUBLE)"
 
 
 # --- raw-file sources ------------------------------------------------------------------
@@ -197,6 +197,16 @@ def valid_expr(extra: str = "") -> str:
             "AND coalesce(charging_duration_minutes, 0) >= 0" + extra + ")")
 
 
+def errors_expr() -> str:
+    rules = [("arrival_ts IS NULL", "arrival_ts:missing required timestamp"),
+             ("departure_ts IS NULL", "departure_ts:missing required timestamp"),
+             ("departure_ts <= arrival_ts", "departure_ts:departure must be after arrival"),
+             ("session_duration_minutes <= 0", "session_duration_minutes:must be positive")]
+    rules += [(f"{c} < 0", f"{c}:must be non-negative") for c in
+              ("energy_requested_kwh", "energy_delivered_kwh", "max_charge_rate_kw", "charging_duration_minutes")]
+    return "concat_ws('|', " + ", ".join(f"CASE WHEN {c} THEN '{m}' END" for c, m in rules) + ")"
+
+
 # Expected canonical rows of the JSON session fixture (chargeload.plans.fixtures.json_lines).
 JSON_CTE = f"""
 jx AS (
@@ -218,7 +228,7 @@ jn AS (
          CAST(CASE WHEN zone_ok AND arrival_ts IS NOT NULL THEN ch_min END AS INTEGER) AS charging_duration_minutes,
          event_id
   FROM jx),
-jv AS (SELECT *, {valid_expr()} AS is_valid FROM jn)
+jv AS (SELECT *, {valid_expr()} AS is_valid, {errors_expr()} AS errors FROM jn)
 """
 
 # Expected canonical rows of the CSV session fixture (chargeload.plans.fixtures.csv_frame).
@@ -245,7 +255,7 @@ cn AS (
            AS session_duration_minutes,
          start_text, ch_text, event_id
   FROM cp),
-cv AS (SELECT *, {valid_expr()} AS is_valid FROM cn)
+cv AS (SELECT *, {valid_expr()} AS is_valid, {errors_expr()} AS errors FROM cn)
 """
 
 

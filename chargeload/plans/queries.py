@@ -1,7 +1,8 @@
 """Registered queries: one per operator of the inventory, each over the driver's tables.
 
-Every query takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the *whole*
-input tables. ``ORACLES`` holds, for each key that SQL can express, an independent
+Every query takes ``(spark, sf_dir)`` and returns a DataFrame over the *whole* input
+tables. Queries on files, stores and runs write those while they are built; the others only
+plan. ``ORACLES`` holds, for each key that SQL can express, an independent
 DuckDB statement over the same tables (see ``chargeload.plans.oracle``).
 
 Reported kW / kWh figures are rounded to 6 decimals (micro-units), KPI figures the way

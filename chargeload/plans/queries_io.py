@@ -2,8 +2,8 @@
 jobs, analysis runs and the streaming ingest. Imported by ``chargeload.plans.queries``.
 
 Source queries first derive raw files from the whole ``events`` table (see
-``fixtures``), then read them back through the real readers. Store queries build a
-fresh store in the shared folder per call.
+``fixtures``), then read them back through the real readers. Files and read-only stores are
+written once per session and table folder; queries that insert build a store of their own.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from chargeload.config import scratch_path
 from chargeload.functions.numbers import hms_minutes, round6, safe_double
 from chargeload.functions.timestamps import iso_timestamp, multi_format_timestamp
+from chargeload.operators.quality import errors_text
 from chargeload.plans import fixtures
 from chargeload.plans import oracle as O
 from chargeload.plans.adapters import events_sessions, read_table
@@ -109,19 +110,20 @@ def q_safe_double(spark, sf_dir):
 
 # --- A1 / B1: JSON session files ------------------------------------------------------------
 
-@query("read_json_sessions", O.with_files("""
+READ_JSON_SQL = O.with_files("""
 SELECT CASE WHEN event_id % 401 = 0 THEN '' ELSE CAST(event_id AS VARCHAR) END AS record_id,
   CASE WHEN event_id % 6 = 0 THEN 'absent' WHEN event_id % 6 = 4 THEN 'null'
        WHEN event_id % 6 = 1 THEN 'America/Los_Angeles' WHEN event_id % 6 = 2 THEN 'America/New_York'
        WHEN event_id % 6 = 3 THEN '' ELSE 'Nowhere/Atlantis' END AS zone_state,
   station_id, CASE WHEN event_id % 5 <> 0 THEN concat('P', CAST(event_id % 4 AS VARCHAR)) END AS port_id,
   CASE WHEN event_id % 13 = 0 THEN NULL ELSE energy_delivered_kwh END AS kwh_delivered
-FROM raw"""))
-def q_read_json_sessions(spark, sf_dir):
+FROM raw""")
+
+
+def _json_fields(recs):
     from chargeload.sources.json_sessions import record_id_text, vraw, vtext
     from chargeload.functions.numbers import safe_double as sd
 
-    recs = read_json_records(spark, fixtures.write_json_sessions(spark, sf_dir))
     r = F.col("record")
     z = vraw(r, "timezone")
     state = F.when(z.isNull(), "absent").when(F.is_variant_null(z), "null").otherwise(vtext(r, "timezone"))
@@ -130,16 +132,31 @@ def q_read_json_sessions(spark, sf_dir):
                        sd(vtext(r, "kWhDelivered")).alias("kwh_delivered"))
 
 
-JSON_COLS = ("session_id, source_record_id, station_id, port_id, vehicle_id, arrival_ts, departure_ts, "
+@query("read_json_sessions", READ_JSON_SQL)
+def q_read_json_sessions(spark, sf_dir):
+    return _json_fields(read_json_records(spark, fixtures.write_json_sessions(spark, sf_dir)))
+
+
+@query("read_json_mixed_layouts", READ_JSON_SQL)
+def q_read_json_mixed_layouts(spark, sf_dir):
+    return _json_fields(read_json_records(spark, fixtures.write_mixed_json_sessions(spark, sf_dir)))
+
+
+JSON_COLS = ("session_id, source_dataset, source_record_id, station_id, port_id, vehicle_id, arrival_ts, departure_ts, "
              "energy_requested_kwh, energy_delivered_kwh, max_charge_rate_kw, session_duration_minutes, "
-             "charging_minutes, is_valid")
+             "charging_minutes, is_valid, errors, payload_site, payload_requested")
+JSON_CONST = "'acn' AS source_dataset"
+JSON_PAYLOAD = ("jp AS (SELECT *, 'site-1' AS payload_site, energy_requested_kwh AS payload_requested FROM jv)")
 # charging_duration_minutes is a nullable integer: reported as a double on both sides so
 # both engines hand over the same type.
 CHARGING_SQL = "CAST(charging_duration_minutes AS DOUBLE) AS charging_minutes"
 
 
-def _charging(df):
-    return df.withColumn("charging_minutes", F.col("charging_duration_minutes").cast("double"))
+def _charging(df, **payload):
+    """Comparable forms of the columns whose types differ: nullable integer, error list, payload fields."""
+    df = df.withColumn("charging_minutes", F.col("charging_duration_minutes").cast("double"))
+    df = df.withColumn("errors", errors_text()) if "validation_errors" in df.columns else df
+    return df.withColumns({f"payload_{k}": F.get_json_object("raw_payload", path) for k, path in payload.items()})
 
 
 def _cols(names: str) -> list[str]:
@@ -147,10 +164,11 @@ def _cols(names: str) -> list[str]:
 
 
 @query("normalize_json_sessions", O.with_files(
-    f"SELECT {JSON_COLS.replace('charging_minutes', CHARGING_SQL)} FROM jv", O.JSON_CTE))
+    f"SELECT {JSON_COLS.replace('charging_minutes', CHARGING_SQL).replace('source_dataset', JSON_CONST)} FROM jp", O.JSON_CTE, JSON_PAYLOAD))
 def q_normalize_json_sessions(spark, sf_dir):
-    df = _charging(get_loader("acn").load(spark, fixtures.write_json_sessions(spark, sf_dir)))
-    return df.select(*_cols(JSON_COLS))
+    df = _charging(get_loader("acn").load(spark, fixtures.write_json_sessions(spark, sf_dir)), site="$.siteID",
+                   requested="$.kWhRequested")
+    return df.select(*_cols(JSON_COLS)).withColumn("payload_requested", F.col("payload_requested").cast("double"))
 
 
 # --- A2 / B2 / B3 / C9: CSV session files ---------------------------------------------------
@@ -169,16 +187,61 @@ def q_row_ordinal(spark, sf_dir):
     return recs.select("bucket", F.col("Session_Ref").cast("long").alias("event_id"), "_row")
 
 
-CSV_COLS = ("bucket, source_record_id, station_id, port_id, arrival_ts, departure_ts, energy_delivered_kwh, "
-            "charging_minutes, session_duration_minutes, is_valid")
+CSV_COLS = ("bucket, session_id, source_dataset, source_record_id, vehicle_id, station_id, port_id, arrival_ts, departure_ts, energy_delivered_kwh, "
+            "charging_minutes, session_duration_minutes, is_valid, errors, payload_ref, payload_start")
 
 
-@query("normalize_csv_sessions", O.with_files(
-    f"SELECT {CSV_COLS.replace('charging_minutes', CHARGING_SQL)} FROM cv", O.CSV_CTE))
-def q_normalize_csv_sessions(spark, sf_dir):
-    df = _charging(get_loader("urbanev").load(spark, fixtures.write_csv_sessions(spark, sf_dir)))
+def _csv_sql(station: str = "station_id", source: str = "cv") -> str:
+    """Ids carry the digest of their file's path, which SQL can't know: 'b<bucket>' stands for it."""
+    cols = (CSV_COLS.replace("charging_minutes", CHARGING_SQL)
+            .replace("session_id,", "concat('urbanev-b', CAST(bucket AS VARCHAR), '-', source_record_id) AS session_id,", 1)
+            .replace("source_dataset", "'urbanev' AS source_dataset")
+            .replace(" source_record_id, vehicle", " concat('b', CAST(bucket AS VARCHAR), '-', source_record_id) AS source_record_id, vehicle")
+            .replace("vehicle_id", "CAST(NULL AS VARCHAR) AS vehicle_id").replace(" station_id,", f" {station} AS station_id,")
+            .replace("payload_ref", "CAST(event_id AS VARCHAR) AS payload_ref").replace("payload_start", "start_text AS payload_start"))
+    return f"SELECT {cols} FROM {source}"
+
+
+def _csv_ids(df):
+    """'b<bucket>' in the place of a right path digest."""
     df = df.withColumn("bucket", F.regexp_extract("_file", r"bucket=(\d+)", 1).cast("int"))
-    return df.select(*_cols(CSV_COLS))
+    name = F.concat(F.lit("b"), F.col("bucket").cast("string"), F.lit("-"))
+    return df.withColumns({c: F.replace(F.col(c), F.concat(F.md5("_file"), F.lit("-")), name)
+                           for c in ("session_id", "source_record_id")})
+
+
+def _csv_rows(spark, path):
+    df = _charging(get_loader("urbanev").load(spark, path), ref="$.Session_Ref")
+    start = F.coalesce(*[F.get_json_object("raw_payload", f"$['{c}']") for c in ("Start_Date___Time", "Start Date / Time")])
+    return _csv_ids(df.withColumn("payload_start", start)).select(*_cols(CSV_COLS))
+
+
+@query("normalize_csv_sessions", O.with_files(_csv_sql(), O.CSV_CTE))
+def q_normalize_csv_sessions(spark, sf_dir):
+    return _csv_rows(spark, fixtures.write_csv_sessions(spark, sf_dir))
+
+
+@query("read_csv_mixed_headers", O.with_files(_csv_sql("CASE WHEN bucket > 5 THEN evse ELSE station_id END"), O.CSV_CTE))
+def q_read_csv_mixed_headers(spark, sf_dir):
+    return _csv_rows(spark, fixtures.write_mixed_csv_sessions(spark, sf_dir))
+
+
+@query("ingest_csv", O.with_files("""
+SELECT concat('urbanev-b', CAST(bucket AS VARCHAR), '-', source_record_id) AS session_id, is_valid, energy_delivered_kwh,
+       (SELECT count(*) FROM cv) AS records_seen, (SELECT count(*) FROM cv) AS records_inserted
+FROM cv""", O.CSV_CTE))
+def q_ingest_csv(spark, sf_dir):
+    root = scratch_path(spark, "store")
+    path = fixtures.write_csv_sessions(spark, sf_dir)
+    row = ingest(spark, "urbanev", path, root)
+    files = read_csv_records(spark, path).select("_file").distinct()
+    digests = files.select(F.md5("_file").alias("digest"), F.regexp_extract("_file", r"bucket=(\d+)", 1).alias("b"))
+    stored = store.read_sessions(spark, root, "urbanev", ["session_id", "is_valid", "energy_delivered_kwh"])
+    stored = stored.withColumn("digest", F.regexp_extract("session_id", "^urbanev-([0-9a-f]{32})-", 1))
+    return stored.join(digests, "digest").select(
+        F.concat(F.lit("urbanev-b"), "b", F.regexp_extract("session_id", "(-[0-9]+)$", 1)).alias("session_id"), "is_valid",
+        "energy_delivered_kwh", F.lit(row["records_seen"]).cast("long").alias("records_seen"),
+        F.lit(row["records_inserted"]).cast("long").alias("records_inserted"))
 
 
 @query("resolve_aliases", O.with_files(
@@ -194,13 +257,29 @@ def q_resolve_aliases(spark, sf_dir):
 # --- A7 / A8 / B9 / E11 / H2: session store ----------------------------------------------
 
 def _events_store(spark, sf_dir, with_json: bool = False) -> str:
+    """A store of the events sessions (and the JSON ones), built once: the queries on it only read sessions."""
+    def write(root: str) -> None:
+        sessions = events_sessions(spark, sf_dir)
+        store.insert_new_sessions(spark, sessions.withColumn("_row", F.col("source_record_id").cast("long")), root,
+                                  order_cols=["_row"])
+        if with_json:
+            ingest(spark, "acn", fixtures.write_json_sessions(spark, sf_dir), root)
+
+    return fixtures.once(spark, sf_dir, f"store-{with_json}".lower(), write)
+
+
+@query("insert_across_datasets", O.with_sessions("""
+SELECT source, count(*) AS sessions, (SELECT count(*) FROM checked) AS first_inserted, 0 AS second_inserted
+FROM (SELECT 'one' AS source FROM checked) GROUP BY source"""))
+def q_insert_across_datasets(spark, sf_dir):
+    # Two sources whose ids carry no dataset: the second one's equal ids are known already.
     root = scratch_path(spark, "store")
-    sessions = events_sessions(spark, sf_dir)
-    store.insert_new_sessions(spark, sessions.withColumn("_row", F.col("source_record_id").cast("long")), root,
-                              order_cols=["_row"])
-    if with_json:
-        ingest(spark, "acn", fixtures.write_json_sessions(spark, sf_dir), root)
-    return root
+    s = events_sessions(spark, sf_dir).withColumn("_row", F.col("source_record_id").cast("long"))
+    n = [store.insert_new_sessions(spark, s.withColumn("source_dataset", F.lit(name)), root, order_cols=["_row"])
+         for name in ("one", "two")]
+    out = store.read_sessions(spark, root, columns=["source_dataset"]).groupBy(F.col("source_dataset").alias("source"))
+    return out.agg(F.count(F.lit(1)).alias("sessions")).withColumns(
+        {"first_inserted": F.lit(n[0]).cast("long"), "second_inserted": F.lit(n[1])})
 
 
 @query("insert_new_sessions", O.with_sessions(f"""
@@ -250,6 +329,17 @@ def q_page_by_source(spark, sf_dir):
     return store.page_by_source(spark, root, "events", limit=100, offset=200).select("session_id", "arrival_ts")
 
 
+@query("page_after_key", O.with_sessions(
+    "SELECT session_id, arrival_ts FROM checked ORDER BY arrival_ts ASC NULLS LAST, session_id LIMIT 100 OFFSET 200"))
+def q_page_after_key(spark, sf_dir):
+    # Two pages by key give the third hundred, as two offsets of a hundred do.
+    root, after = _events_store(spark, sf_dir), None
+    for _ in range(2):
+        last = store.page_after(spark, root, "events", 100, after).select("arrival_ts", "session_id").tail(1)
+        after = tuple(last[0]) if last else after
+    return store.page_after(spark, root, "events", 100, after).select("session_id", "arrival_ts")
+
+
 # --- D7 / D8: ingest job ---------------------------------------------------------------------
 
 @query("ingest_counters", O.with_files("""
@@ -272,6 +362,41 @@ def q_ingest_counters(spark, sf_dir):
 
 # --- A10–A12 / B10 / B11: analysis runs ---------------------------------------------------
 
+# --- G4 / G6 / E3 / E9: rates and targets outside the usual range ---------------------------
+
+# Rate by event: infinite, NaN, zero, usual; target 1e25 kWh for a few.
+EXTREME_SQL = """
+, x AS (SELECT session_id, energy_requested_kwh AS e, event_id % 8 AS c, (event_id % 64 = 5 OR event_id % 640 = 9) AS huge, arrival_ts, departure_ts
+        FROM checked WHERE is_valid AND energy_requested_kwh > 0),
+b2 AS (SELECT min(arrival_ts) AS t0 FROM x),
+k AS (SELECT x.*, ((epoch_us(departure_ts) - epoch_us(t0) + 299999999) // 300000000) - ((epoch_us(arrival_ts) - epoch_us(t0) + 299999999) // 300000000) AS n
+      FROM x, b2)
+SELECT session_id, CASE WHEN n <= 0 OR c = 3 THEN CAST(0 AS DOUBLE) WHEN c IN (1, 2) THEN CASE WHEN huge THEN CAST('1e25' AS DOUBLE) ELSE round(e, 6) END
+       WHEN huge THEN round(n * CAST(0.5 AS DOUBLE), 6) ELSE round(least(e, n * CAST(0.5 AS DOUBLE)), 6) END AS energy_kwh,
+       FALSE AS arms_differ
+FROM k"""
+
+
+@query("policy_extreme_values", O.with_sessions(EXTREME_SQL))
+def q_policy_extreme_values(spark, sf_dir):
+    from chargeload.operators import changepoints, curves
+    from chargeload.operators.profile import load_profile
+
+    s = events_sessions(spark, sf_dir).where(F.col("is_valid") & (F.col("energy_requested_kwh") > 0))
+    eid = F.col("source_record_id").cast("long")
+    rate = F.when(eid % 8 == 1, float("inf")).when(eid % 8 == 2, float("nan")).when(eid % 8 == 3, 0.0).otherwise(6.0)
+    huge = (eid % 64 == 5) | (eid % 640 == 9)
+    s = s.withColumn("max_charge_rate_kw", rate).withColumn(
+        "energy_requested_kwh", F.when(huge, F.lit(1e25)).otherwise(F.col("energy_requested_kwh")))
+    p = load_profile(s, "immediate_charge", 5)
+    arms = [t.select("level", "timestamp", "station_id", "load_kw", "energy_kwh", "active_sessions")
+            for t in (curves.load_timeseries(p.steps()), changepoints.load_timeseries(p))]
+    differ = arms[0].exceptAll(arms[1]).limit(1).count() + arms[1].exceptAll(arms[0]).limit(1).count() > 0
+    total = p.session_totals().select("session_id", "delivered_kwh")
+    return total.select("session_id", F.when(F.col("delivered_kwh") > 1e20, F.col("delivered_kwh"))
+                        .otherwise(F.round("delivered_kwh", 6)).alias("energy_kwh"), F.lit(differ).alias("arms_differ"))
+
+
 @query("run_results", O.with_loop("immediate_charge", 5, f"""
 SELECT CASE WHEN grouping(station_id) = 1 THEN 'fleet' ELSE 'station' END AS level, ts AS timestamp,
   station_id, {O.r2('sum(rate)', 6)} AS load_kw, count(*) AS active_sessions
@@ -305,5 +430,9 @@ def q_run_kpis(spark, sf_dir):
 @query("ingest_stream", O.with_files("SELECT DISTINCT session_id, 'acn' AS source_dataset FROM jv", O.JSON_CTE))
 def q_ingest_stream(spark, sf_dir):
     root = scratch_path(spark, "store")
-    ingest_stream(spark, "acn", fixtures.write_json_sessions(spark, sf_dir), root, max_files_per_trigger=2)
+    # both layouts in one folder tree; a second call finds nothing new
+    path = fixtures.write_mixed_json_sessions(spark, sf_dir)
+    ingest_stream(spark, "acn", path, root, max_files_per_trigger=8)
+    if ingest_stream(spark, "acn", path, root):
+        raise AssertionError("the stream read files again")
     return store.read_sessions(spark, root, "acn", ["session_id", "source_dataset"])

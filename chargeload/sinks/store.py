@@ -20,13 +20,8 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from chargeload.config import scratch_path
 from chargeload.schemas import ANALYSIS_COLUMNS, INGEST_RUN, LOAD, RUN, SESSION_COLUMNS, STORED_SESSION
 
-# Batches with at most this many distinct ids have their id column broadcast in the
-# stored-id check (≈ 40 bytes per id in the broadcast).
-MAX_BROADCAST_IDS = 2_000_000
-
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True when ``path`` exists on its file system (local, HDFS, object store)."""
@@ -106,8 +101,8 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
     stage, so a stage re-run after an executor loss cannot count a row twice.
     """
     if order_cols is None:
-        order_cols = [c for c in ("_file", "_row") if c in incoming.columns]
-    stage = scratch_path(spark, "stage-sessions")
+        order_cols = [c for c in ("_file", "_block", "_row") if c in incoming.columns]
+    stage = f"{root.rstrip('/')}/_staging/sessions-{uuid.uuid4().hex[:12]}"
     staged_df = _first_per_session(incoming, order_cols).select("session_id", "_r.*", "_n", "_bad")
     # Counted while staged: the observation sits in the final (result) stage of the write,
     # after the dedupe shuffle, so a task or stage re-run cannot count a row twice.
@@ -121,19 +116,18 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
         stats["records_seen"], stats["records_invalid"] = int(c.get("seen", 0)), int(c.get("bad", 0))
     staged = staged_all.select(*SESSION_COLUMNS)
     if int(c.get("ids", 0)) == 0:
+        _drop_folder(spark, stage)
         return 0
     batch_ids = staged.select("session_id")
-    if int(c["ids"]) <= MAX_BROADCAST_IDS:      # size proven by the count of the staged batch
-        batch_ids = F.broadcast(batch_ids)
 
     target = _sessions_dir(root)
     if path_exists(spark, target):
         stored = _read_store(spark, target)
         if datasets:
             stored = stored.where(F.col("source_dataset").isin(list(datasets)))
-        # Semi-join first: the stored id column is streamed against the batch ids
-        # (broadcast when the batch is small), and only the few matches meet the batch
-        # again in the anti join. The store is never shuffled for such a batch.
+        # Semi-join first: the stored id column meets the batch's ids (Spark broadcasts them
+        # where the staged files prove them small, and then the store is never shuffled),
+        # and only the few matches meet the batch again in the anti join.
         existing = stored.select("session_id").join(batch_ids, "session_id", "left_semi")
         new = staged.join(existing, "session_id", "left_anti")
     else:
@@ -142,8 +136,18 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
     # Observed in the final (result) stage of the write: applied once per task.
     inserted = Observation(f"inserted-{uuid.uuid4().hex[:12]}")
     (new.observe(inserted, F.count(F.lit(1)).alias("n"))
-        .write.mode("append").partitionBy("source_dataset").parquet(target))
-    return int(inserted.get.get("n", 0))
+        .sortWithinPartitions("source_dataset", "session_id")       # row groups with narrow id ranges
+        .write.mode("append").option("parquet.bloom.filter.enabled#session_id", "true")
+        .partitionBy("source_dataset").parquet(target))
+    n = int(inserted.get.get("n", 0))
+    _drop_folder(spark, stage)
+    return n
+
+
+def _drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a staging folder of this job (a unique name below the store's root)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
 
 
 def sessions_by_dataset(spark: SparkSession, root: str, dataset: str) -> DataFrame:
@@ -151,8 +155,10 @@ def sessions_by_dataset(spark: SparkSession, root: str, dataset: str) -> DataFra
     return read_sessions(spark, root, dataset, ANALYSIS_COLUMNS)
 
 
-def session_lookup(spark: SparkSession, root: str, session_id: str) -> DataFrame:
-    return read_sessions(spark, root).where(F.col("session_id") == session_id)
+def session_lookup(spark: SparkSession, root: str, session_id: str, dataset: str | None = None) -> DataFrame:
+    """The session of one id. The id reaches the scan, where bloom filters and the files' id
+    order skip most row groups; ``dataset``, if known, prunes the other partitions."""
+    return read_sessions(spark, root, dataset).where(F.col("session_id") == session_id)
 
 
 def count_by_source(spark: SparkSession, root: str, dataset: str | None = None) -> DataFrame:
@@ -164,11 +170,29 @@ def page_by_source(spark: SparkSession, root: str, dataset: str, limit: int = 10
     """Sessions of one dataset ordered by arrival (NULLs last, then id), one page.
 
     Spark plans ``orderBy(...).offset(o).limit(l)`` as a top-(o+l) per partition, so the
-    cost is a scan plus a small merge, not a full sort."""
+    cost is a scan plus a small merge, not a full sort. The merge grows with the offset:
+    deep pages are better taken by :func:`page_after`."""
     df = read_sessions(spark, root, dataset)
     return df.orderBy(F.col("arrival_ts").asc_nulls_last(), "session_id").offset(offset).limit(limit)
 
 
+def page_after(spark: SparkSession, root: str, dataset: str, limit: int = 100, after=None) -> DataFrame:
+    """The page that follows the session ``after`` = (arrival_ts or None, session_id) in the
+    order of :func:`page_by_source`; the first page without it. Costs a filtered scan and a
+    merge of ``limit`` rows per task, however deep the page."""
+    df = read_sessions(spark, root, dataset)
+    if after is not None:
+        arrival, session_id = after
+        later_id = F.col("session_id") > F.lit(session_id)
+        if arrival is None:
+            df = df.where(F.col("arrival_ts").isNull() & later_id)
+        else:
+            ts = F.lit(arrival).cast("timestamp")
+            df = df.where(F.col("arrival_ts").isNull() | (F.col("arrival_ts") > ts)
+                          | ((F.col("arrival_ts") == ts) & later_id))
+    return df.orderBy(F.col("arrival_ts").asc_nulls_last(), "session_id").limit(limit)
+
+
 # --- ledgers -----------------------------------------------------------------------------
 #
 # Runs, loads and ledger rows are written into their own ``run_id`` partition with

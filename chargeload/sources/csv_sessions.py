@@ -31,7 +31,7 @@ ALIASES = {
     "port": PORT_COLUMNS,
 }
 
-_INTERNAL = ("_file", "_row")
+_INTERNAL = ("_file", "_row", "_many")
 
 
 def find_column(columns: list[str], candidates: tuple[str, ...]) -> str | None:
@@ -48,20 +48,25 @@ def _c(name: str | None):
     return F.col(f"`{name}`") if name else F.lit(None).cast("string")
 
 
-def normalize_csv_sessions(records: DataFrame, dataset: str = "urbanev", id_scope: str = "dataset") -> DataFrame:
-    """Canonical session columns (before validation) from ``read_csv_records`` output.
+def normalize_csv_sessions(records: DataFrame, dataset: str = "urbanev", id_scope: str = "auto") -> DataFrame:
+    """Canonical session columns (before validation) from the frames of the CSV readers.
 
-    ``id_scope='dataset'`` numbers rows per file (ids of two files collide, the later one
-    is then skipped on insert, as the service we replace does); ``'file'`` adds a short
-    hash of the file path to the id so that every file's rows are kept."""
-    if id_scope not in ("dataset", "file"):
-        raise ValueError("id_scope must be 'dataset' or 'file'")
+    The id is the row's number in its file (``'dataset'``), or the digest of the file's path
+    and the number (``'file'``), so that the rows of several files stay apart. ``'auto'``
+    takes the number alone only where the input is one file by name. ``'dataset'`` on any
+    other input fails instead of letting one file's rows shadow another's."""
+    if id_scope not in ("auto", "dataset", "file"):
+        raise ValueError("id_scope must be 'auto', 'dataset' or 'file'")
+    many = F.col("_many") if "_many" in records.columns else F.lit(True)
     source_cols = [c for c in records.columns if c not in _INTERNAL]
     m = resolve_aliases(source_cols)
     arrival = multi_format_timestamp(_c(m["arrival"]))
     departure = multi_format_timestamp(_c(m["departure"]))
     row = F.col("_row").cast("string")
-    record_id = row if id_scope == "dataset" else F.concat(F.substring(F.md5("_file"), 1, 8), F.lit("-"), row)
+    by_file = F.concat(F.md5("_file"), F.lit("-"), row)
+    clash = F.raise_error(F.lit("ids by row number need an input of one file"))
+    record_id = {"file": by_file, "auto": F.when(many, by_file).otherwise(row),
+                 "dataset": F.when(many, clash).otherwise(row)}[id_scope]
     payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in source_cols]), {"ignoreNullFields": "false"})
     out = records.select(
         F.concat(F.lit(f"{dataset}-"), record_id).alias("session_id"),

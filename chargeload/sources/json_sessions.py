@@ -77,7 +77,7 @@ def normalize_json_sessions(records: DataFrame, dataset: str = DATASET) -> DataF
         F.lit(None).cast("double").alias("average_charge_rate_kw"),
         done.alias("_done"),
         F.to_json(r).alias("raw_payload"),
-        "_file", "_row",
+        "_file", *[c for c in ("_block",) if c in records.columns], "_row",
     )
     return (out
             .withColumn("session_duration_minutes",

@@ -11,23 +11,17 @@ summed per file); the second from ``monotonically_increasing_id`` which is conse
 inside a partition, minus the block's smallest id.
 
 The block table has one row per input split (≈ one per 128 MB of input). It is written
-once to the shared folder (a lineage cut), counted, and broadcast back when the count
-proves it small, so the data itself is never shuffled. Only past
-``MAX_BROADCAST_BLOCKS`` splits (tens of TB in one read) does it fall back to a
-shuffle join.
+once to the shared folder (a lineage cut) and joined back; Spark broadcasts it where its
+size, known from the written files, is below the session's threshold.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chargeload.config import scratch_path
 
-MAX_BROADCAST_BLOCKS = 500_000
-
 
 def with_row_ordinal(df: DataFrame, name: str = "_row", file_col: str = "_file") -> DataFrame:
     """Add ``file_col`` (source file path) and ``name`` (0-based row position in it).
@@ -48,13 +42,8 @@ def with_row_ordinal(df: DataFrame, name: str = "_row", file_col: str = "_file")
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     spark = df.sparkSession
     path = scratch_path(spark, "row-blocks")
-    # Counted while written (the observation sits in the write's final stage, so a
-    # task retry cannot count twice): no second job just to size the table.
-    n_blocks = Observation(f"blocks-{uuid.uuid4().hex[:12]}")
-    blocks.observe(n_blocks, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    blocks.write.parquet(path)
     blocks = spark.read.schema(blocks.schema).parquet(path)      # schema given: empty input is fine
-    if int(n_blocks.get.get("n", 0)) <= MAX_BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
     return (tagged.join(blocks, [file_col, "_block"])
             .withColumn(name, F.col("_offset") + F.col("_mono") - F.col("_first"))
             .drop("_block", "_mono", "_first", "_offset"))

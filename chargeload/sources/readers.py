@@ -5,71 +5,120 @@
   field survives into ``raw_payload``.
 * CSV: header row, every column read as text (no inference, no date parsing).
 
-Both add ``_file`` and ``_row`` (0-based position of the record in its file) so that
-"first record wins" can be decided in source order.
+A folder may mix layouts and headers: each file is read by its own. All add ``_file`` and an
+order within the file (JSON: ``_block`` and ``_row``, CSV: ``_row``, the 0-based record
+number), so that "first record wins" can be decided in source order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chargeload.sources.files import first_characters, first_lines, input_files, is_single_file, scan
 from chargeload.sources.ordinal import with_row_ordinal
 
 JSON_LAYOUTS = ("auto", "lines", "array")
 
 
-def sniff_json_layout(spark: SparkSession, path: str) -> str:
-    """'array' when the first non-blank character of the input is '[', else 'lines'."""
-    first = (spark.read.text(path).select(F.ltrim(F.regexp_replace("value", "^\ufeff", "")).alias("v"))
-             .where(F.col("v") != "").limit(1).collect())
-    if first and first[0]["v"].startswith("["):
-        return "array"
-    return "lines"
+def sniff_json_layouts(spark: SparkSession, path: str | list[str]) -> dict[str, str]:
+    """{file: 'array' or 'lines'}: 'array' where the first non-blank character is '['."""
+    starts = first_characters(spark, input_files(spark, path))
+    return {f: "array" if c == "[" else "lines" for f, c in starts.items()}
 
 
-def read_json_records(spark: SparkSession, path: str, layout: str = "auto", on_malformed: str = "fail") -> DataFrame:
-    """One row per JSON record: ``record`` (VARIANT), ``_file``, ``_row``.
+def read_json_records(spark: SparkSession, path: str | list[str], layout: str = "auto",
+                      on_malformed: str = "fail") -> DataFrame:
+    """One row per JSON record: ``record`` (VARIANT), ``_file``, ``_block``, ``_row``.
 
-    ``on_malformed='fail'`` makes the job fail on text that is not JSON (the whole
-    ingest is then recorded as failed); ``'skip'`` drops such records."""
+    ``on_malformed='fail'`` makes the job fail on text that is not JSON, on a record that
+    is not an object and on an array file that does not hold one array (the whole ingest is
+    then recorded as failed); ``'skip'`` drops such records. The order within a file is
+    (``_block``, ``_row``): both come from the scan itself, the input is read once."""
     if layout not in JSON_LAYOUTS:
         raise ValueError(f"layout must be one of {JSON_LAYOUTS}")
     if on_malformed not in ("fail", "skip"):
         raise ValueError("on_malformed must be 'fail' or 'skip'")
+    groups = {layout: path}
     if layout == "auto":
-        layout = sniff_json_layout(spark, path)
-    if layout == "lines":
-        # Lines are read as text (splittable, no JSON work for the ordinal's count pass)
-        # and each non-blank line is parsed once into a VARIANT.
-        lines = with_row_ordinal(spark.read.text(path))
-        lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))   # byte-order mark
-        parse = F.parse_json if on_malformed == "fail" else F.try_parse_json
-        recs = lines.where(F.trim("value") != "").select(parse("value").alias("record"), "_file", "_row")
-        return recs.where(F.col("record").isNotNull())
+        found = sniff_json_layouts(spark, path)
+        groups = {k: [f for f, v in found.items() if v == k] for k in ("lines", "array")}
+        groups = {k: files for k, files in groups.items() if files}
+        if len(groups) < 2:
+            groups = {next(iter(groups), "lines"): path}
+    read = {"lines": _json_lines, "array": _json_arrays}
+    return reduce(DataFrame.unionByName, [read[k](spark, p, on_malformed) for k, p in groups.items()])
+
+
+def _json_lines(spark: SparkSession, path: str | list[str], on_malformed: str) -> DataFrame:
+    lines = scan(spark.read.format("text"), path).select(
+        F.regexp_replace("value", "^﻿", "").alias("value"),        # byte-order mark
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"))
+    lines = lines.where(F.col("value").rlike(r"\S"))
+    parse = F.parse_json if on_malformed == "fail" else F.try_parse_json
+    looks = F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("{")
+    return lines.select(_objects(parse("value"), looks, on_malformed, "JSON record is not an object").alias("record"),
+                        "_file", "_block", "_row").where(F.col("record").isNotNull())
+
+
+def _json_arrays(spark: SparkSession, path: str | list[str], on_malformed: str) -> DataFrame:
     # An array file is one value; it is read by one task per file (the format cannot be
     # split). posexplode gives each element its position in the file.
     mode = "FAILFAST" if on_malformed == "fail" else "PERMISSIVE"
-    raw = (spark.read.option("multiLine", True).option("mode", mode)
-           .option("singleVariantColumn", "doc").json(path))
-    raw = raw.select(F.col("_metadata.file_path").alias("_file"),
-                     F.posexplode(F.expr("try_cast(doc AS ARRAY<VARIANT>)")).alias("_row", "record"))
-    return raw.select("record", "_file", F.col("_row").cast("long").alias("_row"))
+    raw = scan(spark.read.format("json").option("multiLine", True).option("mode", mode)
+               .option("singleVariantColumn", "doc"), path)
+    items = F.expr("try_cast(doc AS ARRAY<VARIANT>)")
+    if on_malformed == "fail":
+        items = F.when(items.isNotNull() | F.col("doc").isNull(), items).otherwise(
+            F.raise_error(F.lit("JSON document is not an array")))
+    raw = raw.select(F.col("_metadata.file_path").alias("_file"), F.posexplode(items).alias("_pos", "item"))
+    is_object = F.schema_of_variant("item").startswith("OBJECT")
+    return raw.select(_objects(F.col("item"), is_object, on_malformed, "JSON record is not an object").alias("record"),
+                      "_file", F.lit(0).cast("long").alias("_block"), F.col("_pos").cast("long").alias("_row")) \
+              .where(F.col("record").isNotNull())
+
+
+def _objects(value: Column, ok: Column, on_malformed: str, message: str) -> Column:
+    if on_malformed == "skip":
+        return F.when(ok, value)
+    return F.when(value.isNull() | ok, value).otherwise(F.raise_error(F.lit(message)))
 
 
-def read_csv_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Header CSV, all columns as text, plus ``_file`` and ``_row``.
+def read_csv_groups(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> list[DataFrame]:
+    """Header CSV, all columns as text, plus ``_file``, ``_row`` and ``_many`` (is the input
+    more than one file by name?): one frame per distinct header line, each file under its own.
 
     ``multi_line=True`` accepts quoted fields that contain line breaks (each file is then
     read by one task, as such files cannot be split)."""
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
-    return with_row_ordinal(strip_bom_columns(raw))
+    files = input_files(spark, path)
+    by_header: dict[str, list[str]] = {}
+    for f, line in first_lines(spark, files).items():
+        if line:
+            by_header.setdefault(line, []).append(f)
+    many = F.lit(not is_single_file(files, path))
+    groups: list[str | list[str]] = [path] if len(by_header) < 2 else list(by_header.values())
+    out = []
+    for group in groups:
+        reader = (spark.read.format("csv").option("header", True).option("inferSchema", False)
+                  .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("enforceSchema", False))
+        if group is not path and isinstance(path, str) and not any(c in path for c in "*?[{"):
+            reader = reader.option("basePath", path)        # keeps partition columns
+        out.append(with_row_ordinal(strip_bom_columns(scan(reader, group))).withColumn("_many", many))
+    return out
+
+
+def read_csv_records(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """All rows of :func:`read_csv_groups` in one frame; a column that a file lacks is NULL there."""
+    frames = read_csv_groups(spark, path, multi_line)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).drop("_many")
 
 
 def strip_bom_columns(df: DataFrame) -> DataFrame:
     """A UTF-8 byte-order mark stays glued to the first CSV header name; drop it so the
     header aliases still match."""
-    for c in [c for c in df.columns if c.startswith("\ufeff")]:
-        df = df.withColumnRenamed(c, c.lstrip("\ufeff"))
+    for c in [c for c in df.columns if c.startswith("﻿")]:
+        df = df.withColumnRenamed(c, c.lstrip("﻿"))
     return df

@@ -7,6 +7,7 @@ returns canonical SESSION columns (validated) plus ``_file``/``_row`` for orderi
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,30 +17,40 @@ from chargeload.operators.quality import validate
 from chargeload.schemas import REQUIRED_COLUMNS, SESSION, SESSION_COLUMNS
 from chargeload.sources import csv_sessions, json_sessions, readers
 
+#: Source order of a record: its file, and its place in the file.
+ORDER_COLUMNS = ("_file", "_block", "_row")
+
 
 @dataclass(frozen=True)
 class SessionSource:
+    """``read`` takes a path or a list of files and returns one frame of raw records, or a
+    list of frames that are normalised one by one (files with different headers).
+    ``prefixed``: every session id starts with the dataset name and a hyphen, which is
+    checked on load; only then may an insert look for stored ids in this dataset alone."""
+
     dataset_name: str
-    read: Callable[[SparkSession, str], DataFrame]
+    read: Callable[[SparkSession, str], DataFrame | list[DataFrame]]
     normalize: Callable[[DataFrame], DataFrame]
-    kind: str = "json"          # raw layout for the streaming reader: 'json' lines or 'csv'
-
-    def load_and_normalize(self, spark: SparkSession, path: str) -> DataFrame:
-        return self.normalize(self.read(spark, path))
+    prefixed: bool = False
 
-    def load(self, spark: SparkSession, path: str) -> DataFrame:
-        """Canonical, validated sessions with ``_file`` and ``_row`` kept last."""
-        return self.from_records(self.read(spark, path))
+    def load_and_normalize(self, spark: SparkSession, path: str | list[str]) -> DataFrame:
+        records = self.read(spark, path)
+        frames = [self.normalize(r) for r in (records if isinstance(records, list) else [records])]
+        return reduce(DataFrame.unionByName, frames)
 
-    def from_records(self, records: DataFrame) -> DataFrame:
-        """Normalise raw records (reader output), check the contract, validate."""
-        df = self.normalize(records)
+    def load(self, spark: SparkSession, path: str | list[str]) -> DataFrame:
+        """Canonical, validated sessions with ``_file`` and the order columns kept last."""
+        df = self.load_and_normalize(spark, path)
         check_contract(df)
+        if self.prefixed:
+            ok = F.startswith(F.col("session_id"), F.lit(f"{self.dataset_name}-"))
+            wrong = F.raise_error(F.concat(F.lit("session id without its dataset prefix: "), F.col("session_id")))
+            df = df.withColumn("session_id", F.when(F.col("session_id").isNull() | ok, F.col("session_id")).otherwise(wrong))
         for f in SESSION.fields:
             if f.name not in df.columns and f.name not in ("is_valid", "validation_errors"):
                 df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
         df = validate(df)
-        extra = [c for c in ("_file", "_row") if c in df.columns]
+        extra = [c for c in ORDER_COLUMNS if c in df.columns]
         return df.select(*[F.col(f.name).cast(f.dataType) for f in SESSION.fields], *extra)
 
 
@@ -51,9 +62,9 @@ def check_contract(df: DataFrame) -> None:
 
 _REGISTRY: dict[str, SessionSource] = {
     "acn": SessionSource("acn", lambda spark, path: readers.read_json_records(spark, path),
-                         lambda df: json_sessions.normalize_json_sessions(df, "acn")),
-    "urbanev": SessionSource("urbanev", readers.read_csv_records,
-                             lambda df: csv_sessions.normalize_csv_sessions(df, "urbanev"), kind="csv"),
+                         lambda df: json_sessions.normalize_json_sessions(df, "acn"), prefixed=True),
+    "urbanev": SessionSource("urbanev", readers.read_csv_groups,
+                             lambda df: csv_sessions.normalize_csv_sessions(df, "urbanev"), prefixed=True),
 }
 
 

@@ -1,9 +1,10 @@
 """Incremental ingest (A5): new files in a folder → the session store.
 
-A Structured Streaming file source picks up files not seen before (its checkpoint
-remembers which), ``trigger(availableNow=True)`` processes everything present in
-bounded micro-batches (``maxFilesPerTrigger``) and stops, and ``foreachBatch`` runs the
-same batch ingest on each micro-batch: normalise → validate → insert new → ledger row.
+A Structured Streaming file source lists files not seen before (its checkpoint, kept with
+the store, remembers which), ``trigger(availableNow=True)`` processes everything present in
+bounded micro-batches (``maxFilesPerTrigger``) and stops, and ``foreachBatch`` reads the
+listed files with the batch readers (each file by its own layout or header) and runs the
+same ingest: normalise → validate → insert new → ledger row.
 
 Re-running an epoch after a failure is harmless: the insert skips stored ids, so the
 effect on the store is exactly-once. A file is never split across micro-batches, so the
@@ -16,65 +17,40 @@ import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from chargeload.config import scratch_path
+from chargeload.plans.jobs import recorded_ingest
 from chargeload.sinks import store
-from chargeload.sources.ordinal import with_row_ordinal
-from chargeload.sources.readers import strip_bom_columns
+from chargeload.sources.files import _LISTING
 from chargeload.sources.registry import get_loader
 
 
-def _stream_records(spark: SparkSession, kind: str, source_dir: str, max_files: int | None) -> DataFrame:
-    reader = spark.readStream
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", int(max_files))
-    if kind == "json":
-        raw = reader.format("text").load(source_dir)
-        raw = raw.where(F.trim("value") != "").select(F.parse_json("value").alias("record"), "_metadata")
-    elif kind == "csv":
-        header = spark.read.option("header", True).csv(source_dir).schema  # header only, all strings
-        raw = reader.format("csv").option("header", True).schema(header).load(source_dir)
-        raw = strip_bom_columns(raw.select("*", "_metadata"))
-    else:
-        raise ValueError(f"unknown source kind '{kind}'")
-    return raw.withColumn("_file", F.col("_metadata.file_path")) \
-              .withColumn("_block", F.col("_metadata.file_block_start")).drop("_metadata")
-
-
 def ingest_stream(spark: SparkSession, dataset: str, source_dir: str, root: str,
                   checkpoint: str | None = None, max_files_per_trigger: int | None = None) -> list[dict]:
-    """Ingest every file in ``source_dir`` not ingested before; one ledger row per batch."""
+    """Ingest every file in ``source_dir`` not ingested before; one ledger row per batch.
+
+    ``checkpoint`` defaults to a folder of this dataset below ``root``, so a later call
+    takes up where this one ended."""
     source = get_loader(dataset)
     if not store.path_exists(spark, source_dir):
         raise FileNotFoundError(f"Source path not found: {source_dir}")
-    checkpoint = checkpoint or scratch_path(spark, "stream-checkpoint")
+    checkpoint = checkpoint or f"{root.rstrip('/')}/_checkpoints/{dataset}"
     runs: list[dict] = []
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
+        files = sorted(r.path for r in batch.select("path").distinct().collect())     # names of new files only
+        if not files:
+            return
         row = {"run_id": uuid.uuid4().hex, "source_dataset": dataset,
                "source_path": f"{source_dir}#batch-{epoch_id}", "started_at": dt.datetime.now(dt.timezone.utc),
                "completed_at": None, "status": "running", "records_seen": 0, "records_inserted": 0,
                "records_invalid": 0, "notes": None}
-        stats: dict = {}
-        try:
-            records = with_row_ordinal(batch)
-            sessions = source.from_records(records)
-            row["records_inserted"] = store.insert_new_sessions(batch.sparkSession, sessions, root,
-                                                                datasets=[dataset], stats=stats)
-            row["records_seen"] = stats.get("records_seen", 0)
-            row["records_invalid"] = stats.get("records_invalid", 0)
-            row["status"] = "completed"
-        except Exception as exc:
-            row["status"] = "failed"
-            row["notes"] = str(exc)[:4000]
-            raise
-        finally:
-            row["completed_at"] = dt.datetime.now(dt.timezone.utc)
-            store.append_ingest_run(batch.sparkSession, root, row)
-            runs.append(row)
+        runs.append(row)
+        recorded_ingest(batch.sparkSession, source, files, root, row)
 
-    query = (_stream_records(spark, source.kind, source_dir, max_files_per_trigger)
+    reader = spark.readStream.format("binaryFile").schema(_LISTING)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    query = (reader.load(source_dir).select("path")
              .writeStream.foreachBatch(run_batch)
              .option("checkpointLocation", checkpoint)
              .trigger(availableNow=True)

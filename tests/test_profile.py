@@ -1,4 +1,4 @@
-"""Grid, expansion, policies, curves and KPIs on the hand-worked cases of FIXTURES.md."""
+"""Grid, expansion, policies, curves and KPIs; expected figures come from the step loop in ``steploop``."""
 
 import datetime as dt
 
@@ -9,161 +9,166 @@ from chargeload.operators import curves, metrics
 from chargeload.operators.grid import build_time_index, time_bounds
 from chargeload.operators.policies import get_policy, list_policies, policies_frame
 from chargeload.operators.profile import active_sessions_at, load_profile, session_frame
+from steploop import SCHEMA, figures, session
 
 D = dt.datetime
-SCHEMA = ("session_id string, station_id string, arrival_ts timestamp, departure_ts timestamp, "
-          "energy_requested_kwh double, energy_delivered_kwh double, max_charge_rate_kw double, "
-          "session_duration_minutes int, is_valid boolean")
+DAY = D(2023, 11, 24)
 
 
-def two_sessions(spark, second_valid=True):
-    rows = [("s1", "st1", D(2021, 3, 10, 7), D(2021, 3, 10, 11), 20.0, 20.0, 6.6, 240, True),
-            ("s2", "st1", D(2021, 3, 10, 8), D(2021, 3, 10, 12), 15.0, 15.0, 6.6, 240, second_valid)]
-    return spark.createDataFrame(rows, SCHEMA)
+def at(hour, minute=0, second=0):
+    return DAY + dt.timedelta(hours=hour, minutes=minute, seconds=second)
 
 
-def test_time_index(spark):
-    g = build_time_index(spark, D(2020, 8, 1, 8), D(2020, 8, 1, 9), 15).orderBy("step_index").collect()
-    assert [r["timestamp"] for r in g] == [D(2020, 8, 1, 8, m) if m < 60 else D(2020, 8, 1, 9) for m in (0, 15, 30, 45, 60)]
-    assert {r["interval_hours"] for r in g} == {0.25}
-    assert build_time_index(spark, D(2020, 8, 1, 8), D(2020, 8, 1, 8, 30), 5).count() == 7
-    assert build_time_index(spark, dt.datetime(2020, 8, 1, 8, tzinfo=dt.timezone.utc),
-                            D(2020, 8, 1, 9), 30).count() == 3
-    with pytest.raises(ValueError, match="end_ts must be after start_ts"):
-        build_time_index(spark, D(2020, 8, 1, 8), D(2020, 8, 1, 8), 5)
-    with pytest.raises(ValueError, match="interval_minutes must be positive"):
-        build_time_index(spark, D(2020, 8, 1, 8), D(2020, 8, 1, 9), 0)
+#: A depot evening: a van over midnight, a short fast stop inside it, a car without a station after a gap, one invalid row.
+EVENING = [
+    session("van", "gate", at(20, 45), at(29, 15), 61.0, 58.0, 11.0),
+    session("taxi", "gate", at(22, 5, 30), at(22, 47), 18.0, None, 50.0),
+    session("bike", "shed", at(21, 30), at(23), 0.9, 0.9, 0.25),
+    session("guest", None, at(31), at(32, 20), None, 6.5, None),
+    session("ghost", "shed", at(21), at(20), 9.0, None, 3.6, valid=False),
+]
+
+
+def evening(spark):
+    return spark.createDataFrame(EVENING, SCHEMA)
+
+
+def stored(spark, sessions, dataset="depot"):
+    """The frame with the columns that the session store holds."""
+    from chargeload.operators.quality import validate
 
+    none = {"port_id": "string", "vehicle_id": "string", "average_charge_rate_kw": "double", "charging_duration_minutes": "int"}
+    return validate(sessions.withColumns({"source_dataset": F.lit(dataset), "source_record_id": F.col("session_id"),
+                                          "raw_payload": F.lit("{}"), **{c: F.lit(None).cast(t) for c, t in none.items()}}))
 
-def three_sessions(spark):
-    rows = [("s1", "st1", D(2021, 3, 10, 7), D(2021, 3, 10, 11), 20.0, 20.0, 6.6, 240, True),
-            ("s2", "st1", D(2021, 3, 10, 8), D(2021, 3, 10, 16), 40.0, 40.0, 7.2, 480, True),
-            ("s3", "st2", D(2021, 3, 10, 9), D(2021, 3, 10, 13), 30.0, 30.0, 6.6, 240, True)]
-    return spark.createDataFrame(rows, SCHEMA)
+
+@pytest.mark.parametrize("span,minutes,n", [(90, 20, 5), (90, 90, 2), (100, 45, 3), (61, 60, 2), (7, 3, 3)])
+def test_time_index(spark, span, minutes, n):
+    start = at(13, 7)
+    g = build_time_index(spark, start, start + dt.timedelta(minutes=span), minutes).orderBy("step_index").collect()
+    assert [r["timestamp"] for r in g] == [start + k * dt.timedelta(minutes=minutes) for k in range(n)]
+    assert {r["interval_hours"] for r in g} == {minutes / 60}
+
+
+def test_time_index_zones_and_errors(spark):
+    aware = dt.datetime(2023, 11, 24, 14, tzinfo=dt.timezone(dt.timedelta(hours=1)))
+    assert build_time_index(spark, aware, at(13, 40), 10).orderBy("step_index").first()["timestamp"] == at(13)
+    with pytest.raises(ValueError, match="end_ts must be after start_ts"):
+        build_time_index(spark, at(9), at(8, 59), 5)
+    with pytest.raises(ValueError, match="interval_minutes must be positive"):
+        build_time_index(spark, at(8), at(9), -5)
 
 
 def test_bounds_and_active_sessions(spark):
-    s = three_sessions(spark)
+    s = spark.createDataFrame([r for r in EVENING if r[8]], SCHEMA)
     b = time_bounds(s).first()
-    assert (b["grid_start"], b["grid_end"]) == (D(2021, 3, 10, 7), D(2021, 3, 10, 16))
+    assert (b["grid_start"], b["grid_end"]) == (min(r[2] for r in EVENING if r[8]), max(r[3] for r in EVENING if r[8]))
     frame = session_frame(s)
-    got = {t: sorted(r["session_id"] for r in active_sessions_at(frame, D(2021, 3, 10, *t)).collect())
-           for t in ((7, 30), (9, 30), (13, 30), (17, 0))}
-    assert got == {(7, 30): ["s1"], (9, 30): ["s1", "s2", "s3"], (13, 30): ["s2"], (17, 0): []}
+    for t in (at(20, 44), at(20, 45), at(22, 30), at(22, 47), at(23), at(30), at(32, 20)):
+        got = sorted(r["session_id"] for r in active_sessions_at(frame, t).collect())
+        assert got == sorted(r[0] for r in EVENING if r[8] and r[2] <= t < r[3])
 
 
 def test_session_frame_defaults(spark):
-    rows = [("x", None, D(2020, 8, 1, 8), D(2020, 8, 1, 9), None, 15.0, None, 60, True),
-            ("y", None, D(2020, 8, 1, 8), D(2020, 8, 1, 9), None, None, None, 60, True)]
-    f = session_frame(spark.createDataFrame(rows, SCHEMA)).orderBy("session_id").collect()
-    assert (f[0]["energy_target_kwh"], f[0]["max_rate_kw"], f[0]["energy_baseline_kwh"]) == (15.0, 7.2, 15.0)
-    assert (f[1]["energy_target_kwh"], f[1]["energy_baseline_kwh"]) == (30.0, 0.0)
-
-
-# (policy, Δ) → steps, active steps, peak, average, load factor  (FIXTURES F6)
-KPI_CASES = [
-    ("immediate_charge", 15, 21, 20, 13.2, 6.67, 0.5051),
-    ("immediate_charge", 5, 61, 60, 13.2, 6.89, 0.5216),
-    ("immediate_charge", 60, 6, 5, 13.2, 5.83, 0.4419),
-    ("uniform_spread", 15, 21, 20, 8.75, 6.67, 0.7619),
-    ("uniform_spread", 5, 61, 60, 8.75, 6.89, 0.7869),
-    ("uniform_spread", 60, 6, 5, 8.75, 5.83, 0.6667),
-]
-
-
-@pytest.mark.parametrize("policy,minutes,n_steps,active,peak,avg,factor", KPI_CASES)
-def test_kpis(spark, policy, minutes, n_steps, active, peak, avg, factor):
-    p = load_profile(two_sessions(spark), policy, minutes)
-    assert p.bounds.first()["n_steps"] == n_steps
-    fleet = curves.fleet_load_curve(p.steps())
-    assert fleet.count() == active
-    k = metrics.baseline_metrics(p).first()
-    assert k["peak_load_kw"] == pytest.approx(peak, abs=0.01)
-    assert k["average_load_kw"] == pytest.approx(avg, abs=0.01)
-    assert k["load_factor"] == pytest.approx(factor, abs=0.0001)
-    assert (k["sessions_total"], k["sessions_completed"], k["completion_rate"]) == (2, 2, 1.0)
-    assert k["total_energy_kwh"] == pytest.approx(35.0, abs=0.01)
+    rows = [session("a", None, at(1), at(2), None, 4.25), session("b", None, at(1), at(2), None), session("c", None, at(1), at(2), 0.0, 3.0, 0.0)]
+    f = {r["session_id"]: r for r in session_frame(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(f[k]["energy_target_kwh"], f[k]["energy_baseline_kwh"], f[k]["max_rate_kw"]) for k in "abc"] == [
+        (4.25, 4.25, 7.2), (30.0, 0.0, 7.2), (0.0, 3.0, 0.0)]
+
+
+@pytest.mark.parametrize("policy", ["immediate_charge", "uniform_spread"])
+@pytest.mark.parametrize("minutes", [5, 12, 30, 75])
+def test_kpis(spark, policy, minutes):
+    want = figures(EVENING, policy, minutes)
+    p = load_profile(evening(spark), policy, minutes)
+    assert p.bounds.first()["n_steps"] == len(want["steps"])
+    assert curves.fleet_load_curve(p.steps()).count() == want["active"]
     per = {r["session_id"]: r["energy_kwh"] for r in metrics.energy_per_session(p.decisions()).collect()}
-    assert per == pytest.approx({"s1": 20.0, "s2": 15.0})
+    assert per == pytest.approx(want["energy"])
+    for strategy in ("explode", "changepoints"):
+        k = metrics.baseline_metrics(p, strategy=strategy).first()
+        assert k["peak_load_kw"] == pytest.approx(want["peak"], abs=0.0051)
+        assert k["average_load_kw"] == pytest.approx(want["average"], abs=0.0051)
+        assert k["load_factor"] == pytest.approx(want["average"] / want["peak"], abs=0.000051)
+        assert k["total_energy_kwh"] == pytest.approx(sum(want["energy"].values()), abs=0.0051)
+        assert (k["sessions_total"], k["targets_total"], k["sessions_completed"]) == (4, want["targets"], want["completed"])
+        assert k["completion_rate"] == pytest.approx(want["completed"] / want["targets"], abs=0.000051)
 
 
-def test_step_loads_at_15_minutes(spark):
-    for policy, expected in (
-        ("immediate_charge", [6.6] * 4 + [13.2] * 8 + [7.4, 0.6] + [0.0] * 7),
-        ("uniform_spread", [5.0] * 4 + [8.75] * 12 + [3.75] * 4 + [0.0]),
-    ):
-        p = load_profile(two_sessions(spark), policy, 15)
-        z = curves.zero_filled_load(p.grid(), curves.fleet_load_curve(p.steps(), sort=False))
-        got = [r["load_kw"] for r in z.orderBy("step_index").collect()]
-        assert got == pytest.approx(expected, abs=1e-9), policy
+@pytest.mark.parametrize("policy", ["immediate_charge", "uniform_spread"])
+def test_step_loads(spark, policy):
+    p = load_profile(evening(spark), policy, 15)
+    z = curves.zero_filled_load(p.grid(), curves.fleet_load_curve(p.steps(), sort=False))
+    got = [r["load_kw"] for r in z.orderBy("step_index").collect()]
+    assert got == pytest.approx(figures(EVENING, policy, 15)["load"], abs=1e-9)
 
 
-def test_invalid_sessions_are_excluded(spark):
-    p = load_profile(two_sessions(spark, second_valid=False), "immediate_charge", 15)
-    assert p.sessions_count().first()["sessions_count"] == 1
-    assert p.decisions().where(F.col("session_id") == "s2").count() == 0
-    k = metrics.baseline_metrics(p).first()
-    # s2 still counts as a completion target (requested > 0), as in the service we replace
-    assert (k["sessions_total"], k["targets_total"], k["sessions_completed"]) == (1, 2, 1)
+def test_invalid_sessions_only_count_as_targets(spark):
+    p = load_profile(evening(spark), "immediate_charge", 15)
+    assert p.sessions_count().first()["sessions_count"] == 4
+    assert p.decisions().where("session_id = 'ghost'").count() == 0
+    assert metrics.baseline_metrics(p).first()["targets_total"] == sum(1 for r in EVENING if r[4])
 
 
 def test_no_sessions_gives_zeros(spark):
-    p = load_profile(spark.createDataFrame([], SCHEMA), "uniform_spread", 5)
+    p = load_profile(spark.createDataFrame([], SCHEMA), "randomized_delay", 10)
     assert p.decisions().count() == 0
     k = metrics.baseline_metrics(p).first()
-    assert (k["peak_load_kw"], k["total_energy_kwh"], k["completion_rate"], k["sessions_total"]) == (0.0, 0.0, 0.0, 0)
+    assert all(k[c] == 0 for c in ("peak_load_kw", "total_energy_kwh", "completion_rate", "sessions_total", "load_factor"))
 
 
 def test_session_between_grid_points_counts_but_has_no_steps(spark):
-    rows = [("a", "st", D(2020, 8, 1, 8), D(2020, 8, 1, 9), 5.0, None, 7.2, 60, True),
-            ("b", "st", D(2020, 8, 1, 8, 1), D(2020, 8, 1, 8, 4), 5.0, None, 7.2, 3, True)]
-    p = load_profile(spark.createDataFrame(rows, SCHEMA), "immediate_charge", 5)
-    assert p.decisions().where(F.col("session_id") == "b").count() == 0
+    rows = [session("long", "st", at(3), at(5), 2.0), session("blink", "st", at(3, 21), at(3, 39), 2.0)]
+    p = load_profile(spark.createDataFrame(rows, SCHEMA), "uniform_spread", 20)
+    assert p.decisions().where("session_id = 'blink'").count() == 0
     assert metrics.baseline_metrics(p).first()["sessions_total"] == 2
 
 
 def test_randomized_delay_is_stable_and_bounded(spark):
-    s = two_sessions(spark)
-    a = load_profile(s, "randomized_delay", 5, seed=7).decisions().orderBy("session_id", "timestamp").collect()
-    b = load_profile(s, "randomized_delay", 5, seed=7).decisions().orderBy("session_id", "timestamp").collect()
-    assert a == b
-    per = {}
-    for r in a:
-        per[r["session_id"]] = per.get(r["session_id"], 0.0) + r["energy_delivered_kwh"]
-    assert per["s1"] <= 20.0 + 1e-9 and per["s2"] <= 15.0 + 1e-9
+    runs = [load_profile(evening(spark), "randomized_delay", 10, seed=s).decisions().orderBy("session_id", "timestamp").collect()
+            for s in (31, 31, 32)]
+    assert runs[0] == runs[1] != runs[2]
+    for sid, target in (("van", 61.0), ("taxi", 18.0), ("bike", 0.9)):
+        assert sum(r["energy_delivered_kwh"] for r in runs[0] if r["session_id"] == sid) <= target + 1e-9
 
 
 def test_zero_rate_does_not_fail(spark):
-    rows = [("z", "st", D(2020, 8, 1, 8), D(2020, 8, 1, 9), 5.0, None, 0.0, 60, True)]
+    rows = [session("still", "st", at(2), at(2, 50), 4.0, None, 0.0)]
     for policy in list_policies():
-        d = load_profile(spark.createDataFrame(rows, SCHEMA), policy, 15).decisions().collect()
-        assert len(d) == 4 and all(r["energy_delivered_kwh"] == 0.0 for r in d)
+        d = load_profile(spark.createDataFrame(rows, SCHEMA), policy, 10).decisions().collect()
+        assert len(d) == 5 and all(r["energy_delivered_kwh"] == 0.0 for r in d)
 
 
 def test_curves_from_decisions(spark):
-    rows = [("s1", D(2021, 3, 10, 6, 0), 4.0, 0.33), ("s2", D(2021, 3, 10, 6, 0), 2.0, 0.17),
-            ("s1", D(2021, 3, 10, 6, 5), 4.0, 0.33), ("s2", D(2021, 3, 10, 6, 5), 0.0, 0.0)]
-    dec = spark.createDataFrame(rows, "session_id string, timestamp timestamp, charge_rate_kw double, "
-                                      "energy_delivered_kwh double")
-    sessions = spark.createDataFrame([("s1", "st1"), ("s2", "st2")], "session_id string, station_id string")
-    fleet = curves.fleet_load_curve(dec).collect()
-    assert [(r["total_load_kw"], r["active_sessions"]) for r in fleet] == [(6.0, 2), (4.0, 2)]
-    assert curves.station_load_curves(dec, sessions).count() == 4
-    ts = curves.load_timeseries(dec, sessions)
-    assert ts.where("level = 'fleet'").count() == 2 and ts.where("level = 'station'").count() == 4
+    times = [at(9, m) for m in (0, 20, 40)]
+    rows = [(f"e{i}", times[j], 1.5 * (i + j), 0.5 * (i + j)) for i in range(3) for j in range(3) if i != j]
+    dec = spark.createDataFrame(rows, "session_id string, timestamp timestamp, charge_rate_kw double, energy_delivered_kwh double")
+    sessions = spark.createDataFrame([("e0", "n"), ("e1", "n"), ("e2", None)], "session_id string, station_id string")
+    fleet = [(r["timestamp"], r["total_load_kw"], r["active_sessions"]) for r in curves.fleet_load_curve(dec).collect()]
+    assert fleet == [(t, sum(x[2] for x in rows if x[1] == t), 2) for t in times]
+    stations = {("n" if s in ("e0", "e1") else None, t) for s, t, _, _ in rows}
+    assert curves.station_load_curves(dec, sessions).count() == len(stations)
+    levels = {r["level"]: r["n"] for r in curves.load_timeseries(dec, sessions).groupBy("level").agg(F.count("*").alias("n")).collect()}
+    assert levels == {"fleet": 3, "station": len(stations)}
     assert curves.fleet_load_curve(dec.limit(0)).count() == 0
 
 
-def test_completion_rate_general_form(spark):
-    def rate(delivered, targets):
-        d = spark.createDataFrame(list(delivered.items()) or [("x", 0.0)], "session_id string, energy_kwh double")
-        t = spark.createDataFrame(list(targets.items()) or [("x", None)], "session_id string, target_kwh double")
-        r = metrics.completion_rate(t, d).first()
-        return r["sessions_completed"], r["completion_rate"]
+@pytest.mark.parametrize("delivered,targets,want", [
+    ({"a": 9.6, "b": 9.4, "c": 1.0}, {"a": 10.0, "b": 10.0}, (1, 0.5)),
+    ({"a": 5.0}, {"a": 5.0, "b": 1.0, "c": 0.0, "d": -1.0}, (3, 0.75)),
+    ({}, {}, (0, 0.0)),
+])
+def test_completion_rate_general_form(spark, delivered, targets, want):
+    d = spark.createDataFrame(list(delivered.items()), "session_id string, energy_kwh double")
+    t = spark.createDataFrame([*targets.items(), ("none", None)], "session_id string, target_kwh double")
+    r = metrics.completion_rate(t, d).first()
+    assert (r["sessions_completed"], r["completion_rate"]) == want
+
 
-    assert rate({"a": 20.0, "b": 15.0}, {"a": 20.0, "b": 15.0}) == (2, 1.0)
-    assert rate({"a": 20.0, "b": 5.0}, {"a": 20.0, "b": 15.0}) == (1, 0.5)
-    assert rate({}, {}) == (0, 0.0)
+def test_targets_of_a_repeated_id_take_the_last_row(spark):
+    rows = [("a", 5.0, "f1", 3), ("a", 8.0, "f2", 0), ("a", 7.0, "f1", 9), ("b", 0.0, "f1", 1), ("c", None, "f1", 2)]
+    df = spark.createDataFrame(rows, "session_id string, energy_requested_kwh double, _file string, _row long")
+    assert [tuple(r) for r in metrics.targets_of(df).collect()] == [("a", 8.0)]
 
 
 def test_policy_registry(spark):
@@ -171,7 +176,8 @@ def test_policy_registry(spark):
     with pytest.raises(ValueError, match="Unknown policy 'x'. Available: immediate_charge, randomized_delay, "
                                          "uniform_spread"):
         get_policy("x")
-    assert policies_frame(spark).count() == 3
+    rows = {r["name"]: r["description"] for r in policies_frame(spark).collect()}
+    assert len(rows) == 3 and rows["uniform_spread"] == "Spread energy evenly across the charging window."
 
 
 def test_analyze_job_and_run_lookup(spark, tmp_path):
@@ -179,56 +185,31 @@ def test_analyze_job_and_run_lookup(spark, tmp_path):
     from chargeload.sinks import store
 
     root = str(tmp_path)
-    s = three_sessions(spark).withColumn("source_dataset", F.lit("t"))
-    from chargeload.operators.quality import validate
-    full = validate(s.withColumn("source_record_id", F.col("session_id")).withColumn("port_id", F.lit(None).cast("string"))
-                    .withColumn("vehicle_id", F.lit(None).cast("string"))
-                    .withColumn("average_charge_rate_kw", F.lit(None).cast("double"))
-                    .withColumn("charging_duration_minutes", F.lit(None).cast("int"))
-                    .withColumn("raw_payload", F.lit("{}")))
-    store.insert_new_sessions(spark, full, root, order_cols=["session_id"])
+    store.insert_new_sessions(spark, stored(spark, evening(spark)), root, order_cols=["session_id"])
     with pytest.raises(ValueError, match="Unknown policy"):
-        analyze(spark, root, "t", policy="nope")
+        analyze(spark, root, "depot", policy="nope")
     with pytest.raises(LookupError, match="No sessions found"):
         analyze(spark, root, "other")
-    for strategy in ("explode", "changepoints"):
-        run_id = analyze(spark, root, "t", "immediate_charge", 15, strategy=strategy)
+    want = figures(EVENING, "immediate_charge", 15)
+    for strategy in ("explode", "changepoints", "auto"):
+        run_id = analyze(spark, root, "depot", "immediate_charge", 15, strategy=strategy)
         kpi, fleet, stations = store.run_results(spark, root, run_id)
         k = kpi.first()
-        assert (k["sessions_count"], k["interval_minutes"], k["policy_name"]) == (3, 15, "immediate_charge")
-        assert fleet.count() == 36 and k["peak_load_kw"] == pytest.approx(20.4)
-        assert {r["station_id"] for r in stations.collect()} == {"st1", "st2"}
+        assert (k["sessions_count"], k["interval_minutes"], k["policy_name"]) == (4, 15, "immediate_charge")
+        assert fleet.count() == want["active"] and k["peak_load_kw"] == pytest.approx(want["peak"], abs=0.0051)
+        assert {r["station_id"] for r in stations.collect()} == {"gate", "shed", None}
     with pytest.raises(LookupError, match="not found"):
         store.run_results(spark, root, "missing")
 
 
-@pytest.mark.parametrize("strategy", ["explode", "changepoints"])
-def test_kpis_by_either_strategy(spark, strategy):
-    p = load_profile(two_sessions(spark), "uniform_spread", 15)
-    k = metrics.baseline_metrics(p, strategy=strategy).first()
-    assert (k["peak_load_kw"], k["average_load_kw"], k["load_factor"]) == (8.75, 6.67, 0.7619)
-
-
-def test_policy_descriptions(spark):
-    rows = {r["name"]: r["description"] for r in policies_frame(spark).collect()}
-    assert rows["uniform_spread"] == "Spread energy evenly across the charging window."
-
-
 def test_analyze_with_only_invalid_sessions_stores_zeros(spark, tmp_path):
-    from chargeload.operators.quality import validate
     from chargeload.plans.jobs import analyze
     from chargeload.sinks import store
 
-    rows = [("x", "st", D(2020, 8, 1, 9), D(2020, 8, 1, 8), 10.0, None, 7.2, 0, True)]
-    s = spark.createDataFrame(rows, SCHEMA).withColumn("source_dataset", F.lit("t"))
-    full = validate(s.withColumn("source_record_id", F.col("session_id")).withColumn("port_id", F.lit(None).cast("string"))
-                    .withColumn("vehicle_id", F.lit(None).cast("string"))
-                    .withColumn("average_charge_rate_kw", F.lit(None).cast("double"))
-                    .withColumn("charging_duration_minutes", F.lit(None).cast("int"))
-                    .withColumn("raw_payload", F.lit("{}")))
     root = str(tmp_path)
-    store.insert_new_sessions(spark, full, root, order_cols=["session_id"])
-    run_id = analyze(spark, root, "t", "uniform_spread", 5)
+    only = spark.createDataFrame([r for r in EVENING if not r[8]], SCHEMA)
+    store.insert_new_sessions(spark, stored(spark, only), root, order_cols=["session_id"])
+    run_id = analyze(spark, root, "depot", "uniform_spread", 5)
     k, fleet, stations = store.run_results(spark, root, run_id)
     r = k.first()
     assert (r["sessions_count"], r["peak_load_kw"], r["completion_rate"], r["targets_total"]) == (0, 0.0, 0.0, 1)
@@ -236,56 +217,44 @@ def test_analyze_with_only_invalid_sessions_stores_zeros(spark, tmp_path):
 
 
 def test_nan_target_never_charges(spark):
-    rows = [("n", "st", D(2020, 8, 1, 8), D(2020, 8, 1, 10), float("nan"), None, 7.2, 120, True),
-            ("ok", "st", D(2020, 8, 1, 8), D(2020, 8, 1, 10), 5.0, None, 7.2, 120, True)]
+    rows = [session("nan", "st", at(4), at(6), float("nan")), session("ok", "st", at(4), at(6), 2.5)]
     for policy in list_policies():
-        p = load_profile(spark.createDataFrame(rows, SCHEMA), policy, 15)
-        d = p.steps().where("session_id = 'n'").collect()
-        assert len(d) == 8 and all(r["energy_delivered_kwh"] == 0.0 and r["charge_rate_kw"] == 0.0 for r in d)
-        assert all(r["remaining_energy_kwh"] == 0.0 for r in d)
-        k = metrics.baseline_metrics(p).first()
-        assert k["total_energy_kwh"] == 5.0
+        p = load_profile(spark.createDataFrame(rows, SCHEMA), policy, 20)
+        d = p.steps().where("session_id = 'nan'").collect()
+        assert len(d) == 6 and all(r["energy_delivered_kwh"] == r["charge_rate_kw"] == r["remaining_energy_kwh"] == 0.0 for r in d)
+        assert metrics.baseline_metrics(p).first()["total_energy_kwh"] == 2.5
 
 
 def test_concurrent_analyses_into_one_root(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 
-    from chargeload.operators.quality import validate
     from chargeload.plans.jobs import analyze
     from chargeload.sinks import store
 
-    s = three_sessions(spark).withColumn("source_dataset", F.lit("t"))
-    full = validate(s.withColumn("source_record_id", F.col("session_id")).withColumn("port_id", F.lit(None).cast("string"))
-                    .withColumn("vehicle_id", F.lit(None).cast("string"))
-                    .withColumn("average_charge_rate_kw", F.lit(None).cast("double"))
-                    .withColumn("charging_duration_minutes", F.lit(None).cast("int"))
-                    .withColumn("raw_payload", F.lit("{}")))
     root = str(tmp_path)
-    store.insert_new_sessions(spark, full, root, order_cols=["session_id"])
+    store.insert_new_sessions(spark, stored(spark, evening(spark)), root, order_cols=["session_id"])
     with ThreadPoolExecutor(2) as pool:
-        ids = list(pool.map(lambda pol: analyze(spark, root, "t", pol, 15),
-                            ["immediate_charge", "uniform_spread"]))
+        ids = list(pool.map(lambda pol: analyze(spark, root, "depot", pol, 15), ["immediate_charge", "uniform_spread"]))
     assert len(set(ids)) == 2
     for run_id in ids:
         k, fleet, _ = store.run_results(spark, root, run_id)
-        assert k.count() == 1 and fleet.count() == 36
+        assert k.count() == 1 and fleet.count() == figures(EVENING, "immediate_charge", 15)["active"]
 
 
 def test_custom_policy_through_the_extension_point(spark):
-    from pyspark.sql import functions as F
-
     from chargeload.operators import changepoints
     from chargeload.operators.policies import POLICY_REGISTRY, Phases, Policy, register_policy
 
-    half = Policy("half_rate", "Charge at half the max rate from arrival.",
-                  lambda ctx: Phases(F.lit(0).cast("long"), ctx.max_rate * F.lit(ctx.h) / F.lit(2.0)))
-    register_policy(half)
+    register_policy(Policy("third_rate", "Charge at a third of the max rate from arrival.",
+                           lambda ctx: Phases(F.lit(0).cast("long"), ctx.max_rate * F.lit(ctx.h) / F.lit(3.0))))
+    slow = [(*r[:6], (r[6] if r[6] is not None else 7.2) / 3.0, *r[7:]) for r in EVENING]
+    want = figures(slow, "immediate_charge", 15)
     try:
-        p = load_profile(two_sessions(spark), "half_rate", 15)
+        p = load_profile(evening(spark), "third_rate", 15)
         loads = [r["load_kw"] for r in curves.zero_filled_load(
             p.grid(), curves.fleet_load_curve(p.steps(), sort=False)).orderBy("step_index").collect()]
-        assert max(loads) == pytest.approx(6.6) and loads[0] == pytest.approx(3.3)
+        assert loads == pytest.approx(want["load"], abs=1e-9)
         a = changepoints.load_timeseries(p).where("level = 'fleet'").agg(F.sum("energy_kwh")).first()[0]
-        assert a == pytest.approx(26.4)          # 3.3 kW for 4 h each: 13.2 kWh, below both targets
+        assert a == pytest.approx(sum(want["energy"].values()))
     finally:
-        POLICY_REGISTRY.pop("half_rate", None)
+        POLICY_REGISTRY.pop("third_rate", None)

@@ -6,13 +6,9 @@ import random
 import pytest
 
 from chargeload.operators.profile import load_profile
+from steploop import SCHEMA, literal_loop
 
 D = dt.datetime
-SCHEMA = ("session_id string, station_id string, arrival_ts timestamp, departure_ts timestamp, "
-          "energy_requested_kwh double, energy_delivered_kwh double, max_charge_rate_kw double, "
-          "session_duration_minutes int, is_valid boolean")
-
-
 def random_sessions(n, seed):
     rnd = random.Random(seed)
     base = D(2024, 1, 1)
@@ -27,43 +23,6 @@ def random_sessions(n, seed):
     return rows
 
 
-def literal_loop(rows, policy, minutes, u_of):
-    """Step through the grid; at each step decide for every plugged-in session."""
-    h = minutes / 60.0
-    start = min(r[2] for r in rows)
-    end = max(r[3] for r in rows)
-    delivered = {}
-    out = {}
-    t = start
-    while t <= end:
-        for (sid, _st, arr, dep, req, dlv, rate, _d, _v) in rows:
-            if not (arr <= t < dep):
-                continue
-            target = req if req is not None else (dlv if dlv is not None else 30.0)
-            r = rate if rate is not None else 7.2
-            rem = max(0.0, target - delivered.get(sid, 0.0))
-            e = c = 0.0
-            if policy == "immediate_charge":
-                if rem > 0:
-                    e = min(rem, r * h)
-                    c = e / h
-            elif policy == "uniform_spread":
-                rem_min = max(0.0, (dep - t).total_seconds() / 60.0)
-                if rem > 0 and rem_min > 0:
-                    c = min(rem / (rem_min / 60.0), r)
-                    e = min(c * h, rem)
-            else:
-                if rem > 0 and r > 0:
-                    slack = max(0.0, (dep - arr).total_seconds() / 3600.0 - target / r)
-                    if (t - arr).total_seconds() / 3600.0 >= slack * u_of(sid):
-                        e = min(rem, r * h)
-                        c = e / h
-            delivered[sid] = delivered.get(sid, 0.0) + e
-            out[(sid, t)] = (c, e)
-        t += dt.timedelta(minutes=minutes)
-    return out
-
-
 @pytest.mark.parametrize("policy", ["immediate_charge", "uniform_spread", "randomized_delay"])
 @pytest.mark.parametrize("minutes", [5, 7, 13, 15, 60])
 def test_closed_form_matches_step_loop(spark, policy, minutes):
@@ -103,3 +62,74 @@ def test_invariants(spark):
         fleet = ts.where("level = 'fleet'").select("timestamp", F.col("load_kw").alias("f"))
         st = ts.where("level = 'station'").groupBy("timestamp").agg(F.sum("load_kw").alias("s"))
         assert fleet.join(st, "timestamp").where(F.abs(F.col("f") - F.col("s")) > 1e-9).count() == 0
+
+
+EXTREME_RATES = [float("inf"), float("nan"), 0.0, 6.0, None]
+EXTREME_TARGETS = [float("inf"), 1e25, 0.0, 7.5, None]
+
+
+@pytest.mark.parametrize("policy", ["immediate_charge", "uniform_spread"])
+def test_extreme_rates_and_targets_match_step_loop(spark, policy):
+    """Infinite, NaN, zero and huge figures: every decision as the loop makes it."""
+    import math
+
+    base = D(2024, 2, 5, 6, 30)
+    rows = [(f"x{i}-{j}", f"st{j}", base + dt.timedelta(minutes=7 * i), base + dt.timedelta(minutes=7 * i + 95), e, None, r, 95, True)
+            for i, r in enumerate(EXTREME_RATES) for j, e in enumerate(EXTREME_TARGETS)]
+    expected = literal_loop(rows, policy, 15, None)
+    got = {(r["session_id"], r["timestamp"]): (r["charge_rate_kw"], r["energy_delivered_kwh"])
+           for r in load_profile(spark.createDataFrame(rows, SCHEMA), policy, 15).decisions().collect()}
+    assert set(got) == set(expected)
+    for k, want in expected.items():
+        for g, w in zip(got[k], want):
+            assert g == w or math.isclose(g, w, rel_tol=1e-9, abs_tol=1e-6), (k, got[k], want)
+
+
+@pytest.mark.parametrize("policy", ["immediate_charge", "uniform_spread", "randomized_delay"])
+def test_both_strategies_give_the_same_unrounded_figures(spark, policy):
+    """Explode and change points agree bit for bit, infinite and huge sessions included."""
+    from chargeload.operators import changepoints, curves, metrics
+
+    base = D(2024, 2, 5, 6, 30)
+    odd = [(f"x{i}-{j}", "st1", base + dt.timedelta(hours=3 * (5 * i + j)), base + dt.timedelta(hours=3 * (5 * i + j), minutes=95), e, None, r, 95, True)
+           for i, r in enumerate(EXTREME_RATES) for j, e in enumerate(EXTREME_TARGETS)]
+    sessions = spark.createDataFrame(random_sessions(150, seed=8) + odd, SCHEMA)
+    p = load_profile(sessions, policy, 15)
+    cols = ["level", "timestamp", "station_id", "load_kw", "energy_kwh", "active_sessions"]
+    a, b = ({tuple(r[:3]): tuple(r[3:]) for r in f.select(*cols).collect()}
+            for f in (curves.load_timeseries(p.steps()), changepoints.load_timeseries(p)))
+    assert a.keys() == b.keys()
+    assert [(k, a[k], b[k]) for k in a if a[k] != b[k]] == []
+    one, two = (metrics.baseline_metrics(p, strategy=s).first() for s in ("explode", "changepoints"))
+    assert str(one) == str(two)        # NaN equals NaN
+
+
+def test_huge_targets_do_not_stop_the_run(spark):
+    from chargeload.operators import changepoints, metrics
+
+    rows = [("big", "st", D(2024, 3, 1, 4), D(2024, 3, 1, 6), 1e25, None, 1e25, 120, True),
+            ("usual", "st", D(2024, 3, 1, 4), D(2024, 3, 1, 6), 3.0, None, 6.0, 120, True)]
+    p = load_profile(spark.createDataFrame(rows, SCHEMA), "immediate_charge", 30)
+    assert metrics.baseline_metrics(p).first()["total_energy_kwh"] == 1e25
+    first = changepoints.load_timeseries(p).where("level = 'fleet'").orderBy("timestamp").first()
+    assert first["load_kw"] == pytest.approx(1e25) and first["active_sessions"] == 2
+
+
+def test_one_wrong_year_is_expanded_by_many_tasks(spark):
+    from chargeload.operators import changepoints
+
+    rows = [("w", "st", D(2024, 3, 1, 4), D(2031, 3, 1, 4), 5.0, None, 6.0, 10, True)]
+    p = load_profile(spark.createDataFrame(rows, SCHEMA), "immediate_charge", 60, spread=8)
+    df = changepoints.load_timeseries(p).where("level = 'fleet'")
+    spread = df.select("timestamp").rdd.glom().map(len).collect()
+    assert sum(spread) == (D(2031, 3, 1) - D(2024, 3, 1)).days * 24
+    assert max(spread) < 0.5 * sum(spread)
+
+
+@pytest.mark.parametrize("text,digits,want", [(0.00499996, 2, 0.0), (0.005, 2, 0.01), (13.124999999999998, 2, 13.13), (2.4999951, 0, 2.0)])
+def test_rounding_is_not_done_twice(spark, text, digits, want):
+    from pyspark.sql import functions as F
+
+    from chargeload.functions.numbers import round_half_up
+
+    assert spark.range(1).select(round_half_up(F.lit(text), digits)).first()[0] == want

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from chargeload.operators.quality import errors_text, ingest_counts, validate
 from chargeload.schemas import SESSION
 
-BASE = dict(session_id="s", source_dataset="t", source_record_id="1", station_id="st", port_id="p",
-            vehicle_id="v", arrival_ts=dt.datetime(2020, 8, 1, 8), departure_ts=dt.datetime(2020, 8, 1, 17),
-            energy_requested_kwh=35.0, energy_delivered_kwh=30.5, max_charge_rate_kw=6.6,
-            average_charge_rate_kw=None, session_duration_minutes=540, charging_duration_minutes=None,
-            is_valid=True, validation_errors=[], raw_payload="{}")
+BASE = dict(session_id="q-17", source_dataset="q", source_record_id="17", station_id="dock 4", port_id=None,
+            vehicle_id="van", arrival_ts=dt.datetime(2023, 2, 28, 22, 40), departure_ts=dt.datetime(2023, 3, 1, 5, 25),
+            energy_requested_kwh=52.0, energy_delivered_kwh=48.75, max_charge_rate_kw=11.0,
+            average_charge_rate_kw=7.2, session_duration_minutes=405, charging_duration_minutes=390,
+            is_valid=False, validation_errors=[], raw_payload="{}")
 
 
 def run(spark, **changes):
@@ -28,8 +28,8 @@ def test_canonical_row_is_valid(spark):
 def test_each_rule(spark):
     assert run(spark, arrival_ts=None) == (False, "arrival_ts:missing required timestamp")
     assert run(spark, departure_ts=None) == (False, "departure_ts:missing required timestamp")
-    assert run(spark, departure_ts=dt.datetime(2020, 8, 1, 7)) == (False, "departure_ts:departure must be after arrival")
-    assert run(spark, departure_ts=dt.datetime(2020, 8, 1, 8))[1] == "departure_ts:departure must be after arrival"
+    assert run(spark, departure_ts=dt.datetime(2023, 2, 28, 22, 39)) == (False, "departure_ts:departure must be after arrival")
+    assert run(spark, departure_ts=BASE["arrival_ts"])[1] == "departure_ts:departure must be after arrival"
     assert run(spark, session_duration_minutes=0) == (False, "session_duration_minutes:must be positive")
     assert run(spark, energy_delivered_kwh=-5.0) == (False, "energy_delivered_kwh:must be non-negative")
     assert run(spark, max_charge_rate_kw=-1.0) == (False, "max_charge_rate_kw:must be non-negative")
