@@ -21,7 +21,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, without
+from .common import WORD, staged, without
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -181,7 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, prec
     """Decision list from `labels` (doc_id, quality 0 or 1) of `docs`."""
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most train_rows ids
+    # at most train_rows ids; written first, or the optimiser judges all texts before it joins
+    texts = staged(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "training-texts")
     stats = learned_statistics()
     cells = [sum((F.when(stats[n] >= F.lit(float(t)), 1).otherwise(0) for t in GRID[n]), F.lit(0)).alias(f"c_{n}") for n in GRID]
     judged = text_statistics(texts).where(~base_failed())

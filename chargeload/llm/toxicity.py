@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, staged
 from .textblocks import prefix_sums, span_hash, utf8_blocks, words
 
 TRAIN_ROWS, MAX_STEMS = 20_000, 4_000
@@ -289,7 +289,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_
     """A model from `labels` (doc_id, toxic 0 or 1) of `docs` (doc_id, text)."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])  # at most train_rows ids
+    # at most train_rows ids
+    texts = staged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]), "training-texts")
     n_toxic, n_all = texts.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     if not n_toxic or n_toxic == n_all:
         return default_model()
