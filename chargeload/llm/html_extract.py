@@ -45,6 +45,24 @@ LABELLED = (
     "b:3:0:0 b:4:0:0 h:3:0:1 a:4:0:1 a:6:0:1 a:3:0:1 b:11:1:0",
     "-:1:1:0 -:1:1:0 -:1:1:0 -:1:1:0 o:3:0:0 -:9:9:0 -:11:11:0 -:8:8:0 -:6:0:0",
     "b:28:2:0 ab:33:0:0 h:6:0:1 a:15:15:1 a:64:0:1 ab:22:0:0 a:31:0:1 b:120:0:0 b:85:4:0",
+    "h:5:0:1 a:70:0:1 a:12:0:1",
+    "b:30:0:0 a:9:0:1",
+    "a:40:40:1 a:3:3:1 a:6:2:1 a:90:20:1 a:2:0:1",
+    "h:2:2:1 a:1:1:1 b:5:5:0 a:1:0:1 a:11:11:1 b:2:0:0",
+    "b:200:3:0 b:150:0:0 b:1:0:0 h:9:0:1 a:5:1:1 a:4:4:1",
+    "a:8:0:1 b:110:0:0 a:8:0:1 b:45:45:0 a:8:8:1 b:60:0:0",
+    "b:80:0:0 h:3:0:1 a:1:0:1",
+    "b:12:0:0 b:95:0:0 a:2:2:1 ab:3:0:0 a:250:0:1 ab:250:0:0",
+    "-:2:2:0 -:1:1:0 o:10:0:1 -:45:0:1 -:130:6:1",
+    "-:75:0:1",
+    "-:3:0:0",
+    "-:4:4:0 -:30:0:1 -:28:1:1 -:2:0:0",
+    "o:7:0:1 -:62:0:1 -:40:2:1 b:33:0:0 b:18:0:0",
+    "-:30:30:0 -:24:20:0 o:6:0:1 -:80:2:1 -:50:40:0 -:22:22:0",
+    "-:60:51:0 -:120:4:1 -:35:1:1 -:18:17:0 -:44:44:0",
+    "h:4:4:1 a:12:12:1 a:30:28:1 a:6:6:1 a:2:0:1 a:20:19:1 a:9:9:1 a:3:3:1",
+    "b:7:7:0 a:18:18:1 a:1:1:1 a:14:14:1 a:5:0:1 a:25:25:1 a:8:7:1 a:4:4:1 b:9:0:0",
+    "a:16:15:1 a:3:0:1 a:40:37:1 a:10:10:1 a:2:2:1 a:33:33:1",
 )
 
 

@@ -1,7 +1,7 @@
 """Licence scan by canonical digests.
 
-A text's canonical form is its lower-case letters and digits: lines that start with a
-copyright mark go, equivalent spellings become one, and everything between words becomes one space. The SHA-256
+A text's canonical form is its lower-case letters and digits: lines that name a copyright
+holder go, everything between words becomes one space, and equivalent spellings become one. The SHA-256
 of that form is looked up among the digests of known licences and notices. Whole texts are looked
 up, and every line and sentence that holds a marker word, so a notice inside a document is found too.
 
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 MAX_KNOWN = 10_000
 
 # Lines that only name a copyright holder, equivalent spellings, marker words.
-COPYRIGHT_LINE = r"^[ \t*#/;-]*(?:copyright|\(c\)|©)[^\n]*$"
-SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("copyright holder", "copyright owner"),
-             ("merchantibility", "merchantability"), ("favour", "favor"), ("organisation", "organization"), ("whilst", "while"), ("https:", "http:"))
+COPYRIGHT_LINE = r"^[ \t*#/;-]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4}|by[ \t])|\(c\)|©)[^\n]*$"
+SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("copyright holder", "copyright owner"),
+             ("merchantibility", "merchantability"), ("favour", "favor"), ("organisation", "organization"), ("whilst", "while"), ("https ", "http "))
 MARKER = "licen[sc]e|copyright|redistribut|warrant|public domain"
 SENTENCE_END = r"(?<=[.!?])[ \t]+|\n"
 
@@ -55,9 +55,10 @@ KNOWN: tuple[tuple[str, str], ...] = (
 
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), f"(?md){COPYRIGHT_LINE}", "")
+    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    return out
 
 
 def digest(text: Column) -> Column:

@@ -14,9 +14,10 @@ def _quoted(s: str) -> str:
 
 def _canonical(text: str) -> str:
     out = f"regexp_replace(lower({text}), {_quoted('(?m)' + lic.COPYRIGHT_LINE)}, '', 'g')"
+    out = rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     for old, new in lic.SPELLINGS:
         out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
-    return rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    return out
 
 
 def license_scan() -> str:

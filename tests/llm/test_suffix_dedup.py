@@ -87,4 +87,4 @@ def test_empty_table(spark):
 def test_cut_characters_go_whole(spark):
     rows = [(1, "é" * 40), (2, "xé" + "é" * 39 + "ü")]
     out = {r.doc_id: r.dedup.kept for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), as_text=True).collect()}
-    assert out[2] == "xü"
+    assert out[2] == "x"        # the first byte of ü stands in a string that repeats
