@@ -37,6 +37,7 @@ WIDTH = 50
 GRAM = 20
 FLUSH = 1_000_000  # anchors that a map task holds before it sends them; a quarter as many segments
 BLOCK = 1 << 20  # bytes of text scanned at once
+PLACES = 20_000  # places of segments whose windows are looked up at once
 SORT_BYTES = 1 << 20  # bytes of segments sorted at once, unless one anchor has more
 _H48 = np.uint64((1 << 48) - 1)
 _SPANS = "spans array<struct<start: bigint, end: bigint>>"
@@ -306,6 +307,29 @@ def _window_owners(raw: np.ndarray, length: np.ndarray, least: np.ndarray, width
     return owner[starts]
 
 
+def _marks(raw: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the segments that lie one after the other in `raw`, a block at a time."""
+    out = np.empty(len(at), np.uint64)
+    cuts = np.append(np.flatnonzero(np.diff(at // BLOCK, prepend=-1)), len(at))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        begin = int(at[lo])
+        sums = prefix_sums(raw[begin: int(at[hi - 1] + length[hi - 1])])
+        out[lo:hi] = span_hash(sums, at[lo:hi] - begin, at[lo:hi] - begin + length[lo:hi])
+    return out
+
+
+def _removed_runs(owner: np.ndarray, at: np.ndarray, count: np.ndarray, doc: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first window, windows) of the runs of windows that a smaller id owns, for places with `count` windows from `at` on."""
+    place = np.repeat(np.arange(len(at)), count)
+    step = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+    gone = owner[at[place] + step] < doc[place]
+    place, step = place[gone], step[gone]
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (step[1:] != step[:-1] + 1)
+    i = np.flatnonzero(new)
+    return place[i] + first, step[i], np.diff(np.append(i, len(place)))
+
+
 def _owned_spans(width: int, buckets: int):
     def owned(blobs):
         """Suffix-sort a bucket's segments and give each document the spans that a smaller id owns."""
@@ -319,7 +343,7 @@ def _owned_spans(width: int, buckets: int):
         raw = np.concatenate([b[0] for b in blobs])
         # equal segments of several senders become one
         at = np.cumsum(length) - length
-        mark = span_hash(prefix_sums(raw), at, at + length)
+        mark = _marks(raw, at, length)
         order = np.lexsort((mark, anchor))
         new = np.append(True, (anchor[order[1:]] != anchor[order[:-1]]) | (mark[order[1:]] != mark[order[:-1]]))
         to = np.empty(len(order), np.int64)
@@ -345,21 +369,9 @@ def _owned_spans(width: int, buckets: int):
         seg, doc, key, start = seg[open_], doc[open_], key[open_], start[open_]
         if not len(seg):
             return
-        # windows of each place of a segment
-        count = windows[seg]
-        place = np.repeat(np.arange(len(seg)), count)
-        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        gone = owner[owner_at[seg][place] + step] < doc[place]
-        place, step = place[gone], step[gone]
-        if not len(place):
-            return
-        new = np.ones(len(place), bool)
-        new[1:] = (place[1:] != place[:-1]) | (step[1:] != step[:-1] + 1)
-        i = np.flatnonzero(new)
-        last = np.append(i[1:], len(place)) - 1
-        p = place[i]
-        begin, size = start[p] + step[i], step[last] - step[i] + width
-        d, k = doc[p], key[p]
+        found = [_removed_runs(owner, owner_at[seg[lo: lo + PLACES]], windows[seg[lo: lo + PLACES]], doc[lo: lo + PLACES], lo) for lo in range(0, len(seg), PLACES)]
+        p, step, size = (np.concatenate(x) for x in zip(*found, strict=True))
+        d, k, begin, size = doc[p], key[p], start[p] + step, size + width - 1
         for b, at in split_by_bucket(_doc_bucket(d, buckets), buckets):
             yield b, pack(np.diff(d[at], prepend=0), k[at], begin[at], size[at])
 
