@@ -61,10 +61,11 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
 SUFFIX_DEDUP = """
 WITH b AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
-), p AS (
-  SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM b
+), q AS (  -- pieces of a thousand bytes and the 49 after them: taking a part of a long string costs its length
+  SELECT doc_id, c, length(h) // 2 - c AS n, substr(h, 2 * c + 1, 2098) AS piece FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 1000)) AS c FROM b)
 ), w AS (
-  SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS byte, substr(h, 2 * i + 1, 100) AS s FROM p
+  SELECT doc_id, c + j AS i, substr(piece, 2 * j + 1, 2) AS byte, substr(piece, 2 * j + 1, 100) AS s
+  FROM (SELECT *, unnest(range(0, least(1000, n))) AS j FROM q)
 ), f AS (
   SELECT s, min(doc_id) AS first FROM w WHERE length(s) = 100 GROUP BY s
 ), m AS (
