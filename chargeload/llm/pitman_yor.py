@@ -13,11 +13,12 @@ after the other by the Chinese-restaurant rule, given the rest of the seating of
 come from the counts of words seen once and twice. After `burn_in` sweeps the predictive
 probabilities of each sweep are averaged; their logarithm is the token's score.
 
-Spark's part: tokens meet in buckets by predicted word, where all seatings of that word
-are local. A sweep is one job over the staged counts that returns tables per restaurant
+Spark's part: counts of (word, context) pairs are added up in buckets by pair and meet in buckets by
+predicted word, where all seatings of that word are local. The places (a document's number of a pair) stay
+apart as many rows; they meet the pairs' probabilities at the end, a large bucket in several parts. A sweep is one job over the staged counts that returns tables per restaurant
 (65,536 + 256 + 1 sums); a later sweep replays the earlier ones from these totals and its seeds, so
-no seating is stored and a lost executor only repeats its buckets. Each bucket sends a document's sums
-once, packed, to the document's bucket; they travel as whole multiples of 2^-30.
+no seating is stored and a lost executor only repeats its buckets. Documents' sums go packed
+to the document's bucket; they travel as whole multiples of 2^-30.
 
 Defined cases: null and blank texts are the end token alone; rows of one doc_id are one document; a
 null doc_id is a document of its own, used for training. Without training tokens every token is unknown.
@@ -38,6 +39,8 @@ from .textblocks import ASCII_LOWER, mix, prefix_sums, span_hash, utf8_blocks, w
 SWEEPS, BURN_IN, SEED = 4, 2, 17
 STRENGTH = (0.5, 0.5, 0.5)  # root, endings, contexts
 FLUSH = 1_500_000  # tokens that a map task holds before it sends them
+MANY_CONTEXTS = 1000  # contexts of a word in one task, beyond which many tasks add up its counts
+PART_BYTES = 32 << 20  # packed places that are scored as one part of a bucket
 _UNIT = 2.0**-30
 _END = np.uint64(0x51ED270B0A1F3C29)
 _START_CONTEXT = 0xFFFF
@@ -72,14 +75,19 @@ def block_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _token_rows(buckets: int):
+    """Places by word bucket: a document's occurrences of a (word, context) are one entry with their number."""
     def flush(held):
         h, context, doc = (np.concatenate([x[i] for x in held]) for i in range(3))
         ids, held_out = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
         for b, at in split_by_bucket((h % np.uint64(buckets)).astype(np.int64), buckets):
-            at = at[np.lexsort((context[at], h[at]))]
-            first = np.flatnonzero(np.append(True, h[at][1:] != h[at][:-1]))
-            docs, place = np.unique(doc[at], return_inverse=True)
-            yield b, pack(h[at][first], np.diff(np.append(first, len(at))).astype(np.uint32), context[at], place.astype(np.uint16 if len(docs) < 65536 else np.uint32), np.diff(ids[docs], prepend=0), held_out[docs])
+            at = at[np.lexsort((context[at], h[at]))]  # stable: documents stay in order
+            new_word = _changes(h[at])
+            new_pair = new_word | _changes(context[at])
+            place = np.flatnonzero(new_pair | _changes(doc[at]))
+            pair = np.flatnonzero(new_pair)
+            docs, which = np.unique(doc[at][place], return_inverse=True)
+            yield b, pack(h[at][np.flatnonzero(new_word)], _lengths(new_word[pair]), context[at][pair], _lengths(new_pair[place]), which.astype(np.uint16 if len(docs) < 65536 else np.uint32),
+                          np.diff(np.append(place, len(at))).astype(np.uint32), np.diff(ids[docs], prepend=0), held_out[docs])
 
     def run(batches):
         def parts():
@@ -101,21 +109,76 @@ def _token_rows(buckets: int):
     return run
 
 
+def _changes(x: np.ndarray) -> np.ndarray:
+    return np.append(True, x[1:] != x[:-1])
+
+
+def _lengths(first: np.ndarray) -> np.ndarray:
+    """Lengths of the runs that begin where `first` is true."""
+    return np.diff(np.append(np.flatnonzero(first), len(first))).astype(np.uint32)
+
+
+def _merged(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, context, training count), each pair once and in order."""
+    h, context, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((context, h))
+    h, context = h[order], context[order]
+    first = np.flatnonzero(_changes(h) | _changes(context))
+    return h[first], context[first], np.add.reduceat(counts[order].astype(np.int64), first)
+
+
+def _pack_pairs(h: np.ndarray, context: np.ndarray, counts: np.ndarray) -> bytes:
+    new_word = _changes(h)
+    return pack(h[new_word], _lengths(new_word), context, counts.astype(np.uint32 if counts.max() < 1 << 32 else np.int64))
+
+
+def _unpacked_pairs(blobs) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return [(np.repeat(word, per_word), context, counts) for word, per_word, context, counts in blobs]
+
+
+def _pair_rows(buckets: int):
+    """Training counts by (word, context), to the word's bucket; those of a word with many contexts to buckets of the pairs,
+    so that the counts of one frequent word are added up in many tasks."""
+    def flush(held):
+        h, context, counts = _merged(held)
+        per_word = _lengths(_changes(h))
+        spread = np.where(np.repeat(per_word, per_word) > MANY_CONTEXTS, mix(h + context), h)
+        for b, at in split_by_bucket((spread % np.uint64(buckets)).astype(np.int64), buckets):
+            yield b, _pack_pairs(h[at], context[at], counts[at])
+
+    def run(batches):
+        def parts():
+            held, n = [], 0
+            for batch in batches:
+                for blob in batch.column("blob").to_pylist():
+                    word, per_word, context, per_pair, place, counts, _, held_out = unpack(blob)
+                    pair = np.repeat(np.arange(len(context)), per_pair)
+                    held.append((np.repeat(word, per_word), context, np.bincount(pair, counts * ~held_out[place], minlength=len(context)).astype(np.int64)))
+                    n += len(context)
+                    if n >= FLUSH:
+                        yield from flush(held)
+                        held, n = [], 0
+            if held:
+                yield from flush(held)
+        yield from packed_rows(parts())
+
+    return run
+
+
+def _pair_sums(buckets: int):
+    def run(_bucket, blobs):
+        h, context, counts = _merged(_unpacked_pairs(blobs))
+        yield from packed_rows((b, _pack_pairs(h[at], context[at], counts[at])) for b, at in split_by_bucket((h % np.uint64(buckets)).astype(np.int64), buckets))
+
+    return run
+
+
 def _count_rows(bucket, blobs):
-    """A bucket's counts (`model`: contexts a word, contexts, training counts) and the places that use them."""
-    words_, which = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
-    word = np.repeat(which, np.concatenate([b[1] for b in blobs]))
-    context = np.concatenate([b[2] for b in blobs]).astype(np.int64)
-    base = np.cumsum([0, *[len(b[4]) for b in blobs]])
-    doc = np.concatenate([b[3].astype(np.int64) + base[i] for i, b in enumerate(blobs)])
-    ids = np.concatenate([np.cumsum(b[4]) for b in blobs])
-    held_out = np.concatenate([b[5] for b in blobs])
-    kinds, kind = np.unique(word << 16 | context, return_inverse=True)
-    counts = np.bincount(kind, ~held_out[doc], minlength=len(kinds)).astype(np.int64)
-    order = np.argsort(kind, kind="stable")
-    model = pack(np.bincount(kinds >> 16, minlength=len(words_)).astype(np.uint32), (kinds & 0xFFFF).astype(np.uint16), counts.astype(np.uint32 if counts.max() < 1 << 32 else np.int64))
-    places = pack(np.bincount(kind, minlength=len(kinds)).astype(np.uint32), doc[order].astype(np.uint32), np.diff(ids, prepend=0), held_out)
-    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([model], pa.binary()), pa.array([places], pa.binary())], names=["bucket", "model", "places"])
+    """A bucket's words and their counts (`model`: contexts a word, contexts, training counts)."""
+    h, context, counts = _merged(_unpacked_pairs(blobs))
+    new_word = _changes(h)
+    model = pack(_lengths(new_word), context, counts.astype(np.uint32 if counts.max() < 1 << 32 else np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack(h[new_word])], pa.binary()), pa.array([model], pa.binary())], names=["bucket", "words", "model"])
 
 
 # ---- seating --------------------------------------------------------------------------------
@@ -241,40 +304,79 @@ def _gather(state: DataFrame, history: list[dict], base: float, discounts) -> di
     return {"c2": c2, "t2": t2, "c1": t2.reshape(256, 256).sum(1), "t1": t1, "c0": int(t1.sum()), "t0": int(t0[0]), "tokens": int(c2.sum()), "seen": seen.tolist()}
 
 
-def _planes(x: np.ndarray) -> np.ndarray:
-    """Sums as whole multiples of the unit, by byte: the empty upper bytes of many numbers pack to nothing."""
-    return np.ascontiguousarray(np.rint(x / _UNIT).astype("<i8").view(np.uint8).reshape(-1, 8).T)
+def _planes(units: np.ndarray) -> np.ndarray:
+    """Whole multiples of the unit, by byte: the empty upper bytes of many numbers pack to nothing."""
+    return np.ascontiguousarray(units.astype("<i8").view(np.uint8).reshape(-1, 8).T)
 
 
 def _from_planes(planes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i8").ravel() * _UNIT
 
 
-def _score_rows(history: list[dict], base: float, discounts, burn_in: int, parts: int):
-    tokens, vocabulary = history[0]["tokens"], history[0]["seen"][0]
-
-    def sums(batches):
+def _probability_rows(history: list[dict], base: float, discounts, burn_in: int):
+    """A bucket's words, contexts, training counts of the words and scores of the (word, context) pairs."""
+    def rows(batches):
         for batch in batches:
-            for bucket, blob, used in zip(*(batch.column(c).to_pylist() for c in ("bucket", "model", "places")), strict=True):
+            for bucket, word, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "model")), strict=True):
                 total, n = 0.0, 0
                 for k, state in enumerate(_replayed(bucket, blob, history[:-1], base, discounts)):
                     if k >= burn_in or k == len(history) - 1 and not n:
                         total, n = total + state.probabilities(history[k])[2], n + 1
-                per_kind, doc, ids, held_out = unpack(used)
-                kind = np.repeat(np.arange(len(per_kind)), per_kind)
-                count = state.word_counts[state.word]
-                values = (None, (count > 0)[kind], -np.log10((count + 0.5) / (tokens + 0.5 * (vocabulary + 1)))[kind], -np.log10(total / n)[kind])
-                # one sum for each id
+                per_word, context, _ = unpack(blob)
+                yield bucket, pack(*unpack(word), per_word, context, state.word_counts, -np.log10(total / n))
+
+    return lambda batches: packed_rows(rows(batches), 1)
+
+
+def _score_rows(tokens: int, vocabulary: int, parts: int):
+    """Sums by document, from rows in order of (bucket, part, kind): a part's probabilities come before its places."""
+    def flush(held):
+        ids, held_out, *sums = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(_changes(ids[order]))
+        ids = ids[order][first]
+        held_out = np.logical_or.reduceat(held_out[order], first)
+        n_tokens, n_known, base_score, score = (np.add.reduceat(x[order], first) for x in sums)
+        for b, at in split_by_bucket((mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts):
+            yield b, pack(np.diff(ids[at], prepend=0), held_out[at], n_tokens[at].astype(np.uint32), n_known[at].astype(np.uint32), _planes(base_score[at]), _planes(score[at]))
+
+    def sums(batches):
+        held, n = [], 0
+        for batch in batches:
+            for kind, blob in zip(batch.column("kind"), batch.column("blob"), strict=True):
+                if kind.as_py() == 0:
+                    words_, per_word, context, count, score = unpack(blob.as_py())
+                    keys = np.repeat(np.arange(len(words_)), per_word) << 16 | context
+                    base_score = -np.log10((count + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
+                    continue
+                word, per_word, context, per_pair, place, times, ids, held_out = unpack(blob.as_py())
+                at = np.repeat(np.searchsorted(words_, word), per_word)
+                pair = np.searchsorted(keys, at << 16 | context)
+                # one sum for each id, as whole multiples of the unit: later sums are exact in any order
                 ids, which = np.unique(np.cumsum(ids), return_inverse=True)
                 out = np.zeros(len(ids), bool)
                 out[which] = held_out
-                n_tokens, n_known, base_score, score = (np.bincount(which[doc], x, minlength=len(ids)) for x in values)
-                for b, at in split_by_bucket((mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts):
-                    yield b, pack(np.diff(ids[at], prepend=0), out[at], n_tokens[at].astype(np.uint32), n_known[at].astype(np.uint32), _planes(base_score[at]), _planes(score[at]))
+                values = (None, (count > 0)[at], base_score[at], score[pair])
+                found = [np.bincount(which[place], times if v is None else times * np.repeat(v, per_pair), minlength=len(ids)) for v in values]
+                held.append((ids, out, *[x.astype(np.int64) for x in found[:2]], *[np.rint(x / _UNIT).astype(np.int64) for x in found[2:]]))
+                n += len(ids)
+                if n >= FLUSH:
+                    yield from flush(held)
+                    held, n = [], 0
+        if held:
+            yield from flush(held)
 
     return lambda batches: packed_rows(sums(batches))
 
 
+def _with_probabilities(places: DataFrame, probabilities: DataFrame, buckets: int) -> DataFrame:
+    """Both sides by (bucket, part): a bucket with many bytes of places is dealt to many parts, each with its own copy of the probabilities."""
+    parts = F.broadcast(places.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("blob")) / F.lit(PART_BYTES)).cast("int").alias("parts")))  # a row per bucket
+    left = places.join(parts, "bucket").select("bucket", F.pmod(F.xxhash64("blob"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "blob")
+    right = probabilities.join(parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "blob")
+    return left.unionByName(right).repartitionById(buckets, ((F.col("bucket") + F.col("part")) % buckets).cast("int")).sortWithinPartitions("bucket", "part", "kind")
+
+
 def _document_rows(_bucket, blobs):
     ids, which = np.unique(np.concatenate([np.cumsum(b[0]) for b in blobs]), return_inverse=True)
     held_out = np.zeros(len(ids), bool)
@@ -293,13 +395,16 @@ def score_texts(docs: DataFrame, held_out: Column, sweeps: int = SWEEPS, burn_in
     buckets = bucket_count(docs.sparkSession)
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    state = staged(per_bucket(rows.mapInArrow(_token_rows(buckets), PACKED), buckets, _count_rows, "bucket int, model binary, places binary"), "counts")
+    places = staged(rows.mapInArrow(_token_rows(buckets), PACKED), "places")
+    pairs = per_bucket(places.mapInArrow(_pair_rows(buckets), PACKED), buckets, _pair_sums(buckets), PACKED)
+    state = staged(per_bucket(pairs, buckets, _count_rows, "bucket int, words binary, model binary"), "counts")
     history = [_gather(state, [], 1.0, (0.5, 0.5, 0.5))]
     vocabulary, *seen = history[0]["seen"]
     base = 1.0 / (vocabulary + 1)
     discounts = tuple(discount(seen[2 * k], seen[2 * k + 1]) for k in range(3))
     for _ in range(sweeps):
         history.append(_gather(state, history, base, discounts))
-    sums = state.mapInArrow(_score_rows(history, base, discounts, burn_in, buckets), PACKED)
+    probabilities = state.mapInArrow(_probability_rows(history, base, discounts, burn_in), PACKED)
+    sums = _with_probabilities(places, probabilities, buckets).mapInArrow(_score_rows(history[0]["tokens"], vocabulary, buckets), PACKED)
     out = per_bucket(sums, buckets, _document_rows, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(history[0]["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

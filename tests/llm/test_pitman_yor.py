@@ -100,3 +100,38 @@ def test_seating_follows_the_restaurant_rule():
             nxt[t] += p * (1 - q)
         chance = nxt
     assert seen == pytest.approx(sum(t * p for t, p in chance.items()), abs=0.03)
+
+
+def test_a_frequent_word_fills_no_cell(spark, monkeypatch):
+    """With four times the documents no staged cell is much larger, though one word is a third of all tokens."""
+    monkeypatch.setattr(py, "FLUSH", 2_000)
+    largest, write = {}, py.staged
+
+    def noted(df, name):
+        out = write(df, name)
+        binary = [c for c, t in out.dtypes if t == "binary"]
+        largest[n] = max(largest.get(n, 0), *out.agg(*[F.max(F.octet_length(c)) for c in binary]).first())
+        return out
+
+    monkeypatch.setattr(py, "staged", noted)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        for n in (4000, 16_000):
+            scores(spark.createDataFrame([(i, f"the a{i % 7} b{i % 5} the the a{i % 3}") for i in range(n)], "doc_id long, text string"))
+    finally:
+        spark.conf.set(key, before)
+    assert largest[16_000] < 1.5 * largest[4000]
+
+
+def test_parts_of_a_bucket_change_nothing(spark, documents, monkeypatch):
+    docs = documents.select("doc_id", "text").limit(300).cache()
+    want = scores(docs)
+    monkeypatch.setattr(py, "FLUSH", 3_000)
+    monkeypatch.setattr(py, "PART_BYTES", 500, raising=False)
+    got = scores(docs)
+    assert set(got) == set(want)
+    for d, r in want.items():
+        assert got[d][:5] == r[:5]
+        assert (got[d].base_score, got[d].score) == (pytest.approx(r.base_score, rel=1e-6), pytest.approx(r.score, rel=1e-6))
