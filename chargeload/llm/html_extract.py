@@ -25,12 +25,14 @@ CONTAINERS = frozenset("address article aside blockquote body center details dia
 BOILERPLATE_TAGS = frozenset("aside dialog dir fieldset footer form header menu nav".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 BOILERPLATE_HINT = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|alert|banner|breadcrumbs?|byline|comments?|consent|cookies?|disqus|footer|gdpr|header|login|masthead|menu|meta|modal|nav|navbar|navigation|newsletter|notice|outbrain|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|sign-?up|skip|social|sponsor\w*|subscri\w*|tags?|teasers?|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])", re.I)
+# A name with one of these words tells how a wrapper looks or whether a part is open, not what the wrapper holds.
+LAYOUT_WORD = re.compile(r"(?:^|[_-])(?:has|have|with|without|no|not|is|are|show|hide|open|opened|closed|active|inactive|visible|hidden|enabled|disabled|on|off|sticky|fixed|layout|wrapper)(?:$|[_-])", re.I)
 ARTICLE_HINT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body-?text|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<skip>{SKIPPED_TAGS})\b[^>]*>.*?(?:</(?P=skip)\s*>|\Z)|<(?P<tag>/?[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(?=[a-zA-Z/!?])[^>]*>?|[^<]+|<", re.S | re.I)
 _HINT_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boilerplate", "article", "heading")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boilerplate", "article", "heading", "words_unmarked")
 # The labelled table: pages as blocks "place:words:linked words:label". Places: b is marked as boilerplate,
 # a stands in an article, ab is marked inside an article, h is a heading in an article, o a heading outside, - has no mark.
 LABELLED = (
@@ -63,6 +65,21 @@ LABELLED = (
     "h:4:4:1 a:12:12:1 a:30:28:1 a:6:6:1 a:2:0:1 a:20:19:1 a:9:9:1 a:3:3:1",
     "b:7:7:0 a:18:18:1 a:1:1:1 a:14:14:1 a:5:0:1 a:25:25:1 a:8:7:1 a:4:4:1 b:9:0:0",
     "a:16:15:1 a:3:0:1 a:40:37:1 a:10:10:1 a:2:2:1 a:33:33:1",
+    # a page that is marked as a whole: its marks say nothing, words and links do
+    "b:4:4:0 b:5:5:0 b:70:0:1 b:95:3:1 b:45:1:1 b:3:3:0 b:14:13:0",
+    "-:3:3:0 b:6:6:0 b:60:1:1 b:120:4:1 b:38:0:1 b:9:8:0 b:2:2:0",
+    "b:2:2:0 b:2:2:0 b:85:2:1 b:64:0:1 b:150:5:1 b:20:20:0 b:12:11:0",
+    "-:2:2:0 b:55:0:1 b:72:1:1 b:41:2:1 b:30:29:0 b:4:0:0",
+    "b:7:7:0 b:15:15:0 b:3:0:0 b:6:5:0",
+    "b:60:58:0 b:45:45:0 b:50:0:1 b:48:2:1 b:80:77:0 b:110:104:0 b:6:0:0",
+    # short headlines outside an article
+    "-:2:2:0 -:1:1:0 o:2:0:1 -:70:1:1 -:55:0:1",
+    "-:3:3:0 o:3:0:1 -:44:0:1 o:1:0:1 -:90:2:1",
+    "o:4:0:1 -:120:3:1 -:35:0:1 o:2:0:0 -:5:5:0 -:8:8:0",
+    # short paragraphs and paragraphs with links outside an article
+    "-:4:4:0 o:6:0:1 -:50:5:1 -:12:0:1 -:8:0:1 -:9:0:1 -:40:6:1 -:6:0:1 -:11:0:1 -:70:9:1 -:4:4:0 -:7:6:0",
+    "-:1:1:0 o:5:0:1 -:80:12:1 -:10:1:1 -:7:0:1 -:12:0:1 -:60:10:1 -:30:5:1 -:15:0:1 -:9:9:0 -:5:4:0",
+    "b:5:5:0 o:7:0:1 -:16:0:1 -:10:0:1 -:6:0:1 -:13:1:1 -:9:0:1 -:45:7:1 b:50:0:0 b:26:1:0 -:3:3:0 -:5:5:0",
 )
 
 
@@ -79,17 +96,22 @@ def _marks(tag: str, attrs: str, inside: tuple[bool, bool]) -> tuple[bool, bool]
     """(boilerplate, article) inside an element, from its own tag and names and from the element around it."""
     boilerplate, article = inside
     named = " ".join(a or b or c for a, b, c in _HINT_ATTRIBUTE.findall(attrs)) if attrs else ""
+    names = [n for n in named.split() if not LAYOUT_WORD.search(n)] if named and tag not in ("html", "body") else []
+    hinted = [n for n in names if BOILERPLATE_HINT.search(n)]
+    article_named = any(ARTICLE_HINT.search(n) for n in names if n not in hinted)
     if tag in ARTICLE_TAGS:
+        if not article and not hinted:  # the marks of the page around a first article end with it; a comment in it keeps them
+            boilerplate = False
         article = True
     elif tag == "header":
         boilerplate = boilerplate or not article  # an article's own header holds its headline
     elif tag in BOILERPLATE_TAGS:
         boilerplate = True
-    if named and tag not in ("html", "body"):
-        if BOILERPLATE_HINT.search(named) and not (tag in ARTICLE_TAGS or tag == "header" and article):
+    if hinted:
+        if not article_named and not (tag in ARTICLE_TAGS or tag == "header" and article):
             boilerplate = True
-        elif ARTICLE_HINT.search(named):
-            article = True
+    elif article_named:
+        article = True
     return boilerplate, article
 
 
@@ -144,11 +166,12 @@ def text_blocks(html: str) -> list[tuple[str, Block]]:
 
 
 def features(words: np.ndarray, linked: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Feature rows of a page's blocks; marks: boilerplate, article and heading."""
+    """Feature rows of a page's blocks; marks: boilerplate, article and heading. The last feature is the page's words
+    outside boilerplate marks."""
     density = linked / np.maximum(words, 1)
     before = lambda x: np.append(0, x[:-1])
     after = lambda x: np.append(x[1:], 0)
-    return np.column_stack([words, density, before(words), before(density), after(words), after(density), marks])
+    return np.column_stack([words, density, before(words), before(density), after(words), after(density), marks, np.full(len(words), words[marks[:, 0] == 0].sum())])
 
 
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:

@@ -71,3 +71,18 @@ def test_white_space_and_references():
 def test_tree_fits_its_table():
     x, y = he.labelled_table()
     assert (he.classify(TREE, x) == y).mean() > 0.95
+
+
+@pytest.mark.parametrize("wrapper", ["site has-sidebar", "content-area with-sidebar", "page menu-open", "entry-content social-share", "sidebar", "page no-comments"])
+@pytest.mark.parametrize("main", ["<article><h1>The flood</h1><p>{0}</p><p>{0}</p></article>", "<main><h1>The flood</h1><p>{0}</p><p>{0}</p></main>"])
+def test_an_article_in_a_marked_wrapper(wrapper, main):
+    page = f"<body><nav><a href=/>Home</a></nav><div class='{wrapper}'>{main.format(PARAGRAPH)}<aside><p>{PARAGRAPH}</p></aside></div></body>"
+    assert text(page) == f"The flood\n\n{PARAGRAPH}\n\n{PARAGRAPH}"
+
+
+def test_marked_pages_and_short_headlines_are_judged_by_words():
+    long = " ".join([PARAGRAPH] * 3)
+    links = "<ul><li><a href=/a>One more story</a><li><a href=/b>Another one here</a></ul>"
+    assert text(f"<body><div class='widget'><p>{long}</p><p>{long}</p>{links}</div></body>") == f"{long}\n\n{long}"
+    assert text(f"<body><div><h1>The flood</h1><p>{long}</p><p>{long}</p></div>{links}</body>") == f"The flood\n\n{long}\n\n{long}"
+    assert text(f"<article><p>{PARAGRAPH}</p><div class='comments'><article class='comment'><p>{long}</p></article></div></article>") == PARAGRAPH
