@@ -20,7 +20,11 @@ from pyspark.sql import DataFrame
 
 # Element names of HTML and words that sites name their parts by.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-SKIPPED_TAGS = "script|style|noscript|template|svg|math|title|textarea|object|canvas|iframe|select|button"
+RAW_TAGS = "script|style|noscript|title|textarea|iframe"  # their text is no markup: it ends at the next end tag of the kind
+SKIPPED_TAGS = frozenset("template svg math object canvas select button".split())
+TEXT_TAGS = frozenset("article blockquote h1 h2 h3 h4 h5 h6 main ol p section table ul".split())
+CLOSED_BY_TEXT_TAGS = frozenset("svg math select button".split())
+VOID_TAGS = frozenset("area base col embed img input link meta param source track wbr".split())
 CONTAINERS = frozenset("address article aside blockquote body center details dialog dir div dl fieldset figure footer form header main menu nav ol section table tbody td th tr ul".split())
 BOILERPLATE_TAGS = frozenset("aside dialog dir fieldset footer form header menu nav".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
@@ -29,7 +33,7 @@ BOILERPLATE_HINT = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|alert|banner|bre
 LAYOUT_WORD = re.compile(r"(?:^|[_-])(?:has|have|with|without|no|not|is|are|show|hide|open|opened|closed|active|inactive|visible|hidden|enabled|disabled|on|off|sticky|fixed|layout|wrapper)(?:$|[_-])", re.I)
 ARTICLE_HINT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body-?text|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<skip>{SKIPPED_TAGS})\b[^>]*>.*?(?:</(?P=skip)\s*>|\Z)|<(?P<tag>/?[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(?=[a-zA-Z/!?])[^>]*>?|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<skip>{RAW_TAGS})(?=[\s/>])(?:[^>]*[^>/])?>.*?(?:</(?P=skip)\s*>|\Z)|<(?P<tag>/?[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(?=[a-zA-Z/!?])[^>]*>?|[^<]+|<", re.S | re.I)
 _HINT_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boilerplate", "article", "heading", "words_unmarked")
@@ -120,11 +124,16 @@ def text_blocks(html: str) -> list[tuple[str, Block]]:
     out: list[Block] = []
     open_: list[tuple[str, tuple[bool, bool]]] = []  # containers
     leaf: tuple[bool, bool] | None = None  # marks of the open p, li, heading or the like
+    leaf_tag = ""
+    inline: list[str] = []  # other elements open in the block
+    skipped: list[str] = []  # an element without text of the page, and those open in it
     heading, link = False, 0
     block: Block | None = None
     for m in _TOKEN.finditer(html):
         token = m.group()
         if token[0] != "<" or token == "<":
+            if skipped:
+                continue
             if block is None:
                 around = leaf if leaf is not None else open_[-1][1] if open_ else (False, False)
                 block = Block(*around, heading)
@@ -135,27 +144,53 @@ def text_blocks(html: str) -> list[tuple[str, Block]]:
             continue
         tag = m.group("tag")
         if not tag:
-            if m.group("skip") and m.group("skip").lower() in ("title", "iframe", "select"):
+            if m.group("skip") and m.group("skip").lower() in ("title", "iframe") and not skipped:
                 block = None
             continue
         tag, closing = (tag[1:].lower(), True) if tag[0] == "/" else (tag.lower(), False)
+        empty = m.group("attrs").rstrip().endswith("/")
+        if skipped:
+            if closing and tag in skipped:
+                while skipped.pop() != tag:
+                    pass
+                continue
+            # it ends with the element around it, some kinds also where text begins
+            if not (closing and (tag == leaf_tag or tag in inline or any(t == tag for t, _ in open_)) or not closing and tag in TEXT_TAGS and CLOSED_BY_TEXT_TAGS.issuperset(t for t in skipped if t in SKIPPED_TAGS)):
+                if not closing and not empty:
+                    skipped.append(tag)
+                continue
+            skipped = []
+        if tag in SKIPPED_TAGS:
+            if tag == "select":
+                block = None
+            if not closing and not empty:
+                skipped = [tag]
+            continue
         if tag == "a":
             link = 0 if closing else 1
-        elif tag == "br":
+        if tag == "br":
             if block is not None:
                 block.parts.append(" ")
         elif tag in BLOCK_TAGS:
-            block, link, leaf = None, 0, None
+            block, link, leaf, leaf_tag = None, 0, None, ""
+            inline.clear()
             heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
             if tag in CONTAINERS:
                 if not closing:
-                    if not m.group("attrs").rstrip().endswith("/"):
+                    if not empty:
                         open_.append((tag, _marks(tag, m.group("attrs"), open_[-1][1] if open_ else (False, False))))
                 elif any(t == tag for t, _ in open_):
                     while open_.pop()[0] != tag:
                         pass
             elif not closing:
                 leaf = _marks(tag, m.group("attrs"), open_[-1][1] if open_ else (False, False))
+                leaf_tag = tag
+        elif tag not in VOID_TAGS:
+            if closing and tag in inline:
+                while inline.pop() != tag:
+                    pass
+            elif not closing and not empty:
+                inline.append(tag)
     found = []
     for b in out:
         words = unescape("".join(b.parts)).split()

@@ -86,3 +86,17 @@ def test_marked_pages_and_short_headlines_are_judged_by_words():
     assert text(f"<body><div class='widget'><p>{long}</p><p>{long}</p>{links}</div></body>") == f"{long}\n\n{long}"
     assert text(f"<body><div><h1>The flood</h1><p>{long}</p><p>{long}</p></div>{links}</body>") == f"The flood\n\n{long}\n\n{long}"
     assert text(f"<article><p>{PARAGRAPH}</p><div class='comments'><article class='comment'><p>{long}</p></article></div></article>") == PARAGRAPH
+
+
+@pytest.mark.parametrize("thing", [
+    "<svg class=\"icon\"/>", "<math/>", "<svg><path d='M0'/><title/><use href='#x'/></svg>", "<template/>", "<p>Share <button>now</p>", "<button>Share", "<select><option>One<option>Two", "<div><object data=x></div>",
+    "<div><canvas id=c></div>", "<div><template><p>hidden</div>", "<a href=#><svg class=icon></a>", "<span><button>Share</span>", "<script src=x />", "<div><template><div><p>hidden</p></div>more</template></div>",
+])
+def test_elements_without_text_end_where_they_end(thing):
+    got = text(f"<article><p>{PARAGRAPH}</p>{thing}<p>{PARAGRAPH} Again.</p>{thing}<div>{PARAGRAPH} A third time.</div></article>" if thing not in ("<button>Share", "<select><option>One<option>Two") else f"<article><p>{PARAGRAPH}</p>{thing}<p>{PARAGRAPH} Again.</p><div>{PARAGRAPH} A third time.</div></article>")
+    assert [b for b in got.split("\n\n") if b != "Share"] == [PARAGRAPH, f"{PARAGRAPH} Again.", f"{PARAGRAPH} A third time."]
+
+
+def test_custom_elements_are_not_skipped():
+    assert text(f"<article><button-group><p>{PARAGRAPH}</p></button-group><template-card>{PARAGRAPH}</template-card></article>") == f"{PARAGRAPH}\n\n{PARAGRAPH}"
+    assert text(f"<article><p>{PARAGRAPH}<button>Share <b>it</b></button><svg><text>x</text></svg> End.</p></article>") == f"{PARAGRAPH} End."
