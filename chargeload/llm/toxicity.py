@@ -148,23 +148,50 @@ class Lexicon:
         return out
 
     def symbol(self, word: str) -> tuple[str, float]:
-        word = word.strip("\"'([{<*_-")
-        plain = word.rstrip(".,;:!?\"')]}>*_%&$#|-")
-        if plain in NEGATIONS:
-            return NEGATION, 0.0
-        if plain in REPORTS:
-            return REPORT, 0.0
-        if plain in TARGETS:
-            return TARGET, 0.0
-        for n in range(min(len(word), self.longest), 0, -1):
-            s = word[:n]
-            if s in self.weight:
-                return (VERB if s in self.harm else INSULT), self.weight[s]
-        return OTHER, 0.0
-
-
-_LEADING = np.zeros(256, bool)
-_LEADING[np.frombuffer(b"\"'([{<*_-", np.uint8)] = True
+        """Of the word as a whole (with its inner apostrophes), else of the first stem that a run of letters in it begins with,
+        else of the first run that is a word of a closed class."""
+        plain = _EDGES.sub("", word)
+        runs = list(_RUN.finditer(word))
+        for part in (plain, plain.replace("’", "'")):
+            if known := self._closed(part):
+                return known, 0.0
+        for run in runs:
+            for n in range(min(len(word) - run.start(), self.longest), 0, -1):
+                s = word[run.start(): run.start() + n]
+                if s in self.weight:
+                    return (VERB if s in self.harm else INSULT), self.weight[s]
+        return next((known for run in runs if (known := self._closed(run.group()))), OTHER), 0.0
+
+    @staticmethod
+    def _closed(word: str) -> str | None:
+        return NEGATION if word in NEGATIONS else REPORT if word in REPORTS else TARGET if word in TARGETS else None
+
+
+_RUN = re.compile(r"[^\W_]+")
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+
+
+def _run_starts(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Where a run of letters and digits begins, in words that begin at `start`."""
+    inside = _ASCII_LETTER[data]
+    if data.max(initial=0) > 127:
+        text = data.tobytes().decode()
+        inside = inside | (data > 127)
+        # characters beyond ASCII that are neither letters nor digits, by the bytes they take
+        for c in (c for c in set(text) if c > "\x7f" and not c.isalnum()):
+            raw = c.encode()
+            at = np.flatnonzero(data[: len(data) - len(raw) + 1] == raw[0])
+            for k in range(1, len(raw)):
+                at = at[data[at + k] == raw[k]]
+            for k in range(len(raw)):
+                inside[at + k] = False
+    before = np.append(False, inside[:-1])
+    before[start] = False  # the row before may end with a letter
+    return np.flatnonzero(inside & ~before)
+
+
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[c for c in range(128) if chr(c).isalnum()]] = True
 
 
 def text_matches(lexicon: Lexicon, machine: Transducer, batch: pa.RecordBatch):
@@ -174,10 +201,10 @@ def text_matches(lexicon: Lexicon, machine: Transducer, batch: pa.RecordBatch):
         start, end, row = words(data, offsets)
         if not len(start):
             continue
-        first = start.copy()
-        for _ in range(3):
-            first += _LEADING[data[np.minimum(first, len(data) - 1)]] & (first < end - 1)
-        hit = np.flatnonzero(lexicon.hits(prefix_sums(data), first, end))
+        first = _run_starts(data, start)
+        inside = np.searchsorted(start, first, "right") - 1
+        first, inside = first[inside >= 0], inside[inside >= 0]
+        hit = np.unique(inside[lexicon.hits(prefix_sums(data), first, end[inside])])
         if not len(hit):
             continue
         edge = np.searchsorted(row, np.arange(hi - lo + 1))
@@ -256,7 +283,7 @@ def default_model() -> Model:
 def learned_stems(texts: DataFrame, prior: float, max_stems: int = MAX_STEMS) -> dict[str, float]:
     """Stems of `texts` (doc_id, text, toxic) and their log-odds beyond the `prior`; equal texts count once."""
     once = texts.select(F.lower("text").alias("text"), "toxic").dropDuplicates(["text"])
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}'’]{3,}"), F.lit(0)))).alias("word")
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))).alias("word")
     by_word = once.select("toxic", word).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
     stem = F.explode(F.transform(F.array(*[F.lit(n) for n in STEM_LENGTHS]), lambda n: F.substring("word", F.lit(1), n))).alias("stem")
     by_stem = by_word.select(stem, "word", "toxic", "n").distinct().groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))

@@ -101,3 +101,15 @@ def test_held_out_accuracy(spark):
     n = {(r.toxic, r.predicted): r["count"] for r in n}
     assert n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) > 0.95
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.8
+
+
+@pytest.mark.parametrize("word", ["¡idiota!", "«idiot»", "“idiot”", "„Idiot“", "l'idiot", "l’idiot", "you/idiot", "total-idiot", "****idiot", "_idiot_", "—idiot—"])
+def test_stems_begin_at_any_run_of_letters(spark, word):
+    docs = spark.createDataFrame([(1, f"One day he wrote {word} on it."), (2, "xidiot, 9idiot: a fine day"), (3, "idiot")], "doc_id long, text string")
+    got = {r.doc_id: r.n_clauses for r in tx.score_texts(docs, tx.default_model(), F.lit(False)).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
+    assert LEXICON.symbol(word.lower())[0] == tx.INSULT
+
+
+def test_closed_classes_between_marks():
+    assert [LEXICON.symbol(w)[0] for w in ("“you", "don't,", "don’t", "¿tú?", "(said)", "you're", "9idiot")] == [tx.TARGET, tx.NEGATION, tx.NEGATION, tx.TARGET, tx.REPORT, tx.TARGET, tx.OTHER]
