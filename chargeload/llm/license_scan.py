@@ -3,7 +3,7 @@
 A text's canonical form is its lower-case letters and digits: lines that name a copyright
 holder go, everything between words becomes one space, and equivalent spellings become one. The SHA-256
 of that form is looked up among the digests of known licences and notices. Whole texts are looked
-up, and every line and sentence that holds a marker word, so a notice inside a document is found too.
+up, and every line, sentence and run of up to `RUN` paragraphs that holds a marker word, so a notice inside a document is found too.
 
 The known texts are a small table (`MAX_KNOWN` entries at most, checked), broadcast to the scan of the documents; only
 digests are shuffled.
@@ -52,6 +52,35 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
 
+# Digests of canonical full texts (with and without what stands around the terms) and standard headers.
+DIGESTS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "09ad3868555dada25cbf24199409a8c1e39fe8ef08d164adc6e98c1d02767793"),
+    ("Apache-2.0", "7a46cf4a5d56898d746584f4fe57bdf571d600a8f39d21063431d88929f803c7"),
+    ("Apache-2.0", "93651fc3b3c9c21033cf07999bdb593e0138192678d4743ddf7ee126fefab052"),
+    ("Artistic-1.0-Perl", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "b6270c129be9b0e0172ebf4f39b974d927f155b0569e6689a4fd15068977ecdd"),
+    ("GFDL-1.3", "7a546845f0b9175c013adbd275ab046668c2cd62fa85809f866f6d3218d6adcd"),
+    ("GPL-1.0", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-2.0", "3606e919f92e4862a5628788f284c07f5a0ca41b819f88414d7e825dca4facc4"),
+    ("GPL-2.0", "a311bfb80ef013414e08cf2ea0128d424ffe3b22888612edd81cc8f04be43f8d"),
+    ("GPL-2.0", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-3.0", "66237b20dfaa335f5c003a3da64555538643deb65ca015c0d5fa588527312c4e"),
+    ("GPL-3.0", "b1165b3a9c3ac2638585a8adb6e0c10814b7d97627160747134355b2690ff5af"),
+    ("GPL-3.0", "ee0d2b91860148fdc6916d4fbea5723c7b0c7330d7a45ee71fabe123ce7175f8"),
+    ("LGPL-2.0", "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e"),
+    ("LGPL-2.1", "38fd334a43235dc3cc9b4054ff7eda2187759f1748f276e846fe99c0d3225c0f"),
+    ("LGPL-2.1", "3d43f3599cd8306a5e9c7255077f3c826a7543312eda4ecf9d50975abeb8e95f"),
+    ("LGPL-2.1", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("MPL-2.0", "acb0bece3dc447740b87a4db23e0d425157552e4a33f273241a94444c2368900"),
+    ("Unlicense", "7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd"),
+)
+RUN = 8  # paragraphs of a notice at most
+PARAGRAPH_END = r"\n[^\p{L}\p{N}\n]*\n"
+
 
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), f"(?md){COPYRIGHT_LINE}", "")
@@ -67,16 +96,22 @@ def digest(text: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per doc_id of `docs` (doc_id, text): text_digest, license (of the whole text, or null), notices (sorted names
-    found in its lines and sentences, joined by commas). `known` has license_id and text."""
+    found in its lines, sentences and runs of paragraphs, joined by commas). `known` has license_id and text."""
     spark = docs.sparkSession
+    digests = spark.createDataFrame(list(DIGESTS) if known is None else [], "license_id string, digest string")
     known = spark.createDataFrame(list(KNOWN), "license_id string, text string") if known is None else known.select("license_id", "text")
     if known.limit(MAX_KNOWN + 1).count() > MAX_KNOWN:
         raise ValueError(f"more than {MAX_KNOWN} known licences")
-    known = known.select(digest(F.col("text")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    known = known.select(digest(F.col("text")).alias("digest"), "license_id").unionByName(digests).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     whole = texts.select("doc_id", F.lit(True).alias("whole"), digest(F.col("text")).alias("digest"))
     parts = texts.where(F.lower("text").rlike(MARKER)).select("doc_id", F.explode(F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", SENTENCE_END)))).alias("part"))
-    parts = parts.where(F.lower("part").rlike(MARKER)).select("doc_id", F.lit(False).alias("whole"), digest(F.col("part")).alias("digest"))
+    paragraphs = texts.where(F.lower("text").rlike(MARKER)).select("doc_id", F.split("text", PARAGRAPH_END).alias("p"))
+    # runs that begin with a paragraph with a marker word, or with the one before it
+    near = F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: F.lower(F.array_join(F.slice("p", i, F.lit(2)), "\n")).rlike(MARKER))
+    starts = paragraphs.select("doc_id", F.explode(F.transform(near, lambda i: F.slice("p", i, F.lit(RUN)))).alias("p"))
+    runs = starts.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.array_join(F.slice("p", F.lit(1), n), "\n\n"))).alias("part"))
+    parts = parts.unionByName(runs).where(F.lower("part").rlike(MARKER)).select("doc_id", F.lit(False).alias("whole"), digest(F.col("part")).alias("digest"))
     found = whole.unionByName(parts).join(F.broadcast(known), "digest", "left")
     return found.groupBy("doc_id").agg(
         F.min(F.when(F.col("whole"), F.col("digest"))).alias("text_digest"),

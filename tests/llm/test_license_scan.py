@@ -1,5 +1,6 @@
 """Licence scan: canonical forms and odd rows; the whole table is compared with its SQL in test_queries.py."""
 
+import os
 import re
 
 import pytest
@@ -50,3 +51,17 @@ def test_own_table(spark):
     known = spark.createDataFrame([("own", "Our License text.")], "license_id string, text string")
     assert scan(spark, [(1, "our LICENCE text", None, 1)], known=known)[1] == ("own", "own")
     assert F
+
+
+def test_full_texts_and_notices_of_several_paragraphs(spark):
+    if not os.path.exists("/usr/share/common-licenses/GPL-3"):
+        pytest.skip("no licence texts on this machine")
+    with open("/usr/share/common-licenses/GPL-3") as f:
+        gpl = f.read()
+    lines = re.sub(r"(.{60}\S*) ", r"\1\n", MIT.replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE"))
+    inside = f"A readme of some project.\n\nCopyright (c) 2020 Some Body\n\n{lines}\n\nAnd more words follow."
+    rows = [(1, gpl, None, 1), (2, inside, None, 1), (3, "int x;\n/*\n" + "".join(f" * {x}\n" for x in inside.split("\n")) + " */", None, 1), (4, inside.replace("free of charge", "for a fee"), None, 1)]
+    got = scan(spark, rows)
+    assert got[1][0] == "GPL-3.0"
+    assert got[2] == got[3] == (None, "MIT")
+    assert got[4] == (None, "")
