@@ -1,12 +1,11 @@
-"""Near-copy join: word n-gram Jaccard similarity by an LSH forest and exact verification.
+"""Near-copy join: word n-gram Jaccard similarity by MinHash bands and exact verification.
 
 1. Each text becomes the set of its windows of `width` words. Documents with equal sets form
    one class, which travels on as one row.
-2. A class has `trees` labels of `depth` min-hashes. In every tree, classes that share a label's
-   prefix stand together in the sorted trie. The matched prefix starts at the full label and is
-   shortened until the expected recall of a pair at the threshold reaches `recall`.
-3. Classes below one trie node are compared by their whole signatures; pairs whose estimate
-   lies within five standard errors of the threshold link them. Large nodes are compared in pairs of
+2. A class has `trees` labels of `depth` min-hashes. Classes that share the first min-hashes of a label meet. Their number
+   is fixed by the parameters: the longest at which a pair at the threshold meets in some label with probability `recall`.
+3. Classes of one meeting are compared by their whole signatures; pairs whose estimate
+   lies within five standard errors of the threshold link them. Large meetings are compared in pairs of
    blocks, so that no task holds more than two blocks.
 4. Linked classes fetch their texts once, and all pairs of a linked component are verified on their
    exact window sets, again in pairs of blocks. Only counts and a spanning forest leave a task.
