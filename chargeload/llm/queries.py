@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chargeload.config import scratch_path
+
 from . import sql
 from .common import crc32_mod, table
 
@@ -82,8 +84,27 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_epochs(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import draw
+
+    return draw(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op13_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import place
+
+    return place(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "slot-map"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_pitman_yor, op3_int8_search, op4_html_blocks, op5_suffix_dedup, op6_jaccard_join,
     op7_best_fit, op8_toxicity_grammar, op9_quality_rules, op10_source_mixing,
+    op11_ranked_search, op12_resampling, op13_slot_sharding,
 )}
 ORACLES: dict[str, str] = dict(sql.ORACLES)

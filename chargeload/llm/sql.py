@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import license_scan as lic
-from . import mixing
+from . import mixing, ranked_search, resampling
 
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
@@ -151,10 +151,70 @@ WITH items AS (
 SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, unnest(range(whole + CASE WHEN before < left_over THEN 1 ELSE 0 END))::INTEGER AS epoch FROM placed"""
 
 
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[0-9a-z\x{{{{80}}}}-\x{{{{10FFFF}}}}]+')"
+
+RANKED_SEARCH = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, {_TERMS.format('text')} AS words FROM documents
+), s AS (
+  SELECT count(*) FILTER (WHERE len(words) > 0) AS n_docs, sum(len(words))::BIGINT AS n_terms FROM d
+), q AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS.format('text')}) AS term FROM benchmark) GROUP BY ALL
+), p AS (
+  SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s
+), c AS (
+  SELECT p.row_no, p.term, (1000000000 * p.tf) // (1000 * p.tf + 12 * (100 - 25 + (25 * len(d.words) * s.n_docs) // s.n_terms)) AS value FROM p JOIN d USING (row_no), s
+), r AS (
+  SELECT item_id, row_no, sum(times * weight * value)::BIGINT AS score FROM q JOIN w USING (term) JOIN c USING (term) GROUP BY ALL
+), k AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank, doc_id, score FROM r JOIN d USING (row_no) WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= {ranked_search.K}"""
+
+#: crc32 of the bytes of `w`, with the table of the reflected polynomial 0xEDB88320 made from its rule.
+_CRC_TABLE = "SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))"
+_BYTES = "list_transform(range(0, length(hex(encode(w))), 2), lambda k: 16 * (strpos('123456789ABCDEF', hex(encode(w))[k + 1]) )::BIGINT + strpos('123456789ABCDEF', hex(encode(w))[k + 2]))"
+
+RESAMPLING = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, {_TERMS.format('text')} AS words FROM documents
+), b AS (
+  SELECT unnest({_TERMS.format('text')}) AS w FROM benchmark
+), o AS (
+  SELECT row_no, unnest(words) AS w FROM d
+), v AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, x: xor(c >> 8, crc[xor(c & 255, x) + 1])), 4294967295) % {resampling.BUCKETS} AS bucket
+  FROM (SELECT w FROM o UNION SELECT w FROM b), ({_CRC_TABLE})
+), s AS (
+  SELECT bucket, count(*)::DOUBLE AS s FROM o JOIN v USING (w) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*)::DOUBLE AS t FROM b JOIN v USING (w) GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + {resampling.BUCKETS})) / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + {resampling.BUCKETS}))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), x AS (
+  SELECT row_no, sum(gain)::BIGINT AS weight FROM o JOIN v USING (w) JOIN g USING (bucket) GROUP BY row_no
+), y AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((concat('0x', sha256(concat('{resampling.SEED}:', doc_id))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM d LEFT JOIN x USING (row_no)
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= {resampling.LEAST_TERMS} ORDER BY score DESC, doc_id ASC NULLS LAST, n_features) AS place,
+         count(*) FILTER (WHERE n_features >= {resampling.LEAST_TERMS}) OVER () AS n
+  FROM y
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {resampling.LEAST_TERMS} AND place <= {resampling.SHARE[0]} * n // {resampling.SHARE[1]} THEN place END AS rank FROM z"""
+
+
 ORACLES = {
     "op1_license_scan": license_scan(),
     "op3_int8_search": INT8_SEARCH,
     "op5_suffix_dedup": SUFFIX_DEDUP,
     "op6_jaccard_join": JACCARD_JOIN,
     "op10_source_mixing": source_mixing(),
+    "op11_ranked_search": RANKED_SEARCH,
+    "op12_resampling": RESAMPLING,
 }

@@ -29,11 +29,14 @@ COLUMNS = {
     "op6_": ["doc_id", "class_id", "n_links"],
     "op8_": ["doc_id", "held_out", "score", "predicted"],
     "op9_": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+    "op11_": ["item_id", "rank", "doc_id", "score"],
+    "op12_": ["doc_id", "n_features", "weight", "score", "rank"],
+    "op13_": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
 }
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
     assert set(ORACLES) <= set(E.oracle_sql())
 
