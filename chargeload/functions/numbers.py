@@ -21,18 +21,29 @@ def text_or_null(value: Column | str) -> Column:
     return F.when(s != "", s)
 
 
-def hms_minutes(value: Column | str) -> Column:
-    """'h:mm:ss' → h*60 + m, plus one when seconds > 0; 'h:mm' → h*60 + m; else NULL."""
+def _hms_wide(value: Column | str) -> Column:
+    """Minutes of 'h:mm:ss' or 'h:mm' as a decimal wide enough for any bigint parts, else NULL."""
     parts = F.split(F.trim(_col(value)), ":")
     n = F.size(parts)
 
     def part(i: int) -> Column:
-        return F.try_element_at(parts, F.lit(i)).try_cast("int")
+        return F.try_element_at(parts, F.lit(i)).try_cast("bigint").cast("decimal(20,0)")
 
     h, m, s = part(1), part(2), part(3)
-    three = h * 60 + m + F.when(s > 0, 1).otherwise(0)
+    three = h * F.lit(60) + m + F.when(s > 0, F.lit(1)).otherwise(F.lit(0))
     return (F.when((n == 3) & h.isNotNull() & m.isNotNull() & s.isNotNull(), three)
-            .when((n == 2) & h.isNotNull() & m.isNotNull(), h * 60 + m))
+            .when((n == 2) & h.isNotNull() & m.isNotNull(), h * F.lit(60) + m))
+
+
+def hms_minutes(value: Column | str) -> Column:
+    """'h:mm:ss' → h*60 + m, plus one when seconds > 0; 'h:mm' → h*60 + m; else NULL, and
+    NULL too where that is beyond an integer."""
+    return _hms_wide(value).try_cast("int")
+
+
+def hms_overflows(value: Column | str) -> Column:
+    """Is this a duration whose minutes are beyond an integer?"""
+    return F.coalesce(F.abs(_hms_wide(value)) > F.lit(2**31 - 1), F.lit(False))
 
 
 def positive(value: Column | str) -> Column:

@@ -88,12 +88,21 @@ def multi_format_timestamp(text: Column | str) -> Column:
     return F.coalesce(*tries)
 
 
+def _minutes_between(start: Column | str, end: Column | str) -> Column:
+    diff = F.unix_micros(_col(end)) - F.unix_micros(_col(start))
+    return F.call_function("div", F.greatest(F.lit(0).cast("long"), diff), F.lit(MICROS_PER_MINUTE))
+
+
 def duration_minutes(start: Column | str, end: Column | str) -> Column:
-    """Whole minutes from start to end, never negative; NULL when either end is NULL."""
+    """Whole minutes from start to end, never negative; NULL when either end is NULL or the
+    minutes are beyond an integer (more than four thousand years)."""
     start, end = _col(start), _col(end)
-    diff = F.unix_micros(end) - F.unix_micros(start)
-    minutes = F.greatest(F.lit(0), (diff / F.lit(MICROS_PER_MINUTE)).cast("long"))
-    return F.when(start.isNotNull() & end.isNotNull(), minutes.cast("int"))
+    return F.when(start.isNotNull() & end.isNotNull(), _minutes_between(start, end).try_cast("int"))
+
+
+def duration_overflows(start: Column | str, end: Column | str) -> Column:
+    """Are there more minutes from start to end than an integer holds?"""
+    return F.coalesce(_minutes_between(start, end) > F.lit(2**31 - 1), F.lit(False))
 
 
 def micros(ts: Column | str) -> Column:

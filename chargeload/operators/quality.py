@@ -15,6 +15,10 @@ NOT_NEGATIVE = "must be non-negative"
 ORDER = "departure must be after arrival"
 POSITIVE = "must be positive"
 
+# Errors of our own, for what the reader had to mend so that the row could be kept.
+SURPLUS_CELLS = "more cells than the header"
+OUT_OF_RANGE = "out of range"
+
 # Fields checked for negative values, in the order their errors are listed.
 NON_NEGATIVE_FIELDS = ("energy_requested_kwh", "energy_delivered_kwh", "max_charge_rate_kw",
                        "average_charge_rate_kw", "charging_duration_minutes")
@@ -24,6 +28,11 @@ def _err(field: str, message: str) -> Column:
     return F.struct(F.lit(field).alias("field"), F.lit(message).alias("error"))
 
 
+def notes(*found: tuple[Column, str, str]) -> Column:
+    """The ``_notes`` of a normaliser: errors (condition, field, message) that only the raw record shows."""
+    return F.array_compact(F.array(*[F.when(c, _err(f, m)) for c, f, m in found]))
+
+
 def _rules(columns: list[str] | None) -> list[tuple[Column, str, str]]:
     """(condition, field, message) in the order errors are listed. A rule fires when its
     condition is TRUE (NULL does not fire). Absent optional fields never fire."""
@@ -59,14 +68,16 @@ def is_valid_expr(columns: list[str] | None = None) -> Column:
 
 
 def validate(sessions: DataFrame) -> DataFrame:
-    """Set ``is_valid`` and ``validation_errors`` on every row; other columns untouched.
+    """Set ``is_valid`` and ``validation_errors`` on every row; other columns untouched. A normaliser's
+    ``_notes``, if there, come after the rules' errors.
 
     Both are independent projections: a consumer filtering on ``is_valid`` evaluates a
     boolean predicate only, and the error list is pruned away unless it is read."""
     cols = sessions.columns
-    return (sessions
-            .withColumn("validation_errors", error_list(cols))
-            .withColumn("is_valid", is_valid_expr(cols)))
+    errors, ok = error_list(cols), is_valid_expr(cols)
+    if "_notes" in cols:
+        errors, ok = F.concat(errors, F.col("_notes")), ok & (F.size("_notes") == 0)
+    return sessions.withColumn("validation_errors", errors).withColumn("is_valid", ok)
 
 
 def errors_text(errors: Column | str = "validation_errors") -> Column:

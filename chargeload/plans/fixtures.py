@@ -186,3 +186,57 @@ def write_mixed_csv_sessions(spark: SparkSession, sf_dir: str) -> str:
         _write_csv(csv_frame(spark, sf_dir, alias_headers=True).where("bucket > 5"), path)
 
     return once(spark, sf_dir, "mixed-csv-sessions", write)
+
+
+def _quoted(c: Column) -> Column:
+    """A quoted cell; NULL is an empty one."""
+    return F.coalesce(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')), F.lit(""))
+
+
+def address_text(eid: Column) -> Column:
+    """Addresses with quotes, commas, line breaks and empty lines, by event."""
+    k = eid % 4
+    return (F.when(k == 0, F.lit("1 Main St")).when(k == 1, F.lit('Gate "A"\nlevel 2'))
+            .when(k == 2, F.lit("Quay 3, left")).otherwise(F.lit("one\n\n\"two\"")))
+
+
+def _write_csv_lines(rows: DataFrame, headers: Column, path: str) -> None:
+    """Text files by bucket: each with its header, then ``value`` in event order."""
+    ends = rows.select("bucket").distinct().select("bucket", F.lit(-1).cast("bigint").alias("at"), headers.alias("value"))
+    (rows.select("bucket", F.col("event_id").alias("at"), "value").unionByName(ends)
+     .repartition(CSV_BUCKETS, "bucket").sortWithinPartitions("bucket", "at").select("bucket", "value")
+     .write.partitionBy("bucket").text(path))
+
+
+def write_quoted_csv_sessions(spark: SparkSession, sf_dir: str) -> str:
+    """CSV files with quoted stations and addresses, most of them over several lines."""
+    def write(path: str) -> None:
+        e, eid = _events_with_sessions(spark, sf_dir), F.col("event_id")
+        cells = [_quoted(F.col("station_id")), F.coalesce(F.date_format("arrival_ts", "yyyy-MM-dd HH:mm:ss"), F.lit("")),
+                 _quoted(address_text(eid)), eid.cast("string")]
+        rows = e.select("event_id", (eid % CSV_BUCKETS).alias("bucket"), F.concat_ws(",", *cells).alias("value"))
+        _write_csv_lines(rows, F.lit('Station_Name,Start_Date___Time,"Address",Session_Ref'), path)
+
+    return once(spark, sf_dir, "quoted-csv-sessions", write)
+
+
+def write_odd_csv_sessions(spark: SparkSession, sf_dir: str) -> str:
+    """CSV files whose cells go to the limits: ends in the year 9999, hours beyond an integer of minutes, rows
+    with a cell too many or cut off after the start, and headers that differ only in letter case (buckets 3 and 4)."""
+    def write(path: str) -> None:
+        e, eid = _events_with_sessions(spark, sf_dir), F.col("event_id")
+        minutes = ((F.unix_micros("departure_ts") - F.unix_micros(F.col("ts").cast("timestamp"))) / 60_000_000).cast("long")
+        text = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+        twins = (eid % CSV_BUCKETS).between(3, 4)
+        start = F.concat(F.coalesce("station_id", F.lit("")), F.lit(","), text("arrival_ts"), F.when(twins, F.lit(",twin")).otherwise(F.lit("")))
+        rest = F.concat_ws(
+            ",", F.when(eid % 29 == 0, F.lit("9999-12-31 00:00:00")).otherwise(text("departure_ts")),
+            F.coalesce(F.when(eid % 13 == 0, F.lit("n/a")).otherwise(F.col("energy_delivered_kwh").cast("string")), F.lit("")),
+            F.when(eid % 31 == 0, F.lit("40000000:00:00")).otherwise(charging_time_text(minutes, eid)),
+            F.when(eid % 37 == 0, F.lit("surplus")))
+        rows = e.select("event_id", (eid % CSV_BUCKETS).alias("bucket"), F.when(eid % 41 == 0, start).otherwise(F.concat(start, F.lit(","), rest)).alias("value"))
+        names = "End_Date___Time,Total_kWh,Charging_Time__hh_mm_ss_"
+        _write_csv_lines(rows, F.when(F.col("bucket").between(3, 4), F.lit(f"Station_Name,Start_Date___Time,start_date___time,{names}"))
+                         .otherwise(F.lit(f"Station_Name,Start_Date___Time,{names}")), path)
+
+    return once(spark, sf_dir, "odd-csv-sessions", write)

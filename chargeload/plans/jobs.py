@@ -48,18 +48,24 @@ def recorded_ingest(spark: SparkSession, source: SessionSource, path: str | list
         row["records_inserted"] = store.insert_new_sessions(spark, source.load(spark, path), root, datasets=datasets,
                                                             stats=stats)
     except Exception as exc:
-        row |= {"status": "failed", "notes": str(exc), "completed_at": _now()}
+        row |= _counted(stats) | {"status": "failed", "notes": str(exc), "completed_at": _now()}
         try:
             store.append_ingest_run(spark, root, row)
         except Exception as ledger:  # noqa: BLE001 - the ingest's own error comes first
             exc.add_note(f"the ledger row could not be written either: {ledger}")
         raise
-    row |= {"records_seen": stats.get("records_seen", 0), "records_invalid": stats.get("records_invalid", 0),
-            "status": "completed", "completed_at": _now()}
+    row |= _counted(stats) | {"status": "completed", "completed_at": _now()}
+    if stats.get("records_surplus"):
+        row["notes"] = f"{stats['records_surplus']} records with more cells than their header, kept as invalid"
     store.append_ingest_run(spark, root, row)
     return row
 
 
+def _counted(stats: dict) -> dict:
+    """What was counted, also by a run that failed after its batch was staged."""
+    return {c: stats.get(c, 0) for c in ("records_seen", "records_invalid")}
+
+
 def analyze(spark: SparkSession, root: str, dataset: str, policy: str = "immediate_charge",
             interval_minutes: int = 5, scenario_name: str = "default", seed: int = DEFAULT_SEED,
             strategy: str = "auto") -> str:

@@ -259,6 +259,30 @@ cv AS (SELECT *, {valid_expr()} AS is_valid, {errors_expr()} AS errors FROM cn)
 """
 
 
+# Expected canonical rows of the CSV files whose cells go to the limits (chargeload.plans.fixtures.write_odd_csv_sessions).
+ODD_CTE = f"""
+ox AS (
+  SELECT r.*, event_id % 41 = 0 AS short, event_id % 37 = 0 AND event_id % 41 <> 0 AS surplus, {charging_text()} AS ch_text,
+         date_trunc('second', arrival_ts) AS a,
+         CASE WHEN event_id % 41 = 0 THEN NULL WHEN event_id % 29 = 0 THEN TIMESTAMP '9999-12-31 00:00:00' ELSE date_trunc('second', departure_ts) END AS d,
+         row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) - 1 AS row_ord
+  FROM raw r),
+op AS (SELECT *, greatest(0, (epoch_us(d) - epoch_us(a)) // 60000000) AS wide, {hms_parts('ch_text')} FROM ox),
+oq AS (
+  SELECT concat('urbanev-b', CAST(event_id % 8 AS VARCHAR), '-', CAST(row_ord AS VARCHAR)) AS session_id, station_id, a AS arrival_ts, d AS departure_ts,
+         CAST(NULL AS DOUBLE) AS energy_requested_kwh, CAST(NULL AS DOUBLE) AS max_charge_rate_kw,
+         CASE WHEN short OR event_id % 13 = 0 THEN NULL ELSE energy_delivered_kwh END AS energy_delivered_kwh,
+         CASE WHEN short OR event_id % 31 = 0 THEN NULL ELSE {HMS_MINUTES} END AS charging_duration_minutes,
+         CAST(CASE WHEN coalesce(wide, 0) > 2147483647 THEN 0 ELSE coalesce(wide, 0) END AS INTEGER) AS session_duration_minutes,
+         concat_ws('|', CASE WHEN surplus THEN 'raw_payload:more cells than the header' END,
+                   CASE WHEN wide > 2147483647 THEN 'session_duration_minutes:out of range' END,
+                   CASE WHEN event_id % 31 = 0 AND NOT short THEN 'charging_duration_minutes:out of range' END) AS notes,
+         surplus
+  FROM op),
+ov AS (SELECT *, concat_ws('|', nullif({errors_expr()}, ''), nullif(notes, '')) AS errors FROM oq)
+"""
+
+
 def with_files(body: str, *ctes: str) -> str:
     extra = ", ".join(c.strip() for c in ctes)
     return f"WITH {SESSIONS_CTE}, {extra} {body}"

@@ -226,6 +226,37 @@ def q_read_csv_mixed_headers(spark, sf_dir):
     return _csv_rows(spark, fixtures.write_mixed_csv_sessions(spark, sf_dir))
 
 
+@query("read_csv_quoted", O.with_files("""
+SELECT CAST(event_id % 8 AS INTEGER) AS bucket, event_id, row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) - 1 AS _row, station_id AS Station_Name,
+  CASE event_id % 4 WHEN 0 THEN '1 Main St' WHEN 1 THEN concat('Gate "A"', chr(10), 'level 2') WHEN 2 THEN 'Quay 3, left'
+    ELSE concat('one', chr(10), chr(10), '"two"') END AS Address
+FROM checked"""))
+def q_read_csv_quoted(spark, sf_dir):
+    recs = read_csv_records(spark, fixtures.write_quoted_csv_sessions(spark, sf_dir))
+    return recs.select("bucket", F.col("Session_Ref").cast("long").alias("event_id"), "_row", "Station_Name", "Address")
+
+
+@query("ingest_odd_values", O.with_files("""
+SELECT session_id, station_id, arrival_ts, strftime(departure_ts, '%Y-%m-%d %H:%M:%S') AS departure, energy_delivered_kwh, session_duration_minutes,
+  CAST(charging_duration_minutes AS DOUBLE) AS charging_minutes, errors = '' AS is_valid, errors,
+  (SELECT count(*) FROM ov) AS records_seen, (SELECT count(*) FILTER (WHERE errors <> '') FROM ov) AS records_invalid,
+  (SELECT concat(CAST(count(*) FILTER (WHERE surplus) AS VARCHAR), ' records with more cells than their header, kept as invalid') FROM ov) AS notes
+FROM ov""", O.ODD_CTE))
+def q_ingest_odd_values(spark, sf_dir):
+    root = scratch_path(spark, "store")
+    path = fixtures.write_odd_csv_sessions(spark, sf_dir)
+    row = ingest(spark, "urbanev", path, root)
+    stored = _charging(store.read_sessions(spark, root, "urbanev"))
+    digests = read_csv_records(spark, path).select("_file").distinct()
+    digests = digests.select(F.md5("_file").alias("digest"), F.regexp_extract("_file", r"bucket=(\d+)", 1).alias("b"))
+    stored = stored.withColumn("digest", F.regexp_extract("session_id", "^urbanev-([0-9a-f]{32})-", 1)).join(digests, "digest")
+    return stored.select(
+        F.concat(F.lit("urbanev-b"), "b", F.regexp_extract("session_id", "(-[0-9]+)$", 1)).alias("session_id"), "station_id", "arrival_ts",
+        F.date_format("departure_ts", "yyyy-MM-dd HH:mm:ss").alias("departure"), "energy_delivered_kwh", "session_duration_minutes", "charging_minutes",
+        "is_valid", "errors", F.lit(row["records_seen"]).cast("long").alias("records_seen"),
+        F.lit(row["records_invalid"]).cast("long").alias("records_invalid"), F.lit(row["notes"]).alias("notes"))
+
+
 @query("ingest_csv", O.with_files("""
 SELECT concat('urbanev-b', CAST(bucket AS VARCHAR), '-', source_record_id) AS session_id, is_valid, energy_delivered_kwh,
        (SELECT count(*) FROM cv) AS records_seen, (SELECT count(*) FROM cv) AS records_inserted

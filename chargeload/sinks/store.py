@@ -4,23 +4,31 @@
 Layout (all under one root the caller chooses, typically a shared folder):
 
 * ``sessions/``  SESSION rows, partitioned by ``source_dataset``; ``session_id`` unique
+* ``session_ids/`` (session_id, source_dataset), partitioned by ``bucket``, a hash of the id:
+  an insert reads the buckets its ids fall into, a lookup opens one
 * ``ingest_runs/`` one INGEST_RUN row per finished ingest
 * ``runs/``      one RUN row per analysis
 * ``loads/``     LOAD rows, partitioned by ``run_id``
 
-Single-writer: two concurrent ingests into one store may both insert the same new id
-(there is no unique index to arbitrate); run ingests for one store one at a time, or
-read with ``dedupe=True`` (earliest ``created_at`` wins).
+Any number of ingests may run at once: each stages its batch on its own, and holds the store's
+write lock (see ``guard``) only while it compares ids and appends. ``dedupe=True`` on a read is
+for rows that something else than :func:`insert_new_sessions` appended.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from chargeload.operators.quality import SURPLUS_CELLS
 from chargeload.schemas import ANALYSIS_COLUMNS, INGEST_RUN, LOAD, RUN, SESSION_COLUMNS, STORED_SESSION
+from chargeload.sinks.guard import writing
+
+#: Buckets of the id index: folders of about equal size, whatever the ids look like.
+ID_BUCKETS = 64
+_ID = "session_id string, source_dataset string, bucket int"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -66,23 +74,45 @@ def read_sessions(spark: SparkSession, root: str, dataset: str | None = None,
     return df.select(*(columns or SESSION_COLUMNS))
 
 
-def _first_per_session(incoming: DataFrame, order_cols: list[str]) -> DataFrame:
-    cols = [c for c in SESSION_COLUMNS if c != "session_id"]
-    order = F.struct(*[F.col(c) for c in order_cols]) if order_cols else F.lit(0)
-    return incoming.groupBy("session_id").agg(
-        F.min_by(F.struct(*cols), order).alias("_r"),
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(~F.col("is_valid")).alias("_bad"),
-    )
+def id_bucket(session_id) -> Column:
+    return F.pmod(F.xxhash64(session_id), F.lit(ID_BUCKETS)).cast("int")
+
+
+def _ids_dir(root: str) -> str:
+    return f"{root.rstrip('/')}/session_ids"
+
+
+def stored_ids(spark: SparkSession, root: str, buckets: list[int] | None = None, datasets: list[str] | None = None) -> DataFrame:
+    """The id index; ``buckets`` prunes its folders."""
+    if not path_exists(spark, _ids_dir(root)):
+        return spark.createDataFrame([], _ID)
+    df = spark.read.schema(_ID).parquet(_ids_dir(root))
+    if buckets is not None:
+        df = df.where(F.col("bucket").isin(buckets))
+    return df.where(F.col("source_dataset").isin(list(datasets))) if datasets else df
 
 
-def first_per_session(incoming: DataFrame, order_cols: list[str]) -> DataFrame:
-    """One row per session_id: the first in ``order_cols`` order (first writer wins).
+def _append_ids(ids: DataFrame, root: str) -> None:
+    (ids.select("session_id", "source_dataset", id_bucket(F.col("session_id")).alias("bucket"))
+     .repartition(ID_BUCKETS, "bucket").sortWithinPartitions("bucket", "session_id")
+     .write.mode("append").option("parquet.bloom.filter.enabled#session_id", "true").partitionBy("bucket").parquet(_ids_dir(root)))
 
-    An aggregation with partial (map-side) aggregation, so a session_id repeated
-    millions of times is collapsed before the shuffle instead of landing whole in one
-    task."""
-    return _first_per_session(incoming, order_cols).select("session_id", "_r.*").select(*SESSION_COLUMNS)
+
+def _mend_index(spark: SparkSession, root: str) -> None:
+    """Under the write lock: index what a writer that died had appended but not indexed, and a
+    store that has no index yet. Only such a store costs a scan of its ids."""
+    if not path_exists(spark, _sessions_dir(root)):
+        return
+    if not path_exists(spark, _ids_dir(root)):
+        _append_ids(_read_store(spark, _sessions_dir(root)).select("session_id", "source_dataset"), root)
+    for folder in _folders(spark, f"{root.rstrip('/')}/_staging"):
+        if not path_exists(spark, f"{folder}/new_ids/_SUCCESS"):      # staging, or died before it appended anything
+            continue
+        left = spark.read.schema("session_id string, source_dataset string").parquet(f"{folder}/new_ids")
+        stored = _read_store(spark, _sessions_dir(root)).select("session_id", "source_dataset")
+        both = left.join(stored, ["session_id", "source_dataset"], "left_semi").dropDuplicates()
+        _append_ids(both.join(stored_ids(spark, root), "session_id", "left_anti"), root)
+        _drop_folder(spark, folder)
 
 
 def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
@@ -91,59 +121,81 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
     """Insert sessions whose id is not stored yet; return how many were inserted.
 
     ``incoming`` holds SESSION columns (+ the ``order_cols`` deciding the first of
-    duplicate ids). The batch is deduplicated and staged once in the shared folder (a
-    lineage cut that survives executor loss), then anti-joined against stored ids and
-    appended in one write job. ``datasets`` restricts the id check to those store
-    partitions (valid when ids carry their dataset prefix, as every built-in source's do).
-
-    ``stats`` (if given) receives ``records_seen`` / ``records_invalid`` of the raw batch:
-    per-id counts are carried through the dedupe and summed in the staging write's final
-    stage, so a stage re-run after an executor loss cannot count a row twice.
+    duplicate ids). The batch is written once to the store's staging folder (a lineage cut that
+    survives executor loss). All decisions are taken on its ids and places alone: the first row of
+    each id, and the ids that the index already has, from the buckets that the batch falls into.
+    The rows that lose (or, where they are fewer, the rows that win) then meet the staged rows, which
+    Spark does without a shuffle of the rows wherever those few are small. ``datasets``
+    restricts the id check to those datasets (valid when ids carry their dataset prefix, as every
+    built-in source's do).
+
+    Two writers of one id: the ids are compared and appended under the store's write lock, so the
+    second one finds the first one's.
+
+    ``stats`` (if given) receives ``records_seen``, ``records_invalid`` and ``records_surplus`` (rows
+    with more cells than their header) of the raw batch, counted as it is staged: the write's only stage
+    is its result stage, so no row is counted twice.
     """
     if order_cols is None:
         order_cols = [c for c in ("_file", "_block", "_row") if c in incoming.columns]
-    stage = f"{root.rstrip('/')}/_staging/sessions-{uuid.uuid4().hex[:12]}"
-    staged_df = _first_per_session(incoming, order_cols).select("session_id", "_r.*", "_n", "_bad")
-    # Counted while staged: the observation sits in the final (result) stage of the write,
-    # after the dedupe shuffle, so a task or stage re-run cannot count a row twice.
+    folder = f"{root.rstrip('/')}/_staging/sessions-{uuid.uuid4().hex[:12]}"
     counts = Observation(f"staged-{uuid.uuid4().hex[:12]}")
-    (staged_df.observe(counts, F.count(F.lit(1)).alias("ids"), F.coalesce(F.sum("_n"), F.lit(0)).alias("seen"),
-                       F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
-     .write.parquet(stage))
+    surplus = F.exists("validation_errors", lambda e: e["error"] == SURPLUS_CELLS)
+    whole = incoming.select(*SESSION_COLUMNS, F.struct(*[F.col(c) for c in order_cols] or [F.lit(0)]).alias("_place"))
+    whole = whole.withColumn("_n", F.monotonically_increasing_id())       # tells rows of one place apart
+    (whole.observe(counts, F.count(F.lit(1)).alias("seen"), F.count_if(~F.col("is_valid")).alias("bad"),
+                   F.count_if(surplus).alias("surplus"))
+     .write.parquet(f"{folder}/rows"))
     c = counts.get
-    staged_all = spark.read.schema(staged_df.schema).parquet(stage)     # schema given: empty batch is fine
     if stats is not None:
-        stats["records_seen"], stats["records_invalid"] = int(c.get("seen", 0)), int(c.get("bad", 0))
-    staged = staged_all.select(*SESSION_COLUMNS)
-    if int(c.get("ids", 0)) == 0:
-        _drop_folder(spark, stage)
+        stats |= {"records_seen": int(c.get("seen", 0)), "records_invalid": int(c.get("bad", 0)),
+                  "records_surplus": int(c.get("surplus", 0))}
+    if int(c.get("seen", 0)) == 0:
+        _drop_folder(spark, folder)
         return 0
-    batch_ids = staged.select("session_id")
-
-    target = _sessions_dir(root)
-    if path_exists(spark, target):
-        stored = _read_store(spark, target)
-        if datasets:
-            stored = stored.where(F.col("source_dataset").isin(list(datasets)))
-        # Semi-join first: the stored id column meets the batch's ids (Spark broadcasts them
-        # where the staged files prove them small, and then the store is never shuffled),
-        # and only the few matches meet the batch again in the anti join.
-        existing = stored.select("session_id").join(batch_ids, "session_id", "left_semi")
-        new = staged.join(existing, "session_id", "left_anti")
-    else:
-        new = staged
-    new = new.withColumn("created_at", F.current_timestamp()).withColumn("updated_at", F.col("created_at"))
-    # Observed in the final (result) stage of the write: applied once per task.
-    inserted = Observation(f"inserted-{uuid.uuid4().hex[:12]}")
-    (new.observe(inserted, F.count(F.lit(1)).alias("n"))
-        .sortWithinPartitions("source_dataset", "session_id")       # row groups with narrow id ranges
-        .write.mode("append").option("parquet.bloom.filter.enabled#session_id", "true")
-        .partitionBy("source_dataset").parquet(target))
-    n = int(inserted.get.get("n", 0))
-    _drop_folder(spark, stage)
+    rows = spark.read.schema(whole.schema).parquet(f"{folder}/rows")
+    place = F.struct("_place", "_n")
+    # partial aggregation: an id that stands there a million times is collapsed before the shuffle
+    first = rows.groupBy("session_id").agg(F.min(place).alias("_p"), F.min_by("source_dataset", place).alias("source_dataset"))
+    first = first.select("session_id", "source_dataset", F.col("_p._n").alias("_n"), id_bucket(F.col("session_id")).alias("bucket"))
+    first.write.parquet(f"{folder}/first")
+    first = spark.read.schema(first.schema).parquet(f"{folder}/first")
+    per_bucket = {r["bucket"]: r["count"] for r in first.groupBy("bucket").count().collect()}     # ID_BUCKETS rows at most
+    ids = sum(per_bucket.values())
+    with writing(spark, root):
+        _mend_index(spark, root)
+        known = stored_ids(spark, root, sorted(per_bucket), datasets).select("session_id")
+        # Semi-join first: the stored ids meet the batch's (broadcast where the staged files prove them
+        # small), and only the few matches meet the batch again.
+        known = known.join(first.select("session_id"), "session_id", "left_semi")
+        new = first.join(known, "session_id", "left_anti").select("session_id", "source_dataset", "_n")
+        new.write.parquet(f"{folder}/winners")
+        new = spark.read.schema(new.schema).parquet(f"{folder}/winners")
+        n = new.count()
+        if n:
+            new.select("session_id", "source_dataset").write.parquet(f"{folder}/new_ids")     # what a crash from here on leaves behind
+            if 2 * n >= int(c["seen"]):
+                lost = rows.select("_n").join(new.select("_n"), "_n", "left_anti") if n < int(c["seen"]) else None
+                kept = rows if lost is None else rows.join(lost, "_n", "left_anti")
+            else:
+                kept = rows.join(new.select("_n"), "_n", "left_semi")
+            now = F.current_timestamp()
+            (kept.select(*SESSION_COLUMNS, now.alias("created_at"), now.alias("updated_at"))
+             .sortWithinPartitions("source_dataset", "session_id")       # row groups with narrow id ranges
+             .write.mode("append").option("parquet.bloom.filter.enabled#session_id", "true")
+             .partitionBy("source_dataset").parquet(_sessions_dir(root)))
+            _append_ids(new, root)
+        _drop_folder(spark, folder)
     return n
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder; none if it is not there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    return [s.getPath().toString() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def _drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a staging folder of this job (a unique name below the store's root)."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
@@ -156,8 +208,11 @@ def sessions_by_dataset(spark: SparkSession, root: str, dataset: str) -> DataFra
 
 
 def session_lookup(spark: SparkSession, root: str, session_id: str, dataset: str | None = None) -> DataFrame:
-    """The session of one id. The id reaches the scan, where bloom filters and the files' id
-    order skip most row groups; ``dataset``, if known, prunes the other partitions."""
+    """The session of one id. Without ``dataset``, one bucket of the id index tells it; the id then reaches
+    the scan of that dataset, where bloom filters and the files' id order skip most row groups."""
+    if dataset is None:
+        found = stored_ids(spark, root).where((F.col("bucket") == id_bucket(F.lit(session_id))) & (F.col("session_id") == session_id))
+        dataset = next((r["source_dataset"] for r in found.select("source_dataset").limit(1).collect()), None)
     return read_sessions(spark, root, dataset).where(F.col("session_id") == session_id)
 
 

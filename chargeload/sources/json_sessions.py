@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chargeload.functions.numbers import safe_double
-from chargeload.functions.timestamps import duration_minutes, iso_timestamp, known_zone, record_zone
+from chargeload.functions.timestamps import duration_minutes, duration_overflows, iso_timestamp, known_zone, record_zone
+from chargeload.operators.quality import OUT_OF_RANGE, notes
 
 DATASET = "acn"
 
@@ -83,4 +84,6 @@ def normalize_json_sessions(records: DataFrame, dataset: str = DATASET) -> DataF
             .withColumn("session_duration_minutes",
                         F.coalesce(duration_minutes("arrival_ts", "departure_ts"), F.lit(0)))
             .withColumn("charging_duration_minutes", duration_minutes("arrival_ts", "_done"))
+            .withColumn("_notes", notes((duration_overflows("arrival_ts", "departure_ts"), "session_duration_minutes", OUT_OF_RANGE),
+                                        (duration_overflows("arrival_ts", "_done"), "charging_duration_minutes", OUT_OF_RANGE)))
             .drop("_done"))

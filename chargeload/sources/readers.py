@@ -3,7 +3,7 @@
 * JSON: newline-delimited (splittable) or one JSON array per file. Each record is read
   as one VARIANT value, so no schema is inferred, keys may differ per record, and every
   field survives into ``raw_payload``.
-* CSV: header row, every column read as text (no inference, no date parsing).
+* CSV: header row, every cell read as text (see ``csv_lines``).
 
 A folder may mix layouts and headers: each file is read by its own. All add ``_file`` and an
 order within the file (JSON: ``_block`` and ``_row``, CSV: ``_row``, the 0-based record
@@ -17,16 +17,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chargeload.sources.files import first_characters, first_lines, input_files, is_single_file, scan
-from chargeload.sources.ordinal import with_row_ordinal
+from chargeload.sources.csv_lines import read_csv_cells, read_csv_records
+from chargeload.sources.files import array_files, scan, sniff_json_layouts
 
 JSON_LAYOUTS = ("auto", "lines", "array")
 
-
-def sniff_json_layouts(spark: SparkSession, path: str | list[str]) -> dict[str, str]:
-    """{file: 'array' or 'lines'}: 'array' where the first non-blank character is '['."""
-    starts = first_characters(spark, input_files(spark, path))
-    return {f: "array" if c == "[" else "lines" for f, c in starts.items()}
+__all__ = ["JSON_LAYOUTS", "read_csv_cells", "read_csv_records", "read_json_records", "sniff_json_layouts"]
 
 
 def read_json_records(spark: SparkSession, path: str | list[str], layout: str = "auto",
@@ -41,19 +37,22 @@ def read_json_records(spark: SparkSession, path: str | list[str], layout: str =
         raise ValueError(f"layout must be one of {JSON_LAYOUTS}")
     if on_malformed not in ("fail", "skip"):
         raise ValueError("on_malformed must be 'fail' or 'skip'")
-    groups = {layout: path}
-    if layout == "auto":
-        found = sniff_json_layouts(spark, path)
-        groups = {k: [f for f, v in found.items() if v == k] for k in ("lines", "array")}
-        groups = {k: files for k, files in groups.items() if files}
-        if len(groups) < 2:
-            groups = {next(iter(groups), "lines"): path}
-    read = {"lines": _json_lines, "array": _json_arrays}
-    return reduce(DataFrame.unionByName, [read[k](spark, p, on_malformed) for k, p in groups.items()])
-
-
-def _json_lines(spark: SparkSession, path: str | list[str], on_malformed: str) -> DataFrame:
-    lines = scan(spark.read.format("text"), path).select(
+    frames = []
+    arrays, others = array_files(spark, path) if layout == "auto" else ([], layout == "lines")
+    if layout == "array" or (arrays and not others):
+        frames.append(_json_arrays(spark, path, on_malformed))
+    elif arrays:
+        frames.append(_json_arrays(spark, arrays, on_malformed))
+    if others:
+        frames.append(_json_lines(spark, path, on_malformed, arrays))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _json_lines(spark: SparkSession, path: str | list[str], on_malformed: str, but: list[str]) -> DataFrame:
+    lines = scan(spark.read.format("text"), path)
+    if but:         # the names reach the file listing: those files are not read
+        lines = lines.where(~F.col("_metadata.file_path").isin(but))
+    lines = lines.select(
         F.regexp_replace("value", "^﻿", "").alias("value"),        # byte-order mark
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"))
@@ -85,40 +84,3 @@ def _objects(value: Column, ok: Column, on_malformed: str, message: str) -> Colu
     if on_malformed == "skip":
         return F.when(ok, value)
     return F.when(value.isNull() | ok, value).otherwise(F.raise_error(F.lit(message)))
-
-
-def read_csv_groups(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> list[DataFrame]:
-    """Header CSV, all columns as text, plus ``_file``, ``_row`` and ``_many`` (is the input
-    more than one file by name?): one frame per distinct header line, each file under its own.
-
-    ``multi_line=True`` accepts quoted fields that contain line breaks (each file is then
-    read by one task, as such files cannot be split)."""
-    files = input_files(spark, path)
-    by_header: dict[str, list[str]] = {}
-    for f, line in first_lines(spark, files).items():
-        if line:
-            by_header.setdefault(line, []).append(f)
-    many = F.lit(not is_single_file(files, path))
-    groups: list[str | list[str]] = [path] if len(by_header) < 2 else list(by_header.values())
-    out = []
-    for group in groups:
-        reader = (spark.read.format("csv").option("header", True).option("inferSchema", False)
-                  .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("enforceSchema", False))
-        if group is not path and isinstance(path, str) and not any(c in path for c in "*?[{"):
-            reader = reader.option("basePath", path)        # keeps partition columns
-        out.append(with_row_ordinal(strip_bom_columns(scan(reader, group))).withColumn("_many", many))
-    return out
-
-
-def read_csv_records(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
-    """All rows of :func:`read_csv_groups` in one frame; a column that a file lacks is NULL there."""
-    frames = read_csv_groups(spark, path, multi_line)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).drop("_many")
-
-
-def strip_bom_columns(df: DataFrame) -> DataFrame:
-    """A UTF-8 byte-order mark stays glued to the first CSV header name; drop it so the
-    header aliases still match."""
-    for c in [c for c in df.columns if c.startswith("﻿")]:
-        df = df.withColumnRenamed(c, c.lstrip("﻿"))
-    return df

@@ -63,7 +63,7 @@ def check_contract(df: DataFrame) -> None:
 _REGISTRY: dict[str, SessionSource] = {
     "acn": SessionSource("acn", lambda spark, path: readers.read_json_records(spark, path),
                          lambda df: json_sessions.normalize_json_sessions(df, "acn"), prefixed=True),
-    "urbanev": SessionSource("urbanev", readers.read_csv_groups,
+    "urbanev": SessionSource("urbanev", readers.read_csv_cells,
                              lambda df: csv_sessions.normalize_csv_sessions(df, "urbanev"), prefixed=True),
 }
 
