@@ -55,10 +55,17 @@ def positive(value: Column | str) -> Column:
 
 SNAP_SCALE = 9      # decimals kept before rounding to fewer
 
-# Exact sums: values below EXACT_LIMIT are added as decimals (18 digits after the point, so
-# 10^11 of them cannot overflow), the rest (huge, infinite, NaN) as doubles.
+# Exact sums: a value is rounded once, to the decimals of its bin, and bins are added up as decimals, so a sum
+# does not depend on the order or grouping of the rows. Bin 0 holds values below EXACT_LIMIT (18 digits after
+# the point, 10^11 of them cannot overflow); each further bin holds the next nine decades, first scaled by an exact
+# power of two to about the range of bin 1, with 9 digits after the point (finer than a double there).
+# What is beyond the last bin (10^36), infinite or NaN is added as doubles.
 EXACT = "decimal(37,18)"      # so that the difference of two still has 18 digits
 EXACT_LIMIT = 1e9
+BIN = "decimal(38,9)"
+BIN_DECADES = 9
+BINS = 3                      # after bin 0: up to 10^18, 10^27 and 10^36
+SUM_PARTS = ("exact", *[f"bin{k}" for k in range(1, BINS + 1)], "other")
 
 
 def is_exact(value: Column | str) -> Column:
@@ -72,15 +79,55 @@ def exact_part(value: Column | str) -> Column:
     return F.when(is_exact(c), c.try_cast(EXACT)).otherwise(F.lit(0).cast(EXACT))
 
 
+def _bin_floor(k: int) -> float:
+    return float(10 ** (BIN_DECADES * k))
+
+
+def _bin_scale(k: int) -> float:
+    return 2.0 ** (30 * (k - 1))       # 2^30 is about nine decades
+
+
+def _binned(value: Column | str, k: int) -> Column:
+    """The value in bin ``k``, scaled; NULL (which sums skip) outside of it."""
+    c = _col(value)
+    inside = (F.abs(c) >= F.lit(_bin_floor(k))) & (F.abs(c) < F.lit(_bin_floor(k + 1)))
+    return F.when(inside, (c * F.lit(1.0 / _bin_scale(k))).try_cast(BIN))
+
+
 def other_part(value: Column | str) -> Column:
-    """The value where it is beyond the exact range, else 0."""
+    """The value where it is beyond all bins, infinite or NaN, else 0."""
     c = _col(value)
-    return F.when(c.isNotNull() & ~is_exact(c), c).otherwise(F.lit(0.0))
+    return F.when(c.isNotNull() & ~F.coalesce(F.abs(c) < F.lit(_bin_floor(BINS + 1)), F.lit(False)), c).otherwise(F.lit(0.0))
+
+
+def sum_parts(value: Column | str, prefix: str) -> list[Column]:
+    """Aggregates ``<prefix>_<part>`` that add up a value exactly; sums of them go on adding (``merged_parts``)."""
+    bins = [F.sum(_binned(value, k)).alias(f"{prefix}_bin{k}") for k in range(1, BINS + 1)]
+    return [F.sum(exact_part(value)).alias(f"{prefix}_exact"), *bins, F.sum(other_part(value)).alias(f"{prefix}_other")]
+
+
+def merged_parts(prefix: str) -> list[Column]:
+    return [F.sum(f"{prefix}_{p}").alias(f"{prefix}_{p}") for p in SUM_PARTS]
+
+
+def _total(exact: Column, bins: list[Column], other: Column) -> Column:
+    large = F.lit(0.0)
+    for k in range(BINS, 0, -1):        # largest first; always the same additions
+        large = large + F.coalesce(bins[k - 1].cast("double"), F.lit(0.0)) * F.lit(_bin_scale(k))
+    return large + exact.cast("double") + other
+
+
+def parts_total(prefix: str) -> Column:
+    """The sum that the parts make, as a double."""
+    return _total(F.col(f"{prefix}_exact"), [F.col(f"{prefix}_bin{k}") for k in range(1, BINS + 1)], F.col(f"{prefix}_other"))
 
 
-def exact_sum(value: Column | str) -> Column:
-    """Sum that neither depends on the order of the rows nor fails on huge values."""
-    return F.sum(exact_part(value)).cast("double") + F.sum(other_part(value))
+def exact_sum(value: Column | str, where: Column | None = None) -> Column:
+    """Sum that neither depends on the order of the rows nor fails on huge values; NULL without any row (``where``: of those it holds for)."""
+    exact, other = exact_part(value), other_part(value)
+    if where is not None:       # rows outside are skipped, not added as zeros
+        exact, other = F.when(where, exact), F.when(where, other)
+    return _total(F.sum(exact), [F.sum(_binned(value, k)) for k in range(1, BINS + 1)], F.sum(other))
 
 
 def round_half_up(value: Column | str, digits: int) -> Column:

@@ -15,8 +15,8 @@ group's window holds at most one row per grid step whatever the data volume, so
 station does not concentrate the raw data in one task.
 
 Sessions whose energies are beyond the exact range (huge, infinite) have no exact deltas;
-they are expanded step by step and added as doubles. Results equal the explode path
-(``LoadProfile.steps()`` + ``curves``) bit for bit within the exact range.
+they are expanded step by step and added in the bins of ``functions.numbers``. Results equal the explode path
+(``LoadProfile.steps()`` + ``curves``) bit for bit up to 10^36.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chargeload.functions.numbers import exact_part, is_exact, other_part
-from chargeload.config import parallelism
+from chargeload.functions.numbers import BIN, SUM_PARTS, exact_part, is_exact, merged_parts, parts_total, sum_parts
 from chargeload.operators.grid import _chunked_range, interval_hours, interval_micros
 from chargeload.operators.profile import LoadProfile
 from chargeload.operators.rows import attach_row
 
+#: Stretches of equal load longer than this are cut and dealt out before they are expanded.
+LONG_STRETCH = 4096
 
 
 def change_events(profile: LoadProfile) -> DataFrame:
@@ -46,8 +47,6 @@ def change_events(profile: LoadProfile) -> DataFrame:
     flat = profile.policy.flat_rate
 
     live = profile.phased().where(F.col("k1") >= F.col("k0")).where(in_exact_range())
-    if profile.spread:          # narrow input: spread sessions over the cores first
-        live = live.repartition(profile.spread, "session_id")
     s = live.select("station_id", "k0", "k1", (F.col("k0") + F.col("_a")).alias("a"), F.col("_full").alias("full"),
                     F.col("_rem").alias("rem"), F.col("_q").alias("q"), F.col("_span").alias("span"),
                     F.col("_flat").alias("flat"))
@@ -100,23 +99,23 @@ def levels(profile: LoadProfile) -> DataFrame:
         F.sum("dr").over(run).alias("load"), F.sum("de").over(run).alias("energy"),
         F.sum("dc").over(run).alias("active"), F.lead("k").over(w).alias("k_next"),
     ).where(F.col("active") > 0)
-    # one long stretch (a wrong year, say) is chunked over the cluster like any other
-    steps = _chunked_range(F.col("k"), F.col("k_next") - 1, 4096, "step_index",
-                           profile.spread or parallelism(lv.sparkSession), lv, ["fleet", "station_id"])
-    return steps.select("fleet", "station_id", "step_index", "load", "energy", "active")
+    # A stretch is expanded where it is. Only long ones (a wrong year, say) are first cut into chunks that are
+    # dealt out anew; both branches read the same exchange.
+    long = F.col("k_next") - F.col("k") > LONG_STRETCH
+    cols = ["fleet", "station_id", "step_index", "load", "energy", "active"]
+    here = lv.where(~long).select("*", F.explode(F.sequence(F.col("k"), F.col("k_next") - 1)).alias("step_index"))
+    cut = _chunked_range(F.col("k"), F.col("k_next") - 1, LONG_STRETCH, "step_index", lv.where(long), ["fleet", "station_id"], profile.spread, deal=True)
+    return here.select(*cols).unionByName(cut.select(*cols))
 
 
 def inexact_levels(profile: LoadProfile) -> DataFrame:
     """The columns of :func:`levels` for the sessions outside the exact range, expanded step
-    by step: exact and other parts of their sums."""
+    by step: all parts of their sums."""
     steps = profile.steps(where=~in_exact_range())
     steps = steps.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("fleet"))
     steps = steps.withColumn("station_id", F.when(~F.col("fleet"), F.col("station_id")))
     return steps.groupBy("fleet", "station_id", "step_index").agg(
-        F.sum(exact_part("charge_rate_kw")).alias("load"), F.sum(exact_part("energy_delivered_kwh")).alias("energy"),
-        F.count(F.lit(1)).alias("active"),
-        F.sum(other_part("charge_rate_kw")).alias("load_other"),
-        F.sum(other_part("energy_delivered_kwh")).alias("energy_other"))
+        *sum_parts("charge_rate_kw", "load"), *sum_parts("energy_delivered_kwh", "energy"), F.count(F.lit(1)).alias("active"))
 
 
 def load_timeseries(profile: LoadProfile) -> DataFrame:
@@ -124,17 +123,19 @@ def load_timeseries(profile: LoadProfile) -> DataFrame:
     same content as ``curves.load_timeseries(profile.steps())``."""
     d = interval_micros(profile.interval_minutes)
     start = profile.bounds.select("start_us")
-    rows = levels(profile).select("*", F.lit(0.0).alias("load_other"), F.lit(0.0).alias("energy_other"))
+    rows = levels(profile).withColumnsRenamed({"load": "load_exact", "energy": "energy_exact"})
+    none = {p: F.lit(None).cast(BIN) for p in SUM_PARTS if p.startswith("bin")} | {"other": F.lit(0.0)}
+    rows = rows.withColumns({f"{n}_{p}": c for n in ("load", "energy") for p, c in none.items()})
     if inexact_sessions(profile):
         rows = rows.unionByName(inexact_levels(profile)).groupBy("fleet", "station_id", "step_index").agg(
-            *[F.sum(c).alias(c) for c in ("load", "energy", "active", "load_other", "energy_other")])
+            *merged_parts("load"), *merged_parts("energy"), F.sum("active").alias("active"))
     rows = attach_row(rows, start)
     return rows.select(
         F.when(F.col("fleet"), "fleet").otherwise("station").alias("level"),
         F.timestamp_micros(F.col("start_us") + F.col("step_index") * F.lit(d)).alias("timestamp"),
         "station_id",
-        (F.col("load").cast("double") + F.col("load_other")).alias("load_kw"),
-        (F.col("energy").cast("double") + F.col("energy_other")).alias("energy_kwh"),
+        parts_total("load").alias("load_kw"),
+        parts_total("energy").alias("energy_kwh"),
         F.col("active").cast("long").alias("active_sessions"),
     )
 

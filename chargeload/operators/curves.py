@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chargeload.functions.numbers import exact_part, exact_sum, other_part
+from chargeload.functions.numbers import exact_sum, merged_parts, parts_total, sum_parts
 
 
 def station_map(sessions: DataFrame) -> DataFrame:
@@ -56,15 +56,16 @@ def load_timeseries(decisions: DataFrame, sessions: DataFrame | None = None) ->
     the shuffle), then the fleet rows from those already small station rows. The large
     input is read and shuffled once, unlike GROUPING SETS, which would double it."""
     d = _with_station(decisions, sessions)
-    parts = [f(c).alias(f"{n}_{p}") for n, c in (("load", "charge_rate_kw"), ("energy", "energy_delivered_kwh"))
-             for p, f in (("exact", lambda c: F.sum(exact_part(c))), ("other", lambda c: F.sum(other_part(c))))]
-    sums = ["load_exact", "load_other", "energy_exact", "energy_other"]
-    station = d.groupBy("timestamp", "station_id").agg(*parts, F.count("session_id").alias("active_sessions"))
-    fleet = station.groupBy("timestamp").agg(*[F.sum(c).alias(c) for c in sums],
-                                             F.sum("active_sessions").alias("active_sessions"))
-    cols = ["level", "timestamp", "station_id",
-            *[(F.col(f"{n}_exact").cast("double") + F.col(f"{n}_other")).alias(f"{n}_kw{'h' if n == 'energy' else ''}")
-              for n in ("load", "energy")], "active_sessions"]
+    station = d.groupBy("timestamp", "station_id").agg(
+        *sum_parts("charge_rate_kw", "load"), *sum_parts("energy_delivered_kwh", "energy"),
+        F.count("session_id").alias("active_sessions"))
+    return both_levels(station, ["timestamp"])
+
+
+def both_levels(station: DataFrame, by: list[str], load: str = "load", energy: str = "energy") -> DataFrame:
+    """LOAD rows of both levels from station rows (columns ``by``, station_id, sum parts, active_sessions)."""
+    fleet = station.groupBy(*by).agg(*merged_parts(load), *merged_parts(energy), F.sum("active_sessions").alias("active_sessions"))
+    cols = ["level", *by, "station_id", parts_total(load).alias("load_kw"), parts_total(energy).alias("energy_kwh"), "active_sessions"]
     return (station.withColumn("level", F.lit("station")).select(*cols)
             .unionByName(fleet.withColumn("level", F.lit("fleet"))
                          .withColumn("station_id", F.lit(None).cast("string")).select(*cols)))

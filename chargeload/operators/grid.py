@@ -9,9 +9,9 @@ integer range computed arithmetically:
 That replaces the per-step rescan of all sessions (a theta join) of the service we replace with a
 generator. The range is exploded in two levels — chunks of ``chunk_steps`` first, then
 steps inside a chunk — so no row ever builds an array longer than
-``max(chunk_steps, steps/chunk_steps)``. With ``spread`` the chunk rows are
-hash-distributed before the inner explode, so a long session is expanded by many tasks
-(the change-point strategy avoids expanding sessions at all).
+``max(chunk_steps, steps/chunk_steps)``. A session is expanded by the task that reads it: nothing is
+shuffled, whatever the input's partitions. Only an input too small for Spark to split (see
+``LoadProfile``), and the grid itself, are dealt out first, by an exchange that adaptive execution sizes.
 """
 
 from __future__ import annotations
@@ -60,13 +60,16 @@ def time_bounds(sessions: DataFrame, interval_minutes: int = DEFAULT_INTERVAL_MI
     )
 
 
-def _chunked_range(lo: Column, hi: Column, chunk: int, name: str, spread: int | None,
-                   df: DataFrame, keys: list[str]) -> DataFrame:
-    """Explode the inclusive integer range [lo, hi] of every row into column ``name``."""
+def _chunked_range(lo: Column, hi: Column, chunk: int, name: str, df: DataFrame, keys: list[str],
+                   spread: int | None = None, deal: bool = False) -> DataFrame:
+    """Explode the inclusive integer range [lo, hi] of every row into column ``name``. ``deal`` distributes the
+    chunks by an exchange without a fixed number of partitions, ``spread`` over as many as the caller names."""
     c = F.explode(F.sequence(floor_div(lo, chunk), floor_div(hi, chunk))).alias("_chunk")
     out = df.select("*", c)
     if spread:
         out = out.repartition(spread, *keys, "_chunk")
+    elif deal:
+        out = out.repartition(*keys, "_chunk")
     first = F.greatest(lo, F.col("_chunk") * chunk)
     last = F.least(hi, F.col("_chunk") * chunk + (chunk - 1))
     return out.select("*", F.explode(F.sequence(first, last)).alias(name)).drop("_chunk")
@@ -77,14 +80,11 @@ def time_grid(bounds: DataFrame, interval_minutes: int = DEFAULT_INTERVAL_MINUTE
     """GRID rows (timestamp, step_index, interval_hours) from a one-row bounds frame.
 
     Start and end are inclusive: start, start+Δ, … ≤ end. The chunk rows are always
-    spread over the cluster, so a long grid is not generated by one task."""
+    dealt out, so a long grid is not generated by one task."""
     d = interval_micros(interval_minutes)
-    from chargeload.config import parallelism
-
-    spread = spread or parallelism(bounds.sparkSession)
     b = bounds.where(F.col("n_steps").isNotNull()).select("start_us", "n_steps")
-    g = _chunked_range(F.lit(0).cast("long"), F.col("n_steps") - 1, chunk_steps, "step_index", spread, b,
-                       ["start_us"])
+    g = _chunked_range(F.lit(0).cast("long"), F.col("n_steps") - 1, chunk_steps, "step_index", b,
+                       ["start_us"], spread, deal=True)
     return g.select(
         F.timestamp_micros(F.col("start_us") + F.col("step_index") * d).alias("timestamp"),
         F.col("step_index").cast("long").alias("step_index"),
@@ -135,11 +135,9 @@ def expand_steps(ranged: DataFrame, interval_minutes: int = DEFAULT_INTERVAL_MIN
                  chunk_steps: int = DEFAULT_CHUNK_STEPS, spread: int | None = None) -> DataFrame:
     """One row per (session, grid step it is plugged in at): adds step_index, timestamp.
 
-    Input is the output of :func:`with_step_range`. ``spread`` > 0 hash-distributes the
-    step chunks over that many partitions before the inner explode (use it when the
-    session input has fewer partitions than the cluster has cores, or to split very long
-    sessions)."""
+    Input is the output of :func:`with_step_range`. Each row is expanded where it is; ``spread`` > 0
+    distributes the step chunks over that many partitions first."""
     d = interval_micros(interval_minutes)
     live = ranged.where(F.col("k1") >= F.col("k0"))
-    steps = _chunked_range(F.col("k0"), F.col("k1"), chunk_steps, "step_index", spread, live, ["session_id"])
+    steps = _chunked_range(F.col("k0"), F.col("k1"), chunk_steps, "step_index", live, ["session_id"], spread)
     return steps.withColumn("timestamp", F.timestamp_micros(F.col("start_us") + F.col("step_index") * d))

@@ -29,7 +29,8 @@ def energy_per_session(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("session_id").agg(F.sum("energy_delivered_kwh").alias("energy_kwh"))
 
 
-def _completed(target: Column, delivered: Column, threshold: float) -> Column:
+def completed(target: Column, delivered: Column, threshold: float) -> Column:
+    """Has a session with this target got its share of it? (A target of 0 or less is met.)"""
     return (target <= 0) | (F.coalesce(delivered, F.lit(0.0)) / target >= F.lit(threshold))
 
 
@@ -40,7 +41,7 @@ def completion_rate(targets: DataFrame, delivered: DataFrame, threshold: float =
     t = targets.where(F.col("target_kwh").isNotNull())
     j = t.join(delivered, "session_id", "left")
     agg = j.agg(
-        F.count_if(_completed(F.col("target_kwh"), F.col("energy_kwh"), threshold)).alias("sessions_completed"),
+        F.count_if(completed(F.col("target_kwh"), F.col("energy_kwh"), threshold)).alias("sessions_completed"),
         F.count(F.lit(1)).alias("targets_total"),
     )
     return agg.withColumn("completion_rate", F.coalesce(
@@ -83,7 +84,7 @@ def session_kpis(profile: LoadProfile, threshold: float = COMPLETION_THRESHOLD)
         F.count_if(valid).alias("sessions_count"),
         # exact sum: the total does not depend on the summation order
         F.coalesce(exact_sum(F.when(valid, F.col("delivered_kwh"))), F.lit(0.0)).alias("total_energy_kwh"),
-        F.count_if(valid & positive(req) & _completed(req, F.col("delivered_kwh"), threshold))
+        F.count_if(valid & positive(req) & completed(req, F.col("delivered_kwh"), threshold))
         .alias("sessions_completed"),
         F.coalesce(F.sum(F.when(valid, F.col("n_session_steps"))), F.lit(0)).cast("long").alias("decisions"),
         F.count_if(positive(req)).alias("targets_total"),

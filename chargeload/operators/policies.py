@@ -91,18 +91,19 @@ def _uniform_phases(ctx: StepContext) -> Phases:
 
 
 def _delay_start(ctx: StepContext) -> Column:
-    """First session-local step at which charging may start (0 when no delay)."""
+    """First session-local step at which charging may start (0 when no delay, as for a NaN rate)."""
     window = _hours(ctx.departure_us - ctx.arrival_us)
     # r = 0 passes validation; try_divide keeps it from failing (ANSI) → no charging.
     slack = F.greatest(F.lit(0.0), window - F.try_divide(ctx.target, ctx.max_rate))
     delay_us = slack * delay_fraction(ctx.session_id, ctx.seed) * F.lit(float(MICROS_PER_HOUR))
     step_us = float(ctx.h * MICROS_PER_HOUR)
     lag = F.ceil((delay_us - (ctx.first_step_us - ctx.arrival_us)) / F.lit(step_us))
-    return F.greatest(F.lit(0).cast("long"), lag.cast("long"))
+    start = F.greatest(F.lit(0).cast("long"), lag.cast("long"))
+    return F.when(F.isnan(ctx.max_rate), F.lit(0).cast("long")).otherwise(start)
 
 
 def _randomized_delay_phases(ctx: StepContext) -> Phases:
-    usable = positive(ctx.max_rate)
+    usable = ctx.max_rate > 0       # also NaN, which fills the target in one step like an infinite rate
     return Phases(F.when(usable, _delay_start(ctx)).otherwise(F.lit(0).cast("long")),
                   F.when(usable, ctx.max_rate * F.lit(ctx.h)).otherwise(F.lit(0.0)))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chargeload.functions.numbers import positive
@@ -23,7 +23,7 @@ from chargeload.operators.grid import (
     time_grid,
     with_step_range,
 )
-from chargeload.operators.policies import DEFAULT_SEED, Policy, StepContext, get_policy
+from chargeload.operators.policies import DEFAULT_SEED, Phases, Policy, StepContext, get_policy
 
 # Fallbacks when a session lacks a max rate or any energy figure.
 DEFAULT_MAX_RATE_KW = 7.2
@@ -56,7 +56,7 @@ def active_sessions_at(frame: DataFrame, ts) -> DataFrame:
     return frame.where((F.col("arrival_ts") <= t) & (F.col("departure_ts") > t))
 
 
-def _context(policy_seed: int, interval_minutes: int) -> StepContext:
+def policy_context(policy_seed: int, interval_minutes: int) -> StepContext:
     d = interval_micros(interval_minutes)
     return StepContext(
         target=F.col("energy_target_kwh"), max_rate=F.col("max_rate_kw"), h=interval_hours(interval_minutes),
@@ -66,11 +66,56 @@ def _context(policy_seed: int, interval_minutes: int) -> StepContext:
     )
 
 
-def _auto_spread(df: DataFrame) -> int:
-    """Partitions to spread step chunks over: 2 per core, whatever the input's layout."""
-    from chargeload.config import parallelism
+#: Inputs estimated at fewer bytes than this may come as one split; their sessions are dealt out before they are
+#: expanded. Larger ones come in splits enough, and are never shuffled for the expansion.
+SMALL_INPUT_BYTES = 64 << 20
 
-    return 2 * parallelism(df.sparkSession)
+
+def _is_small(df: DataFrame) -> bool:
+    """Is the optimizer's estimate of the input below ``SMALL_INPUT_BYTES``? (The plan's statistics; no job runs.)"""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_INPUT_BYTES  # noqa: SLF001
+    except Exception:  # noqa: BLE001 - no JVM plan at hand (Spark Connect)
+        return False
+
+
+def with_schedules(base: DataFrame, schedules: dict[str, Phases]) -> DataFrame:
+    """``base`` plus each schedule's closed form, its columns ending in the schedule's key: _a offset, _q step
+    energy (at most the target, so an infinite or NaN rate fills it in one step), _full whole steps, _rem the
+    energy of the step after them, _span charging steps, _flat flat rate or NULL. Computed once per session,
+    before any expansion, for all policies alike."""
+    E, n = F.col("energy_target_kwh"), F.col("n_session_steps").cast("double")
+    zero = F.lit(0.0)
+    first, second, third = [], [], []
+    for key, ph in schedules.items():
+        flat = ph.flat_rate if ph.flat_rate is not None else F.lit(None).cast("double")
+        # Only a positive target charges (a NaN target never does: "remaining" is then 0).
+        q = F.when(positive(E), F.least(ph.step_energy, E)).otherwise(zero)
+        first += [ph.offset.cast("long").alias(f"_a{key}"), q.alias(f"_q{key}"), flat.alias(f"_flat{key}")]
+        q, x = F.col(f"_q{key}"), F.col(f"_x{key}")
+        whole = F.when(~positive(q), zero).when(q >= E, F.lit(1.0)).otherwise(E / q)
+        second.append(F.least(whole, n + F.lit(1.0)).alias(f"_x{key}"))        # finite; more steps are never used
+        rem = F.when(positive(q) & (q < E), E - F.floor(x).cast("double") * q).otherwise(zero)
+        third += [F.floor(F.least(x, n)).cast("long").alias(f"_full{key}"), F.when(positive(rem), rem).otherwise(zero).alias(f"_rem{key}"),
+                  F.least(F.ceil(x).cast("double"), n).cast("long").alias(f"_span{key}")]
+    kept = [*base.columns, *[f"_{c}{key}" for key in schedules for c in ("a", "q", "flat")]]
+    return base.select("*", *first).select("*", *second).select(*kept, *third)
+
+
+def delivered_energy(key: str = "") -> Column:
+    """Energy that a session gets over all its steps (closed form), from :func:`with_schedules` columns."""
+    q = F.col(f"_q{key}")
+    charging_steps = F.greatest(F.lit(0).cast("long"), F.col("n_session_steps") - F.col(f"_a{key}"))
+    return F.when((q > 0) & (charging_steps > 0), F.least(F.col("energy_target_kwh"), charging_steps * q)).otherwise(F.lit(0.0))
+
+
+def step_values(h: float, key: str = "") -> tuple[Column, Column]:
+    """(rate, energy) of a session's step, from :func:`with_schedules` columns and ``step_index``."""
+    q, flat, zero = F.col(f"_q{key}"), F.col(f"_flat{key}"), F.lit(0.0)
+    i = F.col("step_index") - F.col("k0") - F.col(f"_a{key}")              # steps since charging began
+    energy = F.when((i >= 0) & (i < F.col(f"_full{key}")), q).when(i == F.col(f"_full{key}"), F.col(f"_rem{key}")).otherwise(zero)
+    rate = F.when(flat.isNotNull(), F.when((i >= 0) & (i < F.col(f"_span{key}")), flat).otherwise(zero)).otherwise(energy / F.lit(h))
+    return rate, energy
 
 
 @dataclass
@@ -84,7 +129,8 @@ class LoadProfile:
     interval_minutes: int
     seed: int
     chunk_steps: int = DEFAULT_CHUNK_STEPS
-    spread: int | None = None
+    spread: int | None = None    # partitions to expand in, if the caller wants a number
+    deal: bool = False           # a small input: deal its sessions out before they are expanded
 
     @property
     def policy_name(self) -> str:
@@ -102,34 +148,15 @@ class LoadProfile:
         return self.ranged.agg(F.count(F.lit(1)).alias("sessions_count"))
 
     def phased(self, all_rows: bool = False) -> DataFrame:
-        """``ranged`` plus the policy's per-session schedule: _a offset, _q step energy (at
-        most the target, so an infinite or NaN rate fills it in one step), _full whole
-        steps, _rem the energy of the step after them, _span charging steps, _flat flat
-        rate or NULL. Computed once per session, before any expansion; ``all_rows`` keeps
-        invalid sessions too (with their ``_valid`` flag)."""
-        ph = self.policy.phases(_context(self.seed, self.interval_minutes))
-        flat = ph.flat_rate if ph.flat_rate is not None else F.lit(None).cast("double")
-        # Only a positive target charges (a NaN target never does: "remaining" is then 0).
-        E = F.col("energy_target_kwh")
-        q = F.when(positive(E), F.least(ph.step_energy, E)).otherwise(F.lit(0.0))
+        """``ranged`` plus the policy's per-session schedule (see :func:`with_schedules`);
+        ``all_rows`` keeps invalid sessions too (with their ``_valid`` flag)."""
         base = self.ranged_all if all_rows else self.ranged
-        base = base.select("*", ph.offset.cast("long").alias("_a"), q.alias("_q"), flat.alias("_flat"))
-        charging = positive("_q")
-        n = F.col("n_session_steps").cast("double")
-        x = F.when(~charging, F.lit(0.0)).when(F.col("_q") >= E, F.lit(1.0)).otherwise(E / F.col("_q"))
-        base = base.withColumn("_x", F.least(x, n + F.lit(1.0)))        # finite; more steps are never used
-        full = F.floor(F.least(F.col("_x"), n)).cast("long")
-        rem = F.when(charging & (F.col("_q") < E), E - F.floor("_x").cast("double") * F.col("_q")).otherwise(F.lit(0.0))
-        return (base.withColumn("_full", full)
-                .withColumn("_rem", F.when(positive(rem), rem).otherwise(F.lit(0.0)))
-                .withColumn("_span", F.least(F.ceil("_x").cast("double"), n).cast("long")).drop("_x"))
+        return with_schedules(base, {"": self.policy.phases(policy_context(self.seed, self.interval_minutes))})
 
     def session_totals(self, all_rows: bool = False) -> DataFrame:
         """Per valid session (every session with ``all_rows``, flagged ``_valid``): steps
         plugged in and energy delivered over them (closed form; 0 for invalid ones)."""
-        E, q = F.col("energy_target_kwh"), F.col("_q")
-        charging_steps = F.greatest(F.lit(0).cast("long"), F.col("n_session_steps") - F.col("_a"))
-        total = F.when((q > 0) & (charging_steps > 0), F.least(E, charging_steps * q)).otherwise(F.lit(0.0))
+        total = delivered_energy()
         cols = ["session_id", "station_id", "energy_requested_kwh", "energy_target_kwh", "n_session_steps"]
         if all_rows:
             return self.phased(True).select(*cols, "_valid",
@@ -143,15 +170,12 @@ class LoadProfile:
         q on the whole steps from j = a on, then the remainder once; rate = energy / h, or
         the flat rate while energy remains; delivered before = min(E, (j−a)·q)."""
         phased = self.phased() if where is None else self.phased().where(where)
+        if self.deal and not self.spread:
+            phased = phased.repartition("session_id")       # a small input; adaptive execution sizes the partitions
         expanded = expand_steps(phased, self.interval_minutes, self.chunk_steps, self.spread)
-        h = F.lit(interval_hours(self.interval_minutes))
-        E, q, a = F.col("energy_target_kwh"), F.col("_q"), F.col("_a")
-        i = F.col("step_index") - F.col("k0") - a              # steps since charging began
-        energy = (F.when((i >= 0) & (i < F.col("_full")), q).when(i == F.col("_full"), F.col("_rem"))
-                  .otherwise(F.lit(0.0)))
-        rate = F.when(F.col("_flat").isNotNull(),
-                      F.when((i >= 0) & (i < F.col("_span")), F.col("_flat")).otherwise(F.lit(0.0))) \
-                .otherwise(energy / h)
+        E, q = F.col("energy_target_kwh"), F.col("_q")
+        i = F.col("step_index") - F.col("k0") - F.col("_a")              # steps since charging began
+        rate, energy = step_values(interval_hours(self.interval_minutes))
         before = F.when(i > 0, F.greatest(F.lit(0.0), F.least(E, i * q))).otherwise(F.lit(0.0))
         remaining_minutes = F.greatest(
             F.lit(0.0), (F.unix_micros("departure_ts") - F.unix_micros("timestamp")) / F.lit(1_000_000.0) / F.lit(60.0))
@@ -181,7 +205,7 @@ def load_profile(sessions: DataFrame, policy: str = "immediate_charge",
                                  keep=("energy_requested_kwh", "_valid"))
     bounds = time_bounds(prepared_all.where(F.col("_valid")), interval_minutes)
     ranged_all = with_step_range(prepared_all, bounds, interval_minutes)
-    if spread == "auto":
-        spread = _auto_spread(sessions)
+    deal = spread == "auto" and _is_small(sessions)
+    spread = None if spread == "auto" else spread
     return LoadProfile(sessions=sessions, ranged_all=ranged_all, bounds=bounds, policy=pol,
-                       interval_minutes=interval_minutes, seed=seed, chunk_steps=chunk_steps, spread=spread)
+                       interval_minutes=interval_minutes, seed=seed, chunk_steps=chunk_steps, spread=spread, deal=deal)

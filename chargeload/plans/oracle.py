@@ -59,7 +59,7 @@ checked AS (SELECT *, errors = '' AS is_valid FROM sessions)
 """
 
 
-def analysis_ctes(minutes: int) -> str:
+def analysis_ctes(minutes: int, source: str = "checked") -> str:
     """Valid sessions, bounds, grid and the range join of grid × sessions."""
     d = d_of(minutes)
     return f"""
@@ -67,7 +67,7 @@ v AS (
   SELECT session_id, station_id, arrival_ts, departure_ts, energy_requested_kwh,
          coalesce(energy_requested_kwh, energy_delivered_kwh, {dbl(30.0)}) AS target,
          coalesce(max_charge_rate_kw, {dbl(7.2)}) AS r
-  FROM checked WHERE is_valid),
+  FROM {source} WHERE is_valid),
 b AS (SELECT min(arrival_ts) AS t_start, max(departure_ts) AS t_end FROM v),
 gi AS (SELECT t_start, unnest(generate_series(0, (epoch_us(t_end) - epoch_us(t_start)) // {d})) AS i FROM b),
 grid AS (SELECT CAST(i AS BIGINT) AS step_index, t_start + to_microseconds(i * {d}) AS ts FROM gi),
@@ -100,7 +100,7 @@ def _decision(policy: str, delivered: str, minutes: int) -> tuple[str, str]:
         u = (f"CAST(CAST('0x' || substr(md5(concat('{SEED}:', s.session_id)), 1, 8) AS BIGINT) AS DOUBLE)"
              f" / {dbl(4294967296)}")
         window = _hours("epoch_us(s.departure_ts) - epoch_us(s.arrival_ts)")
-        delay = f"greatest({dbl(0)}, {window} - s.target / s.r) * {u}"
+        delay = f"CASE WHEN isnan(s.r) THEN {dbl(0)} ELSE greatest({dbl(0)}, {window} - s.target / s.r) * {u} END"
         elapsed = _hours("epoch_us(s.ts) - epoch_us(s.arrival_ts)")
         wait = f"{rem} <= 0 OR {elapsed} < {delay}"
         return (f"CASE WHEN {wait} THEN {dbl(0)} ELSE {immediate_e} END",
@@ -130,6 +130,20 @@ def with_loop(policy: str, minutes: int, body: str) -> str:
     return f"WITH RECURSIVE {SESSIONS_CTE}, {analysis_ctes(minutes)}, {loop_cte(policy, minutes)} {body}"
 
 
+# Rates and targets outside the usual range, by event: infinite, NaN and zero rates, a target of 10^25 kWh for a few.
+EXTREME_CTE = f"""
+extreme AS (
+  SELECT * REPLACE (
+    CASE event_id % 8 WHEN 1 THEN {dbl("'inf'")} WHEN 2 THEN {dbl("'nan'")} WHEN 3 THEN {dbl(0)} ELSE {dbl(6)} END AS max_charge_rate_kw,
+    CASE WHEN event_id % 64 = 5 OR event_id % 640 = 9 THEN {dbl("'1e25'")} ELSE energy_requested_kwh END AS energy_requested_kwh)
+  FROM checked)
+"""
+
+
+def with_extremes(policy: str, minutes: int, body: str) -> str:
+    return f"WITH RECURSIVE {SESSIONS_CTE}, {EXTREME_CTE}, {analysis_ctes(minutes, 'extreme')}, {loop_cte(policy, minutes)} {body}"
+
+
 def with_grid(minutes: int, body: str) -> str:
     return f"WITH {SESSIONS_CTE}, {analysis_ctes(minutes)} {body}"
 

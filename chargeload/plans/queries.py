@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chargeload.functions.numbers import round6, round_half_up
 from chargeload.operators import curves, metrics
+from chargeload.operators.comparison import load_profiles
 from chargeload.operators.profile import active_sessions_at, load_profile, session_frame, valid_sessions
 from chargeload.operators.quality import errors_text
 from chargeload.plans import oracle as O
@@ -288,12 +289,7 @@ ORACLES_BASELINE = " UNION ALL ".join(f"SELECT * FROM ({_metrics_oracle(p)})" fo
 
 @query("baseline_metrics", ORACLES_BASELINE)
 def q_baseline_metrics(spark, sf_dir):
-    sessions = events_sessions(spark, sf_dir)
-    rows = [metrics.baseline_metrics(load_profile(sessions, p, STEP_MINUTES)) for p in METRIC_POLICIES]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    return load_profiles(events_sessions(spark, sf_dir), list(METRIC_POLICIES), STEP_MINUTES).metrics()
 
 
 # Source, store, job and stream queries register themselves on import.

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from chargeload.config import scratch_path
 from chargeload.functions.numbers import hms_minutes, round6, safe_double
 from chargeload.functions.timestamps import iso_timestamp, multi_format_timestamp
+from chargeload.operators.comparison import load_profiles
 from chargeload.operators.quality import errors_text
 from chargeload.plans import fixtures
 from chargeload.plans import oracle as O
 from chargeload.plans.adapters import events_sessions, read_table
-from chargeload.plans.jobs import analyze, ingest
+from chargeload.plans.jobs import analyze, analyze_policies, ingest
 from chargeload.plans.queries import query
+from chargeload.schemas import RUN
 from chargeload.sinks import store
 from chargeload.sources.csv_sessions import normalize_csv_sessions
 from chargeload.sources.readers import read_csv_records, read_json_records
@@ -395,37 +397,28 @@ def q_ingest_counters(spark, sf_dir):
 
 # --- G4 / G6 / E3 / E9: rates and targets outside the usual range ---------------------------
 
-# Rate by event: infinite, NaN, zero, usual; target 1e25 kWh for a few.
-EXTREME_SQL = """
-, x AS (SELECT session_id, energy_requested_kwh AS e, event_id % 8 AS c, (event_id % 64 = 5 OR event_id % 640 = 9) AS huge, arrival_ts, departure_ts
-        FROM checked WHERE is_valid AND energy_requested_kwh > 0),
-b2 AS (SELECT min(arrival_ts) AS t0 FROM x),
-k AS (SELECT x.*, ((epoch_us(departure_ts) - epoch_us(t0) + 299999999) // 300000000) - ((epoch_us(arrival_ts) - epoch_us(t0) + 299999999) // 300000000) AS n
-      FROM x, b2)
-SELECT session_id, CASE WHEN n <= 0 OR c = 3 THEN CAST(0 AS DOUBLE) WHEN c IN (1, 2) THEN CASE WHEN huge THEN CAST('1e25' AS DOUBLE) ELSE round(e, 6) END
-       WHEN huge THEN round(n * CAST(0.5 AS DOUBLE), 6) ELSE round(least(e, n * CAST(0.5 AS DOUBLE)), 6) END AS energy_kwh,
-       FALSE AS arms_differ
-FROM k"""
+def _extreme_sql(policy: str) -> str:
+    return O.with_extremes(policy, 5, f"""
+, got AS (SELECT session_id, sum(energy) AS kwh FROM loop GROUP BY session_id)
+SELECT '{policy}' AS policy_name, session_id, is_valid,
+  CASE WHEN kwh > 1e20 THEN round(kwh / CAST('1e20' AS DOUBLE)) * CAST('1e20' AS DOUBLE) ELSE {O.r2('coalesce(kwh, 0)', 6)} END AS energy_kwh
+FROM extreme LEFT JOIN got USING (session_id)""")
 
 
-@query("policy_extreme_values", O.with_sessions(EXTREME_SQL))
-def q_policy_extreme_values(spark, sf_dir):
-    from chargeload.operators import changepoints, curves
-    from chargeload.operators.profile import load_profile
+EXTREME_POLICIES = ("immediate_charge", "uniform_spread", "randomized_delay")
+
 
-    s = events_sessions(spark, sf_dir).where(F.col("is_valid") & (F.col("energy_requested_kwh") > 0))
+@query("policy_extreme_values", " UNION ALL ".join(f"SELECT * FROM ({_extreme_sql(p)})" for p in EXTREME_POLICIES))
+def q_policy_extreme_values(spark, sf_dir):
+    s = events_sessions(spark, sf_dir)
     eid = F.col("source_record_id").cast("long")
     rate = F.when(eid % 8 == 1, float("inf")).when(eid % 8 == 2, float("nan")).when(eid % 8 == 3, 0.0).otherwise(6.0)
     huge = (eid % 64 == 5) | (eid % 640 == 9)
     s = s.withColumn("max_charge_rate_kw", rate).withColumn(
         "energy_requested_kwh", F.when(huge, F.lit(1e25)).otherwise(F.col("energy_requested_kwh")))
-    p = load_profile(s, "immediate_charge", 5)
-    arms = [t.select("level", "timestamp", "station_id", "load_kw", "energy_kwh", "active_sessions")
-            for t in (curves.load_timeseries(p.steps()), changepoints.load_timeseries(p))]
-    differ = arms[0].exceptAll(arms[1]).limit(1).count() + arms[1].exceptAll(arms[0]).limit(1).count() > 0
-    total = p.session_totals().select("session_id", "delivered_kwh")
-    return total.select("session_id", F.when(F.col("delivered_kwh") > 1e20, F.col("delivered_kwh"))
-                        .otherwise(F.round("delivered_kwh", 6)).alias("energy_kwh"), F.lit(differ).alias("arms_differ"))
+    got = F.col("delivered_kwh")
+    return load_profiles(s, list(EXTREME_POLICIES), 5).session_totals().select(
+        "policy_name", "session_id", "is_valid", F.when(got > 1e20, F.round(got / 1e20) * 1e20).otherwise(round6(got)).alias("energy_kwh"))
 
 
 @query("run_results", O.with_loop("immediate_charge", 5, f"""
@@ -440,11 +433,11 @@ def q_run_results(spark, sf_dir):
     return fleet.select(*cols).unionByName(station.select(*cols))
 
 
-def _run_kpi_oracle() -> str:
+def _run_kpi_oracle(policy: str = "immediate_charge") -> str:
     from chargeload.plans.queries import _metrics_oracle
 
     return (f"SELECT policy_name, sessions_total AS sessions_count, peak_load_kw, total_energy_kwh, completion_rate, "
-            f"average_load_kw, load_factor, sessions_completed FROM ({_metrics_oracle('immediate_charge')})")
+            f"average_load_kw, load_factor, sessions_completed FROM ({_metrics_oracle(policy)})")
 
 
 @query("run_kpis", _run_kpi_oracle())
@@ -456,6 +449,24 @@ def q_run_kpis(spark, sf_dir):
                       "average_load_kw", "load_factor", "sessions_completed")
 
 
+def _policy_runs_oracle() -> str:
+    from chargeload.plans.queries import METRIC_POLICIES
+
+    runs = " UNION ALL ".join(f"SELECT * FROM ({_run_kpi_oracle(p)})" for p in METRIC_POLICIES)
+    return f"SELECT k.*, n.fleet_rows FROM ({runs}) k, ({O.with_grid(5, 'SELECT count(DISTINCT ts) AS fleet_rows FROM steps')}) n"
+
+
+@query("run_all_policies", _policy_runs_oracle())
+def q_run_all_policies(spark, sf_dir):
+    """All policies by one expansion, stored as a run each."""
+    root = _events_store(spark, sf_dir)
+    ids = analyze_policies(spark, root, "events", None, 5)
+    runs = spark.read.schema(RUN).parquet(f"{root}/runs").where(F.col("run_id").isin(list(ids.values())))
+    fleet = store.get_loads(spark, root, list(ids.values())).where("level = 'fleet'").groupBy("run_id").agg(F.count(F.lit(1)).alias("fleet_rows"))
+    return runs.join(fleet, "run_id").select("policy_name", "sessions_count", "peak_load_kw", "total_energy_kwh", "completion_rate",
+                                             "average_load_kw", "load_factor", "sessions_completed", "fleet_rows")
+
+
 # --- A5: incremental (streaming) ingest ---------------------------------------------------
 
 @query("ingest_stream", O.with_files("SELECT DISTINCT session_id, 'acn' AS source_dataset FROM jv", O.JSON_CTE))

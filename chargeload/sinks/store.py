@@ -6,7 +6,8 @@ Layout (all under one root the caller chooses, typically a shared folder):
 * ``sessions/``  SESSION rows, partitioned by ``source_dataset``; ``session_id`` unique
 * ``session_ids/`` (session_id, source_dataset), partitioned by ``bucket``, a hash of the id:
   an insert reads the buckets its ids fall into, a lookup opens one
-* ``ingest_runs/`` one INGEST_RUN row per finished ingest
+* ``ingest_runs/`` one INGEST_RUN row per finished ingest; older ones by date in
+  ``ingest_runs_archive/`` (:func:`compact_ingest_runs`)
 * ``runs/``      one RUN row per analysis
 * ``loads/``     LOAD rows, partitioned by ``run_id``
 
@@ -17,6 +18,7 @@ for rows that something else than :func:`insert_new_sessions` appended.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -29,6 +31,7 @@ from chargeload.sinks.guard import writing
 #: Buckets of the id index: folders of about equal size, whatever the ids look like.
 ID_BUCKETS = 64
 _ID = "session_id string, source_dataset string, bucket int"
+_REPLAYABLE = "epoch-"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -105,19 +108,43 @@ def _mend_index(spark: SparkSession, root: str) -> None:
         return
     if not path_exists(spark, _ids_dir(root)):
         _append_ids(_read_store(spark, _sessions_dir(root)).select("session_id", "source_dataset"), root)
-    for folder in _folders(spark, f"{root.rstrip('/')}/_staging"):
+    for folder in _folders(spark, _staging_dir(root)):
         if not path_exists(spark, f"{folder}/new_ids/_SUCCESS"):      # staging, or died before it appended anything
             continue
         left = spark.read.schema("session_id string, source_dataset string").parquet(f"{folder}/new_ids")
         stored = _read_store(spark, _sessions_dir(root)).select("session_id", "source_dataset")
         both = left.join(stored, ["session_id", "source_dataset"], "left_semi").dropDuplicates()
         _append_ids(both.join(stored_ids(spark, root), "session_id", "left_anti"), root)
+        _finished(spark, folder, both.count())
+
+
+def _staging_dir(root: str) -> str:
+    return f"{root.rstrip('/')}/_staging"
+
+
+def _finished(spark: SparkSession, folder: str, appended: int) -> None:
+    """Drop a batch's staging folder; of a batch that may be replayed keep how many rows it appended."""
+    if not folder.rsplit("/", 1)[-1].startswith(_REPLAYABLE):
+        _drop_folder(spark, folder)
+        return
+    spark.createDataFrame([(appended,)], "n long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/appended")
+    for part in ("new_ids", "rows", "first", "winners"):
+        _drop_folder(spark, f"{folder}/{part}")
+
+
+def _attempts(spark: SparkSession, root: str, replay_key: str) -> list[str]:
+    return [f for f in _folders(spark, _staging_dir(root)) if f.rsplit("/", 1)[-1].startswith(f"{_REPLAYABLE}{replay_key}-")]
+
+
+def forget_replay(spark: SparkSession, root: str, replay_key: str) -> None:
+    """The batch of this key is in the ledger: its attempts need not be remembered any more."""
+    for folder in _attempts(spark, root, replay_key):
         _drop_folder(spark, folder)
 
 
 def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
                         order_cols: list[str] | None = None, datasets: list[str] | None = None,
-                        stats: dict | None = None) -> int:
+                        stats: dict | None = None, replay_key: str | None = None) -> int:
     """Insert sessions whose id is not stored yet; return how many were inserted.
 
     ``incoming`` holds SESSION columns (+ the ``order_cols`` deciding the first of
@@ -135,10 +162,14 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
     ``stats`` (if given) receives ``records_seen``, ``records_invalid`` and ``records_surplus`` (rows
     with more cells than their header) of the raw batch, counted as it is staged: the write's only stage
     is its result stage, so no row is counted twice.
+
+    ``replay_key`` names a batch that may come again after a crash (a stream's epoch): what an earlier attempt
+    of it had appended counts as inserted, until :func:`forget_replay`.
     """
     if order_cols is None:
         order_cols = [c for c in ("_file", "_block", "_row") if c in incoming.columns]
-    folder = f"{root.rstrip('/')}/_staging/sessions-{uuid.uuid4().hex[:12]}"
+    name = f"{_REPLAYABLE}{replay_key}" if replay_key else "sessions"
+    folder = f"{_staging_dir(root)}/{name}-{uuid.uuid4().hex[:12]}"
     counts = Observation(f"staged-{uuid.uuid4().hex[:12]}")
     surplus = F.exists("validation_errors", lambda e: e["error"] == SURPLUS_CELLS)
     whole = incoming.select(*SESSION_COLUMNS, F.struct(*[F.col(c) for c in order_cols] or [F.lit(0)]).alias("_place"))
@@ -164,6 +195,8 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
     ids = sum(per_bucket.values())
     with writing(spark, root):
         _mend_index(spark, root)
+        earlier = [f"{f}/appended" for f in _attempts(spark, root, replay_key) if path_exists(spark, f"{f}/appended")] if replay_key else []
+        before = spark.read.schema("n long").parquet(*earlier).agg(F.sum("n")).first()[0] if earlier else 0
         known = stored_ids(spark, root, sorted(per_bucket), datasets).select("session_id")
         # Semi-join first: the stored ids meet the batch's (broadcast where the staged files prove them
         # small), and only the few matches meet the batch again.
@@ -185,8 +218,8 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
              .write.mode("append").option("parquet.bloom.filter.enabled#session_id", "true")
              .partitionBy("source_dataset").parquet(_sessions_dir(root)))
             _append_ids(new, root)
-        _drop_folder(spark, folder)
-    return n
+        _finished(spark, folder, n)
+    return n + before
 
 
 def _folders(spark: SparkSession, path: str) -> list[str]:
@@ -265,10 +298,29 @@ def append_ingest_run(spark: SparkSession, root: str, row: dict) -> None:
 
 
 def read_ingest_runs(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{root.rstrip('/')}/ingest_runs"
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], INGEST_RUN)
-    return spark.read.schema(INGEST_RUN).parquet(path)
+    """The ledger, live and archived; one row per run."""
+    live, archive = f"{root.rstrip('/')}/ingest_runs", f"{root.rstrip('/')}/ingest_runs_archive"
+    df = spark.read.schema(INGEST_RUN).parquet(live) if path_exists(spark, live) else spark.createDataFrame([], INGEST_RUN)
+    if path_exists(spark, archive):
+        old = spark.read.schema(INGEST_RUN).parquet(archive).select(*INGEST_RUN.fieldNames())
+        df = df.select(*INGEST_RUN.fieldNames()).unionByName(old).dropDuplicates(["run_id"])     # a compaction that died leaves a row in both
+    return df
+
+
+def compact_ingest_runs(spark: SparkSession, root: str, before: dt.date) -> int:
+    """Move the ledger rows of runs that started before a day from their own folders into one file per day; returns how many."""
+    live = f"{root.rstrip('/')}/ingest_runs"
+    if not path_exists(spark, live):
+        return 0
+    with writing(spark, root):
+        old = spark.read.schema(INGEST_RUN).parquet(live).where(F.col("started_at") < F.lit(before).cast("timestamp")).select(*INGEST_RUN.fieldNames())
+        names = [r["run_id"] for r in old.select("run_id").collect()]       # the folders to drop
+        if names:
+            days = old.withColumn("day", F.to_date("started_at"))
+            days.repartition("day").write.mode("append").partitionBy("day").parquet(f"{root.rstrip('/')}/ingest_runs_archive")
+            for name in names:
+                _drop_folder(spark, f"{live}/run_id={name}")
+    return len(names)
 
 
 def append_run(spark: SparkSession, root: str, run_row: DataFrame) -> None:
@@ -290,6 +342,11 @@ def get_load(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     return spark.read.schema(LOAD).parquet(f"{root.rstrip('/')}/loads").where(F.col("run_id") == run_id)
 
 
+def get_loads(spark: SparkSession, root: str, run_ids: list[str]) -> DataFrame:
+    """LOAD rows of several runs (their partitions)."""
+    return spark.read.schema(LOAD).parquet(f"{root.rstrip('/')}/loads").where(F.col("run_id").isin(run_ids))
+
+
 def get_fleet_load(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     return get_load(spark, root, run_id).where(F.col("level") == "fleet").orderBy("timestamp")
 

@@ -7,14 +7,15 @@ listed files with the batch readers (each file by its own layout or header) and
 same ingest: normalise → validate → insert new → ledger row.
 
 Re-running an epoch after a failure is harmless: the insert skips stored ids, so the
-effect on the store is exactly-once. A file is never split across micro-batches, so the
+effect on the store is exactly-once. The ledger's run id is the digest of checkpoint and epoch, so a replay
+overwrites its own row, and what the first attempt had inserted is counted in it. A file is never split across micro-batches, so the
 per-file row ordinals (and "first record wins") are those of the batch path.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,12 +41,13 @@ def ingest_stream(spark: SparkSession, dataset: str, source_dir: str, root: str,
         files = sorted(r.path for r in batch.select("path").distinct().collect())     # names of new files only
         if not files:
             return
-        row = {"run_id": uuid.uuid4().hex, "source_dataset": dataset,
+        run_id = hashlib.md5(f"{checkpoint}#{epoch_id}".encode()).hexdigest()
+        row = {"run_id": run_id, "source_dataset": dataset,
                "source_path": f"{source_dir}#batch-{epoch_id}", "started_at": dt.datetime.now(dt.timezone.utc),
                "completed_at": None, "status": "running", "records_seen": 0, "records_inserted": 0,
                "records_invalid": 0, "notes": None}
         runs.append(row)
-        recorded_ingest(batch.sparkSession, source, files, root, row)
+        recorded_ingest(batch.sparkSession, source, files, root, row, replay_key=run_id)
 
     reader = spark.readStream.format("binaryFile").schema(_LISTING)
     if max_files_per_trigger:
