@@ -55,79 +55,91 @@ def positive(value: Column | str) -> Column:
 
 SNAP_SCALE = 9      # decimals kept before rounding to fewer
 
-# Exact sums: a value is rounded once, to the decimals of its bin, and bins are added up as decimals, so a sum
-# does not depend on the order or grouping of the rows. Bin 0 holds values below EXACT_LIMIT (18 digits after
-# the point, 10^11 of them cannot overflow); each further bin holds the next nine decades, first scaled by an exact
-# power of two to about the range of bin 1, with 9 digits after the point (finer than a double there).
-# What is beyond the last bin (10^36), infinite or NaN is added as doubles.
-EXACT = "decimal(37,18)"      # so that the difference of two still has 18 digits
-EXACT_LIMIT = 1e9
-BIN = "decimal(38,9)"
-BIN_DECADES = 9
-BINS = 3                      # after bin 0: up to 10^18, 10^27 and 10^36
-SUM_PARTS = ("exact", *[f"bin{k}" for k in range(1, BINS + 1)], "other")
+# Exact sums: a value is cut into limbs, whole numbers of a fixed unit, and each limb is added up as a bigint, so a sum
+# does not depend on the order or grouping of the rows. Values below EXACT_LIMIT have three limbs down to 2^-58 (about
+# 10^-18), larger ones, up to LARGE_LIMIT, three of their own down to 2^-24 (finer than a double there). A limb cannot overflow
+# below 10^11 rows of values up to 10^6, or 10^7 rows of any values. What is beyond LARGE_LIMIT, infinite or NaN is
+# added as doubles.
+EXACT_LIMIT = 1e9             # below 2^30
+LARGE_LIMIT = 1e27            # below 2^90
+LIMB_UNITS = {"limb1": 2.0**-6, "limb2": 2.0**-32, "limb3": 2.0**-58}
+LARGE_UNITS = {"large1": 2.0**52, "large2": 2.0**14, "large3": 2.0**-24}
+LIMB_PARTS, LARGE_PARTS = tuple(LIMB_UNITS), tuple(LARGE_UNITS)
+SUM_PARTS = (*LIMB_PARTS, *LARGE_PARTS, "other")
 
 
 def is_exact(value: Column | str) -> Column:
-    """Finite and below ``EXACT_LIMIT`` in size: such values are summed as exact decimals."""
+    """Finite and below ``EXACT_LIMIT`` in size: such values are summed exactly."""
     return F.coalesce(F.abs(_col(value)) < F.lit(EXACT_LIMIT), F.lit(False))
 
 
-def exact_part(value: Column | str) -> Column:
-    """The value as an exact decimal, 0 where it is beyond the range."""
-    c = _col(value)
-    return F.when(is_exact(c), c.try_cast(EXACT)).otherwise(F.lit(0).cast(EXACT))
+def _below(z: Column) -> Column:
+    """What a number has behind the point, in [0, 1); exact."""
+    return z - F.floor(z).cast("double")
 
 
-def _bin_floor(k: int) -> float:
-    return float(10 ** (BIN_DECADES * k))
+def limbs(value: Column | str) -> list[Column]:
+    """The limbs of a value below ``EXACT_LIMIT``; 0 where it is beyond the range or NULL. Every step is exact in doubles."""
+    c = _col(value)
+    z = F.when(is_exact(c), c).otherwise(F.lit(0.0)) * F.lit(2.0**32)
+    whole = F.floor(z)      # at most 62 bits
+    return [F.shiftright(whole, 26), whole.bitwiseAND(F.lit((1 << 26) - 1)), F.floor(_below(z) * F.lit(2.0**26))]
 
 
-def _bin_scale(k: int) -> float:
-    return 2.0 ** (30 * (k - 1))       # 2^30 is about nine decades
+def _large_limbs(value: Column | str) -> list[Column]:
+    """The limbs of a value from ``EXACT_LIMIT`` up to ``LARGE_LIMIT``; NULL (which sums skip) for any other."""
+    c = _col(value)
+    z = c * F.lit(2.0**-52)
+    y = _below(z) * F.lit(2.0**38)
+    inside = (F.abs(c) >= F.lit(EXACT_LIMIT)) & (F.abs(c) < F.lit(LARGE_LIMIT))
+    return [F.when(inside, x) for x in (F.floor(z), F.floor(y), F.floor(_below(y) * F.lit(2.0**38)))]
 
 
-def _binned(value: Column | str, k: int) -> Column:
-    """The value in bin ``k``, scaled; NULL (which sums skip) outside of it."""
+def _other(value: Column | str) -> Column:
+    """The value where it is beyond all limbs, infinite or NaN, else NULL."""
     c = _col(value)
-    inside = (F.abs(c) >= F.lit(_bin_floor(k))) & (F.abs(c) < F.lit(_bin_floor(k + 1)))
-    return F.when(inside, (c * F.lit(1.0 / _bin_scale(k))).try_cast(BIN))
+    return F.when(~F.coalesce(F.abs(c) < F.lit(LARGE_LIMIT), F.lit(False)), c)
 
 
-def other_part(value: Column | str) -> Column:
-    """The value where it is beyond all bins, infinite or NaN, else 0."""
-    c = _col(value)
-    return F.when(c.isNotNull() & ~F.coalesce(F.abs(c) < F.lit(_bin_floor(BINS + 1)), F.lit(False)), c).otherwise(F.lit(0.0))
+def _sums(value: Column | str, where: Column | None = None) -> list[Column]:
+    """The sums of ``SUM_PARTS``, in their order."""
+    whole = limbs(value)
+    if where is not None:       # rows outside are skipped, not added as zeros
+        whole = [F.when(where, x) for x in whole]
+    return [*[F.sum(x) for x in whole], *[F.sum(x) for x in _large_limbs(value)], F.sum(_other(value))]
 
 
 def sum_parts(value: Column | str, prefix: str) -> list[Column]:
     """Aggregates ``<prefix>_<part>`` that add up a value exactly; sums of them go on adding (``merged_parts``)."""
-    bins = [F.sum(_binned(value, k)).alias(f"{prefix}_bin{k}") for k in range(1, BINS + 1)]
-    return [F.sum(exact_part(value)).alias(f"{prefix}_exact"), *bins, F.sum(other_part(value)).alias(f"{prefix}_other")]
+    return [s.alias(f"{prefix}_{p}") for s, p in zip(_sums(value), SUM_PARTS, strict=True)]
 
 
 def merged_parts(prefix: str) -> list[Column]:
     return [F.sum(f"{prefix}_{p}").alias(f"{prefix}_{p}") for p in SUM_PARTS]
 
 
-def _total(exact: Column, bins: list[Column], other: Column) -> Column:
-    large = F.lit(0.0)
-    for k in range(BINS, 0, -1):        # largest first; always the same additions
-        large = large + F.coalesce(bins[k - 1].cast("double"), F.lit(0.0)) * F.lit(_bin_scale(k))
-    return large + exact.cast("double") + other
+def _total(parts: list[Column]) -> Column:
+    """The double that the parts make: always the same additions, smallest unit first; NULL without any row."""
+    units = list((LIMB_UNITS | LARGE_UNITS).values())
+    whole, large = parts[:len(LIMB_UNITS)], parts[len(LIMB_UNITS):-1]
+    added = [p.cast("double") * F.lit(u) for p, u in zip(whole, units, strict=False)]
+    more = [F.coalesce(p.cast("double"), F.lit(0.0)) * F.lit(u) for p, u in zip(large, units[len(whole):], strict=True)]
+    small, big = added[-1], more[-1]
+    for x in reversed(added[:-1]):
+        small = small + x
+    for x in reversed(more[:-1]):
+        big = big + x
+    return small + big + F.coalesce(parts[-1], F.lit(0.0))
 
 
 def parts_total(prefix: str) -> Column:
     """The sum that the parts make, as a double."""
-    return _total(F.col(f"{prefix}_exact"), [F.col(f"{prefix}_bin{k}") for k in range(1, BINS + 1)], F.col(f"{prefix}_other"))
+    return _total([F.col(f"{prefix}_{p}") for p in SUM_PARTS])
 
 
 def exact_sum(value: Column | str, where: Column | None = None) -> Column:
     """Sum that neither depends on the order of the rows nor fails on huge values; NULL without any row (``where``: of those it holds for)."""
-    exact, other = exact_part(value), other_part(value)
-    if where is not None:       # rows outside are skipped, not added as zeros
-        exact, other = F.when(where, exact), F.when(where, other)
-    return _total(F.sum(exact), [F.sum(_binned(value, k)) for k in range(1, BINS + 1)], F.sum(other))
+    return _total(_sums(value, where))
 
 
 def round_half_up(value: Column | str, digits: int) -> Column:

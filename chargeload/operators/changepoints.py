@@ -7,7 +7,7 @@ nothing), so a session is fully described by the changes of its (rate, energy, c
 level at no more than 6 steps (see :func:`change_events`).
 
 Per (station, step) the deltas are summed (hash aggregation with map-side combine, in
-exact decimal arithmetic so +x and −x cancel exactly). The fleet's deltas are the sums of
+the whole-number limbs of ``functions.numbers``, so +x and −x cancel exactly). The fleet's deltas are the sums of
 the stations' deltas, as a group of their own, and one running sum per group turns deltas
 into levels. Only the stretches with ≥ 1 plugged-in session are expanded to steps, spread
 over the cluster. Work is O(sessions + output rows) instead of O(Σ session steps); a
@@ -15,8 +15,8 @@ group's window holds at most one row per grid step whatever the data volume, so
 station does not concentrate the raw data in one task.
 
 Sessions whose energies are beyond the exact range (huge, infinite) have no exact deltas;
-they are expanded step by step and added in the bins of ``functions.numbers``. Results equal the explode path
-(``LoadProfile.steps()`` + ``curves``) bit for bit up to 10^36.
+they are expanded step by step and added in the larger limbs of ``functions.numbers``. Results equal the explode path
+(``LoadProfile.steps()`` + ``curves``) bit for bit up to 10^27.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chargeload.functions.numbers import BIN, SUM_PARTS, exact_part, is_exact, merged_parts, parts_total, sum_parts
+from chargeload.functions.numbers import LARGE_PARTS, LIMB_PARTS, is_exact, limbs, merged_parts, parts_total, sum_parts
 from chargeload.operators.grid import _chunked_range, interval_hours, interval_micros
 from chargeload.operators.profile import LoadProfile
 from chargeload.operators.rows import attach_row
@@ -33,8 +33,12 @@ from chargeload.operators.rows import attach_row
 LONG_STRETCH = 4096
 
 
+#: Columns of a change: the number of sessions, and the limbs of load and energy.
+_SUMMED = ("dc", *[f"{n}_{p}" for n in ("load", "energy") for p in LIMB_PARTS])
+
+
 def change_events(profile: LoadProfile) -> DataFrame:
-    """(station_id, k, dr, de, dc): per session, the change of its (rate, energy, count)
+    """(station_id, k, dc, load and energy limbs): per session, the change of its (rate, energy, count)
     level at each step where that level can change.
 
     A session's level function L(k) is known in closed form (plugged in on [k0, k1];
@@ -42,11 +46,13 @@ def change_events(profile: LoadProfile) -> DataFrame:
     then nothing; the rate is energy / h, or the flat rate on the first ``span`` steps).
     It can only change at k0, a, a+full, a+full+1, a+span and k1+1, so each session
     emits L(p) − L(p−1) at those (distinct, clipped) positions — at most 6 rows, zero
-    changes dropped. Differences are taken in exact decimals, so they telescope to 0."""
+    changes dropped. Differences are of whole numbers, so they telescope to 0."""
     h = interval_hours(profile.interval_minutes)
     flat = profile.policy.flat_rate
 
     live = profile.phased().where(F.col("k1") >= F.col("k0")).where(in_exact_range())
+    if profile.deal and not profile.spread:
+        live = live.repartition("session_id")       # a small input; adaptive execution sizes the partitions
     s = live.select("station_id", "k0", "k1", (F.col("k0") + F.col("_a")).alias("a"), F.col("_full").alias("full"),
                     F.col("_rem").alias("rem"), F.col("_q").alias("q"), F.col("_span").alias("span"),
                     F.col("_flat").alias("flat"))
@@ -60,12 +66,7 @@ def change_events(profile: LoadProfile) -> DataFrame:
             rate = F.when(inside & (i >= 0) & (i < F.col("span")), F.col("flat")).otherwise(F.lit(0.0))
         else:
             rate = energy / F.lit(h)
-        return F.when(inside, 1).otherwise(0), exact_part(rate), exact_part(energy)
-
-    def delta(p: Column) -> Column:
-        c1, r1, e1 = level(p)
-        c0, r0, e0 = level(p - 1)
-        return F.struct(p.alias("k"), (r1 - r0).alias("dr"), (e1 - e0).alias("de"), (c1 - c0).alias("dc"))
+        return F.when(inside, 1).otherwise(0), rate, energy
 
     end = F.col("k1") + 1
     a_ = F.col("a")
@@ -73,8 +74,13 @@ def change_events(profile: LoadProfile) -> DataFrame:
     if flat:
         raw.append(a_ + F.col("span"))
     positions = F.array_distinct(F.array(*[F.least(F.greatest(p, F.col("k0")), end) for p in raw]))
-    ev = s.select("station_id", F.explode(F.transform(positions, delta)).alias("e")).select("station_id", "e.*")
-    return ev.where((F.col("dc") != 0) | (F.col("dr") != 0) | (F.col("de") != 0))
+    s = s.select("*", F.explode(positions).alias("k"))
+    now, before = level(F.col("k")), level(F.col("k") - 1)
+    s = s.select("station_id", "k", (now[0] - before[0]).alias("dc"), now[1].alias("r1"), before[1].alias("r0"), now[2].alias("e1"), before[2].alias("e0"))
+    s = s.where((F.col("dc") != 0) | (F.col("r1") != F.col("r0")) | (F.col("e1") != F.col("e0")))
+    changes = [(x - y).alias(f"{n}_{p}") for n, c in (("load", "r"), ("energy", "e"))
+               for p, x, y in zip(LIMB_PARTS, limbs(f"{c}1"), limbs(f"{c}0"), strict=True)]
+    return s.select("station_id", "k", "dc", *changes)
 
 
 def in_exact_range() -> Column:
@@ -84,25 +90,21 @@ def in_exact_range() -> Column:
 
 
 def levels(profile: LoadProfile) -> DataFrame:
-    """(fleet, station_id, step_index, load, energy, active) of every step with ≥ 1 session:
+    """(fleet, station_id, step_index, active, load and energy limbs) of every step with ≥ 1 session:
     for each station, and with ``fleet`` true for all stations together."""
-    station = change_events(profile).groupBy("station_id", "k").agg(
-        F.sum("dr").alias("dr"), F.sum("de").alias("de"), F.sum("dc").alias("dc"))
+    sums = [F.sum(c).alias(c) for c in _SUMMED]
+    station = change_events(profile).groupBy("station_id", "k").agg(*sums)
     both = station.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("fleet"))
     both = both.withColumn("station_id", F.when(~F.col("fleet"), F.col("station_id")))
-    agg = both.groupBy("fleet", "station_id", "k").agg(F.sum("dr").alias("dr"), F.sum("de").alias("de"),
-                                                       F.sum("dc").alias("dc"))
+    agg = both.groupBy("fleet", "station_id", "k").agg(*sums)
     w = Window.partitionBy("fleet", "station_id").orderBy("k")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lv = agg.select(
-        "fleet", "station_id", "k",
-        F.sum("dr").over(run).alias("load"), F.sum("de").over(run).alias("energy"),
-        F.sum("dc").over(run).alias("active"), F.lead("k").over(w).alias("k_next"),
-    ).where(F.col("active") > 0)
+    lv = agg.select("fleet", "station_id", "k", *[F.sum(c).over(run).alias(c) for c in _SUMMED], F.lead("k").over(w).alias("k_next"))
+    lv = lv.withColumnRenamed("dc", "active").where(F.col("active") > 0)
     # A stretch is expanded where it is. Only long ones (a wrong year, say) are first cut into chunks that are
     # dealt out anew; both branches read the same exchange.
     long = F.col("k_next") - F.col("k") > LONG_STRETCH
-    cols = ["fleet", "station_id", "step_index", "load", "energy", "active"]
+    cols = ["fleet", "station_id", "step_index", "active", *_SUMMED[1:]]
     here = lv.where(~long).select("*", F.explode(F.sequence(F.col("k"), F.col("k_next") - 1)).alias("step_index"))
     cut = _chunked_range(F.col("k"), F.col("k_next") - 1, LONG_STRETCH, "step_index", lv.where(long), ["fleet", "station_id"], profile.spread, deal=True)
     return here.select(*cols).unionByName(cut.select(*cols))
@@ -123,9 +125,8 @@ def load_timeseries(profile: LoadProfile) -> DataFrame:
     same content as ``curves.load_timeseries(profile.steps())``."""
     d = interval_micros(profile.interval_minutes)
     start = profile.bounds.select("start_us")
-    rows = levels(profile).withColumnsRenamed({"load": "load_exact", "energy": "energy_exact"})
-    none = {p: F.lit(None).cast(BIN) for p in SUM_PARTS if p.startswith("bin")} | {"other": F.lit(0.0)}
-    rows = rows.withColumns({f"{n}_{p}": c for n in ("load", "energy") for p, c in none.items()})
+    none = {p: F.lit(None).cast("bigint") for p in LARGE_PARTS} | {"other": F.lit(None).cast("double")}
+    rows = levels(profile).withColumns({f"{n}_{p}": c for n in ("load", "energy") for p, c in none.items()})
     if inexact_sessions(profile):
         rows = rows.unionByName(inexact_levels(profile)).groupBy("fleet", "station_id", "step_index").agg(
             *merged_parts("load"), *merged_parts("energy"), F.sum("active").alias("active"))
