@@ -55,3 +55,29 @@ def test_bounds_hold(seed):
     near = (aq.astype(float) * bq).sum(1) * as_ * bs
     bound = ae * bn + an * be + ae * be
     assert (np.abs(near - ann.cosines(a, b)) <= bound).all()
+
+
+def test_huge_and_tiny_components(spark):
+    base = [(0, [1.0, 2.0, -0.5]), (1, [2.0, 1.0, 0.25]), (2, [-1.0, 0.5, 3.0]), (3, [0.125, 0.125, 0.125]), (50, [1.0, 1.0, 1.0]), (51, [1.0, 2.0, -0.5])]
+    plain = found(spark.createDataFrame(base, "vec_id long, vector array<double>"))
+    for powers in ([664, -664, 0, 700, -700, 1000], [-1000, -1000, 900, 0, 664, -1]):
+        rows = [(i, [float(np.ldexp(x, p)) for x in v]) for (i, v), p in zip(base, powers, strict=True)]
+        assert found(spark.createDataFrame(rows, "vec_id long, vector array<double>")) == plain
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1e200, -1e-200])]
+    got = found(spark.createDataFrame(rows, "vec_id long, vector array<double>"))
+    assert [r[:3] for r in got] == [(0, 1, 1), (0, 2, 2)] and [r[3] for r in got] == pytest.approx([1.0, 0.5 ** 0.5])
+
+
+def test_vectors_travel_a_root_of_the_cells():
+    for n in (1, 10_000, 1_000_000, 10**9):
+        down, across = ann.grid(n, 1)
+        assert down * across >= n // ann.GROUP_ROWS and max(down, across) <= (n / ann.GROUP_ROWS) ** 0.5 + 1
+    assert ann.grid(100, 6) == (2, 3)
+
+
+def test_a_wide_grid_gives_the_same(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    want = found(df)
+    monkeypatch.setattr(ann, "GROUP_ROWS", 20)
+    monkeypatch.setattr(ann, "TILE", 7)
+    assert found(df) == want
