@@ -14,8 +14,10 @@ smaller id. Steps:
    document id owns them.
 4. Places owned by a smaller id return to their document as spans.
 
-Hashes only choose what is compared; equality is decided on bytes. Whole copies of a document
-with a smaller id are found by SHA-256 beforehand and go as one span.
+Windows are equal if their bytes are. Which segments of a flush are the same, and which row of an id a
+span belongs to, is told by 64-bit hashes of whole segments and texts. Whole copies of a document
+with a smaller id are found by SHA-256 beforehand and go as one span; other rows of the copy's id
+are treated like any other.
 
 Defined cases: null text is empty; rows with a null id neither own nor lose bytes; rows
 with one id never remove each other; texts shorter than `width` stay; other columns pass
@@ -449,9 +451,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, as_text: bool = False) -
     anchors = named.select("doc_id", "k", "text").mapInArrow(_anchor_rows(width, buckets), PACKED)
     shared = per_bucket(per_bucket(anchors, buckets, _shared_anchors(buckets), PACKED), buckets, _anchors_by_document, "doc_id bigint, anchors binary")
     by_id = named.repartition(buckets, "doc_id")
-    first = shared.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    # a row that is a whole copy sends nothing; other rows of its id do
+    first = shared.join(copies.groupBy("doc_id").agg(F.collect_set("k").alias("gone")), "doc_id", "left")
     # both joins read the same exchange of the texts: all its columns, by doc_id alone
-    sent = by_id.join(first, "doc_id").mapInArrow(_segment_rows(width, buckets), PACKED)
+    kept_rows = by_id.join(first, "doc_id").where(F.col("gone").isNull() | ~F.array_contains("gone", F.col("k"))).drop("gone")
+    sent = kept_rows.mapInArrow(_segment_rows(width, buckets), PACKED)
     spans = per_bucket(per_bucket(sent, buckets, _owned_spans(width, buckets), PACKED), buckets, _spans_by_document, "doc_id bigint, k bigint, spans binary")
     marks = spans.union(copies.select("doc_id", "k", F.lit(None).cast("binary"))).groupBy("doc_id").agg(F.collect_list(F.struct("k", "spans")).alias("marks"))
     joined = by_id.join(marks, "doc_id", "left")

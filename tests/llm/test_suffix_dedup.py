@@ -66,6 +66,19 @@ def test_against_brute_force_with_odd_rows(spark):
     assert found(df) == brute(rows)
 
 
+OTHER = "Quite another passage, of mills and rivers, that nobody but these few documents has ever used, to the letter. "
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, OTHER), (2, PASSAGE), (5, OTHER), (5, f"aa {PASSAGE} bb")],
+    [(1, OTHER), (5, OTHER), (5, f"aa {PASSAGE} bb"), (9, f"cc {PASSAGE} dd")],
+    [(1, OTHER), (5, OTHER), (5, OTHER), (5, PASSAGE), (7, PASSAGE), (7, OTHER), (7, OTHER + PASSAGE), (7, "q" + PASSAGE)],
+    [(4, PASSAGE), (4, PASSAGE), (4, OTHER), (6, OTHER + "x"), (6, PASSAGE)],
+])
+def test_a_copy_among_the_rows_of_an_id(spark, rows):
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_whole_small_table(documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     got = found(documents.select("doc_id", "text"))
