@@ -2,10 +2,12 @@
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each block has its word count and link
 density, those of the blocks before and after it, and what its open elements say (navigation and the like by tag or
-by class and id, an article, a heading). A decision tree, trained here on a small labelled table,
+by class and id, an article, a heading). An article, or an element named like one, ends the marks of the layout around it, but
+not those of comments, footers or asides; a form around the whole page marks nothing. A decision tree, trained here on a small labelled table,
 tells text from boilerplate; the blocks it keeps are joined in page order.
 
-Defined cases: null html is empty; a page without main text gives an empty string; unclosed and stray tags are
+Defined cases: null html is empty; a page without main text gives an empty string (one without any
+marks, links and longer texts gives all it has); a quote opens a value only after an equals sign; unclosed and stray tags are
 closed by what follows; broken character references stay as they are; repeated rows are extracted alike.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +29,18 @@ TEXT_TAGS = frozenset("article blockquote h1 h2 h3 h4 h5 h6 main ol p section ta
 CLOSED_BY_TEXT_TAGS = frozenset("svg math select button".split())
 VOID_TAGS = frozenset("area base col embed img input link meta param source track wbr".split())
 CONTAINERS = frozenset("address article aside blockquote body center details dialog dir div dl fieldset figure footer form header main menu nav ol section table tbody td th tr ul".split())
-BOILERPLATE_TAGS = frozenset("aside dialog dir fieldset footer form header menu nav".split())
+APART_TAGS = frozenset("aside dir footer menu nav".split())  # never part of an article, whatever stands in them
+FORM_TAGS = frozenset("fieldset form".split())  # some sites wrap the whole page in one
 ARTICLE_TAGS = frozenset(("article", "main"))
 BOILERPLATE_HINT = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|alert|banner|breadcrumbs?|byline|comments?|consent|cookies?|disqus|footer|gdpr|header|login|masthead|menu|meta|modal|nav|navbar|navigation|newsletter|notice|outbrain|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|sign-?up|skip|social|sponsor\w*|subscri\w*|tags?|teasers?|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])", re.I)
+# Parts that hold texts of their own, which an inner article does not free; and parts that also name layout: an inner content mark frees it.
+APART_HINT = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|comments?|disqus|footer|outbrain|recommend\w*|related|replies|reply|respond|sponsor\w*)(?:$|[\s_-])", re.I)
+SOFT_HINT = re.compile(r"(?:^|[\s_-])(?:sidebar|social|share|sharing|widget|header|masthead|toolbar|meta|complementary|login|search)(?:$|[\s_-])", re.I)
 # A name with one of these words tells how a wrapper looks or whether a part is open, not what the wrapper holds.
 LAYOUT_WORD = re.compile(r"(?:^|[_-])(?:has|have|with|without|no|not|is|are|show|hide|open|opened|closed|active|inactive|visible|hidden|enabled|disabled|on|off|sticky|fixed|layout|wrapper)(?:$|[_-])", re.I)
 ARTICLE_HINT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body-?text|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<skip>{RAW_TAGS})(?=[\s/>])(?:[^>]*[^>/])?>.*?(?:</(?P=skip)\s*>|\Z)|<(?P<tag>/?[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(?=[a-zA-Z/!?])[^>]*>?|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<skip>{RAW_TAGS})(?=[\s/>])(?:[^>]*[^>/])?>.*?(?:</(?P=skip)\s*>|\Z)|<(?P<tag>/?[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|<[!?/][^>]*>|<(?=[a-zA-Z/!?])[^>]*>?|[^<]+|<", re.S | re.I)
 _HINT_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boilerplate", "article", "heading", "words_unmarked")
@@ -87,43 +94,80 @@ LABELLED = (
 )
 
 
+class Marks(NamedTuple):
+    """What the elements around a text say of it."""
+
+    apart: int = 0  # 2: in a part with a text of its own; 1: in a notice or the like, which an inner article ends
+    wrappers: tuple[tuple[int, bool], ...] = ()  # marks that may wrap a whole page: (element, is it a soft name)
+    article: bool = False
+
+    @property
+    def boilerplate(self) -> bool:
+        return bool(self.apart or self.wrappers)
+
+
+NO_MARKS = Marks()
+
+
 class Block:
-    __slots__ = ("article", "boilerplate", "heading", "linked", "parts", "words")
+    __slots__ = ("boilerplate", "heading", "linked", "marks", "parts", "words")
 
-    def __init__(self, boilerplate: bool, article: bool, heading: bool):
+    def __init__(self, marks: Marks, heading: bool):
         self.parts: list[str] = []
         self.words = self.linked = 0
-        self.boilerplate, self.article, self.heading = boilerplate, article, heading
+        self.marks, self.boilerplate, self.heading = marks, marks.boilerplate, heading
+
+    @property
+    def article(self) -> bool:
+        return self.marks.article
 
 
-def _marks(tag: str, attrs: str, inside: tuple[bool, bool]) -> tuple[bool, bool]:
-    """(boilerplate, article) inside an element, from its own tag and names and from the element around it."""
-    boilerplate, article = inside
+def _marks(tag: str, attrs: str, inside: Marks, number: int) -> Marks:
+    """Marks inside an element, from its own tag and names and from the element around it."""
+    apart, wrappers, article = inside
     named = " ".join(a or b or c for a, b, c in _HINT_ATTRIBUTE.findall(attrs)) if attrs else ""
     names = [n for n in named.split() if not LAYOUT_WORD.search(n)] if named and tag not in ("html", "body") else []
     hinted = [n for n in names if BOILERPLATE_HINT.search(n)]
     article_named = any(ARTICLE_HINT.search(n) for n in names if n not in hinted)
     if tag in ARTICLE_TAGS:
-        if not article and not hinted:  # the marks of the page around a first article end with it; a comment in it keeps them
-            boilerplate = False
+        if not article and not hinted:  # the marks of the page around a first article end with it; comments and the like keep theirs
+            apart, wrappers = (apart if apart == 2 else 0), ()
         article = True
     elif tag == "header":
-        boilerplate = boilerplate or not article  # an article's own header holds its headline
-    elif tag in BOILERPLATE_TAGS:
-        boilerplate = True
+        apart = apart or int(not article)  # an article's own header holds its headline
+    elif tag in APART_TAGS:
+        apart = 2
+    elif tag == "dialog":
+        apart = apart or 1
+    elif tag in FORM_TAGS:
+        wrappers += ((number, False),)
     if hinted:
         if not article_named and not (tag in ARTICLE_TAGS or tag == "header" and article):
-            boilerplate = True
+            if any(APART_HINT.search(n) for n in hinted):
+                apart = 2
+            elif all(SOFT_HINT.search(n) for n in hinted):
+                wrappers += ((number, True),)
+            else:
+                apart = apart or 1
     elif article_named:
-        article = True
-    return boilerplate, article
+        article, wrappers = True, tuple(w for w in wrappers if not w[1])
+    return Marks(apart, wrappers, article)
+
+
+def _without_page_wrappers(blocks: list[Block]) -> None:
+    """A form or the like around all text of a page that is not marked otherwise says nothing of it."""
+    inner = [b.marks.wrappers for b in blocks if not b.marks.apart and not b.heading]
+    if len(inner) > 1 and all(inner):
+        whole = set(inner[0]).intersection(*inner[1:])
+        for b in blocks:
+            b.boilerplate = bool(b.marks.apart or set(b.marks.wrappers) - whole)
 
 
 def text_blocks(html: str) -> list[tuple[str, Block]]:
     """The text blocks of a page in order, with white space made single spaces."""
     out: list[Block] = []
-    open_: list[tuple[str, tuple[bool, bool]]] = []  # containers
-    leaf: tuple[bool, bool] | None = None  # marks of the open p, li, heading or the like
+    open_: list[tuple[str, Marks]] = []  # containers
+    leaf: Marks | None = None  # marks of the open p, li, heading or the like
     leaf_tag = ""
     inline: list[str] = []  # other elements open in the block
     skipped: list[str] = []  # an element without text of the page, and those open in it
@@ -135,8 +179,8 @@ def text_blocks(html: str) -> list[tuple[str, Block]]:
             if skipped:
                 continue
             if block is None:
-                around = leaf if leaf is not None else open_[-1][1] if open_ else (False, False)
-                block = Block(*around, heading)
+                around = leaf if leaf is not None else open_[-1][1] if open_ else NO_MARKS
+                block = Block(around, heading)
                 out.append(block)
             block.parts.append(token)
             if link:
@@ -178,12 +222,12 @@ def text_blocks(html: str) -> list[tuple[str, Block]]:
             if tag in CONTAINERS:
                 if not closing:
                     if not empty:
-                        open_.append((tag, _marks(tag, m.group("attrs"), open_[-1][1] if open_ else (False, False))))
+                        open_.append((tag, _marks(tag, m.group("attrs"), open_[-1][1] if open_ else NO_MARKS, m.start())))
                 elif any(t == tag for t, _ in open_):
                     while open_.pop()[0] != tag:
                         pass
             elif not closing:
-                leaf = _marks(tag, m.group("attrs"), open_[-1][1] if open_ else (False, False))
+                leaf = _marks(tag, m.group("attrs"), open_[-1][1] if open_ else NO_MARKS, m.start())
                 leaf_tag = tag
         elif tag not in VOID_TAGS:
             if closing and tag in inline:
@@ -197,6 +241,7 @@ def text_blocks(html: str) -> list[tuple[str, Block]]:
         if words:
             b.words = len(words)
             found.append((" ".join(words), b))
+    _without_page_wrappers([b for _, b in found])
     return found
 
 
@@ -259,6 +304,8 @@ def main_text(html: str, tree) -> tuple[str, int, int]:
     words = np.array([b.words for _, b in blocks], float)
     linked = np.minimum(np.array([b.linked for _, b in blocks], float), words)
     keep = classify(tree, features(words, linked, np.array([[b.boilerplate, b.article, b.heading] for _, b in blocks], float)))
+    if words.max() < 12 and not linked.any() and not any(b.boilerplate or b.article for _, b in blocks):
+        keep[:] = True  # a page without marks, links and longer texts: all there is
     return "\n\n".join(t for (t, _), k in zip(blocks, keep, strict=True) if k), len(blocks), int(keep.sum())
 
 

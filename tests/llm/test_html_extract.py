@@ -100,3 +100,44 @@ def test_elements_without_text_end_where_they_end(thing):
 def test_custom_elements_are_not_skipped():
     assert text(f"<article><button-group><p>{PARAGRAPH}</p></button-group><template-card>{PARAGRAPH}</template-card></article>") == f"{PARAGRAPH}\n\n{PARAGRAPH}"
     assert text(f"<article><p>{PARAGRAPH}<button>Share <b>it</b></button><svg><text>x</text></svg> End.</p></article>") == f"{PARAGRAPH} End."
+
+
+LONG = " ".join([PARAGRAPH] * 3)
+
+
+@pytest.mark.parametrize("tag", ["<img alt=Don't src=x>", "<img alt='a>b' src=x>", "<img alt=5\" src=x>", "<a href=/x title=it's>", "<img alt = \"it's\">"])
+def test_a_quote_opens_a_value_only_after_an_equals_sign(tag):
+    page = f"<article><p>{PARAGRAPH}</p><p>{tag} {PARAGRAPH} It's late.</p><p>{PARAGRAPH} \"So be it.\"</p></article>"
+    assert text(page) == f"{PARAGRAPH}\n\n{PARAGRAPH} It's late.\n\n{PARAGRAPH} \"So be it.\""
+
+
+def test_unclosed_values_take_linear_time():
+    assert text("<article><p>" + PARAGRAPH + "</p>" + "<a b=\"c\" " * 20_000) == PARAGRAPH
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='social'><div class='content'>{}</div></div>", "<form action=/x id=aspnetForm>{}</form>", "<form><div><div class='widget'>{}</div></div></form>",
+                                     "<div class=sidebar><div class='post-body entry'>{}</div></div>", "<div class=header><section class=main>{}</section></div>", "<form><nav><a href=/>Home</a></nav>{}<footer>All rights lie with the paper.</footer></form>"])
+def test_wrappers_of_a_page_without_an_article_element(wrapper):
+    body = f"<h1>The flood</h1><p>{PARAGRAPH}</p><p>{LONG}</p><p>{PARAGRAPH} Again.</p>"
+    nav = "<nav><ul><li><a href=/>Home</a><li><a href=/x>News of the day</a></ul></nav>"
+    assert text(f"<body>{nav}{wrapper.format(body)}</body>") == f"The flood\n\n{PARAGRAPH}\n\n{LONG}\n\n{PARAGRAPH} Again."
+
+
+@pytest.mark.parametrize("place", ["<div id='comments'>{}</div>", "<section class='reader-comments'>{}</section>", "<aside>{}</aside>", "<footer>{}</footer>", "<div class='related'>{}</div>"])
+@pytest.mark.parametrize("inner", ["<article><p>{0}</p></article>", "<div class='content'><p>{0}</p></div>", "<main><div class=text><p>{0}</p></div></main>", "<form><article class=entry><p>{0}</p></article></form>"])
+@pytest.mark.parametrize("main", ["<article><h1>The flood</h1><p>{0}</p></article>", "<h1>The flood</h1><p>{0}</p><p>{0} Again.</p>"])
+def test_comments_and_the_like_stay_out_whatever_stands_in_them(place, inner, main):
+    own = main.format(LONG)
+    want = text(f"<body>{own}</body>")
+    assert want.startswith("The flood")
+    assert text(f"<body>{own}{place.format(inner.format(LONG + ' I was there.'))}</body>") == want
+
+
+def test_short_pages():
+    assert text("<p>Hello world</p>") == "Hello world" and text("<body><h1>Hello</h1><p>Small world</p></body>") == "Hello\n\nSmall world"
+    assert text("<p><a href=/>Home</a></p><p><a href=/x>News</a></p>") == "" and text("<nav>Home News</nav>") == ""
+
+
+def test_forms_and_notices_beside_the_text_go():
+    page = f"<body><h1>The flood</h1><p>{LONG}</p><p>{PARAGRAPH}</p><form><div class='form-text'>{PARAGRAPH}</div></form><div class='cookie-notice'><div class='content'>{PARAGRAPH}</div></div></body>"
+    assert text(page) == f"The flood\n\n{LONG}\n\n{PARAGRAPH}"
