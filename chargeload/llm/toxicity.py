@@ -1,19 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers read the words of a clause as symbols and rewrite them: negation marks insults and
+Small transducers read the words of a clause as symbols and rewrite them: insult turns words with an insulting stem into insults,
+strong ones after a word of degree; negation marks insults and
 threats in its scope, reported speech marks those that a verb of saying introduces, target
 marks those that a pronoun aims at someone, and threat turns a verb of harm before a target into a threat.
 They are composed once into a single deterministic machine. What it emits is scored clause by clause: a match weighs its
 stem's log-odds among labelled texts, times the weight of its kind (its log-odds, relative to the strongest kind); a text's
 features are the weights of its heaviest clause and of all clauses, and a logistic curve fitted to the labels turns them into a score.
 
-Insult stems are learned too: beginnings of words whose labelled texts are mostly toxic, each as long
-as it keeps these texts, added to a short fixed list. Learning reads at most `train_rows` labelled texts (those with the
-least hashes of their ids) and keeps at most `max_stems` stems; scoring covers every whole text. Tasks find stems by the hashes of
+Insult stems are learned too: the shortest beginnings of words whose labelled texts are mostly toxic, made longer (to all
+their good branches) while together these keep 99 in 100 of those texts, added to a short fixed list. Learning reads at most `train_rows` labelled texts (those with the
+least hashes of their ids) and keeps at most `max_stems` stems, the most frequent after that reduction; scoring covers every whole text. Tasks find stems by the hashes of
 word beginnings and run the machine on the clauses that hold one.
 
 Defined cases: null and blank texts have no clause and get the score of a text without matches; repeated rows are
-scored alike; without labels of both kinds the fixed stems and a fixed curve apply.
+scored alike; rows without id are not held out; an id with several texts is trained on the least of them; without labels of both kinds the fixed stems and a fixed curve apply.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from .textblocks import prefix_sums, span_hash, utf8_blocks, words
 
 TRAIN_ROWS, MAX_STEMS = 20_000, 4_000
 STEM_LENGTHS = tuple(range(3, 9))
-MIN_TEXTS, MIN_SHARE = 12, 0.75  # labelled texts with a stem, and the share of them that is toxic
+MIN_TEXTS, MIN_SHARE = 6, 0.75  # labelled texts with a stem, and the share of them that is toxic
+KEPT = 0.99  # share of a stem's toxic texts that its longer branches keep together
 THRESHOLD = 0.7
 SEED_WEIGHT = 4.0  # log-odds of a stem that no label speaks of
 
@@ -42,10 +44,13 @@ HARM = "kill hurt destroy strangle stab beat punish töte vernichte schlage tuer
 NEGATIONS = frozenset("not never no isn't aren't don't nicht kein keine niemals pas jamais nunca jamás".split())
 REPORTS = frozenset("said says called claimed quoted wrote sagte nannte schrieb dit disait écrivit dijo llamó escribió".split())
 TARGETS = frozenset("you your he she they this these du dich ihr sie dieser tu toi vous ce cette tú usted eres este esta".split())
+DEGREES = frozenset("very so such total totally absolute absolutely complete utter utterly damn bloody sehr total totaler völlig verdammt absolut très vraiment complètement sacré muy tan totalmente absolutamente maldito".split())
 _CLAUSE_END = re.compile(r"[.!?;:]\W*$")
 
-NEGATION, REPORT, TARGET, INSULT, VERB, OTHER = "negation", "report", "target", "insult", "harm", "other"
-KINDS = ("insult", "insult at target", "negated", "reported", "threat")
+NEGATION, REPORT, TARGET, STEM, DEGREE, VERB, OTHER = "negation", "report", "target", "stem", "degree", "harm", "other"
+INSULT, STRONG, AIMED, THREAT = "insult", "strong insult", "insult at target", "threat"
+KINDS = (INSULT, STRONG, AIMED, "negated", "reported", THREAT)
+SYMBOLS = (NEGATION, REPORT, TARGET, STEM, DEGREE, VERB, OTHER)
 _SCOPE = 3  # words that a negation or a verb of harm reaches
 
 
@@ -66,26 +71,36 @@ def _scope(opener: str, marked: dict[str, str], n: int) -> Transducer:
     return Transducer(n + 1, arcs, {k: max(k - 1, 0) for k in range(n + 1)})
 
 
+def insult() -> Transducer:
+    """A word with an insulting stem is an insult, up to two words after a word of degree a strong one; the next in a row of them too."""
+    arcs = {(k, DEGREE): (2, DEGREE) for k in range(3)} | {(0, STEM): (0, INSULT)} | {(k, STEM): (2, STRONG) for k in (1, 2)}
+    return Transducer(3, arcs, {0: 0, 1: 0, 2: 1})
+
+
 def threat() -> Transducer:
     """A target up to `_SCOPE` words after a verb of harm is the object of a threat."""
-    return _scope(VERB, {TARGET: "threat"}, _SCOPE)
+    return _scope(VERB, {TARGET: THREAT}, _SCOPE)
 
 
 def target() -> Transducer:
     """A target earlier in the clause aims the insults after it."""
-    return Transducer(2, {(0, TARGET): (1, TARGET), (1, INSULT): (1, "insult at target")}, {0: 0, 1: 1})
+    return Transducer(2, {(0, TARGET): (1, TARGET), (1, INSULT): (1, AIMED), (1, STRONG): (1, AIMED)}, {0: 0, 1: 1})
 
 
 def negation() -> Transducer:
-    return _scope(NEGATION, {INSULT: "negated", "insult at target": "negated", "threat": "negated"}, _SCOPE)
+    return _scope(NEGATION, {k: "negated" for k in (INSULT, STRONG, AIMED, THREAT)}, _SCOPE)
 
 
 def reported() -> Transducer:
     """After a verb of saying, the rest of the clause is someone else's speech."""
-    marks = {(1, a): (1, "reported") for a in (INSULT, "insult at target", "threat")}
+    marks = {(1, a): (1, "reported") for a in (INSULT, STRONG, AIMED, THREAT)}
     return Transducer(2, {(0, REPORT): (1, REPORT)} | marks, {0: 0, 1: 1})
 
 
+#: In the order in which they read: each what the one before it emits.
+PARTS = (insult, threat, target, negation, reported)
+
+
 def compose(a: Transducer, b: Transducer, symbols: Iterable[str]) -> Transducer:
     """The transducer that passes what `a` emits to `b`."""
     arcs = {}
@@ -99,11 +114,10 @@ def compose(a: Transducer, b: Transducer, symbols: Iterable[str]) -> Transducer:
 
 
 def grammar() -> Transducer:
-    symbols = (NEGATION, REPORT, TARGET, INSULT, VERB, OTHER)
-    out = compose(threat(), target(), symbols)
-    for part in (negation(), reported()):
-        out = compose(out, part, symbols)
-    return out
+    first, *rest = [part() for part in PARTS]
+    for part in rest:
+        first = compose(first, part, SYMBOLS)
+    return first
 
 
 def clause_matches(machine: Transducer, symbols: list[str]) -> list[tuple[int, str]]:
@@ -159,12 +173,12 @@ class Lexicon:
             for n in range(min(len(word) - run.start(), self.longest), 0, -1):
                 s = word[run.start(): run.start() + n]
                 if s in self.weight:
-                    return (VERB if s in self.harm else INSULT), self.weight[s]
+                    return (VERB if s in self.harm else STEM), self.weight[s]
         return next((known for run in runs if (known := self._closed(run.group()))), OTHER), 0.0
 
     @staticmethod
     def _closed(word: str) -> str | None:
-        return NEGATION if word in NEGATIONS else REPORT if word in REPORTS else TARGET if word in TARGETS else None
+        return NEGATION if word in NEGATIONS else REPORT if word in REPORTS else TARGET if word in TARGETS else DEGREE if word in DEGREES else None
 
 
 _RUN = re.compile(r"[^\W_]+")
@@ -277,7 +291,7 @@ class Model:
 
 
 def default_model() -> Model:
-    return Model({s: SEED_WEIGHT for s in INSULTS}, {"insult": 0.8, "insult at target": 1.0, "negated": 0.3, "reported": 0.3, "threat": 1.0}, (-3.0, 1.5, 1.5))
+    return Model({s: SEED_WEIGHT for s in INSULTS}, {INSULT: 0.8, STRONG: 1.0, AIMED: 1.0, "negated": 0.3, "reported": 0.3, THREAT: 1.0}, (-3.0, 1.5, 1.5))
 
 
 def learned_stems(texts: DataFrame, prior: float, max_stems: int = MAX_STEMS) -> dict[str, float]:
@@ -288,15 +302,28 @@ def learned_stems(texts: DataFrame, prior: float, max_stems: int = MAX_STEMS) ->
     stem = F.explode(F.transform(F.array(*[F.lit(n) for n in STEM_LENGTHS]), lambda n: F.substring("word", F.lit(1), n))).alias("stem")
     by_stem = by_word.select(stem, "word", "toxic", "n").distinct().groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     good = by_stem.where((F.length("stem") >= STEM_LENGTHS[0]) & (F.col("toxic") >= MIN_TEXTS) & (F.col("toxic") >= MIN_SHARE * F.col("n")))
-    rows = {r.stem: r for r in good.orderBy(F.col("toxic").desc(), "stem").limit(max_stems).collect()}
-    out: dict[str, float] = {}
-    for stem in sorted(rows, key=lambda s: (len(s), s)):
-        if any(stem[:n] in rows for n in range(1, len(stem))):
+    # stems of at least MIN_TEXTS of at most `train_rows` texts
+    return reduced_stems({r.stem: (int(r.toxic), int(r.n)) for r in good.collect()}, prior, max_stems)
+
+
+def reduced_stems(good: dict[str, tuple[int, int]], prior: float, max_stems: int) -> dict[str, float]:
+    """The shortest good beginnings, each replaced by all its good branches while these keep `KEPT` of its toxic texts; at most `max_stems`."""
+    branches: dict[str, list[str]] = {}
+    for s in good:
+        branches.setdefault(s[:-1], []).append(s)
+    chosen: list[str] = []
+    for root in good:
+        if any(root[:n] in good for n in range(1, len(root))):
             continue
-        while longer := [s for s in rows if len(s) == len(stem) + 1 and s.startswith(stem) and rows[s].toxic >= 0.95 * rows[stem].toxic]:
-            stem = longer[0]
-        out[stem] = float(np.log((rows[stem].toxic + 0.5) / (rows[stem].n - rows[stem].toxic + 0.5)) + prior)
-    return out
+        front = [root]
+        while True:
+            longer = [b for s in front for b in branches.get(s, [s] if len(s) < max(map(len, front)) else [])]
+            if not longer or longer == front or sum(good[s][0] for s in longer) < KEPT * good[root][0]:
+                break
+            front = longer
+        chosen += front
+    chosen.sort(key=lambda s: (-good[s][0], s))
+    return {s: float(np.log((good[s][0] + 0.5) / (good[s][1] - good[s][0] + 0.5)) + prior) for s in chosen[:max_stems]}
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
@@ -317,7 +344,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     # at most train_rows ids
-    texts = staged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]), "training-texts")
+    texts = staged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "training-texts")
     n_toxic, n_all = texts.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     if not n_toxic or n_toxic == n_all:
         return default_model()
@@ -328,6 +355,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_
     by = {r.toxic: r for r in counts}
     n = {1: n_toxic, 0: n_all - n_toxic}
     weights = {kind: float(np.log(((by[1][f"k{k}"] if 1 in by else 0) + 0.5) / (n[1] + 1)) - np.log(((by[0][f"k{k}"] if 0 in by else 0) + 0.5) / (n[0] + 1))) for k, kind in enumerate(KINDS)}
+    for k in (STRONG, AIMED):  # where labels say little of them, no less than of any insult
+        weights[k] = max(weights[k], weights[INSULT])
     strongest = max(max(weights.values()), 1e-9)
     weights = {k: max(w, 0.0) / strongest for k, w in weights.items()}
     first = Model(stems, weights, (0.0, 1.0, 0.0))
@@ -352,6 +381,6 @@ def _features(model):
 def score_texts(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """(doc_id, held_out, score, n_clauses, predicted) of every row of `docs` (doc_id bigint, text string)."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out.alias("held_out"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     out = rows.mapInArrow(_scored(model), "doc_id bigint, held_out boolean, score double, n_clauses bigint")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

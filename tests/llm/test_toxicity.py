@@ -27,6 +27,12 @@ def kinds(clause):
     ("idiots everywhere", ["insult"]),
     ("\"schwachkopf\"", ["insult"]),
     ("a quiet day", []),
+    ("such an utter idiot", ["strong insult"]),
+    ("so very much of an idiot", ["insult"]),
+    ("total idiot idiot", ["strong insult", "strong insult"]),
+    ("you are so stupidly an idiot", ["insult at target"]),
+    ("not such an idiot", ["negated"]),
+    ("he said such an idiot", ["reported"]),
 ])
 def test_clauses(clause, want):
     if clause == "she said kill them":
@@ -37,9 +43,8 @@ def test_clauses(clause, want):
 def test_composition_equals_the_parts_in_a_row():
     import itertools
 
-    symbols = (tx.NEGATION, tx.REPORT, tx.TARGET, tx.INSULT, tx.VERB, tx.OTHER)
-    parts = (tx.threat(), tx.target(), tx.negation(), tx.reported())
-    for clause in itertools.product(symbols, repeat=4):
+    parts = [part() for part in tx.PARTS]
+    for clause in itertools.product(tx.SYMBOLS, repeat=4):
         out = list(clause)
         for p in parts:
             state, passed = 0, []
@@ -50,6 +55,68 @@ def test_composition_equals_the_parts_in_a_row():
         assert tx.clause_matches(MACHINE, list(clause)) == [(i, s) for i, s in enumerate(out) if s in tx.KINDS]
 
 
+def test_stems_are_reduced_before_any_limit():
+    good = {"abc": (100, 110), "abcd": (60, 61), "abce": (40, 41), "abcdx": (30, 30), "xyz": (50, 60), "xyza": (45, 46), "xyzab": (45, 45), "pqr": (20, 20), "pqrs": (20, 20)}
+    got = tx.reduced_stems(good, 0.0, 10)
+    assert list(got) == ["abcd", "xyz", "abce", "pqrs"]  # both branches of abc; a branch of xyz would lose a tenth of its texts
+    assert list(tx.reduced_stems(good, 0.0, 2)) == ["abcd", "xyz"] and tx.reduced_stems({}, 0.0, 5) == {}
+    many = {w[:n]: (50, 50) for w in (f"{chr(97 + i)}toxic{i:02d}" for i in range(20)) for n in range(3, 9)}
+    assert len(tx.reduced_stems(many, 0.0, 20)) == 20  # each once, though its beginnings are six times as many
+
+
+def brute_score(text, model):
+    """Clause by clause with the transducers in a row, in plain Python."""
+    import math
+    import re
+
+    lexicon, low = tx.Lexicon(model.stems), (text or "").lower()
+    found = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", low)]
+    clauses, clause = [], []
+    for i, (_, end, word) in enumerate(found):
+        clause.append(word)
+        gap = low[end: found[i + 1][0]] if i + 1 < len(found) else ""
+        if i + 1 == len(found) or word[-1] in ".!?;:" or len(word.encode()) > 1 and re.search(r"[.!?;:]\W*$", word) or "\n" in gap:
+            clauses.append(clause)
+            clause = []
+    sums = []
+    for words in clauses:
+        known = [lexicon.symbol(w) for w in words]
+        out = [k for k, _ in known]
+        for part in tx.PARTS:
+            machine, state = part(), 0
+            for j, symbol in enumerate(out):
+                state, out[j] = machine.step(state, symbol)
+        hits = [model.weights[k] * (known[j][1] or tx.SEED_WEIGHT) for j, k in enumerate(out) if k in tx.KINDS]
+        if hits:
+            sums.append(sum(hits))
+    x = (math.log1p(max(sums)), math.log1p(sum(sums))) if sums else (0.0, 0.0)
+    return 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * x[0] + model.curve[2] * x[1]))), len(sums)
+
+
+def test_scores_against_a_plain_scorer(documents, labels):
+    """Every given text, and texts of the grammar's own words in any order."""
+    import random
+
+    rng = random.Random(8)
+    vocabulary = ["you", "not", "said", "idiot", "idiots,", "stupid.", "kill", "very", "such", "a", "day", "don't", "he:", "moron!", "\n", "«scum»", "töte", "dich", "x.)", "…", "-", "total-idiot"]
+    docs = documents.select("doc_id", "text").unionByName(documents.sparkSession.createDataFrame(
+        [(10_000 + i, rng.choice([" ", "  ", "\n"]).join(rng.choices(vocabulary, k=rng.randint(1, 30)))) for i in range(400)] + [(None, None), (None, "you idiot")], "doc_id long, text string"))
+    model = tx.train(documents, labels.select("doc_id", "toxic"))
+    for m in (model, tx.default_model()):
+        got = sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 9), r.n_clauses) for r in tx.score_texts(docs, m, F.lit(None).cast("boolean")).collect())
+        want = []
+        for r in docs.collect():
+            score, n = brute_score(r.text, m)
+            want.append((r.doc_id is None, r.doc_id or 0, round(score, 9), n))
+        assert got == sorted(want)
+
+
+def test_rows_without_id_are_not_held_out(spark):
+    docs = spark.createDataFrame([(None, "a"), (3, "b")], "doc_id long, text string")
+    got = tx.score_texts(docs, tx.default_model(), crc32_mod(F.col("doc_id"), 3) == 1).collect()
+    assert {r.doc_id: r.held_out for r in got}[None] is False
+
+
 def training(spark):
     rows, labels = [], []
     for i in range(400):
@@ -100,7 +167,7 @@ def test_held_out_accuracy(spark):
     n = tx.score_texts(docs, model, rest == 1).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
     n = {(r.toxic, r.predicted): r["count"] for r in n}
     assert n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) > 0.95
-    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.8
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.9
 
 
 @pytest.mark.parametrize("word", ["¡idiota!", "«idiot»", "“idiot”", "„Idiot“", "l'idiot", "l’idiot", "you/idiot", "total-idiot", "****idiot", "_idiot_", "—idiot—"])
@@ -108,7 +175,7 @@ def test_stems_begin_at_any_run_of_letters(spark, word):
     docs = spark.createDataFrame([(1, f"One day he wrote {word} on it."), (2, "xidiot, 9idiot: a fine day"), (3, "idiot")], "doc_id long, text string")
     got = {r.doc_id: r.n_clauses for r in tx.score_texts(docs, tx.default_model(), F.lit(False)).collect()}
     assert got == {1: 1, 2: 0, 3: 1}
-    assert LEXICON.symbol(word.lower())[0] == tx.INSULT
+    assert LEXICON.symbol(word.lower())[0] == tx.STEM
 
 
 def test_closed_classes_between_marks():
