@@ -24,7 +24,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, without
+from .common import WORD, staged, without
 
 LEVELS = ("domain", "lang", "source")
 WEIGHTS: dict[str, dict[str, int]] = {
@@ -83,6 +83,7 @@ def select_epochs(docs: DataFrame, budget: Column | None = None, domain: Column
     """One row per selected document and epoch of `docs` (doc_id, text, lang, source): doc_id, domain, lang, source, n_tokens, epoch (from 0)."""
     names = {f: F.coalesce(c, F.lit("")) for f, c in (("domain", source_domain() if domain is None else domain), ("lang", F.col("lang")), ("source", F.col("source")))}
     items = docs.select("doc_id", *[c.alias(n) for n, c in names.items()], F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("n_tokens")).where("n_tokens > 0")
+    items = staged(items, "mixing-items")  # texts are read once; the leaves' sums and the selection read this
     leaves = items.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     granted = leaf_budgets(leaves, F.expr("total div 5 * 4") if budget is None else budget, max_epochs, weights)
     granted = granted.select(*LEVELS, F.expr("granted div tokens").alias("whole"), F.expr("granted % tokens").alias("rest"))

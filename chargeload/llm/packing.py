@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, staged
 from .packed import bucket_count
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -105,6 +105,7 @@ def pack_texts(docs: DataFrame, lengths: Sequence[int] = LENGTHS, n_tokens: Colu
     length and contents. `n_tokens` overrides the word count."""
     groups = bucket_count(docs.sparkSession)
     counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)) if n_tokens is None else n_tokens, F.lit(0)).cast("bigint").alias("n_tokens"))
+    counted = staged(counted, "packing-counts")  # texts are read once, for both branches
     dealt = counted.select("*", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(groups)).cast("int").alias("grp")).repartitionById(groups, F.col("grp"))
     # blank texts take no room
     packed = dealt.where("n_tokens > 0").mapInArrow(_packed_rows(tuple(lengths), groups), SCHEMA)
