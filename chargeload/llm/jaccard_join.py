@@ -1,11 +1,15 @@
-"""Near-copy join: word n-gram Jaccard similarity by MinHash bands and exact verification.
+"""Near-copy join: word n-gram Jaccard similarity by a MinHash LSH forest and exact verification.
 
 1. Each text becomes the set of its windows of `width` words. Documents with equal sets form
    one class, which travels on as one row.
-2. A class has `trees` labels of `depth` min-hashes. Classes that share the first min-hashes of a label meet. Their number
-   is fixed by the parameters: the longest at which a pair at the threshold meets in some label with probability `recall`.
-3. Classes of one meeting are compared by their whole signatures; pairs whose estimate
-   lies within five standard errors of the threshold link them. Large meetings are compared in pairs of
+2. A class has `trees` labels of `depth` min-hashes, one for each tree of the forest. A tree is a prefix trie of its labels,
+   kept as the sorted list of the labels: a node is a run of labels with a common prefix. Pairs are matched at whole labels first, then at
+   prefixes shorter by one hash, and so on. Shortening ends for the forest at the prefix at which a pair at the threshold meets
+   in some tree with probability `recall` (`prefix_length`), and for a node before that, as soon as its classes are linked
+   with each other already. Nodes of that shortest prefix are the groups that Spark brings together; the trie below them is
+   the order of the rows in their task.
+3. Matched classes are compared by their whole signatures; pairs whose estimate
+   lies within five standard errors of the threshold link them. Large nodes are compared in pairs of
    blocks, so that no task holds more than two blocks.
 4. Linked classes fetch their texts once, and all pairs of a linked component are verified on their
    exact window sets, again in pairs of blocks. Only counts and a spanning forest leave a task.
@@ -26,13 +30,13 @@ from .components import connected_components
 from .textblocks import mix, prefix_sums, span_hash, utf8_blocks, word_windows, words
 
 WIDTH, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 20, 5, 0.9999
+TREES, DEPTH, RECALL = 20, 6, 0.9999
 BLOCK = 1024  # classes in one block of a large group
 PAIRS = 200_000  # pairs of signatures compared at once
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with probability `recall`."""
+    """Shorten from whole labels on until a pair at the threshold meets in some tree with probability `recall`."""
     for k in range(depth, 0, -1):
         if 1 - (1 - threshold**k) ** trees >= recall:
             return k
@@ -158,28 +162,52 @@ def _small_pairs(starts: np.ndarray, sizes: np.ndarray):
     return (np.concatenate(i), np.concatenate(j)) if i else (np.zeros(0, np.int64),) * 2
 
 
-def _likely_links(least_equal: int):
+def match_by_level(sig: np.ndarray, label: np.ndarray, labels: np.ndarray, pairs, least_equal: int) -> tuple[np.ndarray, int]:
+    """Link the members of trie nodes, longest common prefix first; returns the link classes and how many signatures were compared.
+
+    `label` holds the hashes of each row's label below the nodes' own prefix; `pairs` gives (i, j) pieces of the pairs within nodes.
+    At each level only pairs whose labels part there meet, and of them those that longer prefixes have not linked yet."""
+    compared = 0
+    for level in range(label.shape[1], -1, -1):
+        for i, j in pairs():
+            same = label[i, :level] == label[j, :level]
+            meet = same.all(1)
+            if level < label.shape[1]:
+                meet &= label[i, level] != label[j, level]
+            i, j = i[meet], j[meet]
+            # first one pair of each two classes, then what these have not linked
+            for some in (True, False):
+                open_ = labels[i] != labels[j]
+                i, j = i[open_], j[open_]
+                at = np.unique(labels[i] * len(sig) + labels[j], return_index=True)[1] if some else np.arange(len(i))
+                near = (sig[i[at]] == sig[j[at]]).sum(1) >= least_equal
+                compared += len(at)
+                labels = _join_labels(labels, i[at][near], j[at][near])
+        if (labels == labels[0]).all():  # nothing is left to link: no need of shorter prefixes
+            break
+    return labels, compared
+
+
+def _likely_links(least_equal: int, depth: int, use: int):
     def run(batches):
         for part, edges in whole_groups(batches, ["key", "tree", "lo", "hi"]):
             ids, side = part.column("class_id").to_numpy(), part.column("side").to_numpy()
             cross = part.column("lo").to_numpy() != part.column("hi").to_numpy()
-            raw = part.column("sig").combine_chunks()
-            sig = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(ids), -1)
+            sig = np.frombuffer(b"".join(part.column("sig").combine_chunks().to_pylist()), np.uint8).reshape(len(ids), -1)
+            below = part.column("tree").to_numpy()[:, None] * depth + np.arange(use, depth)
+            label = np.take_along_axis(sig, below, 1)
             labels = np.arange(len(ids))
             size = np.diff(edges)
             small = (size <= 32) & ~cross[edges[:-1]]
             many_i, many_j = _small_pairs(edges[:-1][small], size[small])
-            pieces = [(many_i[k: k + PAIRS], many_j[k: k + PAIRS]) for k in range(0, len(many_i), PAIRS)]
-            for i, j in pieces:
-                near = (sig[i] == sig[j]).sum(1) >= least_equal
-                labels = _join_labels(labels, i[near], j[near])
+            if len(many_i):  # many small nodes side by side
+                labels, _ = match_by_level(sig, label, labels, lambda: ((many_i[k: k + PAIRS], many_j[k: k + PAIRS]) for k in range(0, len(many_i), PAIRS)), least_equal)
             for g in np.flatnonzero(~small):
-                at, end = int(edges[g]), int(edges[g + 1])
-                if cross[at] and len(np.unique(side[at:end])) < 2:
+                s = slice(int(edges[g]), int(edges[g + 1]))
+                if cross[s.start] and len(np.unique(side[s])) < 2:
                     continue
-                for i, j in _pair_blocks(side[at:end], bool(cross[at])):
-                    near = (sig[at + i] == sig[at + j]).sum(1) >= least_equal
-                    labels = _join_labels(labels, at + i[near], at + j[near])
+                own, _ = match_by_level(sig[s], label[s], np.arange(s.stop - s.start), lambda s=s: _pair_blocks(side[s], bool(cross[s.start])), least_equal)
+                labels = _join_labels(labels, np.arange(s.start, s.stop), s.start + own)
             moved = np.flatnonzero(labels != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved], pa.int64()), pa.array(ids[labels[moved]], pa.int64())], names=["u", "v"])
 
@@ -273,7 +301,9 @@ def near_copies(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOL
     below = nodes.join(sizes, ["tree", "key"]).join(classes.select("class_id", "sig"), "class_id")
     dealt = in_block_pairs(below, ["tree", "key"], "class_id", F.col("size"), BLOCK)
     order = ["key", "tree", "lo", "hi"]
-    links = dealt.select(*order, "side", "class_id", "sig").repartition(*order).sortWithinPartitions(*order).mapInArrow(_likely_links(least_equal), "u bigint, v bigint")
+    # a node's rows in the order of their labels: the trie below the shortest prefix
+    label = F.substring("sig", F.col("tree") * depth + use + 1, depth - use)
+    links = dealt.select(*order, "side", "class_id", "sig").repartition(*order).sortWithinPartitions(*order, label).mapInArrow(_likely_links(least_equal, depth, use), "u bigint, v bigint")
     likely = staged(connected_components(links).withColumnRenamed("node", "class_id"), "likely")
     members = likely.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     candidates = likely.join(members, "component").join(classes.select("class_id", "copies"), "class_id")

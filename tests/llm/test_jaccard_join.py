@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from chargeload.llm import jaccard_join as jj
@@ -67,6 +68,26 @@ def test_prefix_is_shortened_until_the_recall_holds():
         assert 1 - (1 - 0.8**k) ** 20 >= r
 
 
+def test_tries_match_level_by_level():
+    """All pairs that meet and are near end in one class, though deeper links spare most of the comparisons."""
+    rng = np.random.default_rng(2)
+    heads = rng.integers(0, 256, (3, 40)).astype(np.uint8)
+    sig = heads[rng.integers(0, 3, 400)]
+    noise = rng.random(sig.shape) < 0.05
+    sig[noise] = rng.integers(0, 256, noise.sum())
+    label = sig[:, :3]
+    pairs = lambda: jj._pair_blocks(np.zeros(400, int), False)
+    got, compared = jj.match_by_level(sig, label, np.arange(400), pairs, 30)
+    want = np.arange(400)
+    for i, j in pairs():
+        near = (sig[i] == sig[j]).sum(1) >= 30
+        want = jj._join_labels(want, i[near], j[near])
+    assert (got == want).all() and len(set(want.tolist())) == 3
+    assert compared < 0.9 * 400 * 399 // 2  # pairs within a class that longer prefixes had linked
+    one, few = jj.match_by_level(sig[:1].repeat(50, 0), label[:1].repeat(50, 0), np.arange(50), lambda: jj._pair_blocks(np.zeros(50, int), False), 30)
+    assert (one == 0).all() and few == 50 * 49 // 2  # all are linked at whole labels: no prefix is shortened
+
+
 @pytest.mark.parametrize("n", [1, 40])
 def test_components_of_paths_and_stars(spark, n):
     edges = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(1, 30)] + [(5000, 5001)]
