@@ -175,11 +175,13 @@ def match_by_level(sig: np.ndarray, label: np.ndarray, labels: np.ndarray, pairs
             if level < label.shape[1]:
                 meet &= label[i, level] != label[j, level]
             i, j = i[meet], j[meet]
-            # first one pair of each two classes, then what these have not linked
-            for some in (True, False):
+            # neighbours in the sorted list first, then one pair of each two classes, then what these have not linked
+            for step in range(3):
                 open_ = labels[i] != labels[j]
                 i, j = i[open_], j[open_]
-                at = np.unique(labels[i] * len(sig) + labels[j], return_index=True)[1] if some else np.arange(len(i))
+                at = np.flatnonzero(j == i + 1) if step == 0 else np.arange(len(i))
+                if step == 1:
+                    at = np.unique(labels[i] * len(sig) + labels[j], return_index=True)[1]
                 near = (sig[i[at]] == sig[j[at]]).sum(1) >= least_equal
                 compared += len(at)
                 labels = _join_labels(labels, i[at][near], j[at][near])

@@ -75,6 +75,7 @@ def test_tries_match_level_by_level():
     sig = heads[rng.integers(0, 3, 400)]
     noise = rng.random(sig.shape) < 0.05
     sig[noise] = rng.integers(0, 256, noise.sum())
+    sig = sig[np.lexsort(sig[:, 2::-1].T)]  # as in a task: in the order of their labels
     label = sig[:, :3]
     pairs = lambda: jj._pair_blocks(np.zeros(400, int), False)
     got, compared = jj.match_by_level(sig, label, np.arange(400), pairs, 30)
@@ -83,9 +84,9 @@ def test_tries_match_level_by_level():
         near = (sig[i] == sig[j]).sum(1) >= 30
         want = jj._join_labels(want, i[near], j[near])
     assert (got == want).all() and len(set(want.tolist())) == 3
-    assert compared < 0.9 * 400 * 399 // 2  # pairs within a class that longer prefixes had linked
+    assert compared < 0.75 * 400 * 399 // 2  # pairs within a class that longer prefixes had linked
     one, few = jj.match_by_level(sig[:1].repeat(50, 0), label[:1].repeat(50, 0), np.arange(50), lambda: jj._pair_blocks(np.zeros(50, int), False), 30)
-    assert (one == 0).all() and few == 50 * 49 // 2  # all are linked at whole labels: no prefix is shortened
+    assert (one == 0).all() and few == 49  # all are linked at whole labels: no prefix is shortened
 
 
 @pytest.mark.parametrize("n", [1, 40])
