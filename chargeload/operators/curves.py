@@ -19,7 +19,8 @@ def station_map(sessions: DataFrame) -> DataFrame:
     return sessions.select("session_id", "station_id").dropDuplicates()
 
 
-def _with_station(decisions: DataFrame, sessions: DataFrame | None) -> DataFrame:
+def with_station(decisions: DataFrame, sessions: DataFrame | None) -> DataFrame:
+    """Decisions with the station of their session, by the map of ``sessions`` where they lack it."""
     if "station_id" in decisions.columns:
         return decisions
     if sessions is None:
@@ -41,7 +42,7 @@ def fleet_load_curve(decisions: DataFrame, sort: bool = True) -> DataFrame:
 
 def station_load_curves(decisions: DataFrame, sessions: DataFrame | None = None, sort: bool = True) -> DataFrame:
     """Per (step, station): load and energy. Sessions without a station form the NULL group."""
-    d = _with_station(decisions, sessions)
+    d = with_station(decisions, sessions)
     out = d.groupBy("timestamp", "station_id").agg(
         exact_sum("charge_rate_kw").alias("load_kw"),
         exact_sum("energy_delivered_kwh").alias("energy_kwh"),
@@ -55,7 +56,7 @@ def load_timeseries(decisions: DataFrame, sessions: DataFrame | None = None) ->
     Two-level aggregation: decisions → (step, station) rows (partial aggregation before
     the shuffle), then the fleet rows from those already small station rows. The large
     input is read and shuffled once, unlike GROUPING SETS, which would double it."""
-    d = _with_station(decisions, sessions)
+    d = with_station(decisions, sessions)
     station = d.groupBy("timestamp", "station_id").agg(
         *sum_parts("charge_rate_kw", "load"), *sum_parts("energy_delivered_kwh", "energy"),
         F.count("session_id").alias("active_sessions"))

@@ -14,10 +14,12 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chargeload.functions.numbers import round6, round_half_up
+from chargeload.functions.numbers import exact_sum, round6, round_half_up
 from chargeload.operators import curves, metrics
 from chargeload.operators.comparison import load_profiles
+from chargeload.operators.policies import POLICY_DESCRIPTIONS, policies_frame
 from chargeload.operators.profile import active_sessions_at, load_profile, session_frame, valid_sessions
 from chargeload.operators.quality import errors_text
 from chargeload.plans import oracle as O
@@ -292,5 +294,30 @@ def q_baseline_metrics(spark, sf_dir):
     return load_profiles(events_sessions(spark, sf_dir), list(METRIC_POLICIES), STEP_MINUTES).metrics()
 
 
+@query("decisions_with_station_map", O.with_loop("immediate_charge", STEP_MINUTES,
+    f"SELECT station_id, count(*) AS decisions, count(DISTINCT session_id) AS sessions, {O.r2('sum(energy)', 6)} AS energy_kwh FROM loop GROUP BY station_id"))
+def q_decisions_with_station_map(spark, sf_dir):
+    """decisions, which name no station, joined to the session → station map."""
+    sessions = events_sessions(spark, sf_dir)
+    decisions = load_profile(sessions, "immediate_charge", STEP_MINUTES).decisions()
+    d = curves.with_station(decisions, valid_sessions(sessions))
+    return d.groupBy("station_id").agg(F.count(F.lit(1)).alias("decisions"), F.count_distinct("session_id").alias("sessions"),
+                                       round6(exact_sum("energy_delivered_kwh")).alias("energy_kwh"))
+
+
+def _policies_sql() -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT '{p}' AS name, '{POLICY_DESCRIPTIONS[p]}' AS description, total_energy_kwh, sessions_total FROM ({_metrics_oracle(p)})" for p in METRIC_POLICIES)
+    return f"SELECT * FROM ({rows})"
+
+
+@query("policies_with_energy", _policies_sql())
+def q_policies_with_energy(spark, sf_dir):
+    """Every registered policy, as listed, next to what it delivers."""
+    kpis = load_profiles(events_sessions(spark, sf_dir), None, STEP_MINUTES).metrics()
+    listed = policies_frame(spark)
+    return listed.join(kpis, listed["name"] == kpis["policy_name"]).select("name", "description", "total_energy_kwh", "sessions_total")
+
+
 # Source, store, job and stream queries register themselves on import.
 from chargeload.plans import queries_io  # noqa: E402,F401

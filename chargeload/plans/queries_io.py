@@ -8,6 +8,8 @@ written once per session and table folder; queries that insert build a store of
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from chargeload.config import scratch_path
@@ -24,7 +26,7 @@ from chargeload.schemas import RUN
 from chargeload.sinks import store
 from chargeload.sources.csv_sessions import normalize_csv_sessions
 from chargeload.sources.readers import read_csv_records, read_json_records
-from chargeload.sources.registry import get_loader
+from chargeload.sources.registry import SessionSource, get_loader, list_loaders, register_loader, unregister_loader
 from chargeload.streaming.ingest_stream import ingest_stream
 
 LOCAL_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -287,6 +289,37 @@ def q_resolve_aliases(spark, sf_dir):
     return df.select("bucket", "station_id", "port_id", "arrival_ts", "energy_delivered_kwh", "charging_minutes")
 
 
+@query("registered_source", O.with_sessions(
+    "SELECT concat('fleet-', CAST(event_id AS VARCHAR)) AS session_id, 'fleet' AS source_dataset, station_id, arrival_ts, is_valid, errors FROM checked"))
+def q_registered_source(spark, sf_dir):
+    """A source of one's own (the events table), looked up by name and held to the contract."""
+    def normalize(df):
+        return df.withColumns({"session_id": F.replace("session_id", F.lit("events-"), F.lit("fleet-")), "source_dataset": F.lit("fleet")}) \
+                 .drop("is_valid", "validation_errors")
+
+    before = set(list_loaders())
+    register_loader(SessionSource("fleet", lambda s, path: events_sessions(s, path), normalize, prefixed=True))
+    try:
+        if set(list_loaders()) != before | {"fleet"}:
+            raise AssertionError("the source is not listed")
+        df = get_loader("fleet").load(spark, sf_dir)
+    finally:
+        unregister_loader("fleet")
+    return df.select("session_id", "source_dataset", "station_id", "arrival_ts", "is_valid", errors_text().alias("errors"))
+
+
+@query("insert_times", O.with_sessions("SELECT session_id, TRUE AS within_the_run, TRUE AS never_updated FROM checked"))
+def q_insert_times(spark, sf_dir):
+    """The insert time of every stored row lies within the run that stored it."""
+    root, began = scratch_path(spark, "store"), dt.datetime.now(dt.timezone.utc)
+    s = events_sessions(spark, sf_dir).withColumn("_row", F.col("source_record_id").cast("long"))
+    store.insert_new_sessions(spark, s, root, order_cols=["_row"])
+    ended = dt.datetime.now(dt.timezone.utc)
+    out = store.read_sessions(spark, root, "events", ["session_id", "created_at", "updated_at"])
+    return out.select("session_id", F.coalesce(F.col("created_at").between(F.lit(began), F.lit(ended)), F.lit(False)).alias("within_the_run"),
+                      (F.col("created_at") == F.col("updated_at")).alias("never_updated"))
+
+
 # --- A7 / A8 / B9 / E11 / H2: session store ----------------------------------------------
 
 def _events_store(spark, sf_dir, with_json: bool = False) -> str:

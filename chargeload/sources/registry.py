@@ -72,6 +72,10 @@ def register_loader(source: SessionSource) -> None:
     _REGISTRY[source.dataset_name] = source
 
 
+def unregister_loader(dataset_name: str) -> None:
+    _REGISTRY.pop(dataset_name, None)
+
+
 def get_loader(dataset_name: str) -> SessionSource:
     source = _REGISTRY.get(dataset_name)
     if source is None:
@@ -84,4 +88,4 @@ def list_loaders() -> list[str]:
     return sorted(_REGISTRY)
 
 
-__all__ = ["SESSION_COLUMNS", "SessionSource", "check_contract", "get_loader", "list_loaders", "register_loader"]
+__all__ = ["SESSION_COLUMNS", "SessionSource", "check_contract", "get_loader", "list_loaders", "register_loader", "unregister_loader"]
