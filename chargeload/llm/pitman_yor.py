@@ -20,15 +20,16 @@ apart as many rows; they meet the pairs' probabilities at the end, a large bucke
 no seating is stored and a lost executor only repeats its buckets. Documents' sums go packed
 to the document's bucket; they travel as whole multiples of 2^-30.
 
-Defined cases: null and blank texts are the end token alone; rows of one doc_id are one document; a
-null doc_id is a document of its own, used for training. Without training tokens every token is unknown.
-Draws depend on the number of buckets, thus on ``spark.sql.shuffle.partitions``.
+Defined cases: null and blank texts are the end token alone; every row is a document of its own, also rows that share an
+id; rows without id are used for training. Without training tokens every token is unknown.
+Draws depend on the number of buckets: name it for the same scores under any ``spark.sql.shuffle.partitions``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,10 +76,13 @@ def block_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _token_rows(buckets: int):
-    """Places by word bucket: a document's occurrences of a (word, context) are one entry with their number."""
+    """Places by word bucket: a document's occurrences of a (word, context) are one entry with their number. Documents go by
+    the numbers of their rows; what ids these have goes to the rows' buckets, counted down from -1."""
     def flush(held):
         h, context, doc = (np.concatenate([x[i] for x in held]) for i in range(3))
-        ids, held_out = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
+        ids, held_out, names = (np.concatenate([x[i] for x in held]) for i in (3, 4, 5))
+        for b, at in split_by_bucket((mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets):
+            yield -1 - b, pack(np.diff(ids[at], prepend=0), names[at])
         for b, at in split_by_bucket((h % np.uint64(buckets)).astype(np.int64), buckets):
             at = at[np.lexsort((context[at], h[at]))]  # stable: documents stay in order
             new_word = _changes(h[at])
@@ -92,13 +96,14 @@ def _token_rows(buckets: int):
     def run(batches):
         def parts():
             held, n, docs = [], 0, 0
+            number = TaskContext.get().partitionId() << 33  # of the task's next row
             for batch in batches:
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 held_out = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
                 for lo, hi, data, offsets in utf8_blocks(batch, "text"):
                     h, context, row = block_tokens(data, offsets)
-                    held.append((h, context, (row + docs).astype(np.int32), ids[lo:hi], held_out[lo:hi]))
-                    n, docs = n + len(h), docs + hi - lo
+                    held.append((h, context, (row + docs).astype(np.int32), np.arange(number, number + hi - lo), held_out[lo:hi], ids[lo:hi]))
+                    n, docs, number = n + len(h), docs + hi - lo, number + hi - lo
                     if n >= FLUSH:
                         yield from flush(held)
                         held, n, docs = [], 0, 0
@@ -378,10 +383,15 @@ def _with_probabilities(places: DataFrame, probabilities: DataFrame, buckets: in
 
 
 def _document_rows(_bucket, blobs):
+    named = [b for b in blobs if len(b) == 2]
+    blobs = [b for b in blobs if len(b) > 2]
+    numbers, names = np.concatenate([np.cumsum(b[0]) for b in named]), np.concatenate([b[1] for b in named])
+    order = np.argsort(numbers)
     ids, which = np.unique(np.concatenate([np.cumsum(b[0]) for b in blobs]), return_inverse=True)
     held_out = np.zeros(len(ids), bool)
     held_out[which] = np.concatenate([b[1] for b in blobs])
     n_tokens, n_known, base_score, score = (np.bincount(which, np.concatenate([f(b[k]) for b in blobs])) for k, f in ((2, np.asarray), (3, np.asarray), (4, _from_planes), (5, _from_planes)))
+    ids = names[order][np.searchsorted(numbers[order], ids)]
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(held_out), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(-base_score), pa.array(-score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
@@ -390,12 +400,14 @@ def discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def score_texts(docs: DataFrame, held_out: Column, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
-    """Scores of every text of `docs` (doc_id bigint, text string): the model learns from rows where `held_out` is not true."""
-    buckets = bucket_count(docs.sparkSession)
+def score_texts(docs: DataFrame, held_out: Column, sweeps: int = SWEEPS, burn_in: int = BURN_IN, buckets: int | None = None) -> DataFrame:
+    """Scores of every text of `docs` (doc_id bigint, text string): the model learns from rows where `held_out` is not true.
+    The seating's draws depend on `buckets`, by default the session's number of shuffle partitions."""
+    buckets = buckets or bucket_count(docs.sparkSession)
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    places = staged(rows.mapInArrow(_token_rows(buckets), PACKED), "places")
+    sent = staged(rows.mapInArrow(_token_rows(buckets), PACKED), "places")
+    places, names = sent.where("bucket >= 0"), sent.where("bucket < 0").select((-1 - F.col("bucket")).cast("int").alias("bucket"), "blob")
     pairs = per_bucket(places.mapInArrow(_pair_rows(buckets), PACKED), buckets, _pair_sums(buckets), PACKED)
     state = staged(per_bucket(pairs, buckets, _count_rows, "bucket int, words binary, model binary"), "counts")
     history = [_gather(state, [], 1.0, (0.5, 0.5, 0.5))]
@@ -406,5 +418,5 @@ def score_texts(docs: DataFrame, held_out: Column, sweeps: int = SWEEPS, burn_in
         history.append(_gather(state, history, base, discounts))
     probabilities = state.mapInArrow(_probability_rows(history, base, discounts, burn_in), PACKED)
     sums = _with_probabilities(places, probabilities, buckets).mapInArrow(_score_rows(history[0]["tokens"], vocabulary, buckets), PACKED)
-    out = per_bucket(sums, buckets, _document_rows, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = per_bucket(sums.unionByName(names), buckets, _document_rows, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(history[0]["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -42,11 +42,27 @@ def test_counts_and_base(documents):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None), (2, ""), (3, "The the THE"), (4, "Ärger ärger"), (4, "more of the same id"), (None, "no id"), (6, "w " * 50_000)]
-    got = scores(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert set(got) == {1, 2, 3, 4, 6, None}
-    assert (got[1].n_tokens, got[3].n_tokens, got[4].n_tokens, got[6].n_tokens) == (1, 4, 3 + 6, 50_001)
-    assert all(math.isfinite(r.score) for r in got.values())
+    rows = [(1, None), (2, ""), (3, "The the THE"), (4, "Ärger ärger"), (4, "more of the same id"), (None, "no id"), (None, "no id"), (None, None), (6, "w " * 50_000), (4, "Ärger ärger")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = py.score_texts(df, crc32_mod(F.col("doc_id"), 5) == 1).collect()
+    want = [(d, len(tokens(t))) for d, t in rows]
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted(want, key=str)
+    assert all(math.isfinite(r.score) for r in got)
+    for key in ((4, 3), (None, 3)):  # equal rows have equal scores
+        assert len({(r.score, r.base_score, r.held_out) for r in got if (r.doc_id, r.n_tokens) == key}) == 1
+    base = {t: b for (_, t), (_, _, _, _, b) in zip(rows, brute(enumerate_ids(rows)).values(), strict=True)}
+    assert all(any(abs(r.base_score - b) < 1e-6 for b in base.values()) for r in got)
+
+
+def enumerate_ids(rows):
+    """The rows under ids of their own that are held out or not as theirs are."""
+    used, out = set(), []
+    for d, t in rows:
+        held = d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+        new = next(i for i in range(10_000) if i not in used and (zlib.crc32(str(i).encode()) % 5 == 1) == held)
+        used.add(new)
+        out.append((new, t))
+    return out
 
 
 def test_empty_tables(spark):
@@ -135,3 +151,16 @@ def test_parts_of_a_bucket_change_nothing(spark, documents, monkeypatch):
     for d, r in want.items():
         assert got[d][:5] == r[:5]
         assert (got[d].base_score, got[d].score) == (pytest.approx(r.base_score, rel=1e-6), pytest.approx(r.score, rel=1e-6))
+
+
+def test_a_named_number_of_buckets_gives_the_same_scores(spark, documents):
+    docs = documents.select("doc_id", "text").limit(60).cache()
+    got, key = [], "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        for n in ("3", "7"):
+            spark.conf.set(key, n)
+            got.append(sorted(tuple(r) for r in py.score_texts(docs, F.lit(False), buckets=5).collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert got[0] == got[1]
