@@ -109,9 +109,9 @@ def _mend_index(spark: SparkSession, root: str) -> None:
     if not path_exists(spark, _ids_dir(root)):
         _append_ids(_read_store(spark, _sessions_dir(root)).select("session_id", "source_dataset"), root)
     for folder in _folders(spark, _staging_dir(root)):
-        if not path_exists(spark, f"{folder}/new_ids/_SUCCESS"):      # staging, or died before it appended anything
+        if not path_exists(spark, f"{folder}/winners/_SUCCESS"):      # staging, or died before it appended anything
             continue
-        left = spark.read.schema("session_id string, source_dataset string").parquet(f"{folder}/new_ids")
+        left = spark.read.schema("session_id string, source_dataset string").parquet(f"{folder}/winners")
         stored = _read_store(spark, _sessions_dir(root)).select("session_id", "source_dataset")
         both = left.join(stored, ["session_id", "source_dataset"], "left_semi").dropDuplicates()
         _append_ids(both.join(stored_ids(spark, root), "session_id", "left_anti"), root)
@@ -128,7 +128,7 @@ def _finished(spark: SparkSession, folder: str, appended: int) -> None:
         _drop_folder(spark, folder)
         return
     spark.createDataFrame([(appended,)], "n long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/appended")
-    for part in ("new_ids", "rows", "first", "winners"):
+    for part in ("winners", "rows", "first"):
         _drop_folder(spark, f"{folder}/{part}")
 
 
@@ -202,11 +202,11 @@ def insert_new_sessions(spark: SparkSession, incoming: DataFrame, root: str,
         # small), and only the few matches meet the batch again.
         known = known.join(first.select("session_id"), "session_id", "left_semi")
         new = first.join(known, "session_id", "left_anti").select("session_id", "source_dataset", "_n")
-        new.write.parquet(f"{folder}/winners")
-        new = spark.read.schema(new.schema).parquet(f"{folder}/winners")
-        n = new.count()
+        counted = Observation(f"winners-{uuid.uuid4().hex[:12]}")
+        new.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/winners")     # what a crash from here on leaves behind
+        n = int(counted.get.get("n", 0))
         if n:
-            new.select("session_id", "source_dataset").write.parquet(f"{folder}/new_ids")     # what a crash from here on leaves behind
+            new = spark.read.schema(new.schema).parquet(f"{folder}/winners")
             if 2 * n >= int(c["seen"]):
                 lost = rows.select("_n").join(new.select("_n"), "_n", "left_anti") if n < int(c["seen"]) else None
                 kept = rows if lost is None else rows.join(lost, "_n", "left_anti")
