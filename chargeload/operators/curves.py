@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chargeload.functions.numbers import exact_sum, merged_parts, parts_total, sum_parts
+from chargeload.operators.profile import estimated_bytes
+
+#: Estimated bytes of (session_id, station_id) rows in one partition of the join to the station map: from Parquet, some
+#: 50,000 sessions. Below the least number of partitions adaptive execution sizes them; above the most, they grow (and spill).
+MAP_PARTITION_BYTES = 512 << 10
+MIN_MAP_PARTITIONS, MAX_MAP_PARTITIONS = 16, 20_000
 
 
 def station_map(sessions: DataFrame) -> DataFrame:
@@ -19,15 +25,30 @@ def station_map(sessions: DataFrame) -> DataFrame:
     return sessions.select("session_id", "station_id").dropDuplicates()
 
 
+def map_partitions(sessions: DataFrame) -> int | None:
+    """Partitions to join decisions to the map of ``sessions`` in, in proportion to its estimated size; None where it is
+    small or has no estimate."""
+    size = estimated_bytes(sessions.select("session_id", "station_id"))
+    parts = 0 if size is None else -(-size // MAP_PARTITION_BYTES)
+    return min(parts, MAX_MAP_PARTITIONS) if parts >= MIN_MAP_PARTITIONS else None
+
+
 def with_station(decisions: DataFrame, sessions: DataFrame | None) -> DataFrame:
     """Decisions with the station of their session, by the map of ``sessions`` where they lack it."""
     if "station_id" in decisions.columns:
         return decisions
     if sessions is None:
         raise ValueError("decisions lack station_id: pass the sessions frame to map them")
-    # Plain left join: AQE turns it into a broadcast join at run time when the map is
-    # small, and keeps a shuffle join when it is not.
-    return decisions.join(station_map(sessions), "session_id", "left")
+    parts = map_partitions(sessions)
+    if parts is None:
+        # Plain left join: AQE turns it into a broadcast join at run time when the map is
+        # small, and keeps a shuffle join when it is not.
+        return decisions.join(station_map(sessions), "session_id", "left")
+    # AQE sizes partitions by their shuffled bytes, and a decision comes to about one: a task would sort tens of millions
+    # of rows, the more the larger the input. Dealt by number, a task holds as many sessions at any size.
+    # Decisions that come in these partitions already (load_profile's by_session) are not shuffled again.
+    pairs = sessions.select("session_id", "station_id").repartition(parts, "session_id")
+    return decisions.repartition(parts, "session_id").join(station_map(pairs), "session_id", "left")
 
 
 def fleet_load_curve(decisions: DataFrame, sort: bool = True) -> DataFrame:

@@ -71,12 +71,23 @@ def policy_context(policy_seed: int, interval_minutes: int) -> StepContext:
 SMALL_INPUT_BYTES = 64 << 20
 
 
-def _is_small(df: DataFrame) -> bool:
-    """Is the optimizer's estimate of the input below ``SMALL_INPUT_BYTES``? (The plan's statistics; no job runs.)"""
+#: An estimate from here on (a frame made from an RDD has the largest bigint) says nothing.
+UNKNOWN_BYTES = 1 << 50
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's estimate of ``df`` in bytes, None where it has none. (The plan's statistics; no job runs.)"""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_INPUT_BYTES  # noqa: SLF001
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
     except Exception:  # noqa: BLE001 - no JVM plan at hand (Spark Connect)
-        return False
+        return None
+    return size if size < UNKNOWN_BYTES else None
+
+
+def _is_small(df: DataFrame) -> bool:
+    """Is the input estimated below ``SMALL_INPUT_BYTES``?"""
+    size = estimated_bytes(df)
+    return size is not None and size < SMALL_INPUT_BYTES
 
 
 def with_schedules(base: DataFrame, schedules: dict[str, Phases]) -> DataFrame:
@@ -131,6 +142,7 @@ class LoadProfile:
     chunk_steps: int = DEFAULT_CHUNK_STEPS
     spread: int | None = None    # partitions to expand in, if the caller wants a number
     deal: bool = False           # a small input: deal its sessions out before they are expanded
+    by_session: int | None = None    # deal the sessions by id over so many partitions before they are expanded
 
     @property
     def policy_name(self) -> str:
@@ -170,7 +182,9 @@ class LoadProfile:
         q on the whole steps from j = a on, then the remainder once; rate = energy / h, or
         the flat rate while energy remains; delivered before = min(E, (j−a)·q)."""
         phased = self.phased() if where is None else self.phased().where(where)
-        if self.deal and not self.spread:
+        if self.by_session:
+            phased = phased.repartition(self.by_session, "session_id")
+        elif self.deal and not self.spread:
             phased = phased.repartition("session_id")       # a small input; adaptive execution sizes the partitions
         expanded = expand_steps(phased, self.interval_minutes, self.chunk_steps, self.spread)
         E, q = F.col("energy_target_kwh"), F.col("_q")
@@ -195,9 +209,11 @@ class LoadProfile:
 
 def load_profile(sessions: DataFrame, policy: str = "immediate_charge",
                  interval_minutes: int = DEFAULT_INTERVAL_MINUTES, seed: int = DEFAULT_SEED,
-                 chunk_steps: int = DEFAULT_CHUNK_STEPS, spread: int | str | None = "auto") -> LoadProfile:
+                 chunk_steps: int = DEFAULT_CHUNK_STEPS, spread: int | str | None = "auto",
+                 by_session: int | None = None) -> LoadProfile:
     """Plan a load analysis. Checks the policy and the step length first (cheap, eager);
-    everything touching data stays lazy."""
+    everything touching data stays lazy. ``by_session``: steps come hash-partitioned by session id in that many
+    partitions, for a join by it (``curves.map_partitions``): sessions are shuffled then, not their many steps."""
     pol = get_policy(policy)
     interval_micros(interval_minutes)
     flag = F.col("is_valid") if "is_valid" in sessions.columns else F.lit(True)
@@ -208,4 +224,5 @@ def load_profile(sessions: DataFrame, policy: str = "immediate_charge",
     deal = spread == "auto" and _is_small(sessions)
     spread = None if spread == "auto" else spread
     return LoadProfile(sessions=sessions, ranged_all=ranged_all, bounds=bounds, policy=pol,
-                       interval_minutes=interval_minutes, seed=seed, chunk_steps=chunk_steps, spread=spread, deal=deal)
+                       interval_minutes=interval_minutes, seed=seed, chunk_steps=chunk_steps, spread=spread, deal=deal,
+                       by_session=by_session)

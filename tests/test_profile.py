@@ -153,6 +153,49 @@ def test_curves_from_decisions(spark):
     assert curves.fleet_load_curve(dec.limit(0)).count() == 0
 
 
+def test_station_join_holds_as_many_decisions_a_task_at_any_size(spark):
+    most = []
+    for n in (600_000, 1_200_000):
+        sessions = spark.range(n).select(F.concat(F.lit("s"), "id").alias("session_id"), F.concat(F.lit("st"), F.col("id") % 7).alias("station_id"))
+        decisions = sessions.select("session_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("step"))
+        tasks = (curves.with_station(decisions, sessions).groupBy(F.spark_partition_id())
+                 .agg(F.count("*").alias("rows"), F.count("station_id").alias("mapped")).collect())
+        assert sum(t["rows"] for t in tasks) == sum(t["mapped"] for t in tasks) == 2 * n
+        most.append(max(t["rows"] for t in tasks))
+    assert most[1] < 1.2 * most[0]
+
+
+def test_station_join_dealt_by_number_gives_the_plain_joins_rows(spark, monkeypatch):
+    sessions = spark.sql("SELECT * FROM VALUES ('a', 'n'), ('a', 'n'), ('b', NULL), ('c', 'n'), ('c', 's'), (NULL, 's'), ('idle', 's') t(session_id, station_id)")
+    decisions = spark.sql("SELECT * FROM VALUES ('a', 1), ('a', 2), ('b', 1), ('c', 1), ('c', 2), (NULL, 1), ('stray', 1) t(session_id, step)")
+
+    def rows():
+        return sorted(map(tuple, curves.with_station(decisions, sessions).select("session_id", "step", "station_id").collect()), key=str)
+
+    assert curves.map_partitions(sessions) is None
+    plain = rows()
+    monkeypatch.setattr(curves, "MAP_PARTITION_BYTES", 16)
+    assert curves.map_partitions(sessions) >= curves.MIN_MAP_PARTITIONS
+    assert rows() == plain == sorted([("a", 1, "n"), ("a", 2, "n"), ("b", 1, None), ("c", 1, "n"), ("c", 1, "s"), ("c", 2, "n"),
+                                      ("c", 2, "s"), (None, 1, None), ("stray", 1, None)], key=str)
+
+
+def test_station_query_dealt_by_number_gives_the_plain_querys_rows(spark, monkeypatch):
+    from chargeload.plans.queries import QUERIES
+
+    def rows():
+        df = QUERIES["decisions_with_station_map"](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return sorted(map(tuple, df.collect()), key=str), plan
+
+    plain, _ = rows()
+    monkeypatch.setattr(curves, "MAP_PARTITION_BYTES", 512)
+    dealt, plan = rows()
+    assert dealt == plain and len(plain) > 1
+    # sessions and map rows are shuffled once each, the expanded steps never
+    assert plan.count("REPARTITION_BY_NUM") == 2
+
+
 @pytest.mark.parametrize("delivered,targets,want", [
     ({"a": 9.6, "b": 9.4, "c": 1.0}, {"a": 10.0, "b": 10.0}, (1, 0.5)),
     ({"a": 5.0}, {"a": 5.0, "b": 1.0, "c": 0.0, "d": -1.0}, (3, 0.75)),
